@@ -31,6 +31,11 @@ def r6(c: str | Column) -> Column:
     return F.floor(col_(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
+def r2(c: str | Column) -> Column:
+    """Currency amounts: half-up to cents with the same IEEE formula as `r6`."""
+    return F.floor(col_(c) * F.lit(100.0) + F.lit(0.5)) / F.lit(100.0)
+
+
 def trunc_int(c: str | Column) -> Column:
     """Python `int(x)`: truncate toward zero."""
     return col_(c).cast("int")

@@ -14,8 +14,6 @@ Forecast rows are joined back to the actual sales by (store, product, date).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,33 +31,29 @@ def _steps(horizon: int):
     return F.sequence(F.lit(1), F.lit(horizon))
 
 
-def seasonal_naive(windows: DataFrame, lookback: int = LOOKBACK, horizon: int = HORIZON,
-                   season: int = SEASON) -> DataFrame:
+def _sum(arr):
+    return F.aggregate(arr, F.lit(0.0), lambda a, v: a + v)
+
+
+def seasonal_naive_expr(x, lookback: int = LOOKBACK, horizon: int = HORIZON, season: int = SEASON):
     """Day t+h repeats day t+h-season (the last week of the window)."""
-    x = F.col("x_sales")
-    fc = F.transform(_steps(horizon),
-                     lambda h: F.element_at(x, F.lit(lookback - season) + F.pmod(h - 1, F.lit(season)) + 1))
-    return windows.withColumn("forecast", fc)
+    return F.transform(_steps(horizon),
+                       lambda h: F.element_at(x, F.lit(lookback - season) + F.pmod(h - 1, F.lit(season)) + 1))
 
 
-def moving_average(windows: DataFrame, horizon: int = HORIZON) -> DataFrame:
+def moving_average_expr(x, lookback: int = LOOKBACK, horizon: int = HORIZON):
     """Mean of the look-back, repeated over the horizon."""
-    x = F.col("x_sales")
-    m = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
-    return windows.withColumn("forecast", F.array_repeat(m, horizon))
+    return F.array_repeat(_sum(x) / F.size(x), horizon)
 
 
-def linear_trend(windows: DataFrame, lookback: int = LOOKBACK, horizon: int = HORIZON) -> DataFrame:
+def linear_trend_expr(x, lookback: int = LOOKBACK, horizon: int = HORIZON):
     """Least-squares line through (position, sales) of the window, extrapolated."""
-    x = F.col("x_sales")
     n = float(lookback)
     t_mean = (n - 1) / 2.0
     t_ss = n * (n * n - 1) / 12.0          # sum of (t - t_mean)^2 for t = 0..n-1
-    y_mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.lit(n)
-    cov = F.aggregate(F.transform(x, lambda v, i: (i - F.lit(t_mean)) * v), F.lit(0.0), lambda a, v: a + v)
-    slope = cov / F.lit(t_ss)
-    fc = F.transform(_steps(horizon), lambda h: y_mean + slope * (F.lit(n - 1 - t_mean) + h))
-    return windows.withColumn("forecast", fc)
+    y_mean = _sum(x) / F.lit(n)
+    slope = _sum(F.transform(x, lambda v, i: (i - F.lit(t_mean)) * v)) / F.lit(t_ss)
+    return F.transform(_steps(horizon), lambda h: y_mean + slope * (F.lit(n - 1 - t_mean) + h))
 
 
 def recency_weights(lookback: int = LOOKBACK, temperature: float = RECENCY_TEMPERATURE):
@@ -67,56 +61,78 @@ def recency_weights(lookback: int = LOOKBACK, temperature: float = RECENCY_TEMPE
     'recent days might be more important' with fixed, not learned, scores."""
     scores = F.transform(F.sequence(F.lit(0), F.lit(lookback - 1)),
                          lambda t: F.exp(F.tanh(F.lit(temperature) * t / F.lit(lookback - 1))))
-    total = F.aggregate(scores, F.lit(0.0), lambda a, v: a + v)
+    total = _sum(scores)
     return F.transform(scores, lambda s: s / total)
 
 
-def recency_weighted(windows: DataFrame, lookback: int = LOOKBACK, horizon: int = HORIZON,
-                     temperature: float = RECENCY_TEMPERATURE) -> DataFrame:
-    wts = recency_weights(lookback, temperature)
-    ctx = F.aggregate(F.zip_with(F.col("x_sales"), wts, lambda v, w: v * w), F.lit(0.0), lambda a, v: a + v)
-    return windows.withColumn("forecast", F.array_repeat(ctx, horizon))
+def recency_weighted_expr(x, lookback: int = LOOKBACK, horizon: int = HORIZON,
+                          temperature: float = RECENCY_TEMPERATURE):
+    ctx = _sum(F.zip_with(x, recency_weights(lookback, temperature), lambda v, w: v * w))
+    return F.array_repeat(ctx, horizon)
 
 
-MODELS = {
-    "seasonal_naive": seasonal_naive,
-    "moving_average": moving_average,
-    "linear_trend": linear_trend,
-    "recency_weighted": recency_weighted,
+MODEL_EXPRS = {
+    "seasonal_naive": seasonal_naive_expr,
+    "moving_average": moving_average_expr,
+    "linear_trend": linear_trend_expr,
+    "recency_weighted": recency_weighted_expr,
 }
 
 
-def baseline_forecast(windows: DataFrame, model: str) -> DataFrame:
-    return MODELS[model](windows)
+def baseline_forecast(windows: DataFrame, model: str, **params) -> DataFrame:
+    return windows.withColumn("forecast", MODEL_EXPRS[model](F.col("x_sales"), **params))
+
+
+def seasonal_naive(windows: DataFrame, **params) -> DataFrame:
+    return baseline_forecast(windows, "seasonal_naive", **params)
+
+
+def moving_average(windows: DataFrame, **params) -> DataFrame:
+    return baseline_forecast(windows, "moving_average", **params)
+
+
+def linear_trend(windows: DataFrame, **params) -> DataFrame:
+    return baseline_forecast(windows, "linear_trend", **params)
+
+
+def recency_weighted(windows: DataFrame, **params) -> DataFrame:
+    return baseline_forecast(windows, "recency_weighted", **params)
 
 
 def rounded_forecast(df: DataFrame) -> DataFrame:
     return df.withColumn("forecast", F.transform("forecast", lambda v: r6(v)))
 
 
-def forecast_long(windows_fc: DataFrame, model: str) -> DataFrame:
-    """One row per (series, window, horizon step) with the target date.
+def forecast_long(windows: DataFrame, models=("seasonal_naive",)) -> DataFrame:
+    """One row per (series, window, model, horizon step) with the target date.
+    All models are evaluated in one projection over the windows and exploded
+    once, so the windows (and their shuffle) are computed a single time.
     Needs windows built with `with_dates=True`."""
-    z = F.posexplode(F.arrays_zip(F.col("forecast").alias("f"), F.col("y_date").alias("d")))
-    return windows_fc.select(*KEYS, F.col("pos").alias("origin_pos"),
-                             F.col("start_date").alias("origin_date"), z).select(
+    per_model = F.array(*[F.struct(F.lit(m).alias("model"),
+                                   F.arrays_zip(MODEL_EXPRS[m](F.col("x_sales")).alias("f"),
+                                                F.col("y_date").alias("d")).alias("steps"))
+                          for m in models])
+    by_model = windows.select(*KEYS, F.col("pos").alias("origin_pos"),
+                              F.col("start_date").alias("origin_date"),
+                              F.explode(per_model).alias("m"))
+    return by_model.select(*KEYS, "origin_pos", "origin_date", F.col("m.model").alias("model"),
+                           F.posexplode("m.steps")).select(
         *KEYS, "origin_pos", "origin_date",
         (F.col("pos") + 1).alias("horizon"),
         F.col("col.d").alias("date"),
         F.col("col.f").alias("forecast"),
-        F.lit(model).alias("model"))
+        "model")
 
 
 def attach_actuals(fc_long: DataFrame, panel: DataFrame) -> DataFrame:
-    """Forecast <-> actual: inner equi-join on (store, product, date)."""
-    actual = panel.select(*KEYS, "date", F.col("sales").alias("actual_sales"))
+    """Forecast <-> actual: inner equi-join on (store, product, date); also
+    brings the day's unit price for cost metrics."""
+    actual = panel.select(*KEYS, "date", F.col("sales").alias("actual_sales"), "price")
     return fc_long.join(actual, [*KEYS, "date"], "inner")
 
 
 def forecast_results(panel: DataFrame, models=("seasonal_naive",)) -> DataFrame:
-    """(store_id, product_id, origin_date, horizon, date, model, actual_sales,
-    forecast): the table the insight stage reads."""
+    """(store_id, product_id, origin_pos, origin_date, horizon, date, model,
+    actual_sales, forecast, price): the table the insight stage reads."""
     windows = sliding_windows(panel, with_dates=True)
-    parts = [forecast_long(baseline_forecast(windows, m), m) for m in models]
-    stacked = reduce(lambda a, b: a.unionByName(b), parts)
-    return attach_actuals(stacked, panel)
+    return attach_actuals(forecast_long(windows, models), panel)

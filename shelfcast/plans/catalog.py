@@ -276,3 +276,142 @@ SELECT store_id, product_id,
        'Product ' || product_id || ' at Store ' || store_id || ': Average sales ' || {S.py_repr('avg_sales')}
        || ', trend ' || trend AS text
 FROM metrics""", "metrics"))(lambda spark, d: ins.kb_text(ins.knowledge_base(_metrics(spark, d))))
+
+
+# ---------------------------------------------------------------- metrics & model comparison
+from shelfcast.operators import metrics as mt  # noqa: E402
+from shelfcast.operators import scaling as sc  # noqa: E402
+from shelfcast.operators import splits as sp  # noqa: E402
+
+R6 = S.r6
+
+
+def _err_sql(a="actual_sales", p="forecast"):
+    return (f"count(*) AS n, {R6(f'avg(pow({p} - {a}, 2))')} AS mse, {R6(f'avg(abs({p} - {a}))')} AS mae, "
+            f"{R6(f'avg(abs(({a} - {p}) / ({a} + 1e-8))) * 100')} AS mape, "
+            f"{R6(f'avg(CASE WHEN {a} <> 0 THEN abs(({a} - {p}) / {a}) END) * 100')} AS mape_nonzero, "
+            f"{R6(f'sqrt(avg(pow({p} - {a}, 2)))')} AS rmse, {R6(f'avg({a} - {p})')} AS bias")
+
+
+def _fr(spark, d, models=("seasonal_naive",)):
+    return fc.forecast_results(_panel(spark, d), models)
+
+
+register("forecast_metrics", S.with_ctes(
+    f"SELECT model, {_err_sql()} FROM fr_seasonal_naive GROUP BY model", "fr_seasonal_naive"))(
+    lambda spark, d: mt.forecast_metrics(_fr(spark, d)))
+
+register("forecast_metrics_sets", S.with_ctes(f"""
+SELECT model, grouping_id(model, horizon, store_id, product_id) AS level, horizon, store_id, product_id,
+       {_err_sql()}
+FROM fr_seasonal_naive
+GROUP BY GROUPING SETS ((model), (model, horizon), (model, store_id), (model, store_id, product_id))""",
+    "fr_seasonal_naive"))(lambda spark, d: mt.forecast_metrics_sets(_fr(spark, d)))
+
+register("model_comparison", S.with_ctes(f"""
+SELECT *, mape < 15.0 AS meets_target FROM (SELECT model, {_err_sql()} FROM fr_all GROUP BY model) t""",
+    "fr_all"))(lambda spark, d: mt.model_comparison(_fr(spark, d, fc.BASELINES)))
+
+register("direction_accuracy", S.with_ctes(f"""
+SELECT store_id, product_id, count(*) AS n_pairs,
+       {R6('avg(CASE WHEN da = dp THEN 1.0 ELSE 0.0 END)')} AS direction_accuracy
+FROM (SELECT store_id, product_id,
+             sign(actual_sales - lag(actual_sales) OVER w) AS da, sign(forecast - lag(forecast) OVER w) AS dp
+      FROM fr_seasonal_naive WHERE horizon = 1
+      WINDOW w AS (PARTITION BY store_id, product_id ORDER BY date)) t
+WHERE da IS NOT NULL GROUP BY store_id, product_id""", "fr_seasonal_naive"))(
+    lambda spark, d: mt.direction_accuracy(_fr(spark, d)))
+
+_MODEL_LIST = "[" + ", ".join(f"'{m}'" for m in fc.BASELINES) + "]"
+register("model_selection", S.with_ctes(f"""
+SELECT store_id, product_id, best_model, best_mse, n_models FROM (
+  SELECT store_id, product_id, model AS best_model, {R6('mse')} AS best_mse,
+         count(*) OVER (PARTITION BY store_id, product_id) AS n_models,
+         row_number() OVER (PARTITION BY store_id, product_id
+                            ORDER BY {R6('mse')}, list_position({_MODEL_LIST}, model)) AS rn
+  FROM (SELECT store_id, product_id, model, avg(pow(forecast - actual_sales, 2)) AS mse
+        FROM fr_all GROUP BY store_id, product_id, model) t) u
+WHERE rn = 1""", "fr_all"))(lambda spark, d: mt.model_selection(_fr(spark, d, fc.BASELINES)))
+
+register("inventory_costs", S.with_ctes(f"""
+SELECT store_id, product_id, count(*) AS n_days,
+       {R6('sum(greatest(forecast - actual_sales, 0.0))')} AS excess_units,
+       {R6('sum(greatest(actual_sales - forecast, 0.0))')} AS short_units,
+       {S.r2('sum(greatest(forecast - actual_sales, 0.0) * price * 0.2)')} AS holding_cost,
+       {S.r2('sum(greatest(actual_sales - forecast, 0.0) * price * 0.25)')} AS stockout_cost,
+       {R6('avg(CASE WHEN actual_sales <= forecast THEN 1.0 ELSE 0.0 END)')} AS service_level
+FROM fr_seasonal_naive WHERE horizon = 1 GROUP BY store_id, product_id""", "fr_seasonal_naive"))(
+    lambda spark, d: mt.inventory_costs(_fr(spark, d)))
+
+# ---------------------------------------------------------------- splits
+
+register("hash_split", S.with_ctes("""
+SELECT store_id, product_id, pos, bucket, CASE WHEN bucket < 20 THEN 'test' ELSE 'train' END AS split
+FROM (SELECT store_id, product_id, pos,
+             ((('0x' || substr(md5(concat_ws('~', '42', store_id::VARCHAR, product_id::VARCHAR, pos::VARCHAR)),
+                              1, 8))::BIGINT) % 100)::INT AS bucket
+      FROM windows) t""", "windows"))(
+    lambda spark, d: sp.hash_split(wn.sliding_windows(_panel(spark, d))).select(
+        "store_id", "product_id", "pos", "bucket", "split"))
+
+
+@register("time_split", S.with_ctes("""
+SELECT store_id, product_id, pos, split FROM (
+  SELECT w.store_id, w.product_id, w.pos,
+         CASE WHEN w.y_date[len(w.y_date)] < c.cutoff THEN 'train'
+              WHEN w.start_date >= c.cutoff THEN 'test' END AS split
+  FROM windows w, (SELECT lo + CAST(floor(datediff('day', lo, hi) * 0.8) AS INT) AS cutoff FROM bounds) c) t
+WHERE split IS NOT NULL""", "windows", "bounds"))
+def _time_split(spark, d):
+    panel = _panel(spark, d)
+    out = sp.time_split(wn.sliding_windows(panel, with_dates=True), sp.cutoff_date(panel))
+    return out.select("store_id", "product_id", "pos", "split")
+
+
+# ---------------------------------------------------------------- scalers
+
+S.cte("wts", ("panel",), f"""
+SELECT *, sum(is_start) OVER (PARTITION BY store_id, product_id ORDER BY date
+                              ROWS BETWEEN {S.L - 1} PRECEDING AND CURRENT ROW) AS weight
+FROM (SELECT *, CASE WHEN (row_number() OVER (PARTITION BY store_id, product_id ORDER BY date) - 1)
+                          <= count(*) OVER (PARTITION BY store_id, product_id) - {S.L + S.H} THEN 1 ELSE 0 END
+                  AS is_start FROM panel) t""")
+S.cte("xmeans", ("wts",), "SELECT " + ", ".join(
+    f"sum(weight * {f}::DOUBLE) / sum(weight) AS m_{f}" for f in S.FEATURES) + " FROM wts WHERE weight > 0")
+S.cte("xparams", ("wts", "xmeans"), "\nUNION ALL\n".join(
+    f"SELECT 'x' AS kind, {i} AS idx, '{f}' AS name, any_value(m_{f}) AS mean, "
+    f"coalesce(nullif(sqrt(sum(weight * pow({f}::DOUBLE - m_{f}, 2)) / sum(weight)), 0), 1.0) AS scale "
+    f"FROM wts, xmeans WHERE weight > 0" for i, f in enumerate(S.FEATURES)))
+S.cte("yparams", ("windows",), """
+SELECT 'y' AS kind, idx::INT AS idx, 'y' || (idx + 1) AS name, avg(v) AS mean,
+       coalesce(nullif(stddev_pop(v), 0), 1.0) AS scale
+FROM (SELECT unnest(range(len(y))) AS idx, unnest(y) AS v FROM windows) t GROUP BY idx""")
+
+register("scaler_fit_x", S.with_ctes(
+    f"SELECT kind, idx, name, {R6('mean')} AS mean, {R6('scale')} AS scale FROM xparams", "xparams"))(
+    lambda spark, d: sc.fit_input_scaler(_panel(spark, d)).select(
+        "kind", "idx", "name", r6("mean").alias("mean"), r6("scale").alias("scale")))
+
+register("scaler_fit_y", S.with_ctes(
+    f"SELECT kind, idx, name, {R6('mean')} AS mean, {R6('scale')} AS scale FROM yparams", "yparams"))(
+    lambda spark, d: sc.fit_target_scaler(wn.sliding_windows(_panel(spark, d))).select(
+        "kind", "idx", "name", r6("mean").alias("mean"), r6("scale").alias("scale")))
+
+_PIVOT = ", ".join(f"max(CASE WHEN name = '{f}' THEN mean END) AS m_{f}, "
+                   f"max(CASE WHEN name = '{f}' THEN scale END) AS s_{f}" for f in S.FEATURES)
+S.cte("xrow", ("xparams",), f"SELECT {_PIVOT} FROM xparams")
+S.cte("yrow", ("yparams",), "SELECT list(mean ORDER BY idx) AS ym, list(scale ORDER BY idx) AS ys_ FROM yparams")
+_XS = ", ".join(f"list_transform(x_{f}, lambda v: {R6(f'(v - m_{f}) / s_{f}')}) AS xs_{f}" for f in S.FEATURES)
+
+
+@register("scaled_windows", S.with_ctes(f"""
+SELECT store_id, product_id, pos, {_XS},
+       list_transform(y, lambda v, i: {R6('(v - ym[i]) / ys_[i]')}) AS ys
+FROM windows, xrow, yrow""", "windows", "xrow", "yrow"))
+def _scaled(spark, d):
+    panel = _panel(spark, d)
+    w = wn.sliding_windows(panel)
+    out = sc.scale_windows(w, sc.fit_input_scaler(panel), sc.fit_target_scaler(w))
+    cols = [f"xs_{f}" for f in pn.FEATURES] + ["ys"]
+    return out.select("store_id", "product_id", "pos",
+                      *[F.transform(c, lambda v: r6(v)).alias(c) for c in cols])

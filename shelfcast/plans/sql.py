@@ -20,6 +20,10 @@ def cte(name: str, deps: tuple[str, ...], body: str) -> None:
     CTES[name] = (deps, body)
 
 
+def r2(expr: str) -> str:
+    return f"(floor(({expr}) * 100.0 + 0.5) / 100.0)"
+
+
 def with_ctes(final: str, *names: str) -> str:
     order: list[str] = []
 
@@ -106,7 +110,7 @@ SELECT store_id, product_id, pos AS origin_pos, start_date AS origin_date,
        unnest(forecast) AS forecast, model
 FROM fc_{_m}""")
     cte(f"fr_{_m}", (f"long_{_m}", "panel"), f"""
-SELECT f.*, p.sales AS actual_sales
+SELECT f.*, p.sales AS actual_sales, p.price
 FROM long_{_m} f JOIN panel p USING (store_id, product_id, date)""")
 
 cte("fr_all", tuple(f"fr_{m}" for m in FC_EXPR), "\nUNION ALL\n".join(
