@@ -61,8 +61,10 @@ def py_float_text(c: str | Column) -> Column:
 
 
 def fixed(c: str | Column, digits: int) -> Column:
-    """`f"{x:.Nf}"`."""
-    return F.format_string(f"%.{digits}f", col_(c))
+    """Python `f"{x:.Nf}"`.  Java's formatter rounds half-up on the shortest
+    decimal text, Python rounds the exact binary value half-to-even; rounding
+    half-to-even first makes exact binary ties (x.125, x.375, ...) agree."""
+    return F.format_string(f"%.{digits}f", F.bround(col_(c), digits))
 
 
 def array_mean(arr: str | Column) -> Column:

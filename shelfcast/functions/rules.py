@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfcast.functions.exprs import col_, trunc_int
+from shelfcast.functions.exprs import col_, fixed, trunc_int
 
 # Fixed values of the reference's inventory rules.
 LEAD_TIME_DAYS = 7
@@ -179,7 +179,7 @@ def demand_analysis_text(store: Column, product: Column, avg: Column, accuracy:
 def inventory_text(product: Column, avg: Column, vol: Column) -> Column:
     return fill_template(INVENTORY_TEMPLATE, {
         "product_id": product, "safety": safety_stock_service(vol),
-        "vol_2f": F.format_string("%.2f", vol),
+        "vol_2f": fixed(vol, 2),
         "reorder": reorder_point_service(avg, vol), "eoq": economic_order_quantity(avg),
         "stock_status": F.when(avg > ADEQUATE_VOLUME, F.lit(STOCK_OK)).otherwise(F.lit(STOCK_JIT)),
     })
@@ -191,8 +191,8 @@ def coefficient_of_variation_pct(avg: Column, vol: Column) -> Column:
 
 def risk_text(product: Column, avg: Column, vol: Column, trend: Column) -> Column:
     return fill_template(RISK_TEMPLATE, {
-        "product_id": product, "vol_2f": F.format_string("%.2f", vol),
-        "cv_1f": F.format_string("%.1f", coefficient_of_variation_pct(avg, vol)),
+        "product_id": product, "vol_2f": fixed(vol, 2),
+        "cv_1f": fixed(coefficient_of_variation_pct(avg, vol), 1),
         "raised_stock": risk_safety_stock(vol), "trend_upper": F.upper(trend),
     })
 
@@ -205,7 +205,7 @@ def rule_insight_text(avg: Column, trend: Column, vol: Column) -> Column:
     v = F.coalesce(vol.cast("double"), F.lit(0.0))
     hi = is_volatile(a, v)
     return fill_template(RULE_INSIGHT_TEMPLATE, {
-        "avg_2f": F.format_string("%.2f", a), "trend": t,
+        "avg_2f": fixed(a, 2), "trend": t,
         "vol_level": F.when(hi, F.lit(INSIGHT_HIGH)).otherwise(F.lit(INSIGHT_MODERATE)),
         "safety": safety_stock_simple(v), "reorder": reorder_point_simple(a, v),
         "review": F.when(hi, F.lit(REVIEW_DAILY)).otherwise(F.lit(REVIEW_WEEKLY)),

@@ -415,3 +415,114 @@ def _scaled(spark, d):
     cols = [f"xs_{f}" for f in pn.FEATURES] + ["ys"]
     return out.select("store_id", "product_id", "pos",
                       *[F.transform(c, lambda v: r6(v)).alias(c) for c in cols])
+
+
+# ---------------------------------------------------------------- batch scoring
+from shelfcast.operators import scoring as scr  # noqa: E402
+
+S.cte("rk_panel", ("panel",), """
+SELECT *, row_number() OVER (PARTITION BY store_id, product_id ORDER BY date DESC) AS rk,
+       max(date) OVER (PARTITION BY store_id, product_id) AS last_date
+FROM panel""")
+S.cte("req", ("rk_panel",), """
+SELECT store_id, product_id, kind, CASE WHEN store_id % 2 = 0 THEN 'pytorch' ELSE 'tensorflow' END AS framework,
+       x_sales, n_days, first_date, last_date
+FROM (
+  SELECT store_id, product_id, 'rows' AS kind, list(sales ORDER BY date) FILTER (WHERE rk <= 14) AS x_sales,
+         count(*) FILTER (WHERE rk <= 14) AS n_days,
+         strftime(min(date) FILTER (WHERE rk <= 14), '%Y-%m-%d') AS first_date,
+         strftime(max(date) FILTER (WHERE rk <= 14), '%Y-%m-%d') AS last_date
+  FROM rk_panel GROUP BY store_id, product_id
+  UNION ALL
+  SELECT store_id, product_id, 'calendar', list(sales ORDER BY date) FILTER (WHERE date > last_date - 14),
+         count(*) FILTER (WHERE date > last_date - 14),
+         strftime(min(date) FILTER (WHERE date > last_date - 14), '%Y-%m-%d'),
+         strftime(max(date) FILTER (WHERE date > last_date - 14), '%Y-%m-%d')
+  FROM rk_panel GROUP BY store_id, product_id) t""")
+_SIGMA = "sqrt(list_sum(list_transform(x_sales, lambda v: pow(v - list_sum(x_sales) / len(x_sales), 2))) / len(x_sales))"
+S.cte("scored", ("req",), f"""
+SELECT *, CASE WHEN framework = 'pytorch' THEN {S.FC_EXPR['recency_weighted']}
+               ELSE {S.FC_EXPR['seasonal_naive']} END AS fc,
+       {_SIGMA} AS sigma
+FROM req""")
+
+
+def _requests(spark, d):
+    return scr.forecast_requests(_panel(spark, d))
+
+
+@register("batch_forecast", S.with_ctes(f"""
+SELECT store_id, product_id, kind, framework,
+       CASE WHEN len(x_sales) <> 14 THEN 'Historical data must contain exactly 14 days' END AS error,
+       CASE WHEN len(x_sales) = 14 THEN list_transform(fc, lambda v: {R6('v')}) END AS forecast,
+       CASE WHEN len(x_sales) = 14 THEN list_transform(fc, lambda v: {R6('greatest(0.0, v - 1.96 * sigma)')}) END
+         AS interval_lower,
+       CASE WHEN len(x_sales) = 14 THEN list_transform(fc, lambda v: {R6('v + 1.96 * sigma')}) END
+         AS interval_upper
+FROM scored""", "scored"))
+def _batch_forecast(spark, d):
+    out = scr.batch_forecast(_requests(spark, d), scr.framework_models(spark))
+    return out.select("store_id", "product_id", "kind", "framework", "error",
+                      F.transform("forecast", lambda v: r6(v)).alias("forecast"),
+                      F.transform("confidence_intervals", lambda s: r6(s["lower"])).alias("interval_lower"),
+                      F.transform("confidence_intervals", lambda s: r6(s["upper"])).alias("interval_upper"))
+
+
+register("batch_summary", S.with_ctes("""
+SELECT count(*) AS total, count_if(len(x_sales) = 14) AS successful, count_if(len(x_sales) <> 14) AS failed
+FROM req""", "req"))(lambda spark, d: scr.batch_summary(
+    scr.batch_forecast(_requests(spark, d), scr.framework_models(spark))))
+
+
+@register("request_parse", S.with_ctes("""
+SELECT store_id, product_id, kind, framework, n_days::INT AS n_days, first_date, last_date,
+       list_sum(x_sales) AS total_sales
+FROM req""", "req"))
+def _request_parse(spark, d):
+    parsed = scr.parse_requests(scr.requests_to_json(_requests(spark, d)))
+    h = F.col("historical_data")
+    return parsed.select("store_id", "product_id", "kind", "framework", F.size(h).alias("n_days"),
+                         h[0]["date"].alias("first_date"), F.element_at(h, -1)["date"].alias("last_date"),
+                         F.aggregate(h, F.lit(0.0), lambda a, day: a + day["sales"]).alias("total_sales"))
+
+
+@register("prediction_interval", S.with_ctes(f"""
+SELECT store_id, product_id, unnest(range(1, 8))::INT AS day, unnest(list_transform(fc, lambda v: {R6('v')})) AS forecast,
+       unnest(list_transform(fc, lambda v: {R6('greatest(0.0, v - 1.96 * sigma)')})) AS lower,
+       unnest(list_transform(fc, lambda v: {R6('v + 1.96 * sigma')})) AS upper
+FROM (SELECT *, {S.FC_EXPR['seasonal_naive']} AS fc, {_SIGMA} AS sigma FROM req WHERE kind = 'rows') t""", "req"))
+def _prediction_interval(spark, d):
+    from shelfcast.functions.exprs import array_pop_std
+    from shelfcast.functions.rules import prediction_intervals
+    req = _requests(spark, d).where(F.col("kind") == "rows")
+    x = F.transform("historical_data", lambda day: day["sales"])
+    f = fc.seasonal_naive_expr(x)
+    iv = req.select("store_id", "product_id", F.explode(prediction_intervals(f, array_pop_std(x))).alias("i"),
+                    f.alias("f"))
+    return iv.select("store_id", "product_id", F.col("i.day").alias("day"),
+                     r6(F.element_at("f", F.col("i.day"))).alias("forecast"),
+                     r6("i.lower").alias("lower"), r6("i.upper").alias("upper"))
+
+
+_QUESTION = scr.INSIGHT_QUESTION.replace("'", "''")
+register("rule_insights", S.with_ctes(f"""
+SELECT store_id, product_id, '{_QUESTION}' AS query,
+       {S.rule_insight_text('avg_daily_sales', 'trend', 'volatility')} AS insights
+FROM ctx""", "ctx"))(lambda spark, d: scr.rule_insights(scr.insight_requests(_ctx(spark, d))))
+
+
+def _ctx_repr_sql():
+    def val(x, text=False):
+        if text:
+            return f"CASE WHEN {x} IS NULL THEN 'None' ELSE '''' || {x} || '''' END"
+        return f"CASE WHEN {x} IS NULL THEN 'None' ELSE {S.py_repr(x)} END"
+    return (f"'{{''avg_sales'': ' || ({val('avg_daily_sales')}) || ', ''trend'': ' || ({val('trend', True)}) || "
+            f"', ''volatility'': ' || ({val('volatility')}) || '}}'")
+
+
+register("insight_prompt", S.with_ctes(f"""
+SELECT store_id, product_id,
+       '### Instruction:' || chr(10) || '{_QUESTION}' || chr(10) || chr(10) || '### Input:' || chr(10) ||
+       'Store: ' || store_id || chr(10) || 'Product: ' || product_id || chr(10) || 'Context: ' || {_ctx_repr_sql()}
+       || chr(10) || chr(10) || '### Response:' AS prompt
+FROM ctx""", "ctx"))(lambda spark, d: scr.insight_prompt(scr.insight_requests(_ctx(spark, d))))
