@@ -99,16 +99,17 @@ def cosine(a: str | Column, b: str | Column) -> Column:
 
 
 def word_tokens(text: str | Column) -> Column:
-    """Python `str.split()`: runs of whitespace, no empty tokens."""
-    return F.filter(F.split(F.trim(col_(text)), r"\s+"), lambda x: x != "")
+    """Python `str.split()`: runs of (Unicode) whitespace, no empty tokens."""
+    return F.filter(F.split(col_(text), PY_WHITESPACE), lambda x: x != "")
 
 
 def word_count(text: str | Column) -> Column:
     return F.size(word_tokens(text))
 
 
-# Fixed value: the number pattern of the reference's numeric check.
-NUMBER_PATTERN = r"\d+\.?\d*"
+# Fixed value: the number pattern of the reference's numeric check, r"\d+\.?\d*".
+# Python's `\d` matches any Unicode decimal digit, so it is spelled \p{Nd} here.
+NUMBER_PATTERN = r"\p{Nd}+\.?\p{Nd}*"
 
 
 def extract_numbers(text: str | Column) -> Column:
@@ -161,3 +162,33 @@ def global_rank(df: DataFrame, order_col: str, descending: bool = True,
         F.when(F.col("_total") <= 1, F.lit(0.0)).otherwise(
             (F.col("_rk") + F.col("_off") - 1) / (F.col("_total") - 1)).alias("percent_rank"),
     )
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_of: Column,
+                salts: int = 16, how: str = "inner") -> DataFrame:
+    """Equi-join that splits hot keys: rows of `big` get a salt in [0, salts)
+    from `salt_of` (e.g. a hash of another column), and every row of `small`
+    is repeated once per salt.  A key holding a third of `big` is spread over
+    `salts` tasks; `small` grows by the factor `salts` only."""
+    b = big.withColumn("_salt", F.pmod(salt_of, F.lit(salts)))
+    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return b.join(s, [*keys, "_salt"], how).drop("_salt")
+
+
+# Fixed value: Python `str.split()` whitespace, as one character class.
+PY_WHITESPACE = (r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+                 r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+")
+# Word tokens for n-gram, TF-IDF and unigram models: lower-cased runs of
+# Unicode letters and digits.
+WORD_PATTERN = r"[\p{L}\p{N}]+"
+
+
+def words(text: str | Column) -> Column:
+    return F.regexp_extract_all(F.lower(col_(text)), F.lit(WORD_PATTERN), 0)
+
+
+def ngrams(tokens: Column, n: int) -> Column:
+    """Space-joined n-grams in order; empty when the text has fewer than n tokens."""
+    grams = F.transform(F.sequence(F.lit(0), F.size(tokens) - n),
+                        lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
+    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))

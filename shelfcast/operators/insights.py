@@ -132,7 +132,7 @@ def risk_assessment(ctx: DataFrame) -> DataFrame:
     )
 
 
-def instruction_examples(ctx: DataFrame) -> DataFrame:
+def instruction_examples(ctx: DataFrame, keep_context: bool = False) -> DataFrame:
     """Two examples per series plus a risk example when the raw volatility
     exceeds 0.3 x raw average: one pass, `explode` of a filtered array."""
     avg, vol = F.col("avg_daily_sales"), F.col("volatility")
@@ -148,7 +148,8 @@ def instruction_examples(ctx: DataFrame) -> DataFrame:
                         rules.risk_text(F.col("product_id"), avg, vol, F.col("trend")).alias("output"))),
     )
     kept = F.filter(ex, lambda e: e.isNotNull())
-    return ctx.select(*KEYS, F.explode(kept).alias("e")).select(*KEYS, "e.*")
+    extra = ["avg_daily_sales", "volatility"] if keep_context else []
+    return ctx.select(*KEYS, *extra, F.explode(kept).alias("e")).select(*KEYS, "e.*", *extra)
 
 
 def instruction_text(examples: DataFrame) -> DataFrame:

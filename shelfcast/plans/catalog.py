@@ -526,3 +526,202 @@ SELECT store_id, product_id,
        'Store: ' || store_id || chr(10) || 'Product: ' || product_id || chr(10) || 'Context: ' || {_ctx_repr_sql()}
        || chr(10) || chr(10) || '### Response:' AS prompt
 FROM ctx""", "ctx"))(lambda spark, d: scr.insight_prompt(scr.insight_requests(_ctx(spark, d))))
+
+
+# ---------------------------------------------------------------- retrieval
+from shelfcast.functions.exprs import PY_WHITESPACE, WORD_PATTERN, NUMBER_PATTERN  # noqa: E402
+from shelfcast.operators import retrieval as rt  # noqa: E402
+from shelfcast.operators import textscore as ts  # noqa: E402
+
+S.cte("centroids", (), """
+SELECT label AS query_label, list(m ORDER BY idx) AS c
+FROM (SELECT label, idx, avg(v) AS m
+      FROM (SELECT label, unnest(range(len(embedding))) AS idx, unnest(embedding)::DOUBLE AS v FROM embeddings) t
+      GROUP BY label, idx) u
+GROUP BY label""")
+S.cte("cos_hits", ("centroids",), f"""
+SELECT * FROM (
+  SELECT query_label, (row_number() OVER (PARTITION BY query_label ORDER BY score DESC, vec_id))::INT AS rank,
+         vec_id, label, score
+  FROM (SELECT c.query_label, e.vec_id, e.label,
+               {R6('list_cosine_similarity(e.embedding::DOUBLE[], c.c)')} AS score
+        FROM embeddings e, centroids c) s) t
+WHERE rank <= 3""")
+
+
+def _cos_hits(spark, d):
+    emb = read_table(spark, d, "embeddings")
+    q = rt.label_centroids(emb).select(F.col("label").alias("query_id"), "vector")
+    return emb, rt.cosine_topk(emb, q)
+
+
+@register("cosine_topk", S.with_ctes("SELECT query_label, rank, vec_id, label, score FROM cos_hits", "cos_hits"))
+def _cosine_topk(spark, d):
+    _, hits = _cos_hits(spark, d)
+    return hits.select(F.col("query_id").alias("query_label"), "rank", "vec_id", "label", "score")
+
+
+@register("rag_prompt", S.with_ctes("""
+SELECT query_label, question,
+       'Use the following context to answer the question:' || chr(10) || chr(10) || 'Context:' || chr(10) ||
+       string_agg('{"vec_id": ' || vec_id || ', "label": ' || label || ', "similarity": ' || CAST(score AS VARCHAR)
+                  || '}', chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: ' || question || chr(10) ||
+       chr(10) || 'Answer:' AS prompt
+FROM (SELECT *, 'Which stored items are closest to label ' || query_label || '?' AS question FROM cos_hits) t
+GROUP BY query_label, question""", "cos_hits"))
+def _rag_prompt(spark, d):
+    emb, hits = _cos_hits(spark, d)
+    q = F.concat(F.lit("Which stored items are closest to label "), F.col("query_id").cast("string"), F.lit("?"))
+    out = rt.rag_prompt(hits, emb, q)
+    return out.select(F.col("query_id").alias("query_label"), "question", "prompt")
+
+
+@register("tfidf_retrieve")
+def _tfidf(spark, d):
+    return rt.tfidf_retrieve(read_table(spark, d, "documents"), read_table(spark, d, "benchmark")).select(
+        "item_id", "rank", "doc_id", "score")
+
+
+@register("lsh_topk")
+def _lsh(spark, d):
+    emb = read_table(spark, d, "embeddings")
+    q = rt.label_centroids(emb).select(F.col("label").alias("query_id"), "vector")
+    approx = rt.lsh_topk(emb, q)
+    exact = rt.cosine_topk(emb, q).select("query_id", F.col("vec_id").alias("exact_id"), F.col("rank").alias("r"))
+    # Recall of the approximate top-k against the exact one, per query.
+    rec = (exact.join(approx.select("query_id", F.col("vec_id").alias("exact_id")), ["query_id", "exact_id"], "left_semi")
+           .groupBy("query_id").agg(F.count("*").alias("found")))
+    return (approx.join(rec, "query_id", "left")
+            .select(F.col("query_id").alias("query_label"), "rank", "vec_id", "score",
+                    r6(F.coalesce("found", F.lit(0)) / F.lit(rt.TOP_K)).alias("recall_at_k")))
+
+
+# ---------------------------------------------------------------- text scoring
+
+_WS = PY_WHITESPACE
+register("text_length", f"""
+SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{_WS}'), lambda x: x <> ''))::INT AS n_words,
+       length(text)::INT AS n_chars
+FROM documents""")(lambda spark, d: ts.text_length(read_table(spark, d, "documents")))
+
+register("extract_numbers", f"""
+SELECT doc_id, regexp_extract_all(text, '{NUMBER_PATTERN}') AS numbers,
+       len(regexp_extract_all(text, '{NUMBER_PATTERN}'))::INT AS n_numbers
+FROM documents""")(lambda spark, d: ts.numbers_in_text(read_table(spark, d, "documents")))
+
+
+def _expected_map_sql():
+    return ("[{'k': 'avg_daily_sales', 'v': avg_daily_sales}, "
+            f"{{'k': 'safety_stock', 'v': {S.tint('volatility * 2')}::DOUBLE}}, "
+            f"{{'k': 'reorder_point', 'v': {S.tint('avg_daily_sales * 7 + volatility * 2')}::DOUBLE}}, "
+            f"{{'k': 'economic_order_quantity', 'v': {S.eoq()}::DOUBLE}}]")
+
+
+def _hit_sql(v):
+    return f"(contains(output, trunc({v})::BIGINT::VARCHAR) OR contains(output, {S.py_repr(v)}))::INT"
+
+
+def _strict_sql(v):
+    nums = f"regexp_extract_all(output, '{NUMBER_PATTERN}')"
+    return (f"(list_contains({nums}, trunc({v})::BIGINT::VARCHAR) OR list_contains({nums}, {S.py_repr(v)}))::INT")
+
+
+_NUMERIC_SQL = (S.with_ctes(f"""
+SELECT store_id, product_id, kind, len(ev)::INT AS n_checks, n_hits,
+       {R6('n_hits / len(ev)')} AS numeric_accuracy, strict_hits
+FROM (SELECT *, list_sum(list_transform(ev, lambda e: {_hit_sql('e.v')}))::INT AS n_hits,
+             list_sum(list_transform(ev, lambda e: {_strict_sql('e.v')}))::INT AS strict_hits
+      FROM (SELECT *, {_expected_map_sql()} AS ev FROM examples) t) u""", "examples"))
+
+
+def _numeric_accuracy(spark, d):
+    from shelfcast.functions import rules
+    ex = ins.instruction_examples(_ctx(spark, d), keep_context=True)
+    avg, vol = F.col("avg_daily_sales"), F.col("volatility")
+    expected = F.create_map(
+        F.lit("avg_daily_sales"), avg,
+        F.lit("safety_stock"), rules.safety_stock_simple(vol).cast("double"),
+        F.lit("reorder_point"), rules.reorder_point_simple(avg, vol).cast("double"),
+        F.lit("economic_order_quantity"), rules.economic_order_quantity(avg).cast("double"))
+    checks, hits, score = ts.numeric_accuracy_expr(F.col("output"), expected)
+    return ex.select("store_id", "product_id", "kind", checks.alias("n_checks"), hits.alias("n_hits"),
+                     r6(score).alias("numeric_accuracy"),
+                     ts.strict_number_hits(F.col("output"), expected).alias("strict_hits"))
+
+
+register("numeric_accuracy", _NUMERIC_SQL)(_numeric_accuracy)
+
+S.cte("pairs", (), """
+SELECT u.conv_id, u.turn, u.text AS reference, a.text AS generated
+FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+WHERE u.role = 'user' AND a.role = 'assistant'""")
+S.cte("ptoks", ("pairs",), f"""
+SELECT conv_id, turn, regexp_extract_all(lower(generated), '{WORD_PATTERN}') AS g,
+       regexp_extract_all(lower(reference), '{WORD_PATTERN}') AS r
+FROM pairs""")
+
+
+def _rouge_sql(n):
+    def grams(c):
+        return (f"CASE WHEN len({c}) >= {n} THEN list_transform(range(0, len({c}) - {n - 1}), "
+                f"lambda i: array_to_string({c}[i + 1:i + {n}], ' ')) ELSE [] END")
+    return f"""
+SELECT t.conv_id, t.turn, t.n_gen, t.n_ref, coalesce(o.overlap, 0) AS overlap
+FROM (SELECT conv_id, turn, len(gg) AS n_gen, len(rr) AS n_ref FROM
+      (SELECT conv_id, turn, {grams('g')} AS gg, {grams('r')} AS rr FROM ptoks) x) t
+LEFT JOIN (
+  SELECT a.conv_id, a.turn, sum(least(a.c, b.c)) AS overlap
+  FROM (SELECT conv_id, turn, gram, count(*) AS c FROM
+        (SELECT conv_id, turn, unnest({grams('g')}) AS gram FROM ptoks) x GROUP BY ALL) a
+  JOIN (SELECT conv_id, turn, gram, count(*) AS c FROM
+        (SELECT conv_id, turn, unnest({grams('r')}) AS gram FROM ptoks) y GROUP BY ALL) b
+    USING (conv_id, turn, gram)
+  GROUP BY a.conv_id, a.turn) o USING (conv_id, turn)"""
+
+
+def _prf(n, src):
+    p = f"CASE WHEN {src}.n_gen > 0 THEN {src}.overlap / {src}.n_gen ELSE 0.0 END"
+    r = f"CASE WHEN {src}.n_ref > 0 THEN {src}.overlap / {src}.n_ref ELSE 0.0 END"
+    f = f"CASE WHEN ({p}) + ({r}) > 0 THEN 2 * ({p}) * ({r}) / (({p}) + ({r})) ELSE 0.0 END"
+    return f"{R6(p)} AS rouge{n}_p, {R6(r)} AS rouge{n}_r, {R6(f)} AS rouge{n}_f"
+
+
+S.cte("rouge1", ("ptoks",), _rouge_sql(1))
+S.cte("rouge2", ("ptoks",), _rouge_sql(2))
+register("rouge_n", S.with_ctes(f"""
+SELECT a.conv_id, a.turn, {_prf(1, 'a')}, {_prf(2, 'b')}
+FROM rouge1 a JOIN rouge2 b USING (conv_id, turn)""", "rouge1", "rouge2"))(
+    lambda spark, d: (lambda p: ts.rouge_n(p, 1).select(
+        "conv_id", "turn", "rouge1_p", "rouge1_r", "rouge1_f").join(
+        ts.rouge_n(p, 2).select("conv_id", "turn", "rouge2_p", "rouge2_r", "rouge2_f"), ["conv_id", "turn"]))(
+        ts.conversation_pairs(read_table(spark, d, "conversations"))))
+
+register("rouge_l")(lambda spark, d: ts.rouge_l(ts.conversation_pairs(read_table(spark, d, "conversations"))))
+
+_PERPLEXITY_SQL = (f"""
+WITH toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORD_PATTERN}')) AS term FROM documents),
+counts AS (SELECT term, count(*) AS c FROM toks GROUP BY term),
+tot AS (SELECT sum(c) AS n, count(*) AS v FROM counts),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY doc_id, term),
+agg AS (SELECT doc_id, sum(tf) AS n_tokens,
+               sum(tf * -ln((coalesce(c, 0) + 1.0) / (n + v))) AS nll
+        FROM tf LEFT JOIN counts USING (term), tot GROUP BY doc_id)
+SELECT doc_id, n_tokens, {R6('exp(nll / n_tokens)')} AS perplexity,
+       {R6('greatest(0.0, 1 - exp(nll / n_tokens) / 100.0)')} AS coherence
+FROM agg""")
+
+
+def _corpus_perplexity(spark, d):
+    docs = read_table(spark, d, "documents")
+    counts, n, v = ts.unigram_model(docs)
+    return ts.perplexity(docs, counts, n, v)
+
+
+register("corpus_perplexity", _PERPLEXITY_SQL)(_corpus_perplexity)
+
+
+@register("overall_score")
+def _overall(spark, d):
+    conv = read_table(spark, d, "conversations")
+    counts, n, v = ts.unigram_model(conv)
+    return ts.overall_score(ts.conversation_pairs(conv), counts, n, v)

@@ -238,15 +238,15 @@ def rule_insight_text(avg: str, trend: str, vol: str) -> str:
 cte("examples", ("ctx",), f"""
 SELECT store_id, product_id, 1 AS kind,
        'Analyze the demand pattern for this product and provide procurement recommendations.' AS instruction,
-       context_json AS input, {demand_text()} AS output
+       context_json AS input, {demand_text()} AS output, avg_daily_sales, volatility
 FROM ctx
 UNION ALL
 SELECT store_id, product_id, 2 AS kind,
        'Based on the sales data, recommend optimal inventory levels.' AS instruction,
-       context_json AS input, {inventory_text()} AS output
+       context_json AS input, {inventory_text()} AS output, avg_daily_sales, volatility
 FROM ctx
 UNION ALL
 SELECT store_id, product_id, 3 AS kind,
        'Identify supply chain risks for this product.' AS instruction,
-       context_json AS input, {risk_text()} AS output
+       context_json AS input, {risk_text()} AS output, avg_daily_sales, volatility
 FROM ctx WHERE raw_volatility > raw_avg_sales * 0.3""")
