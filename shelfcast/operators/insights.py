@@ -176,3 +176,21 @@ def kb_text(kb: DataFrame) -> DataFrame:
         F.lit("Product "), F.col("product_id").cast("string"), F.lit(" at Store "),
         F.col("store_id").cast("string"), F.lit(": Average sales "), rules.py_repr(F.col("avg_sales")),
         F.lit(", trend "), F.col("trend")).alias("text"))
+
+
+PAD = "<pad>"
+MAX_TOKENS = 512
+
+
+def token_budget(texts: DataFrame, max_tokens: int = MAX_TOKENS, pad: str = PAD) -> DataFrame:
+    """Batched tokenisation to a fixed length: whitespace tokens truncated to
+    `max_tokens` and padded; the text column is dropped (only tokens and the
+    truncation report remain)."""
+    from shelfcast.functions.exprs import word_tokens
+    tok = word_tokens("text")
+    kept = F.slice(tok, 1, max_tokens)
+    out = texts.select(*KEYS, "kind", tok.alias("_tok")).withColumn("_kept", F.slice("_tok", 1, max_tokens))
+    return out.select(
+        *KEYS, "kind", F.size("_tok").alias("n_tokens"), F.size("_kept").alias("n_kept"),
+        (F.lit(max_tokens) - F.size("_kept")).alias("n_pad"), (F.size("_tok") > max_tokens).alias("truncated"),
+        F.concat("_kept", F.array_repeat(F.lit(pad), F.lit(max_tokens) - F.size("_kept"))).alias("input_tokens"))

@@ -151,7 +151,7 @@ def _sliding(spark, d):
 
 
 register("window_stats", S.with_ctes("""
-SELECT count(*) AS n_series, sum(n_rows) AS n_rows, sum(n_windows) AS n_windows,
+SELECT count(*) AS n_series, sum(n_rows)::BIGINT AS n_rows, sum(n_windows)::BIGINT AS n_windows,
        count_if(n_windows = 0) AS series_without_windows, min(n_rows) AS min_series_rows,
        max(n_rows) AS max_series_rows, 14 AS lookback, 7 AS horizon, 7 AS n_features
 FROM (SELECT store_id, product_id, count(*) AS n_rows, greatest(0, count(*) - 20) AS n_windows
@@ -706,7 +706,7 @@ tf AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY doc_id, term),
 agg AS (SELECT doc_id, sum(tf) AS n_tokens,
                sum(tf * -ln((coalesce(c, 0) + 1.0) / (n + v))) AS nll
         FROM tf LEFT JOIN counts USING (term), tot GROUP BY doc_id)
-SELECT doc_id, n_tokens, {R6('exp(nll / n_tokens)')} AS perplexity,
+SELECT doc_id, n_tokens::BIGINT AS n_tokens, {R6('exp(nll / n_tokens)')} AS perplexity,
        {R6('greatest(0.0, 1 - exp(nll / n_tokens) / 100.0)')} AS coherence
 FROM agg""")
 
@@ -725,3 +725,77 @@ def _overall(spark, d):
     conv = read_table(spark, d, "conversations")
     counts, n, v = ts.unigram_model(conv)
     return ts.overall_score(ts.conversation_pairs(conv), counts, n, v)
+
+
+# ---------------------------------------------------------------- monitoring & streams
+from shelfcast.operators import monitoring as mon  # noqa: E402
+from shelfcast.streaming import events as stm  # noqa: E402
+
+register("event_counts", f"""
+SELECT event_type, count(*) AS n_events, {R6('sum(value)')} AS total_value FROM events GROUP BY event_type""")(
+    lambda spark, d: mon.event_counts(read_table(spark, d, "events")))
+
+_BOUNDS = "[" + ", ".join("'inf'::DOUBLE" if b == float("inf") else repr(b) for b in mon.LATENCY_BUCKETS) + "]"
+register("latency_histogram", f"""
+WITH bk AS (SELECT unnest({_BOUNDS}) AS le, unnest(range({len(mon.LATENCY_BUCKETS)}))::INT AS b),
+per AS (SELECT event_type, len(list_filter({_BOUNDS}, lambda x: x < value * 0.001))::INT AS b, count(*) AS c,
+               sum(value * 0.001) AS s
+        FROM events GROUP BY ALL),
+g AS (SELECT t.event_type, bk.b, bk.le, coalesce(p.c, 0) AS c, p.s
+      FROM (SELECT DISTINCT event_type FROM per) t CROSS JOIN bk
+      LEFT JOIN per p ON p.event_type = t.event_type AND p.b = bk.b)
+SELECT event_type, le,
+       (sum(c) OVER (PARTITION BY event_type ORDER BY b ROWS UNBOUNDED PRECEDING))::BIGINT AS cumulative_count,
+       (sum(c) OVER (PARTITION BY event_type))::BIGINT AS count,
+       {R6('sum(s) OVER (PARTITION BY event_type)')} AS sum_seconds
+FROM g""")(lambda spark, d: mon.latency_histogram(read_table(spark, d, "events")))
+
+register("tumbling_events", f"""
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end,
+       event_type, count(*) AS n_events, {R6('sum(value)')} AS total_value
+FROM events GROUP BY ALL""")(lambda spark, d: mon.tumbling(read_table(spark, d, "events")))
+
+register("sliding_events", f"""
+SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, event_type, count(*) AS n_events,
+       {R6('sum(value)')} AS total_value
+FROM (SELECT event_type, value, time_bucket(INTERVAL 1 DAY, ts) - to_days(r.i::INT) AS window_start
+      FROM events, range(7) r(i)) t
+GROUP BY ALL""")(lambda spark, d: mon.sliding(read_table(spark, d, "events")))
+
+register("session_events", f"""
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n_events,
+       {R6('sum(value)')} AS total_value
+FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid
+      FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL
+                            OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR
+                           THEN 1 ELSE 0 END AS new
+            FROM events) t) u
+GROUP BY user_id, sid""")(lambda spark, d: mon.sessions(read_table(spark, d, "events")))
+
+register("stream_tumbling")(lambda spark, d: stm.stream_tumbling(spark, d))
+register("stream_dedup")(lambda spark, d: stm.stream_dedup(spark, d))
+register("stream_scale")(lambda spark, d: stm.stream_scale(spark, d))
+register("stream_forecast")(lambda spark, d: stm.stream_forecast(spark, _panel(spark, d)))
+
+# ---------------------------------------------------------------- token budget & prompts
+MAX_LEN = 512
+S.cte("itext", ("examples",), """
+SELECT store_id, product_id, kind,
+       '### Instruction:' || chr(10) || instruction || chr(10) || chr(10) || '### Input:' || chr(10) || input
+       || chr(10) || chr(10) || '### Response:' || chr(10) || output AS text
+FROM examples""")
+register("token_budget", S.with_ctes(f"""
+SELECT store_id, product_id, kind, len(tok)::INT AS n_tokens, len(tok[1:{MAX_LEN}])::INT AS n_kept,
+       ({MAX_LEN} - len(tok[1:{MAX_LEN}]))::INT AS n_pad, len(tok) > {MAX_LEN} AS truncated,
+       list_concat(tok[1:{MAX_LEN}], list_transform(range({MAX_LEN} - len(tok[1:{MAX_LEN}])), lambda i: '<pad>'))
+         AS input_tokens
+FROM (SELECT *, list_filter(regexp_split_to_array(text, '{PY_WHITESPACE}'), lambda x: x <> '') AS tok
+      FROM itext) t""", "itext"))(
+    lambda spark, d: ins.token_budget(ins.instruction_text(ins.instruction_examples(_ctx(spark, d)))))
+
+register("analysis_prompt", S.with_ctes("""
+SELECT store_id, product_id,
+       'Analyze the following product data and provide:' || chr(10) || '1. Demand trend assessment' || chr(10) ||
+       '2. Inventory recommendations' || chr(10) || '3. Risk factors' || chr(10) || chr(10) || 'Data: ' ||
+       context_json || chr(10) || chr(10) || 'Focus on actionable insights for procurement team.' AS prompt
+FROM ctx""", "ctx"))(lambda spark, d: scr.analysis_prompt(_ctx(spark, d)))
