@@ -799,3 +799,28 @@ SELECT store_id, product_id,
        '2. Inventory recommendations' || chr(10) || '3. Risk factors' || chr(10) || chr(10) || 'Data: ' ||
        context_json || chr(10) || chr(10) || 'Focus on actionable insights for procurement team.' AS prompt
 FROM ctx""", "ctx"))(lambda spark, d: scr.analysis_prompt(_ctx(spark, d)))
+
+
+# ---------------------------------------------------------------- learned model & files
+from shelfcast.operators import learned as lrn  # noqa: E402
+from shelfcast.sources import files as fl  # noqa: E402
+
+
+@register("ar_linear_forecast")
+def _ar_linear(spark, d):
+    return lrn.ar_linear_forecast(_panel(spark, d), stm.run_dir(spark, "ar-linear"))
+
+
+register("experiment_grid")(lambda spark, d: lrn.experiment_grid(_panel(spark, d)))
+
+
+@register("csv_roundtrip")
+def _csv_roundtrip(spark, d):
+    """Panel -> CSV -> typed read -> forecast results -> CSV -> typed read:
+    the reference's file hand-off between its stages."""
+    base = stm.run_dir(spark, "csv")
+    fl.write_csv(_panel(spark, d), f"{base}/sales")
+    sales = fl.read_sales_csv(spark, f"{base}/sales").drop(fl.CORRUPT)
+    fr = fc.forecast_results(sales).select(*[f.name for f in fl.FORECAST_SCHEMA.fields])
+    fl.write_csv(fr, f"{base}/forecasts")
+    return fl.read_forecast_csv(spark, f"{base}/forecasts")
