@@ -140,9 +140,10 @@ def global_rank(df: DataFrame, order_col: str, descending: bool = True,
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.col(order_col).desc() if descending else F.col(order_col).asc()
     parted = df.repartitionByRange(n_parts, key).withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid").orderBy(key, *tie_cols)
+    w_rn = Window.partitionBy("_pid").orderBy(key, *tie_cols)
+    w = Window.partitionBy("_pid").orderBy(key)
     local = parted.withColumns({
-        "_rn": F.row_number().over(w), "_rk": F.rank().over(w), "_drk": F.dense_rank().over(w)})
+        "_rn": F.row_number().over(w_rn), "_rk": F.rank().over(w), "_drk": F.dense_rank().over(w)})
     sizes = parted.groupBy("_pid").agg(F.count("*").alias("_n"),
                                       F.count_distinct(order_col).alias("_nd"))
     ws = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

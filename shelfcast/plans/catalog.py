@@ -787,8 +787,8 @@ FROM examples""")
 register("token_budget", S.with_ctes(f"""
 SELECT store_id, product_id, kind, len(tok)::INT AS n_tokens, len(tok[1:{MAX_LEN}])::INT AS n_kept,
        ({MAX_LEN} - len(tok[1:{MAX_LEN}]))::INT AS n_pad, len(tok) > {MAX_LEN} AS truncated,
-       list_concat(tok[1:{MAX_LEN}], list_transform(range({MAX_LEN} - len(tok[1:{MAX_LEN}])), lambda i: '<pad>'))
-         AS input_tokens
+       CASE WHEN tok IS NOT NULL THEN list_concat(tok[1:{MAX_LEN}],
+            list_transform(range({MAX_LEN} - len(tok[1:{MAX_LEN}])), lambda i: '<pad>')) END AS input_tokens
 FROM (SELECT *, list_filter(regexp_split_to_array(text, '{PY_WHITESPACE}'), lambda x: x <> '') AS tok
       FROM itext) t""", "itext"))(
     lambda spark, d: ins.token_budget(ins.instruction_text(ins.instruction_examples(_ctx(spark, d)))))
