@@ -67,6 +67,13 @@ def fixed(c: str | Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", F.bround(col_(c), digits))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and pass it to `body` (a Column -> Column
+    function).  Higher-order lambdas re-evaluate captured expressions per
+    element; binding through a one-element `transform` avoids that."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def array_mean(arr: str | Column) -> Column:
     a = col_(arr)
     total = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
@@ -76,9 +83,11 @@ def array_mean(arr: str | Column) -> Column:
 def array_pop_std(arr: str | Column) -> Column:
     """Population standard deviation of a numeric array (NumPy `np.std`)."""
     a = col_(arr)
-    m = array_mean(a)
-    ss = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x.cast("double") - m) * (x.cast("double") - m))
-    return F.sqrt(safe_div(ss, F.size(a)))
+
+    def from_mean(m):
+        ss = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x.cast("double") - m) * (x.cast("double") - m))
+        return F.sqrt(safe_div(ss, F.size(a)))
+    return let(array_mean(a), from_mean)
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -189,7 +198,9 @@ def words(text: str | Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Space-joined n-grams in order; empty when the text has fewer than n tokens."""
-    grams = F.transform(F.sequence(F.lit(0), F.size(tokens) - n),
-                        lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+    """Space-joined n-grams in order; empty when the text has fewer than n tokens.
+    The token array is bound once (`let`), not re-tokenised per position."""
+    def grams(t):
+        g = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " "))
+        return F.when(F.size(t) >= n, g).otherwise(F.array().cast("array<string>"))
+    return let(tokens, grams)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.functions.exprs import r6
+from shelfcast.functions.exprs import let, r6
 from shelfcast.operators.panel import KEYS
 from shelfcast.operators.windows import HORIZON, LOOKBACK, sliding_windows
 
@@ -53,16 +53,23 @@ def linear_trend_expr(x, lookback: int = LOOKBACK, horizon: int = HORIZON):
     t_ss = n * (n * n - 1) / 12.0          # sum of (t - t_mean)^2 for t = 0..n-1
     y_mean = _sum(x) / F.lit(n)
     slope = _sum(F.transform(x, lambda v, i: (i - F.lit(t_mean)) * v)) / F.lit(t_ss)
-    return F.transform(_steps(horizon), lambda h: y_mean + slope * (F.lit(n - 1 - t_mean) + h))
+    # Mean and slope are computed once per window, then extrapolated.
+    return let(F.struct(y_mean.alias("m"), slope.alias("b")), lambda s: F.transform(
+        _steps(horizon), lambda h: s["m"] + s["b"] * (F.lit(n - 1 - t_mean) + h)))
 
 
-def recency_weights(lookback: int = LOOKBACK, temperature: float = RECENCY_TEMPERATURE):
+def recency_weight_values(lookback: int = LOOKBACK, temperature: float = RECENCY_TEMPERATURE) -> list[float]:
     """Softmax over step scores tanh(temperature * t/(L-1)): the attention idea
     'recent days might be more important' with fixed, not learned, scores."""
-    scores = F.transform(F.sequence(F.lit(0), F.lit(lookback - 1)),
-                         lambda t: F.exp(F.tanh(F.lit(temperature) * t / F.lit(lookback - 1))))
-    total = _sum(scores)
-    return F.transform(scores, lambda s: s / total)
+    import math
+    scores = [math.exp(math.tanh(temperature * t / (lookback - 1))) for t in range(lookback)]
+    total = sum(scores)
+    return [s / total for s in scores]
+
+
+def recency_weights(lookback: int = LOOKBACK, temperature: float = RECENCY_TEMPERATURE):
+    """The weights as a literal array (constant for every window)."""
+    return F.array(*[F.lit(w) for w in recency_weight_values(lookback, temperature)])
 
 
 def recency_weighted_expr(x, lookback: int = LOOKBACK, horizon: int = HORIZON,
@@ -103,36 +110,47 @@ def rounded_forecast(df: DataFrame) -> DataFrame:
     return df.withColumn("forecast", F.transform("forecast", lambda v: r6(v)))
 
 
-def forecast_long(windows: DataFrame, models=("seasonal_naive",)) -> DataFrame:
+def forecast_long(windows: DataFrame, models=("seasonal_naive",), with_actuals: bool = True) -> DataFrame:
     """One row per (series, window, model, horizon step) with the target date.
     All models are evaluated in one projection over the windows and exploded
     once, so the windows (and their shuffle) are computed a single time.
+    With `with_actuals`, the actual sales and unit price of the target day
+    come from the window's own horizon frame, so no join is needed.
     Needs windows built with `with_dates=True`."""
+    fields = [F.col("y_date").alias("d")]
+    if with_actuals:
+        fields += [F.col("y").alias("a"), F.col("y_price").alias("pr")]
     per_model = F.array(*[F.struct(F.lit(m).alias("model"),
-                                   F.arrays_zip(MODEL_EXPRS[m](F.col("x_sales")).alias("f"),
-                                                F.col("y_date").alias("d")).alias("steps"))
+                                   F.arrays_zip(MODEL_EXPRS[m](F.col("x_sales")).alias("f"), *fields).alias("steps"))
                           for m in models])
     by_model = windows.select(*KEYS, F.col("pos").alias("origin_pos"),
                               F.col("start_date").alias("origin_date"),
                               F.explode(per_model).alias("m"))
+    extra = [F.col("col.a").alias("actual_sales"), F.col("col.pr").alias("price")] if with_actuals else []
     return by_model.select(*KEYS, "origin_pos", "origin_date", F.col("m.model").alias("model"),
                            F.posexplode("m.steps")).select(
         *KEYS, "origin_pos", "origin_date",
         (F.col("pos") + 1).alias("horizon"),
         F.col("col.d").alias("date"),
         F.col("col.f").alias("forecast"),
-        "model")
+        "model", *extra)
 
 
 def attach_actuals(fc_long: DataFrame, panel: DataFrame) -> DataFrame:
-    """Forecast <-> actual: inner equi-join on (store, product, date); also
-    brings the day's unit price for cost metrics."""
+    """Forecast <-> actual (J1): inner equi-join on (store, product, date), for
+    forecasts that do not carry their actuals; also brings the day's price."""
     actual = panel.select(*KEYS, "date", F.col("sales").alias("actual_sales"), "price")
     return fc_long.join(actual, [*KEYS, "date"], "inner")
 
 
-def forecast_results(panel: DataFrame, models=("seasonal_naive",)) -> DataFrame:
+def forecast_results(panel: DataFrame, models=("seasonal_naive",), join_actuals: bool = False) -> DataFrame:
     """(store_id, product_id, origin_pos, origin_date, horizon, date, model,
-    actual_sales, forecast, price): the table the insight stage reads."""
+    forecast, actual_sales, price): the table the insight stage reads.
+
+    By default the actuals ride along in the windows (one shuffle in total);
+    `join_actuals=True` takes the general path of joining forecast rows back
+    to the panel, as needed for forecasts produced outside the windows."""
     windows = sliding_windows(panel, with_dates=True)
-    return attach_actuals(forecast_long(windows, models), panel)
+    if join_actuals:
+        return attach_actuals(forecast_long(windows, models, with_actuals=False), panel)
+    return forecast_long(windows, models)

@@ -106,29 +106,27 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts
 
 def tfidf_retrieve(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, corpus_id: str = "doc_id",
                    query_id: str = "item_id", text_col: str = "text",
-                   max_queries: int = MAX_QUERIES) -> DataFrame:
-    """Top-k corpus documents per query text by TF-IDF cosine.  Query vectors
-    (bounded batch) are inlined as literal maps; each document scores them in
-    one projection over its own term map."""
+                   max_query_terms: int = 2_000_000) -> DataFrame:
+    """Top-k corpus documents per query text by TF-IDF cosine.
+
+    Inverted-index scoring: the (term, query, weight) rows of the query batch
+    are size-checked and broadcast; each document term probes that hash table,
+    so only (document, query) pairs that share a term produce a partial dot
+    product, summed map-side before the shuffle.  The corpus is never
+    shuffled by term, so a common term is not a hot partition."""
     unit, idf, n_docs = tfidf(corpus, corpus_id, text_col)
     qtf = term_frequencies(queries, query_id, text_col)
     default_idf = math.log(1.0 + n_docs) + 1.0
     qw = (qtf.join(idf, "term", "left")
           .select(query_id, "term", (F.col("tf") * F.coalesce("idf", F.lit(default_idf))).alias("w")))
-    rows = _checked_rows(qw.groupBy(query_id).agg(F.collect_list(F.struct("term", "w")).alias("tw")), max_queries)
-    lit_q = []
-    for r in rows:
-        nrm = math.sqrt(sum(t["w"] ** 2 for t in r["tw"])) or 1.0
-        lit_q.append(F.struct(F.lit(r[query_id]).alias("qid"), F.map_from_arrays(
-            F.array(*[F.lit(t["term"]) for t in r["tw"]]),
-            F.array(*[F.lit(t["w"] / nrm) for t in r["tw"]])).alias("qm")))
-    doc_maps = unit.groupBy(corpus_id).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("dm"))
-    scored = doc_maps.select(corpus_id, F.explode(F.transform(F.array(*lit_q), lambda q: F.struct(
-        q["qid"].alias("qid"),
-        F.aggregate(F.map_entries(q["qm"]), F.lit(0.0),
-                    lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(F.col("dm"), e["key"]), F.lit(0.0)))
-        .alias("score")))).alias("s"))
-    scored = scored.select(corpus_id, F.col("s.qid").alias(query_id), r6("s.score").alias("score"))
+    qnorm = qw.groupBy(query_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
+    qunit = qw.join(qnorm, query_id).select(query_id, "term", (F.col("w") / F.col("n")).alias("qw"))
+    n_terms = qunit.count()
+    if n_terms > max_query_terms:
+        raise QueryBatchTooLarge(f"{n_terms} query terms; split the query batch")
+    partial = unit.join(F.broadcast(qunit), "term").select(
+        corpus_id, query_id, (F.col("w") * F.col("qw")).alias("p"))
+    scored = partial.groupBy(corpus_id, query_id).agg(r6(F.sum("p")).alias("score"))
     return top_k(scored, query_id, "score", corpus_id, k)
 
 

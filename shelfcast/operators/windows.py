@@ -50,6 +50,7 @@ def sliding_windows(panel: DataFrame, lookback: int = LOOKBACK, horizon: int = H
     cols.append(F.collect_list("sales").over(fy).alias("y"))
     if with_dates:
         cols.append(F.collect_list("date").over(fy).alias("y_date"))
+        cols.append(F.collect_list("price").over(fy).alias("y_price"))
     framed = panel.select(
         *KEYS, F.col("date").alias("start_date"),
         (F.row_number().over(w) - 1).alias("pos"),
