@@ -185,6 +185,22 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_of: Colu
     return b.join(s, [*keys, "_salt"], how).drop("_salt")
 
 
+# Lookup tables (e.g. a vocabulary) up to this many rows are broadcast.
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def join_lookup(big: DataFrame, small: DataFrame, keys: list[str], salt_of: Column,
+                small_rows: int | None = None, max_rows: int = MAX_BROADCAST_ROWS,
+                salts: int = 16, how: str = "inner") -> DataFrame:
+    """Join a (possibly skewed) fact side to a lookup table: broadcast the
+    table when its row count - given, or counted here - is at most
+    `max_rows`; otherwise a salted sort-merge join spreads hot keys."""
+    n = small_rows if small_rows is not None else small.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return big.join(F.broadcast(small), keys, how)
+    return salted_join(big, small, keys, salt_of, salts, how)
+
+
 # Fixed value: Python `str.split()` whitespace, as one character class.
 PY_WHITESPACE = (r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
                  r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+")

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.functions.exprs import cosine, r6, salted_join, words
+from shelfcast.functions.exprs import cosine, join_lookup, r6, words
 
 TOP_K = 3           # fixed value: the reference's top_k
 MAX_QUERIES = 10_000
@@ -91,13 +91,14 @@ def term_frequencies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16):
     """Unit-length TF-IDF weights (id, term, w) and the (term, idf) table, with
-    smooth idf = ln((1 + N) / (1 + df)) + 1.  The weight join is salted because
-    a common term is a hot key."""
+    smooth idf = ln((1 + N) / (1 + df)) + 1.  The (doc, term) -> idf join
+    broadcasts the idf table when it is provably small and is salted
+    otherwise, because a common term is a hot key."""
     tf = term_frequencies(docs, id_col, text_col)
     n_docs = docs.select(id_col).distinct().count()
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", (F.log((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    w = salted_join(tf, idf, ["term"], F.hash(F.col(id_col)), salts).select(
+    w = join_lookup(tf, idf, ["term"], F.hash(F.col(id_col)), salts=salts).select(
         id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     unit = w.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("w"))

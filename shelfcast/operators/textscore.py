@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfcast.functions.exprs import (extract_numbers, ngrams, r6, salted_join, word_count, words)
+from shelfcast.functions.exprs import (extract_numbers, join_lookup, ngrams, r6, word_count, words)
 
 # Fixed values of the reference's overall score and coherence scaling.
 W_FACTUAL, W_NUMERIC, W_COHERENCE = 0.4, 0.4, 0.2
@@ -130,10 +130,12 @@ def perplexity(docs: DataFrame, counts: DataFrame, n_tokens: int, vocab: int, id
                text_col: str = "text", salts: int = 16) -> DataFrame:
     """Per text: exp(mean over tokens of -ln p(w)), p(w) = (c_w + 1) / (N + V);
     coherence = max(0, 1 - perplexity / 100).  Terms are counted per text
-    first; the join to the corpus counts is salted (common words are hot)."""
+    first; the join to the corpus counts broadcasts the vocabulary when its
+    size (V, known from the model) is bounded, else it is salted, since a
+    common word is a hot key."""
     tf = (docs.select(id_col, F.explode(words(text_col)).alias("term"))
           .groupBy(id_col, "term").agg(F.count("*").alias("tf")))
-    j = salted_join(tf, counts, ["term"], F.hash(F.col(id_col)), salts, how="left")
+    j = join_lookup(tf, counts, ["term"], F.hash(F.col(id_col)), small_rows=vocab, salts=salts, how="left")
     denom = float(n_tokens + vocab)
     nll = F.col("tf") * -F.log((F.coalesce("c", F.lit(0)) + 1.0) / F.lit(denom))
     g = j.groupBy(id_col).agg(F.sum("tf").alias("n_tokens"), F.sum(nll).alias("nll"))
