@@ -578,7 +578,25 @@ def _rag_prompt(spark, d):
     return out.select(F.col("query_id").alias("query_label"), "question", "prompt")
 
 
-@register("tfidf_retrieve")
+_TFIDF_SQL = f"""
+WITH dt AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORD_PATTERN}')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY doc_id, term),
+nd AS (SELECT count(DISTINCT doc_id) AS n FROM documents),
+idf AS (SELECT term, ln((1.0 + any_value(nd.n)) / (1.0 + count(*))) + 1.0 AS idf FROM tf, nd GROUP BY term),
+w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+unit AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w),
+qt AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '{WORD_PATTERN}')) AS term FROM benchmark),
+qtf AS (SELECT item_id, term, count(*) AS tf FROM qt GROUP BY item_id, term),
+qw AS (SELECT item_id, term, tf * coalesce(idf, ln(1.0 + nd.n) + 1.0) AS w FROM qtf LEFT JOIN idf USING (term), nd),
+qunit AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS qw FROM qw),
+scored AS (SELECT u.doc_id, q.item_id, {R6('sum(u.w * q.qw)')} AS score
+           FROM unit u JOIN qunit q USING (term) GROUP BY u.doc_id, q.item_id)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM scored) t
+WHERE rank <= 3"""
+
+
+@register("tfidf_retrieve", _TFIDF_SQL)
 def _tfidf(spark, d):
     return rt.tfidf_retrieve(read_table(spark, d, "documents"), read_table(spark, d, "benchmark")).select(
         "item_id", "rank", "doc_id", "score")
@@ -774,9 +792,34 @@ FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS U
             FROM events) t) u
 GROUP BY user_id, sid""")(lambda spark, d: mon.sessions(read_table(spark, d, "events")))
 
-register("stream_tumbling")(lambda spark, d: stm.stream_tumbling(spark, d))
-register("stream_dedup")(lambda spark, d: stm.stream_dedup(spark, d))
-register("stream_scale")(lambda spark, d: stm.stream_scale(spark, d))
+def _ntz(c):
+    return F.col(c).cast("timestamp_ntz").alias(c)
+
+
+# availableNow ends with the watermark at max(ts) - 1 day: exactly the windows
+# ending at or before it are closed and emitted.
+register("stream_tumbling", f"""
+SELECT window_start, window_end, event_type, n_events, total_value FROM (
+  SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end,
+         event_type, count(*) AS n_events, {R6('sum(value)')} AS total_value
+  FROM events GROUP BY ALL) t
+WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")(
+    lambda spark, d: stm.stream_tumbling(spark, d).select(
+        _ntz("window_start"), _ntz("window_end"), "event_type", "n_events", "total_value"))
+
+register("stream_dedup", """
+SELECT event_id, ts, user_id, event_type, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts) AS rn FROM events) t
+WHERE rn = 1""")(lambda spark, d: stm.stream_dedup(spark, d).select(
+    "event_id", _ntz("ts"), "user_id", "event_type", "value"))
+
+register("stream_scale", f"""
+SELECT e.event_id, e.event_type, e.value,
+       {R6('(e.value - p.m) / p.s')} AS z
+FROM events e JOIN (SELECT event_type, avg(value) AS m,
+                           CASE WHEN stddev_pop(value) > 0 THEN stddev_pop(value) ELSE 1.0 END AS s
+                    FROM events GROUP BY event_type) p USING (event_type)""")(
+    lambda spark, d: stm.stream_scale(spark, d))
 register("stream_forecast")(lambda spark, d: stm.stream_forecast(spark, _panel(spark, d)))
 
 # ---------------------------------------------------------------- token budget & prompts
@@ -816,7 +859,10 @@ def _ar_linear(spark, d):
 register("experiment_grid")(lambda spark, d: lrn.experiment_grid(_panel(spark, d)))
 
 
-@register("csv_roundtrip")
+@register("csv_roundtrip", S.with_ctes(f"""
+SELECT store_id, product_id, date, horizon, model, actual_sales, {R6('forecast')} AS forecast,
+       NULL::VARCHAR AS _corrupt_record
+FROM fr_seasonal_naive""", "fr_seasonal_naive"))
 def _csv_roundtrip(spark, d):
     """Panel -> CSV -> typed read -> forecast results -> CSV -> typed read:
     the reference's file hand-off between its stages."""
@@ -825,4 +871,5 @@ def _csv_roundtrip(spark, d):
     sales = fl.read_sales_csv(spark, f"{base}/sales").drop(fl.CORRUPT)
     fr = fc.forecast_results(sales).select(*[f.name for f in fl.FORECAST_SCHEMA.fields])
     fl.write_csv(fr, f"{base}/forecasts")
-    return fl.read_forecast_csv(spark, f"{base}/forecasts")
+    back = fl.read_forecast_csv(spark, f"{base}/forecasts")
+    return back.select(*[c for c in back.columns if c != "forecast"], r6("forecast").alias("forecast"))
