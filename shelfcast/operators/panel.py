@@ -172,15 +172,16 @@ def avg_daily_demand(panel: DataFrame) -> DataFrame:
 def seasonality_rollup(panel: DataFrame) -> DataFrame:
     """Mean sales by (month, weekday) with rollup subtotals and the index
     against the grand mean."""
+    from pyspark.sql import Window
     rolled = (panel.rollup("month", "day_of_week")
               .agg(F.avg("sales").alias("avg_sales"), F.count("*").alias("n_rows"),
                    F.grouping_id().alias("level")))
-    grand = rolled.where(F.col("level") == 3).select(F.col("avg_sales").alias("grand_avg"))
-    # `grand` is exactly one row: a broadcast of a proven size.
-    return (rolled.crossJoin(F.broadcast(grand))
-            .select("month", "day_of_week", "level", "n_rows",
-                    r6("avg_sales").alias("avg_sales"),
-                    r6(safe_div(F.col("avg_sales"), F.col("grand_avg"))).alias("seasonal_index")))
+    # The rollup has at most 12 x 7 + 12 + 1 rows (calendar cells), so the
+    # grand mean is read off its total row with a window over that tiny table.
+    grand = F.max(F.when(F.col("level") == 3, F.col("avg_sales"))).over(Window.partitionBy())
+    return rolled.select("month", "day_of_week", "level", "n_rows",
+                         r6("avg_sales").alias("avg_sales"),
+                         r6(safe_div(F.col("avg_sales"), grand)).alias("seasonal_index"))
 
 
 def product_volatility(panel: DataFrame) -> DataFrame:
@@ -253,15 +254,18 @@ def describe_panel(panel: DataFrame, exact: bool = True, accuracy: int = 10000)
                                           ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
-def quality_profile(df: DataFrame) -> DataFrame:
+def quality_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """`info()`-like profile: type, non-null count, null count and distinct
-    count per column, one row per column."""
+    count per column, one row per column.  Exact distinct counts expand the
+    input once per column; `exact=False` uses HyperLogLog sketches
+    (`approx_count_distinct`, one pass, bounded memory) for large tables."""
     aggs = []
     for f in df.schema.fields:
         c = F.col(f.name)
+        distinct = F.count_distinct(c) if exact else F.approx_count_distinct(c)
         aggs.append(F.struct(
             F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"),
             F.count(c).alias("non_null"), F.count_if(c.isNull()).alias("nulls"),
-            F.count_distinct(c).alias("distinct_values"),
+            distinct.alias("distinct_values"),
         ))
     return df.agg(F.array(*aggs).alias("p")).select(F.explode("p").alias("p")).select("p.*")

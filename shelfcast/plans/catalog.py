@@ -114,7 +114,7 @@ FROM (SELECT store_id, product_id, (floor((stddev_samp(sales) / avg(sales)) * 1e
     lambda spark, d: pn.volatility_rank(_panel(spark, d)))
 
 register("promo_uplift", S.with_ctes("""
-SELECT product_id, count_if(promotion = 1) AS n_promo, count_if(promotion = 0) AS n_base,
+SELECT product_id, count_if(promotion = 1)::BIGINT AS n_promo, count_if(promotion = 0)::BIGINT AS n_base,
        (floor((avg(sales) FILTER (WHERE promotion = 1)) * 1e6 + 0.5) / 1e6) AS avg_promo,
        (floor((avg(sales) FILTER (WHERE promotion = 0)) * 1e6 + 0.5) / 1e6) AS avg_base,
        (floor((avg(sales) FILTER (WHERE promotion = 1) - avg(sales) FILTER (WHERE promotion = 0)) * 1e6 + 0.5) / 1e6) AS uplift,
@@ -132,7 +132,7 @@ FROM panel""" for c in pn.NUMERIC_COLUMNS), "panel"))(lambda spark, d: pn.descri
 _PANEL_TYPES = dict(date="date", store_id="int", product_id="int", sales="double", price="double",
                     promotion="int", inventory="double", day_of_week="int", month="int", is_holiday="int")
 register("quality_profile", S.with_ctes("\nUNION ALL\n".join(f"""
-SELECT '{c}' AS "column", '{t}' AS dtype, count({c}) AS non_null, count_if({c} IS NULL) AS nulls,
+SELECT '{c}' AS "column", '{t}' AS dtype, count({c}) AS non_null, count_if({c} IS NULL)::BIGINT AS nulls,
        count(DISTINCT {c}) AS distinct_values FROM panel""" for c, t in _PANEL_TYPES.items()), "panel"))(
     lambda spark, d: pn.quality_profile(_panel(spark, d)))
 
@@ -152,7 +152,7 @@ def _sliding(spark, d):
 
 register("window_stats", S.with_ctes("""
 SELECT count(*) AS n_series, sum(n_rows)::BIGINT AS n_rows, sum(n_windows)::BIGINT AS n_windows,
-       count_if(n_windows = 0) AS series_without_windows, min(n_rows) AS min_series_rows,
+       count_if(n_windows = 0)::BIGINT AS series_without_windows, min(n_rows) AS min_series_rows,
        max(n_rows) AS max_series_rows, 14 AS lookback, 7 AS horizon, 7 AS n_features
 FROM (SELECT store_id, product_id, count(*) AS n_rows, greatest(0, count(*) - 20) AS n_windows
       FROM panel GROUP BY ALL) t""", "panel"))(lambda spark, d: wn.window_stats(_panel(spark, d)))
@@ -471,7 +471,7 @@ def _batch_forecast(spark, d):
 
 
 register("batch_summary", S.with_ctes("""
-SELECT count(*) AS total, count_if(len(x_sales) = 14) AS successful, count_if(len(x_sales) <> 14) AS failed
+SELECT count(*) AS total, count_if(len(x_sales) = 14)::BIGINT AS successful, count_if(len(x_sales) <> 14)::BIGINT AS failed
 FROM req""", "req"))(lambda spark, d: scr.batch_summary(
     scr.batch_forecast(_requests(spark, d), scr.framework_models(spark))))
 
