@@ -62,8 +62,50 @@ def sliding(events: DataFrame, size: str = "7 days", slide: str = "1 day") -> Da
 
 
 def sessions(events: DataFrame, gap: str = SESSION_GAP) -> DataFrame:
-    """Per-user activity sessions: a gap of `gap` or more starts a new one."""
+    """Per-user activity sessions with Spark's `session_window`: a gap of
+    `gap` or more starts a new one.  Each user's timeline is one sort group."""
     e = events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(
         F.count("*").alias("n_events"), r6(F.sum("value")).alias("total_value"))
     return e.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"),
                     "n_events", "total_value")
+
+
+def sessions_split(events: DataFrame, gap_hours: int = 6, bucket: str = "1 day") -> DataFrame:
+    """Sessions - a gap of `gap_hours` or more starts a new one (Spark's
+    `session_window` also merges events exactly one gap apart) - computed so
+    that no user's timeline is one task.
+
+    1. Events are sessionised inside (user, time bucket) groups in parallel.
+    2. One summary row per (user, bucket) - first/last time and local session
+       count, bounded by the calendar - decides whether a bucket's first
+       session continues the previous bucket's last one (gap below `gap_hours`)
+       and gives each bucket its offset in the user's session numbering.
+    3. Events are aggregated by (user, global session id), partially
+       aggregated map-side, so even one very long session is split over tasks.
+    """
+    gap_s = gap_hours * 3600
+    t = F.col("ts")
+    b = events.withColumn("bucket", F.window("ts", bucket)["start"])
+    wb = Window.partitionBy("user_id", "bucket").orderBy("ts", "event_id")
+    prev = F.lag("ts").over(wb)
+    new = (prev.isNull() | (F.unix_micros(t.cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))
+                            >= F.lit(gap_s * 1_000_000))).cast("int")
+    local = b.withColumn("new", new).withColumn(
+        "local_sid", F.sum("new").over(wb.rowsBetween(Window.unboundedPreceding, 0)))
+    summary = local.groupBy("user_id", "bucket").agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max("local_sid").alias("n_local"))
+    wu = Window.partitionBy("user_id").orderBy("bucket")
+    prev_last = F.lag("last_ts").over(wu)
+    cont = (prev_last.isNotNull() & (F.unix_micros(F.col("first_ts").cast("timestamp"))
+                                     - F.unix_micros(prev_last.cast("timestamp")) < F.lit(gap_s * 1_000_000))).cast("int")
+    summary = summary.withColumn("cont", cont).withColumn(
+        "base", F.coalesce(F.sum(F.col("n_local") - F.col("cont")).over(
+            wu.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    tagged = local.join(summary.select("user_id", "bucket", "cont", "base"), ["user_id", "bucket"])
+    gsid = F.col("base") + F.col("local_sid") - F.col("cont")
+    agg = tagged.groupBy("user_id", gsid.alias("sid")).agg(
+        F.min("ts").alias("session_start"), F.max("ts").alias("last_ts"),
+        F.count("*").alias("n_events"), r6(F.sum("value")).alias("total_value"))
+    return agg.select("user_id", "session_start",
+                      (F.col("last_ts") + F.expr(f"INTERVAL {gap_hours} HOURS")).alias("session_end"),
+                      "n_events", "total_value")

@@ -790,7 +790,7 @@ FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS U
                             OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR
                            THEN 1 ELSE 0 END AS new
             FROM events) t) u
-GROUP BY user_id, sid""")(lambda spark, d: mon.sessions(read_table(spark, d, "events")))
+GROUP BY user_id, sid""")(lambda spark, d: mon.sessions_split(read_table(spark, d, "events")))
 
 def _ntz(c):
     return F.col(c).cast("timestamp_ntz").alias(c)

@@ -3,7 +3,7 @@ one exchange, no cartesian products, no single-partition window in ranking."""
 
 import __spark_entry__ as entry
 
-from conftest import SF_SMALL
+from conftest import SF_MID, SF_SMALL
 
 
 def _plan(df):
@@ -26,7 +26,8 @@ def test_panel_scan_is_pruned_and_filtered(spark):
 def test_sliding_windows_single_exchange_for_frames(spark):
     from shelfcast.operators.panel import load_panel
     from shelfcast.operators.windows import sliding_windows
-    p = _plan(sliding_windows(load_panel(spark, SF_SMALL)))
+    # sf0.01 is not cached by any fixture, so the plan is the plain one.
+    p = _plan(sliding_windows(load_panel(spark, SF_MID)))
     # One exchange for the panel aggregate, one for the window partitioning.
     assert p.count("Exchange hashpartitioning") == 2
 

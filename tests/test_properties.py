@@ -156,3 +156,26 @@ def test_stream_forecast_final_state_equals_batch(spark, small_panel):
     latest = wn.latest_window(small_panel).select(*KEYS, fc.seasonal_naive_expr(F.col("x_sales")).alias("b"))
     rows = last.join(latest, list(KEYS)).collect()
     assert rows and all(r["n"] == 14 and r["sn"] == r["b"] for r in rows)
+
+
+def test_split_sessions_equal_session_window(spark):
+    import datetime as dt
+    from shelfcast.operators.monitoring import sessions, sessions_split
+    base = dt.datetime(2024, 1, 1, 20, 0)
+    rows = []
+    # user 1: events every 5 h for 3 days -> one session spanning several day buckets
+    rows += [(i, 1, base + dt.timedelta(hours=5 * i), 1.0) for i in range(15)]
+    # user 2: exactly 6 h apart -> every event is its own session
+    rows += [(100 + i, 2, base + dt.timedelta(hours=6 * i), 2.0) for i in range(5)]
+    # user 3: bursts around midnight with a 7 h pause
+    rows += [(200, 3, dt.datetime(2024, 1, 1, 23, 30), 1.0), (201, 3, dt.datetime(2024, 1, 2, 0, 30), 1.0),
+             (202, 3, dt.datetime(2024, 1, 2, 7, 31), 1.0)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, value double")
+    b = sorted(tuple(r) for r in sessions_split(df).collect())
+    # A gap of exactly 6 h starts a new session (Spark's session_window would
+    # merge at exactly the gap; elsewhere both agree).
+    assert len([r for r in b if r[0] == 1]) == 1 and len([r for r in b if r[0] == 2]) == 5
+    a = sorted(tuple(r) for r in sessions(df.where("user_id <> 2")).collect())
+    assert a == [r for r in b if r[0] != 2]
+    real = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    assert sorted(map(tuple, sessions(real).collect())) == sorted(map(tuple, sessions_split(real).collect()))
