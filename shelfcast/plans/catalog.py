@@ -873,3 +873,24 @@ def _csv_roundtrip(spark, d):
     fl.write_csv(fr, f"{base}/forecasts")
     back = fl.read_forecast_csv(spark, f"{base}/forecasts")
     return back.select(*[c for c in back.columns if c != "forecast"], r6("forecast").alias("forecast"))
+
+
+# ---------------------------------------------------------------- SQL API
+from shelfcast.functions.sql_functions import register_sql_functions  # noqa: E402
+
+
+def _rule_insights_sql(spark, d):
+    """Rule-based insights through the SQL API: a temp view of the series
+    context and the SQL-bodied `rule_insight` function."""
+    register_sql_functions(spark)
+    view = "shelfcast_series_context"
+    _ctx(spark, d).createOrReplaceTempView(view)
+    q = scr.INSIGHT_QUESTION.replace("'", "''")
+    return spark.sql(f"SELECT store_id, product_id, '{q}' AS query, "
+                     f"rule_insight(avg_daily_sales, trend, volatility) AS insights FROM {view}")
+
+
+register("rule_insights_sql", S.with_ctes(f"""
+SELECT store_id, product_id, '{_QUESTION}' AS query,
+       {S.rule_insight_text('avg_daily_sales', 'trend', 'volatility')} AS insights
+FROM ctx""", "ctx"))(_rule_insights_sql)

@@ -133,3 +133,21 @@ def test_fixed_matches_python_on_binary_ties(spark):
     from shelfcast.functions.exprs import fixed
     got = [r[0] for r in df.select(fixed("x", 2)).collect()]
     assert got[:4] == [f"{v:.2f}" for v in vals[:4]]
+
+
+def test_sql_functions_match_column_rules(spark):
+    from shelfcast.functions.sql_functions import register_sql_functions
+    register_sql_functions(spark)
+    rows = [(45.2, "increasing", 15.5), (25.0, None, 5.0), (None, None, None), (30.0, "decreasing", 9.0),
+            (45.125, "stable", 20.0)]
+    df = spark.createDataFrame(rows, "a double, t string, v double")
+    df.createOrReplaceTempView("ctx_rows")
+    got = spark.sql("SELECT rule_insight(a, t, v) AS s, safety_stock(v) AS ss, reorder_point(a, v) AS rp, "
+                    "safety_stock_95(v) AS s95, economic_order_quantity(a) AS eoq FROM ctx_rows").collect()
+    ref = df.select(rules.rule_insight_text(F.col("a"), F.col("t"), F.col("v")).alias("s"),
+                    rules.safety_stock_simple(F.col("v")).alias("ss"),
+                    rules.reorder_point_simple(F.col("a"), F.col("v")).alias("rp"),
+                    rules.safety_stock_service(F.col("v")).alias("s95"),
+                    rules.economic_order_quantity(F.col("a")).alias("eoq")).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in ref]
+    assert got[0]["ss"] == 31 and got[0]["rp"] == 347 and got[0]["s95"] == 67 and got[0]["eoq"] == 812
