@@ -36,6 +36,14 @@ def py_repr(c: str | Column) -> Column:
             .otherwise(x.cast("string")))
 
 
+def py_int_text(c: str | Column) -> Column:
+    """Python `str(int(x))` for a double: truncation, and no overflow for
+    values beyond the BIGINT range (they are integral already)."""
+    x = col_(c)
+    return (F.when(F.abs(x) < F.lit(9e18), x.cast("bigint").cast("string"))
+            .otherwise(F.format_string("%.0f", x)))
+
+
 def py_repr_2dp(c: str | Column) -> Column:
     """Python `repr` of a value already rounded to 2 decimals: '45.2', '45.0', '45.05'."""
     x = col_(c)

@@ -49,10 +49,10 @@ def numeric_accuracy_expr(text: Column, expected: Column) -> tuple[Column, Colum
     """(checks, hits, score) for a map<string,double> of expected values: a
     value counts when `str(int(v))` or `str(v)` occurs in the text (substring
     test, so 45 also hits "145"), score = hits / checks, 0 without checks."""
-    from shelfcast.functions.rules import py_repr
+    from shelfcast.functions.rules import py_int_text, py_repr
     entries = F.map_entries(expected)
     hit = F.transform(entries, lambda e: (
-        F.contains(text, e["value"].cast("bigint").cast("string"))
+        F.contains(text, py_int_text(e["value"]))
         | F.contains(text, py_repr(e["value"]))).cast("int"))
     checks = F.size(entries)
     hits = F.aggregate(hit, F.lit(0), lambda a, x: a + x)
@@ -63,11 +63,11 @@ def numeric_accuracy_expr(text: Column, expected: Column) -> tuple[Column, Colum
 def strict_number_hits(text: Column, expected: Column) -> Column:
     """Exact-number variant: the value's text must be one of the numbers the
     regex extracts from the text."""
-    from shelfcast.functions.rules import py_repr
-    found = extract_numbers(text)
-    return F.aggregate(F.transform(F.map_values(expected), lambda v: (
-        F.array_contains(found, v.cast("bigint").cast("string")) | F.array_contains(found, py_repr(v))).cast("int")),
-        F.lit(0), lambda a, x: a + x)
+    from shelfcast.functions.exprs import let
+    from shelfcast.functions.rules import py_int_text, py_repr
+    return let(extract_numbers(text), lambda found: F.aggregate(F.transform(F.map_values(expected), lambda v: (
+        F.array_contains(found, py_int_text(v)) | F.array_contains(found, py_repr(v))).cast("int")),
+        F.lit(0), lambda a, x: a + x))
 
 
 def rouge_n(pairs: DataFrame, n: int, keys=PAIR_KEYS, gen: str = "generated", ref: str = "reference") -> DataFrame:

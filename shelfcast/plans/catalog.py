@@ -637,13 +637,13 @@ def _expected_map_sql():
             f"{{'k': 'economic_order_quantity', 'v': {S.eoq()}::DOUBLE}}]")
 
 
-def _hit_sql(v):
-    return f"(contains(output, trunc({v})::BIGINT::VARCHAR) OR contains(output, {S.py_repr(v)}))::INT"
+def _hit_sql(v, text="output"):
+    return f"(contains({text}, {S.py_int_text(v)}) OR contains({text}, {S.py_repr(v)}))::INT"
 
 
 def _strict_sql(v):
     nums = f"regexp_extract_all(output, '{NUMBER_PATTERN}')"
-    return (f"(list_contains({nums}, trunc({v})::BIGINT::VARCHAR) OR list_contains({nums}, {S.py_repr(v)}))::INT")
+    return (f"(list_contains({nums}, {S.py_int_text(v)}) OR list_contains({nums}, {S.py_repr(v)}))::INT")
 
 
 _NUMERIC_SQL = (S.with_ctes(f"""
@@ -716,7 +716,22 @@ FROM rouge1 a JOIN rouge2 b USING (conv_id, turn)""", "rouge1", "rouge2"))(
         ts.rouge_n(p, 2).select("conv_id", "turn", "rouge2_p", "rouge2_r", "rouge2_f"), ["conv_id", "turn"]))(
         ts.conversation_pairs(read_table(spark, d, "conversations"))))
 
-register("rouge_l")(lambda spark, d: ts.rouge_l(ts.conversation_pairs(read_table(spark, d, "conversations"))))
+# LCS as a dynamic program in SQL: the outer list_reduce walks the generated
+# tokens, the inner one builds the next DP row left to right.
+_LCS_SQL = ("list_reduce(g, lambda prev, a: list_reduce(range(1, len(r) + 1), lambda row, j: list_append(row, "
+            "CASE WHEN a = r[j] THEN prev[j] + 1 ELSE greatest(prev[j + 1], row[j]) END), [0]), "
+            "list_transform(range(len(r) + 1), lambda x: 0))[-1]")
+S.cte("lcs", ("ptoks",), f"SELECT conv_id, turn, len(g) AS n_gen, len(r) AS n_ref, {_LCS_SQL} AS lcs FROM ptoks")
+S.cte("rougel", ("lcs",), f"""
+SELECT conv_id, turn, n_gen, n_ref, lcs,
+       CASE WHEN n_gen > 0 THEN lcs / n_gen ELSE 0.0 END AS p,
+       CASE WHEN n_ref > 0 THEN lcs / n_ref ELSE 0.0 END AS rc
+FROM lcs""")
+register("rouge_l", S.with_ctes(f"""
+SELECT conv_id, turn, n_gen::INT AS n_gen, n_ref::INT AS n_ref, lcs::BIGINT AS lcs, {R6('p')} AS rougeL_p,
+       {R6('rc')} AS rougeL_r, {R6('CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0.0 END')} AS rougeL_f
+FROM rougel""", "rougel"))(
+    lambda spark, d: ts.rouge_l(ts.conversation_pairs(read_table(spark, d, "conversations"))))
 
 _PERPLEXITY_SQL = (f"""
 WITH toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORD_PATTERN}')) AS term FROM documents),
@@ -740,7 +755,34 @@ def _corpus_perplexity(spark, d):
 register("corpus_perplexity", _PERPLEXITY_SQL)(_corpus_perplexity)
 
 
-@register("overall_score")
+S.cte("numsc", ("pairs",), f"""
+SELECT conv_id, turn,
+       CASE WHEN len(ks) > 0 THEN list_sum(list_transform(ks, lambda k: {_hit_sql('k::DOUBLE', 'generated')})) / len(ks)
+            ELSE 0.0 END AS numeric,
+       len(list_filter(regexp_split_to_array(generated, '{PY_WHITESPACE}'), lambda x: x <> ''))::INT AS length
+FROM (SELECT *, list_distinct(regexp_extract_all(reference, '{NUMBER_PATTERN}')) AS ks FROM pairs) t""")
+S.cte("conv_counts", (), f"""
+SELECT term, count(*) AS c FROM (SELECT unnest(regexp_extract_all(lower(text), '{WORD_PATTERN}')) AS term
+                                  FROM conversations) t GROUP BY term""")
+S.cte("coh", ("pairs", "conv_counts"), f"""
+SELECT conv_id, turn,
+       {R6('greatest(0.0, 1 - exp(sum(tf * -ln((coalesce(c, 0) + 1.0) / (n + v))) / sum(tf)) / 100.0)')} AS coherence
+FROM (SELECT conv_id, turn, term, count(*) AS tf
+      FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(generated), '{WORD_PATTERN}')) AS term
+            FROM pairs) x GROUP BY conv_id, turn, term) g
+LEFT JOIN conv_counts USING (term),
+(SELECT sum(c) AS n, count(*) AS v FROM conv_counts) tot
+GROUP BY conv_id, turn""")
+
+
+@register("overall_score", S.with_ctes(f"""
+SELECT r.conv_id, r.turn, r.f AS factual_accuracy, {R6('n.numeric')} AS numerical_accuracy,
+       coalesce(c.coherence, 0.0) AS coherence, n.length,
+       {R6('r.f * 0.4 + n.numeric * 0.4 + coalesce(c.coherence, 0.0) * 0.2')} AS overall
+FROM (SELECT conv_id, turn, {R6('CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0.0 END')} AS f
+      FROM rougel) r
+JOIN numsc n USING (conv_id, turn)
+LEFT JOIN coh c USING (conv_id, turn)""", "rougel", "numsc", "coh"))
 def _overall(spark, d):
     conv = read_table(spark, d, "conversations")
     counts, n, v = ts.unigram_model(conv)

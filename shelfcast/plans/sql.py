@@ -135,6 +135,10 @@ def py_repr(x: str) -> str:
             f"THEN printf('%.1f', {x}) ELSE CAST({x} AS VARCHAR) END)")
 
 
+def py_int_text(x: str) -> str:
+    return f"(CASE WHEN abs({x}) < 9e18 THEN trunc({x})::BIGINT::VARCHAR ELSE printf('%.0f', {x}) END)"
+
+
 def py_repr_2dp(x: str) -> str:
     return (f"(CASE WHEN {x} IS NULL THEN 'NaN' ELSE "
             f"regexp_replace(printf('%.2f', {x}), '(\\.\\d)0$', '\\1') END)")
