@@ -62,3 +62,16 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     lost executor costs a re-read, not a re-computation of the whole chain."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` once as a parquet table in the shared checkpoint folder and
+    read it back.  Cuts lineage like `checkpoint()`, but computes the input a
+    single time and stores it columnar and compressed; later jobs (and retries
+    after a lost executor) start from the table."""
+    import uuid
+    spark = df.sparkSession
+    root = spark.conf.get(CHECKPOINT_CONF, None) or ensure_checkpoint_dir(spark)
+    path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
