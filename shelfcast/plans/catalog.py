@@ -864,6 +864,12 @@ FROM events e JOIN (SELECT event_type, avg(value) AS m,
     lambda spark, d: stm.stream_scale(spark, d))
 register("stream_forecast")(lambda spark, d: stm.stream_forecast(spark, _panel(spark, d)))
 
+# The streaming counters end in the same state as the batch aggregates.
+from shelfcast.plans.registry import ORACLES as _ORACLES  # noqa: E402
+register("stream_event_counts", _ORACLES["event_counts"])(lambda spark, d: stm.stream_event_counts(spark, d))
+register("stream_latency_histogram", _ORACLES["latency_histogram"])(
+    lambda spark, d: stm.stream_latency_histogram(spark, d))
+
 # ---------------------------------------------------------------- token budget & prompts
 MAX_LEN = 512
 S.cte("itext", ("examples",), """

@@ -12,6 +12,9 @@ from the committed offsets and state instead of recomputing.
 * `stream_forecast`  rolling last-14-days state per series with
                      `applyInPandasWithState`; emits seasonal-naive and
                      moving-average forecasts (state is bounded: 14 values/key).
+* `stream_event_counts` / `stream_latency_histogram`  the prediction counter
+                     and latency histogram as an update-mode streaming
+                     aggregation written with foreachBatch.
 """
 
 from __future__ import annotations
@@ -147,3 +150,41 @@ def stream_forecast(spark: SparkSession, panel: DataFrame, lookback: int = 14, h
         _rolling_forecast(lookback, horizon, season), FORECAST_OUT, STATE_SCHEMA, "update",
         GroupStateTimeout.NoTimeout)
     return run_update(out, "forecast")
+
+
+# ---------------------------------------------------------------- monitoring counters (update mode)
+
+def stream_monitoring_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running counter and histogram state per (event type, latency bucket),
+    kept by a streaming aggregation in update mode and written per micro-batch
+    with foreachBatch.  Returns the latest value of every key: the state after
+    the last batch."""
+    from shelfcast.operators.monitoring import LATENCY_BUCKETS, VALUE_TO_SECONDS
+    bounds = F.array(*[F.lit(b) for b in LATENCY_BUCKETS])
+    secs = F.col("value") * F.lit(VALUE_TO_SECONDS)
+    ev = event_stream(spark, sf_dir).select(
+        "event_type", F.size(F.filter(bounds, lambda b: b < secs)).alias("b"), secs.alias("s"), "value")
+    state = ev.groupBy("event_type", "b").agg(F.count("*").alias("c"), F.sum("s").alias("s"),
+                                              F.sum("value").alias("v"))
+    out = run_update(state, "monitoring")
+    return out.groupBy("event_type", "b").agg(
+        *[F.max_by(c, "batch_id").alias(c) for c in ("c", "s", "v")])
+
+
+def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = stream_monitoring_state(spark, sf_dir)
+    return st.groupBy("event_type").agg(F.sum("c").alias("n_events"), r6(F.sum("v")).alias("total_value"))
+
+
+def stream_latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+    from shelfcast.operators.monitoring import LATENCY_BUCKETS
+    st = stream_monitoring_state(spark, sf_dir)
+    bounds = F.array(*[F.lit(b) for b in LATENCY_BUCKETS])
+    grid = st.select("event_type").distinct().select("event_type", F.posexplode(bounds).alias("b", "le"))
+    g = grid.join(st, ["event_type", "b"], "left").fillna(0, ["c"])
+    w = Window.partitionBy("event_type").orderBy("b")
+    tot = Window.partitionBy("event_type")
+    return g.select("event_type", "le",
+                    F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative_count"),
+                    F.sum("c").over(tot).alias("count"), r6(F.sum("s").over(tot)).alias("sum_seconds"))
