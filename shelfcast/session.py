@@ -75,3 +75,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make `shelfcast` importable in Python workers, wherever the driver was
+    started: the package is zipped once per SparkContext and distributed with
+    `addPyFile` (the `--py-files` mechanism), which pandas UDFs, `mapInPandas`
+    and `applyInPandasWithState` need to unpickle their functions."""
+    import shutil
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="shelfcast-pkg-")
+    archive = shutil.make_archive(os.path.join(out_dir, "shelfcast"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="shelfcast")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
