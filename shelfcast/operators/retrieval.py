@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.functions.exprs import cosine, join_lookup, r6, words
+from shelfcast.functions.exprs import cosine, r6, words
 
 TOP_K = 3           # fixed value: the reference's top_k
 MAX_QUERIES = 10_000
@@ -89,20 +89,24 @@ def term_frequencies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .groupBy(id_col, "term").agg(F.count("*").alias("tf")))
 
 
-def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16):
-    """Unit-length TF-IDF weights (id, term, w) and the (term, idf) table, with
-    smooth idf = ln((1 + N) / (1 + df)) + 1.  The (doc, term) -> idf join
-    broadcasts the idf table when it is provably small and is salted
-    otherwise, because a common term is a hot key."""
+def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+    """TF-IDF weights (id, term, w), document norms (id, norm) and the
+    (term, idf) table, with smooth idf = ln((1 + N) / (1 + df)) + 1.
+
+    The (doc, term) -> idf join is left to adaptive execution: it is
+    re-planned from the measured size of the idf shuffle output - broadcast
+    when small, otherwise a sort-merge join whose skewed (common-term)
+    partitions AQE splits - so the vocabulary is not counted in an extra pass
+    over the corpus (`join_lookup` is the explicit, counted form).  Weights
+    stay unnormalised; callers divide aggregated scores by the norm, so the
+    big (doc, term) table is never shuffled by document."""
     tf = term_frequencies(docs, id_col, text_col)
     n_docs = docs.select(id_col).distinct().count()
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", (F.log((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    w = join_lookup(tf, idf, ["term"], F.hash(F.col(id_col)), salts=salts).select(
-        id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    w = tf.join(idf, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = w.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("w"))
-    return unit, idf, n_docs
+    return w, norm, idf, n_docs
 
 
 def tfidf_retrieve(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, corpus_id: str = "doc_id",
@@ -113,21 +117,22 @@ def tfidf_retrieve(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, corpus
     Inverted-index scoring: the (term, query, weight) rows of the query batch
     are size-checked and broadcast; each document term probes that hash table,
     so only (document, query) pairs that share a term produce a partial dot
-    product, summed map-side before the shuffle.  The corpus is never
-    shuffled by term, so a common term is not a hot partition."""
-    unit, idf, n_docs = tfidf(corpus, corpus_id, text_col)
+    product, summed map-side before the shuffle; the sums are then divided by
+    the document norm.  The corpus is never shuffled by term, so a common term
+    is not a hot partition."""
+    w, norm, idf, n_docs = tfidf(corpus, corpus_id, text_col)
     qtf = term_frequencies(queries, query_id, text_col)
+    n_terms = qtf.count()           # the batch's own (query, term) rows: no corpus pass
+    if n_terms > max_query_terms:
+        raise QueryBatchTooLarge(f"{n_terms} query terms; split the query batch")
     default_idf = math.log(1.0 + n_docs) + 1.0
     qw = (qtf.join(idf, "term", "left")
           .select(query_id, "term", (F.col("tf") * F.coalesce("idf", F.lit(default_idf))).alias("w")))
     qnorm = qw.groupBy(query_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
     qunit = qw.join(qnorm, query_id).select(query_id, "term", (F.col("w") / F.col("n")).alias("qw"))
-    n_terms = qunit.count()
-    if n_terms > max_query_terms:
-        raise QueryBatchTooLarge(f"{n_terms} query terms; split the query batch")
-    partial = unit.join(F.broadcast(qunit), "term").select(
-        corpus_id, query_id, (F.col("w") * F.col("qw")).alias("p"))
-    scored = partial.groupBy(corpus_id, query_id).agg(r6(F.sum("p")).alias("score"))
+    dots = (w.join(F.broadcast(qunit), "term")
+            .groupBy(corpus_id, query_id).agg(F.sum(F.col("w") * F.col("qw")).alias("dot")))
+    scored = dots.join(norm, corpus_id).select(corpus_id, query_id, r6(F.col("dot") / F.col("norm")).alias("score"))
     return top_k(scored, query_id, "score", corpus_id, k)
 
 

@@ -584,13 +584,15 @@ tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY doc_id, term),
 nd AS (SELECT count(DISTINCT doc_id) AS n FROM documents),
 idf AS (SELECT term, ln((1.0 + any_value(nd.n)) / (1.0 + count(*))) + 1.0 AS idf FROM tf, nd GROUP BY term),
 w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
-unit AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w),
+norm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),
 qt AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '{WORD_PATTERN}')) AS term FROM benchmark),
 qtf AS (SELECT item_id, term, count(*) AS tf FROM qt GROUP BY item_id, term),
 qw AS (SELECT item_id, term, tf * coalesce(idf, ln(1.0 + nd.n) + 1.0) AS w FROM qtf LEFT JOIN idf USING (term), nd),
 qunit AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS qw FROM qw),
-scored AS (SELECT u.doc_id, q.item_id, {R6('sum(u.w * q.qw)')} AS score
-           FROM unit u JOIN qunit q USING (term) GROUP BY u.doc_id, q.item_id)
+scored AS (SELECT d.doc_id, d.item_id, {R6('d.dot / n.norm')} AS score
+           FROM (SELECT u.doc_id, q.item_id, sum(u.w * q.qw) AS dot
+                 FROM w u JOIN qunit q USING (term) GROUP BY u.doc_id, q.item_id) d
+           JOIN norm n USING (doc_id))
 SELECT item_id, rank, doc_id, score FROM (
   SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM scored) t
 WHERE rank <= 3"""
