@@ -22,7 +22,7 @@ from shelfcast.functions import rules
 from shelfcast.functions.exprs import array_pop_std
 from shelfcast.operators.forecasts import MODEL_EXPRS
 from shelfcast.operators.panel import FEATURES, KEYS
-from shelfcast.operators.windows import HORIZON, LOOKBACK
+from shelfcast.operators.windows import LOOKBACK
 
 # Request contract and messages of the reference.
 DEFAULT_FRAMEWORK = "pytorch"

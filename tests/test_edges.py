@@ -2,8 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from shelfcast.functions.exprs import cosine, word_count
 from shelfcast.operators import insights as ins
 from shelfcast.operators import panel as pn

@@ -1,7 +1,5 @@
 """Hand-computed golden rows (FIXTURES.md section 4)."""
 
-import math
-
 import pytest
 from pyspark.sql import functions as F
 
