@@ -36,6 +36,11 @@ def r2(c: str | Column) -> Column:
     return F.floor(col_(c) * F.lit(100.0) + F.lit(0.5)) / F.lit(100.0)
 
 
+def r4(c: str | Column) -> Column:
+    """Large measured values (perplexities ~1e4): half-up to 4 dp, same IEEE formula."""
+    return F.floor(col_(c) * F.lit(1e4) + F.lit(0.5)) / F.lit(1e4)
+
+
 def trunc_int(c: str | Column) -> Column:
     """Python `int(x)`: truncate toward zero."""
     return col_(c).cast("int")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.functions.exprs import broadcast_if_bounded, r6, safe_div, weekday_mon0
+from shelfcast.functions.exprs import broadcast_if_bounded, r2, r6, safe_div, weekday_mon0
 from shelfcast.sources.tables import read_table
 
 KEYS = ("store_id", "product_id")
@@ -71,7 +71,10 @@ def demand_panel(lineitem: DataFrame, supplier: DataFrame, nation: DataFrame) ->
                   F.max("promo_line").alias("promotion")))
     panel = daily.select(
         "date", "store_id", "product_id", "sales",
-        r6(safe_div(F.col("revenue"), F.col("sales"))).alias("price"),
+        # Revenue is a sum of cent amounts: rounding it to cents recovers the
+        # exact total whatever the summation order, so the unit price is the
+        # same double on every run and engine.
+        r6(safe_div(r2(F.col("revenue")), F.col("sales"))).alias("price"),
         "promotion",
         (F.col("sales") + inventory_offset()).alias("inventory"),
     )

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfcast.functions.exprs import (extract_numbers, join_lookup, ngrams, r6, word_count, words)
+from shelfcast.functions.exprs import (extract_numbers, join_lookup, ngrams, r4, r6, word_count, words)
 
 # Fixed values of the reference's overall score and coherence scaling.
 W_FACTUAL, W_NUMERIC, W_COHERENCE = 0.4, 0.4, 0.2
@@ -140,7 +140,7 @@ def perplexity(docs: DataFrame, counts: DataFrame, n_tokens: int, vocab: int, id
     nll = F.col("tf") * -F.log((F.coalesce("c", F.lit(0)) + 1.0) / F.lit(denom))
     g = j.groupBy(id_col).agg(F.sum("tf").alias("n_tokens"), F.sum(nll).alias("nll"))
     ppl = F.exp(F.col("nll") / F.col("n_tokens"))
-    return g.select(id_col, "n_tokens", r6(ppl).alias("perplexity"),
+    return g.select(id_col, "n_tokens", r4(ppl).alias("perplexity"),
                     r6(F.greatest(F.lit(0.0), 1 - ppl / PERPLEXITY_SCALE)).alias("coherence"))
 
 

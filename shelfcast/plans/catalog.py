@@ -743,7 +743,7 @@ tf AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY doc_id, term),
 agg AS (SELECT doc_id, sum(tf) AS n_tokens,
                sum(tf * -ln((coalesce(c, 0) + 1.0) / (n + v))) AS nll
         FROM tf LEFT JOIN counts USING (term), tot GROUP BY doc_id)
-SELECT doc_id, n_tokens::BIGINT AS n_tokens, {R6('exp(nll / n_tokens)')} AS perplexity,
+SELECT doc_id, n_tokens::BIGINT AS n_tokens, (floor(exp(nll / n_tokens) * 1e4 + 0.5) / 1e4) AS perplexity,
        {R6('greatest(0.0, 1 - exp(nll / n_tokens) / 100.0)')} AS coherence
 FROM agg""")
 

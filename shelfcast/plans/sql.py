@@ -49,7 +49,7 @@ def r6(expr: str) -> str:
 # ---------------------------------------------------------------- panel
 cte("panel", (), """
 SELECT date, store_id, product_id, sales,
-       (floor((revenue / sales) * 1e6 + 0.5) / 1e6) AS price, promotion,
+       (floor(((floor((revenue) * 100.0 + 0.5) / 100.0) / sales) * 1e6 + 0.5) / 1e6) AS price, promotion,
        sales + 10 + ((store_id * 7 + product_id * 13 + dayofyear(date)) % 40) AS inventory,
        (isodow(date) - 1)::INT AS day_of_week, month(date)::INT AS month,
        CASE WHEN isodow(date) - 1 >= 5 THEN 1 ELSE 0 END AS is_holiday
