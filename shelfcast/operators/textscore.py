@@ -126,6 +126,19 @@ def unigram_model(corpus: DataFrame, text_col: str = "text"):
     return counts, int(tot["n"] or 0), int(tot["v"] or 0)
 
 
+def corpus_perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      salts: int = 16) -> DataFrame:
+    """Perplexity of every document under the add-one unigram model of the
+    same corpus.  N and V come from a term-only aggregation; in the scoring
+    job the corpus counts are the per-document counts summed by term, so both
+    sides of the join read one shuffle and the text is tokenised once there."""
+    _, n, v = unigram_model(docs, text_col)
+    tf = (docs.select(id_col, F.explode(words(text_col)).alias("term"))
+          .groupBy(id_col, "term").agg(F.count("*").alias("tf")))
+    counts = tf.groupBy("term").agg(F.sum("tf").alias("c"))
+    return _perplexity_from_tf(tf, counts, n, v, id_col, salts)
+
+
 def perplexity(docs: DataFrame, counts: DataFrame, n_tokens: int, vocab: int, id_col: str = "doc_id",
                text_col: str = "text", salts: int = 16) -> DataFrame:
     """Per text: exp(mean over tokens of -ln p(w)), p(w) = (c_w + 1) / (N + V);
@@ -135,6 +148,11 @@ def perplexity(docs: DataFrame, counts: DataFrame, n_tokens: int, vocab: int, id
     common word is a hot key."""
     tf = (docs.select(id_col, F.explode(words(text_col)).alias("term"))
           .groupBy(id_col, "term").agg(F.count("*").alias("tf")))
+    return _perplexity_from_tf(tf, counts, n_tokens, vocab, id_col, salts)
+
+
+def _perplexity_from_tf(tf: DataFrame, counts: DataFrame, n_tokens: int, vocab: int, id_col: str,
+                        salts: int) -> DataFrame:
     j = join_lookup(tf, counts, ["term"], F.hash(F.col(id_col)), small_rows=vocab, salts=salts, how="left")
     denom = float(n_tokens + vocab)
     nll = F.col("tf") * -F.log((F.coalesce("c", F.lit(0)) + 1.0) / F.lit(denom))

@@ -749,9 +749,7 @@ FROM agg""")
 
 
 def _corpus_perplexity(spark, d):
-    docs = read_table(spark, d, "documents")
-    counts, n, v = ts.unigram_model(docs)
-    return ts.perplexity(docs, counts, n, v)
+    return ts.corpus_perplexity(read_table(spark, d, "documents"))
 
 
 register("corpus_perplexity", _PERPLEXITY_SQL)(_corpus_perplexity)
