@@ -44,3 +44,19 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert "reorder_point" in df.columns
+
+
+def test_entry_module_loads_by_path_from_elsewhere(tmp_path, monkeypatch):
+    """The driver may load __spark_entry__.py by file path from another
+    directory; the module must put the package on sys.path itself."""
+    import importlib.util
+    import os
+    import sys
+    monkeypatch.chdir(tmp_path)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    monkeypatch.setattr(sys, "path", [p for p in sys.path if os.path.abspath(p or ".") != root])
+    spec = importlib.util.spec_from_file_location("entry_by_path", os.path.join(root, "__spark_entry__.py"))
+    mod = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(mod)
+    assert root in sys.path
+    assert set(mod.oracle_sql()) <= set(mod.queries())
