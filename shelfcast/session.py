@@ -9,7 +9,9 @@ caller's session is used as is, and the shared checkpoint folder comes from
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,25 +45,28 @@ def get_session(master: str | None = None, app: str = "shelfcast",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a scratch one only when
-    the session names none (local tests); a cluster sets `spark.checkpoint.dir`."""
+    """The shared folder of the session (`spark.checkpoint.dir`).  Where it is
+    unset, a scratch folder serves a `local[...]` session, whose executors are
+    this process (tests, bench); with real executors it is an error, as a
+    folder of the driver would not be seen by them."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="shelfcast-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint written to the shared folder, so a
-    lost executor costs a re-read, not a re-computation of the whole chain."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    root = spark.conf.get(CHECKPOINT_CONF, None) or ensure_checkpoint_dir(spark)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -69,12 +74,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     read it back.  Cuts lineage like `checkpoint()`, but computes the input a
     single time and stores it columnar and compressed; later jobs (and retries
     after a lost executor) start from the table."""
-    import uuid
     spark = df.sparkSession
-    root = spark.conf.get(CHECKPOINT_CONF, None) or ensure_checkpoint_dir(spark)
-    path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    path = shared_path(spark, f"tables/{name}")
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set = set()
