@@ -6,6 +6,6 @@ directory) and returns a lazy DataFrame; nothing is collected to the driver
 except small, bounded parameter tables and counts.
 """
 
-from shelfcast.session import get_session, ensure_checkpoint_dir, reliable_checkpoint
+from shelfcast.session import get_session, ensure_checkpoint_dir, materialize
 
-__all__ = ["get_session", "ensure_checkpoint_dir", "reliable_checkpoint"]
+__all__ = ["get_session", "ensure_checkpoint_dir", "materialize"]
