@@ -51,3 +51,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfcast.llm import langid
     return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
+@register("op3_source_mix")
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.llm import mixing
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
