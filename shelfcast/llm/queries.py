@@ -57,3 +57,15 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfcast.llm import mixing
     return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+@register("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.llm import pii
+    return pii.find(read_table(spark, sf_dir, "documents"))
+
+
+@register("op1_license_scan")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.llm import licenses
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
