@@ -69,3 +69,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfcast.llm import licenses
     return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+@register("op4_suffix_array_dedup")
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.llm import repeats
+    return repeats.remove_repeats(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
