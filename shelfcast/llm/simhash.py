@@ -95,7 +95,8 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) ->
     probes = (fps.select(fp.alias("a"), F.explode(parts).alias("s"))
               .select("a", "s.k", F.explode(F.transform(masks, lambda m: F.col("s.v").bitwiseXOR(m))).alias("v")))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    return probes.join(table, ["k", "v"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    # Merged: the planner does not see how far a probe unrolls, and might broadcast it.
+    return probes.join(table.hint("merge"), ["k", "v"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
