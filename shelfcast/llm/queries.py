@@ -76,3 +76,17 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfcast.llm import repeats
     return repeats.remove_repeats(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op7_nearest_neighbours")
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.llm import ann
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@register("op8_piece_sampling")
+def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.llm import pieces
+    return pieces.encode(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "rank", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+        "log_prob", "perturbed", "inclusion", "exact")
