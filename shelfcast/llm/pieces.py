@@ -30,7 +30,6 @@ doc_id: kept.  Repeated rows: equal results.  Other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,11 +42,13 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 # A code beyond Unicode for a mark that is part of a text.
 REAL_MARK = 0x110000
-WORD = re.compile(r" *[^ ]+| +")
 # Characters that are searched together: bounds the memory of a step.
-TOGETHER = 4_000_000
-# -log of the least uniform variable: no perturbation exceeds its location by more.
-MOST_GUMBEL = 44.0
+TOGETHER = 6_000_000
+# -log(-log u) of the largest uniform variable: no perturbation exceeds its
+# location by more.
+MOST_GUMBEL = 38.0
+# Steps of a path that are looked at together.
+STEPS = 80
 
 
 class Pieces:
@@ -71,19 +72,44 @@ class Pieces:
         for b, i in enumerate(self.bytes_):
             self.text[i] = bytes([b])
         edges: dict[tuple[int, int], int] = {}
-        self.ends: list[int] = [-1]
+        ends = [-1]
         for i, name in names.items():
             state = 0
             for c in name:
-                nxt = edges.setdefault((state, ord(c)), len(self.ends))
-                if nxt == len(self.ends):
-                    self.ends.append(-1)
+                nxt = edges.setdefault((state, ord(c)), len(ends))
+                if nxt == len(ends):
+                    ends.append(-1)
                 state = nxt
-            self.ends[state] = i
-        keys = np.array([s << 21 | c for s, c in edges], dtype=np.int64)
-        by_key = keys.argsort()
-        self.keys, self.child = keys[by_key], np.array(list(edges.values()), dtype=np.int64)[by_key]
-        self.terminal = np.array(self.ends)
+            ends[state] = i
+        self.terminal = np.array(ends)
+        # Edges by (state, character), in an open hash table.
+        keys, child = np.array([s << 21 | c for s, c in edges], dtype=np.int64), np.array(list(edges.values()))
+        self.bits = int(len(keys)).bit_length() + 2
+        self.keys = np.full((1 << self.bits) + len(keys), -1, dtype=np.int64)
+        self.child = np.zeros(len(self.keys), dtype=np.int64)
+        for slot, key, c in zip(self._slot(keys).tolist(), keys.tolist(), child.tolist()):
+            while self.keys[slot] >= 0:
+                slot += 1
+            self.keys[slot], self.child[slot] = key, c
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The trie's states after one more character; -1 where it has none."""
+        key = state << 21 | code
+        slot = self._slot(key)
+        seen = self.keys[slot]
+        out = np.where(seen == key, self.child[slot], -1)
+        left = np.flatnonzero((seen != key) & (seen >= 0))
+        while len(left):
+            slot[left] += 1
+            seen = self.keys[slot[left]]
+            hit = seen == key[left]
+            out[left[hit]] = self.child[slot[left[hit]]]
+            left = left[~hit & (seen >= 0)]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of piece ids."""
@@ -113,23 +139,20 @@ class Lattice:
     sorted by the node they end at, and cumulative probabilities of the arcs
     into a node."""
 
-    def __init__(self, p: Pieces, words: list[str]) -> None:
-        lengths = np.array([len(w) for w in words])
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-        codes = np.where(codes == ord(MARK), REAL_MARK, np.where(codes == 32, ord(MARK), codes))
-        total, word = len(codes), np.repeat(np.arange(len(words)), lengths)
+    def __init__(self, p: Pieces, codes: np.ndarray, lengths: np.ndarray) -> None:
+        """`codes`: the characters of the words, one word after another."""
+        total, word = len(codes), np.repeat(np.arange(len(lengths)), lengths)
         # A word of n characters has n + 1 nodes.
         node, last = np.arange(total) + word, np.repeat(lengths.cumsum(), lengths)
-        self.start = np.append(0, lengths.cumsum()[:-1]) + np.arange(len(words))
+        self.start = np.append(0, lengths.cumsum()[:-1]) + np.arange(len(lengths))
         self.end = self.start + lengths
         begins, ends, ids = [], [], []
         at, state = np.arange(total), np.zeros(total, dtype=np.int64)
         single, depth = np.zeros(total, dtype=bool), 0
         while len(at):
-            key = state << 21 | codes[at + depth]
-            k = np.minimum(p.keys.searchsorted(key), len(p.keys) - 1)
-            ok = p.keys[k] == key
-            at, state, depth = at[ok], p.child[k[ok]], depth + 1
+            state = p.step(state, codes[at + depth])
+            ok = state >= 0
+            at, state, depth = at[ok], state[ok], depth + 1
             done = p.terminal[state] >= 0
             begins.append(at[done])
             ends.append(at[done] + depth)
@@ -150,14 +173,15 @@ class Lattice:
         logp = np.concatenate([p.logp[np.concatenate(ids)], cost[number]]) if len(spelled) else p.logp[np.concatenate(ids)]
         tail, width = node[begin], stop - begin
         head = tail + width
-        order = np.lexsort((tail, head))
+        order = np.argsort(head, kind="stable")  # merges: ascending for each depth
         self.tail, head, self.piece, logp = tail[order], head[order], piece[order], logp[order]
-        n_nodes = total + len(words)
+        n_nodes = total + len(lengths)
         # Forward sums, all words together, by the end's place in its word.
         alpha = np.full(n_nodes, -np.inf)
         alpha[self.start] = 0.0
         place = head - np.repeat(self.start, lengths + 1)[head]
-        by_place = np.argsort(place, kind="stable")
+        small = place.astype(np.uint16) if lengths.max() < 1 << 16 else place
+        by_place = np.argsort(small, kind="stable")
         edges = np.flatnonzero(np.diff(place[by_place], prepend=-1))
         for a, z in zip(edges, np.append(edges[1:], len(place))):
             some = by_place[a:z]
@@ -166,7 +190,7 @@ class Lattice:
         self.alpha = alpha
         self.share = np.exp(alpha[self.tail] + logp - alpha[head])
         self.logp = logp
-        self.first = np.searchsorted(head, np.arange(n_nodes + 1))
+        self.first = np.append(0, np.bincount(head, minlength=n_nodes).cumsum())
         run = self.share.cumsum()
         base = np.append(0.0, run)[self.first[head]]
         self.cum = run - base
@@ -224,29 +248,6 @@ class _Search:
         self.agenda: list[tuple[float, int, int, frozenset, float]] = []  # bound, path, step, arcs out, log mass before
         self.logs = float(lat.alpha[lat.end[types]].sum())
 
-    def add(self, counts: np.ndarray, arcs: np.ndarray, bound: float, begin: int, before: float) -> None:
-        """Note a path, and put the children it passes from step `begin` on
-        onto the agenda; `before` is the log mass of the node there."""
-        which = len(self.paths)
-        self.paths.append((counts, arcs, bound))
-        best = -np.inf if not self.agenda else max(self.agenda)[0]
-        step, block = begin, 128
-        while step < len(arcs) and before + MOST_GUMBEL > min(best, bound):
-            share = np.minimum(self.lat.share[arcs[step:step + block]], 1.0)
-            logs = np.log(share)
-            mass = before + np.append(0.0, logs.cumsum()[:-1])
-            with np.errstate(divide="ignore"):
-                rest = mass + np.log1p(-share)
-            u = _uniform(self.key, -1 - which, np.arange(step, step + len(share)), 0)
-            some = np.flatnonzero(rest > -np.inf)
-            bounds = rest[some] - np.log(np.exp(rest[some] - bound) - np.log(u[some]))
-            self.agenda += [(float(g), which, step + int(i), frozenset([int(arcs[step + i])]), float(mass[i]))
-                            for g, i in zip(bounds, some)]
-            if len(some):
-                best = max(best, float(bounds.max()))
-            before = mass[-1] + logs[-1]
-            step += len(share)
-
     def branch(self) -> tuple[int, int, int, float, float] | None:
         """The agenda's best entry as (path, step, new arc, bound, log mass
         after that arc), and the entry of what it leaves; None if empty."""
@@ -275,29 +276,110 @@ class _Search:
         return max(self.agenda)[0] if self.agenda else -np.inf
 
 
+def _note(lat: Lattice, searches: list[_Search], found: list[tuple], k: int) -> None:
+    """Note new paths (text, counts, arcs, bound, first step, log mass of the
+    node there), and put the children that they pass onto the agendas: of each
+    agenda the k + 1 best are kept, as no others are ever taken."""
+    which = np.array([len(searches[d].paths) for d, *_ in found])
+    for d, counts, arcs, bound, _, _ in found:
+        searches[d].paths.append((counts, arcs, bound))
+    flat = np.concatenate([arcs for _, _, arcs, *_ in found] or [np.zeros(0, dtype=np.int64)])
+    size = np.array([len(arcs) for _, _, arcs, *_ in found], dtype=np.int64)
+    offset = size.cumsum() - size
+    bound = np.array([x[3] for x in found])
+    step = np.array([x[4] for x in found], dtype=np.int64)
+    before = np.array([x[5] for x in found], dtype=np.float64)
+    keys = np.array([searches[x[0]].key for x in found], dtype=np.int64)
+    live = np.flatnonzero(step < size)
+    while len(live):
+        col = step[live, None] + np.arange(STEPS)
+        there = col < size[live, None]
+        arcs = flat[np.where(there, offset[live, None] + col, offset[live, None])]
+        share = np.where(there, np.minimum(lat.share[arcs], 1.0), 1.0)
+        with np.errstate(divide="ignore"):
+            logs = np.log(share)
+            sums = before[live, None] + logs.cumsum(axis=1)
+            mass = sums - logs
+            rest = mass + np.log1p(-share)
+            u = _uniform(keys[live, None], -1 - which[live, None], col, 0)
+            bounds = np.where(rest > -np.inf, rest - np.log(np.exp(rest - bound[live, None]) - np.log(u)), -np.inf)
+        top = np.argpartition(-bounds, k, axis=1)[:, :k + 1]
+        more = []
+        for i, row in enumerate(live.tolist()):
+            agenda = searches[found[row][0]].agenda
+            agenda += [(float(bounds[i, j]), int(which[row]), int(col[i, j]), frozenset([int(arcs[i, j])]), float(mass[i, j]))
+                       for j in top[i].tolist() if bounds[i, j] > -np.inf]
+            if len(agenda) > k + 1:
+                agenda.sort(reverse=True)
+                del agenda[k + 1:]
+            worst = agenda[-1][0] if len(agenda) > k else -np.inf
+            if step[row] + STEPS < size[row] and sums[i, -1] + MOST_GUMBEL > worst:
+                more.append(row)
+                step[row] += STEPS
+                before[row] = sums[i, -1]
+        live = np.array(more, dtype=np.int64)
+
+
+def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts, each text with a space before it: numbers of the
+    distinct words, text after text; words of each text; and the characters and
+    lengths of the distinct words.  A word is a run of spaces and of what
+    follows up to the next space."""
+    given = [" " + t if t else "" for t in texts]
+    size = np.array([len(t) for t in given], dtype=np.int64)
+    codes = np.frombuffer("".join(given).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    space = codes == 32
+    begins = space & ~np.append(True, space[:-1])
+    first = (size.cumsum() - size)[size > 0]
+    begins[first] = True
+    start = np.flatnonzero(begins)
+    length = np.diff(np.append(start, len(codes)))
+    text_of = np.repeat(np.arange(len(texts)), size)[start]
+    sizes = np.bincount(text_of, minlength=len(texts))
+    codes = np.where(codes == ord(MARK), REAL_MARK, np.where(space, ord(MARK), codes))
+    if not len(start):
+        return start, sizes, codes, length
+    place = np.arange(len(codes)) - np.repeat(start, length)
+    seed = 0
+    while True:
+        # Distinct by a hash of characters and places, checked in full below.
+        with np.errstate(over="ignore"):
+            h = (codes.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+            h = np.add.reduceat(h, start) + length.astype(np.uint64)
+        _, one, flat = np.unique(h, return_index=True, return_inverse=True)
+        same = codes[np.repeat(start[one][flat], length) + place] == codes
+        if same.all() and (length[one][flat] == length).all():
+            break
+        seed += 1
+    kept = length[one]
+    at = np.repeat(start[one] - np.append(0, kept.cumsum()[:-1]), kept) + np.arange(int(kept.sum()))
+    return flat, sizes, codes[at], kept
+
+
 def sample(texts: list[str | None], keys: np.ndarray, k: int, p: Pieces) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its segmentations as (ids, log p, perturbed, inclusion)."""
-    split = [WORD.findall(" " + t) if t else [] for t in texts]
-    known: dict[str, int] = {}
-    types = [np.array([known.setdefault(w, len(known)) for w in words], dtype=np.int64) for words in split]
-    if not known:
+    flat, sizes, codes, lengths = _words(texts)
+    if not len(flat):
         return [[(np.zeros(0, dtype=np.int32), 0.0, 0.0, 1.0)] for _ in texts]
-    lat = Lattice(p, list(known))
+    lat = Lattice(p, codes, lengths)
     keys = keys.astype(np.int64)
-    sizes = np.array([len(t) for t in types])
+    word_at = np.append(0, sizes.cumsum())
+    types = [flat[a:z] for a, z in zip(word_at[:-1], word_at[1:])]
     searches = [_Search(lat, t, int(x)) for t, x in zip(types, keys)]
     # The first path of every text at once.
-    flat, owner = np.concatenate(types), np.repeat(np.arange(len(types)), sizes)
-    number = np.arange(len(flat)) - np.repeat(sizes.cumsum() - sizes, sizes)
+    owner = np.repeat(np.arange(len(types)), sizes)
+    number = np.arange(len(flat)) - word_at[owner]
     counts, arcs = lat.draw(lat.end[flat], lat.start[flat], keys[owner], 0, number)
     roots = -np.log(-np.log(_uniform(keys, -7)))
-    word_at, arc_at = np.append(0, sizes.cumsum()), np.append(0, counts.cumsum())
-    for d, s in enumerate(searches):
-        a, z = word_at[d], word_at[d + 1]
-        s.add(counts[a:z], arcs[arc_at[a]:arc_at[z]], float(roots[d]), 0, 0.0)
+    arc_at = np.append(0, counts.cumsum())[word_at]
+    _note(lat, searches, [(d, counts[word_at[d]:word_at[d + 1]], arcs[arc_at[d]:arc_at[d + 1]], float(roots[d]), 0, 0.0)
+                          for d in range(len(texts))], k)
     for which in range(1, k):
         jobs = [(d, x) for d, s in enumerate(searches) if len(s.paths) == which and (x := s.branch()) is not None]
-        _extend(lat, searches, jobs, keys, which)
+        _extend(lat, searches, jobs, keys, which, k)
     out = []
     for s in searches:
         kappa, rows = s.kappa(), []
@@ -308,7 +390,7 @@ def sample(texts: list[str | None], keys: np.ndarray, k: int, p: Pieces) -> list
     return out
 
 
-def _extend(lat: Lattice, searches: list[_Search], jobs: list[tuple], keys: np.ndarray, which: int) -> None:
+def _extend(lat: Lattice, searches: list[_Search], jobs: list[tuple], keys: np.ndarray, which: int, k: int) -> None:
     """The next path of each text of `jobs`: the words after the branch, and the
     rest of the branch's word, are drawn anew, all texts together."""
     plans, nodes, stops, owners, numbers = [], [], [], [], []
@@ -326,13 +408,14 @@ def _extend(lat: Lattice, searches: list[_Search], jobs: list[tuple], keys: np.n
         return
     owner = np.concatenate(owners)
     counts, arcs = lat.draw(np.concatenate(nodes), np.concatenate(stops), keys[owner], which, np.concatenate(numbers))
-    at, word = np.append(0, counts.cumsum()), 0
+    at, word, found = np.append(0, counts.cumsum()), 0, []
     for d, counts_before, arcs_before, arc, in_word, bound, after, n in plans:
         new = counts[word:word + n].copy()
         new[0] += in_word
         path = np.concatenate([arcs_before, [arc], arcs[at[word]:at[word + n]]])
-        searches[d].add(np.concatenate([counts_before, new]), path, bound, len(arcs_before) + 1, after)
+        found.append((d, np.concatenate([counts_before, new]), path, bound, len(arcs_before) + 1, after))
         word += n
+    _note(lat, searches, found, k)
 
 
 def encode(docs: DataFrame, k: int = 2, alpha: float = 1.0, model: str = MODEL) -> DataFrame:
