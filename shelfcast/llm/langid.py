@@ -111,7 +111,7 @@ class Parser:
     def _codes(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
-        return np.where(self.points[at] == points, at + 1, 0).astype(np.int64)
+        return np.where(self.points[at] == points, at + 1, 0).astype(np.uint8)
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each text in each language's automaton."""

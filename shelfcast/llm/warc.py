@@ -42,6 +42,7 @@ REVISIT_FROM = 1_000
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 4 << 20
 GAP_BYTES = 64 << 10
+TASK_BYTES = 16 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 INDEX = ("archive string, offset long, length long, url string, digest string, "
          "page_id long, record_type string, refers_to long, payload_bytes long")
@@ -154,9 +155,11 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
                         rows.append(_record(zlib.decompress(raw, 31), payloads))
             yield _frame(rows, RECORD)
     wanted = index.select("archive", "offset", "length")
-    # Sorted ranges, so that neighbours in an archive meet in a batch.
-    return (wanted.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
-            .mapInPandas(run, RECORD))
+    # Ranges in order, so that neighbours in an archive meet in a batch; dealt
+    # by the bytes to read, as the rows of the index are small.
+    size = wanted.agg(F.sum("length")).first()[0] or 0
+    return (wanted.repartitionByRange(max(1, -(-size // TASK_BYTES)), "archive", "offset")
+            .sortWithinPartitions("archive", "offset").mapInPandas(run, RECORD))
 
 
 def _ranges(source, spans: list[tuple[int, int]]) -> Iterator[bytes]:
