@@ -182,81 +182,97 @@ def strings(found: DataFrame) -> DataFrame:
     return materialize(made.withColumns({"s1": F.xxhash64("s"), "s2": F.xxhash64(F.lit(7), "s")}), "repeat-strings")
 
 
-def matching_statistics(texts: list[bytes]) -> list[np.ndarray]:
+def matching_statistics(texts: list[bytes], least: int = 0) -> list[np.ndarray]:
     """For each position of each text, the length of the longest match that
-    starts there and at another place of the texts, from a run-length index."""
+    starts there and at another place of the texts, from a run-length index.
+    Lengths under `least` may come out too small."""
     lengths = np.array([len(t) for t in texts])
     total = int(lengths.sum())
     chars = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64) + 1
     first = np.append(0, lengths.cumsum()[:-1])
-    end = np.repeat(first + lengths, lengths)
-    at = np.arange(total)
-
-    def ahead(a: np.ndarray, by: int) -> np.ndarray:
-        """a at the position `by` further on in the same text, else 0."""
-        out = np.zeros(total, dtype=a.dtype)
-        if by < total:
-            out[:-by] = np.where(at[:-by] + by < end[:-by], a[by:], 0)
-        return out
-
-    key = np.zeros(total, dtype=np.int64)
-    for k in range(DEPTH):
-        key = (key << 9) | (ahead(chars, k) if k else chars)
-    ranks, depths, depth = [], [], DEPTH
+    end = np.repeat((first + lengths).astype(np.int32), lengths)
+    at = np.arange(total, dtype=np.int32)
+
+    # Suffixes by their first characters; 0 stands beyond a text's end.
+    key = chars.copy()
+    for k in range(1, DEPTH):
+        key <<= 9
+        key[:total - k] += np.where(at[:total - k] + k < end[:total - k], chars[k:], 0)
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    in_order = key[order]
+    new = np.append(True, in_order[1:] != in_order[:-1])
+    # A suffix's rank is the place of the first one that equals it so far.
+    rank = np.empty(total, dtype=np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, at, 0))
+    ranks, depth = [(DEPTH, rank)], DEPTH
+    tied = at[~(new & np.append(new[1:], True))]
     while True:
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.append(True, sorted_key[1:] != sorted_key[:-1])
-        rank = np.empty(total, dtype=np.int64)
-        rank[order] = new.cumsum()
-        ranks.append(rank)
-        depths.append(depth)
-        if depth >= lengths.max() or new.all():
+        # Only ties that go on within their texts are sorted further.
+        who = order[tied]
+        tied = tied[end[who] - who >= depth]
+        if not len(tied):
             break
-        key = (rank << 31) | ahead(rank, depth)
+        who = order[tied]
+        ahead = who + depth
+        key = rank[who].astype(np.int64) << 32 | np.where(ahead < end[who], rank[np.minimum(ahead, total - 1)] + 1, 0)
+        by_key = np.argsort(key, kind="stable")
+        order[tied] = who[by_key]
+        key = key[by_key]
+        new = np.append(True, key[1:] != key[:-1])
+        rank = rank.copy()
+        # Ties of one rank are side by side, so places count on from theirs.
+        rank[order[tied]] = np.maximum.accumulate(np.where(new, tied, 0))
         depth *= 2
+        ranks.append((depth, rank))
+        tied = tied[~(new & np.append(new[1:], True))]
     # The transform: the character before each suffix in order; -1 at a text's
     # start, which equals no other.
-    before = np.append(0, chars[:-1])
+    before = np.append(0, chars[:-1]).astype(np.int16)
     before[first] = -1
     bwt = before[order]
     same = (bwt[1:] == bwt[:-1]) & (bwt[1:] >= 0)
     heads = np.flatnonzero(~np.append(False, same))
-    ends_ = np.flatnonzero(~np.append(same, False))
+    ends = np.flatnonzero(~np.append(same, False))
 
     def shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Common prefix lengths of suffixes x and y, by their ranks."""
-        most, done = np.minimum(end[x] - x, end[y] - y), np.zeros(len(x), dtype=np.int64)
-        for r, d in zip(reversed(ranks), reversed(depths)):
-            open_ = done < most
-            step = np.zeros(len(x), dtype=bool)
-            step[open_] = r[x[open_] + done[open_]] == r[y[open_] + done[open_]]
-            done += d * step
+        done = np.zeros(len(x), dtype=np.int32)
+        some = np.arange(len(x))
+        for d, r in ranks:
+            if d <= least:  # most neighbours differ here, and are not looked at further
+                some = some[r[x[some]] == r[y[some]]]
+        x, y = x[some], y[some]
+        most, got = np.minimum(end[x] - x, end[y] - y), np.zeros(len(x), dtype=np.int32)
+        for d, r in reversed(ranks):
+            open_ = np.flatnonzero(got < most)
+            open_ = open_[r[x[open_] + got[open_]] == r[y[open_] + got[open_]]]
+            got[open_] += d
         # What is left differs within the first sorting depth.
         for _ in range(DEPTH):
-            open_ = np.flatnonzero(done < most)
-            open_ = open_[chars[x[open_] + done[open_]] == chars[y[open_] + done[open_]]]
-            done[open_] += 1
-        return np.minimum(done, most)
+            open_ = np.flatnonzero(got < most)
+            open_ = open_[chars[x[open_] + got[open_]] == chars[y[open_] + got[open_]]]
+            got[open_] += 1
+        done[some] = np.minimum(got, most)
+        return done
 
-    def stream(ranks_at: np.ndarray, other: int) -> np.ndarray:
+    def stream(places: np.ndarray, other: int) -> np.ndarray:
         """Match lengths with the neighbour in order at `other`, from the
         samples at run ends, along the texts."""
-        sampled = np.full(total, -1, dtype=np.int64)
-        some = ranks_at[(ranks_at + other >= 0) & (ranks_at + other < total)]
-        sampled[order[ranks_at]] = 0
+        sampled = np.full(total, -1, dtype=np.int32)
+        sampled[order[places]] = 0
+        some = places[(places + other >= 0) & (places + other < total)]
         sampled[order[some]] = shared(order[some], order[some + other])
         last = np.maximum.accumulate(np.where(sampled >= 0, at, 0))
         return sampled[last] - (at - last)
 
-    longest = np.maximum(stream(heads, -1), stream(ends_, 1))
+    longest = np.maximum(stream(heads, -1), stream(ends, 1))
     return np.split(longest, first[1:])
 
 
 def repeated_windows(texts: list[bytes], counts: np.ndarray) -> list[np.ndarray]:
     """For each text, from/to pairs of its windows that have another place."""
     out = []
-    for text, count, longest in zip(texts, counts, matching_statistics(texts)):
+    for text, count, longest in zip(texts, counts, matching_statistics(texts, MIN_LEN)):
         hit = (longest[:len(text) - MIN_LEN + 1] >= MIN_LEN) | (count > 1)
         edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
         out.append(edge.astype(np.int32))
