@@ -43,7 +43,7 @@ MARK = "▁"
 # A code beyond Unicode for a mark that is part of a text.
 REAL_MARK = 0x110000
 # Characters that are searched together: bounds the memory of a step.
-TOGETHER = 6_000_000
+TOGETHER = 3_000_000
 # -log(-log u) of the largest uniform variable: no perturbation exceeds its
 # location by more.
 MOST_GUMBEL = 38.0
@@ -81,27 +81,31 @@ class Pieces:
                     ends.append(-1)
                 state = nxt
             ends[state] = i
-        self.terminal = np.array(ends)
-        # Edges by (state, character), in an open hash table.
-        keys, child = np.array([s << 21 | c for s, c in edges], dtype=np.int64), np.array(list(edges.values()))
-        self.bits = int(len(keys)).bit_length() + 2
-        self.keys = np.full((1 << self.bits) + len(keys), -1, dtype=np.int64)
-        self.child = np.zeros(len(self.keys), dtype=np.int64)
-        for slot, key, c in zip(self._slot(keys).tolist(), keys.tolist(), child.tolist()):
+        self.terminal = np.array(ends, dtype=np.int32)
+        # Characters of pieces by number, others 0; edges by (state, character)
+        # in an open hash table.
+        points = sorted({c for _, c in edges})
+        self.number = np.zeros(REAL_MARK + 1, dtype=np.int32)
+        self.number[points] = np.arange(1, len(points) + 1)
+        self.shift = len(points).bit_length()
+        keys = np.array([s << self.shift | self.number[c] for s, c in edges], dtype=np.int32)
+        self.bits = len(keys).bit_length() + 2
+        self.keys = np.full((1 << self.bits) + len(keys), -1, dtype=np.int32)
+        self.child = np.zeros(len(self.keys), dtype=np.int32)
+        for slot, key, c in zip(self._slot(keys).tolist(), keys.tolist(), edges.values()):
             while self.keys[slot] >= 0:
                 slot += 1
             self.keys[slot], self.child[slot] = key, c
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((key.astype(np.uint32) * np.uint32(2654435769)) >> np.uint32(32 - self.bits)).astype(np.int32)
 
-    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+    def step(self, state: np.ndarray, number: np.ndarray) -> np.ndarray:
         """The trie's states after one more character; -1 where it has none."""
-        key = state << 21 | code
+        key = state << self.shift | number
         slot = self._slot(key)
         seen = self.keys[slot]
-        out = np.where(seen == key, self.child[slot], -1)
+        out = np.where(seen == key, self.child[slot], np.int32(-1))
         left = np.flatnonzero((seen != key) & (seen >= 0))
         while len(left):
             slot[left] += 1
@@ -122,8 +126,8 @@ def pieces(path: str, alpha: float) -> Pieces:
     return Pieces(path, alpha)
 
 
-def _uniform(*parts: np.ndarray | int) -> np.ndarray:
-    """Uniform variables in (0, 1) by hashing the parts (splitmix64)."""
+def _hash(*parts: np.ndarray | int) -> np.ndarray:
+    """64-bit hashes of the parts (splitmix64)."""
     with np.errstate(over="ignore"):
         h = np.uint64(0x243F6A8885A308D3)
         for p in parts:
@@ -131,6 +135,16 @@ def _uniform(*parts: np.ndarray | int) -> np.ndarray:
             h ^= h >> np.uint64(30)
             h = h * np.uint64(0xBF58476D1CE4E5B9)
             h ^= h >> np.uint64(27)
+    return h
+
+
+def _uniform(base: np.ndarray, part: np.ndarray | int) -> np.ndarray:
+    """Uniform variables in (0, 1) from hashes and one more part."""
+    with np.errstate(over="ignore"):
+        h = (base ^ (np.asarray(part).astype(np.uint64) * np.uint64(0x94D049BB133111EB))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(30)
+        h = h * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(27)
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 9007199254740992.0
 
 
@@ -141,72 +155,77 @@ class Lattice:
 
     def __init__(self, p: Pieces, codes: np.ndarray, lengths: np.ndarray) -> None:
         """`codes`: the characters of the words, one word after another."""
-        total, word = len(codes), np.repeat(np.arange(len(lengths)), lengths)
+        total, n_nodes = len(codes), len(codes) + len(lengths)
         # A word of n characters has n + 1 nodes.
-        node, last = np.arange(total) + word, np.repeat(lengths.cumsum(), lengths)
-        self.start = np.append(0, lengths.cumsum()[:-1]) + np.arange(len(lengths))
-        self.end = self.start + lengths
-        begins, ends, ids = [], [], []
-        at, state = np.arange(total), np.zeros(total, dtype=np.int64)
-        single, depth = np.zeros(total, dtype=bool), 0
+        self.start = (lengths.cumsum() - lengths + np.arange(len(lengths))).astype(np.int32)
+        self.end = self.start + lengths.astype(np.int32)
+        node = np.arange(total, dtype=np.int32) + np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        last = np.repeat(lengths.cumsum().astype(np.int32), lengths)
+        numbers = p.number[codes]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # heads, piece ids, width
+        at, state, depth = np.arange(total, dtype=np.int32), np.zeros(total, dtype=np.int32), 0
+        single = np.zeros(total, dtype=bool)
         while len(at):
-            state = p.step(state, codes[at + depth])
+            state = p.step(state, numbers[at + depth])
             ok = state >= 0
             at, state, depth = at[ok], state[ok], depth + 1
-            done = p.terminal[state] >= 0
-            begins.append(at[done])
-            ends.append(at[done] + depth)
-            ids.append(p.terminal[state[done]])
+            piece = p.terminal[state]
+            done = piece >= 0
+            found.append((node[at[done]] + np.int32(depth), piece[done], depth))
             if depth == 1:
                 single[at[done]] = True
             inside = at + depth < last[at]
             at, state = at[inside], state[inside]
         # Spelled characters: their id is the number of the code, from below 0.
         spelled = np.flatnonzero(~single)
-        self.spelling, number = np.unique(codes[spelled], return_inverse=True)
+        spelling, number = np.unique(codes[spelled], return_inverse=True)
         self.spelled = [p.bytes_[list(chr(ord(MARK) if c == REAL_MARK else c).encode("utf-8", "surrogatepass"))]
-                        for c in self.spelling.tolist()]
-        cost = np.array([p.logp[x].sum() for x in self.spelled])
-        begin = np.concatenate([*begins, spelled])
-        stop = np.concatenate([*ends, spelled + 1])
-        piece = np.concatenate([*ids, -1 - number])
-        logp = np.concatenate([p.logp[np.concatenate(ids)], cost[number]]) if len(spelled) else p.logp[np.concatenate(ids)]
-        tail, width = node[begin], stop - begin
-        head = tail + width
-        order = np.argsort(head, kind="stable")  # merges: ascending for each depth
-        self.tail, head, self.piece, logp = tail[order], head[order], piece[order], logp[order]
-        n_nodes = total + len(lengths)
+                        for c in spelling.tolist()]
+        found.insert(0, (node[spelled] + np.int32(1), (-1 - number).astype(np.int32), 1))
+        into = np.zeros(n_nodes, dtype=np.int32)
+        for head, _, _ in found:
+            into[head] += 1  # a node has one arc of a width
+        self.first = np.append(0, into.cumsum()).astype(np.int32)
+        # Arcs by the node they end at, the widest first.
+        free = self.first[1:].copy()
+        arcs = int(self.first[-1])
+        self.head, self.tail, self.piece = (np.empty(arcs, dtype=np.int32) for _ in range(3))
+        self.logp = np.empty(arcs)
+        costs = np.concatenate([p.logp, [p.logp[x].sum() for x in reversed(self.spelled)]])
+        for head, piece, width in found:
+            free[head] -= 1
+            where = free[head]
+            self.head[where], self.tail[where], self.piece[where] = head, head - np.int32(width), piece
+            self.logp[where] = costs[piece]
         # Forward sums, all words together, by the end's place in its word.
         alpha = np.full(n_nodes, -np.inf)
         alpha[self.start] = 0.0
-        place = head - np.repeat(self.start, lengths + 1)[head]
-        small = place.astype(np.uint16) if lengths.max() < 1 << 16 else place
-        by_place = np.argsort(small, kind="stable")
-        edges = np.flatnonzero(np.diff(place[by_place], prepend=-1))
-        for a, z in zip(edges, np.append(edges[1:], len(place))):
+        longest = int(lengths.max())
+        place = np.arange(n_nodes, dtype=np.int32) - np.repeat(self.start, lengths + 1)
+        place = np.repeat(place.astype(np.uint16) if longest < 1 << 16 else place, into)
+        by_place = np.argsort(place, kind="stable").astype(np.int32)
+        stop = np.bincount(place, minlength=longest + 1).cumsum()
+        for a, z in zip(stop[:-1].tolist(), stop[1:].tolist()):
             some = by_place[a:z]
-            first = np.flatnonzero(np.diff(head[some], prepend=-1))
-            alpha[head[some[first]]] = np.logaddexp.reduceat(alpha[self.tail[some]] + logp[some], first)
+            head = self.head[some]
+            first = np.flatnonzero(np.append(True, head[1:] != head[:-1]))
+            alpha[head[first]] = np.logaddexp.reduceat(alpha[self.tail[some]] + self.logp[some], first)
         self.alpha = alpha
-        self.share = np.exp(alpha[self.tail] + logp - alpha[head])
-        self.logp = logp
-        self.first = np.append(0, np.bincount(head, minlength=n_nodes).cumsum())
+        self.share = np.exp(alpha[self.tail] + self.logp - np.repeat(alpha, into))
         run = self.share.cumsum()
-        base = np.append(0.0, run)[self.first[head]]
-        self.cum = run - base
-        into = np.diff(self.first)
+        self.cum = run - np.repeat(np.append(0.0, run)[self.first[:-1]], into)
         self.cum[self.first[1:][into > 0] - 1] = np.inf  # the last arc takes what rounding leaves
-        self.head = head
 
     def draw(self, nodes: np.ndarray, stops: np.ndarray, key: np.ndarray, which: int, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Paths back from `nodes` to `stops`: counts of arcs by occurrence, and
         the arcs, one occurrence after another."""
         taken: list[tuple[np.ndarray, np.ndarray]] = []
-        live, at, step = np.arange(len(nodes)), nodes, 0
+        live, at, step = np.arange(len(nodes), dtype=np.int32), nodes, 0
+        base = _hash(key, which, number)
         ended = at == stops
         live, at = live[~ended], at[~ended]
         while len(live):
-            u = _uniform(key[live], which, number[live], step)
+            u = _uniform(base[live], step)
             arc = self.first[at]
             over = np.flatnonzero(u > self.cum[arc])
             while len(over):
@@ -216,11 +235,11 @@ class Lattice:
             at, step = self.tail[arc], step + 1
             open_ = at != stops[live]
             live, at = live[open_], at[open_]
-        counts = np.zeros(len(nodes), dtype=np.int64)
+        counts = np.zeros(len(nodes), dtype=np.int32)
         for live, _ in taken:
             counts[live] += 1
         offset = np.append(0, counts.cumsum())
-        arcs = np.empty(int(offset[-1]), dtype=np.int64)
+        arcs = np.empty(int(offset[-1]), dtype=np.int32)
         for step, (live, arc) in enumerate(taken):
             arcs[offset[live] + step] = arc
         return counts, arcs
@@ -261,13 +280,14 @@ class _Search:
         arcs = np.array([a for a in range(lat.first[node], lat.first[node + 1]) if a not in out])
         share = lat.share[arcs]
         # The best child of those left, then what remains beside it.
-        u = float(_uniform(self.key, -1000 - len(self.paths), step, 1))
+        base = _hash(self.key, -1000 - len(self.paths), step)
+        u = float(_uniform(base, 1))
         k = int(min(np.searchsorted(share.cumsum(), u * share.sum()), len(arcs) - 1))
         arc = int(arcs[k])
         rest = share.sum() - share[k]
         if len(arcs) > 1 and rest > 0:
             left = mass + float(np.log(rest))
-            v = float(_uniform(self.key, -1000 - len(self.paths), step, 2))
+            v = float(_uniform(base, 2))
             g = left - float(np.log(np.exp(left - bound) - np.log(v)))
             self.agenda.append((g, which, step, out | {arc}, mass))
         return which, step, arc, bound, mass + float(np.log(lat.share[arc]))
@@ -290,6 +310,7 @@ def _note(lat: Lattice, searches: list[_Search], found: list[tuple], k: int) ->
     step = np.array([x[4] for x in found], dtype=np.int64)
     before = np.array([x[5] for x in found], dtype=np.float64)
     keys = np.array([searches[x[0]].key for x in found], dtype=np.int64)
+    base = _hash(keys, -1 - which)
     live = np.flatnonzero(step < size)
     while len(live):
         col = step[live, None] + np.arange(STEPS)
@@ -301,7 +322,7 @@ def _note(lat: Lattice, searches: list[_Search], found: list[tuple], k: int) ->
             sums = before[live, None] + logs.cumsum(axis=1)
             mass = sums - logs
             rest = mass + np.log1p(-share)
-            u = _uniform(keys[live, None], -1 - which[live, None], col, 0)
+            u = _uniform(base[live, None], col)
             bounds = np.where(rest > -np.inf, rest - np.log(np.exp(rest - bound[live, None]) - np.log(u)), -np.inf)
         top = np.argpartition(-bounds, k, axis=1)[:, :k + 1]
         more = []
@@ -327,7 +348,7 @@ def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     follows up to the next space."""
     given = [" " + t if t else "" for t in texts]
     size = np.array([len(t) for t in given], dtype=np.int64)
-    codes = np.frombuffer("".join(given).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    codes = np.frombuffer("".join(given).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
     space = codes == 32
     begins = space & ~np.append(True, space[:-1])
     first = (size.cumsum() - size)[size > 0]
@@ -336,21 +357,22 @@ def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     length = np.diff(np.append(start, len(codes)))
     text_of = np.repeat(np.arange(len(texts)), size)[start]
     sizes = np.bincount(text_of, minlength=len(texts))
-    codes = np.where(codes == ord(MARK), REAL_MARK, np.where(space, ord(MARK), codes))
+    codes = np.where(codes == ord(MARK), np.int32(REAL_MARK), np.where(space, np.int32(ord(MARK)), codes))
     if not len(start):
         return start, sizes, codes, length
-    place = np.arange(len(codes)) - np.repeat(start, length)
+    place = np.arange(len(codes), dtype=np.int32) - np.repeat(start.astype(np.int32), length)
     seed = 0
     while True:
         # Distinct by a hash of characters and places, checked in full below.
         with np.errstate(over="ignore"):
-            h = (codes.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (codes.astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64) + np.uint64(seed)
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
             h ^= h >> np.uint64(32)
             h = np.add.reduceat(h, start) + length.astype(np.uint64)
         _, one, flat = np.unique(h, return_index=True, return_inverse=True)
-        same = codes[np.repeat(start[one][flat], length) + place] == codes
+        same = codes[np.repeat(start[one][flat].astype(np.int32), length) + place] == codes
         if same.all() and (length[one][flat] == length).all():
             break
         seed += 1
@@ -373,7 +395,7 @@ def sample(texts: list[str | None], keys: np.ndarray, k: int, p: Pieces) -> list
     owner = np.repeat(np.arange(len(types)), sizes)
     number = np.arange(len(flat)) - word_at[owner]
     counts, arcs = lat.draw(lat.end[flat], lat.start[flat], keys[owner], 0, number)
-    roots = -np.log(-np.log(_uniform(keys, -7)))
+    roots = -np.log(-np.log(_uniform(_hash(keys), -7)))
     arc_at = np.append(0, counts.cumsum())[word_at]
     _note(lat, searches, [(d, counts[word_at[d]:word_at[d + 1]], arcs[arc_at[d]:arc_at[d + 1]], float(roots[d]), 0, 0.0)
                           for d in range(len(texts))], k)
