@@ -41,7 +41,7 @@ SHARE = 1.5
 LIMIT = 2
 BLOCK = 256
 SHARD = 8192
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 SEED = 20
 ROUNDS = 12
 # Rows that one row may make when a range of numbers is unrolled.

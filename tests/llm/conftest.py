@@ -27,7 +27,7 @@ def documents(spark, texts, extra=()):
 @pytest.fixture(scope="session")
 def nasty(spark):
     """Nasty rows, some of them twice, one without an id."""
-    again = [(3, "a", "en", "b", 1), (3, "a", "en", "b", 1), (None, "no id at all", None, None, None)]
+    again = [(3, "a", "en", "\U00010000", 1), (3, "a", "en", "\U00010000", 1), (None, "no id at all", None, None, None)]
     return documents(spark, NASTY, again).cache()
 
 
