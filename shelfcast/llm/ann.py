@@ -80,7 +80,8 @@ class Index:
         seen = np.zeros(self.n, dtype=bool)
         seen[own] = True
         found, scores = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
-        radius = FIRST_RADIUS * self.typical
+        # Never zero, as in a block of one vector: it is widened by a factor.
+        radius = max(FIRST_RADIUS * self.typical, 1e-6 * self.norm)
         k = min(k, self.n - len(own))
         worst = np.inf
         while k:
