@@ -72,6 +72,9 @@ class Pieces:
         for b, i in enumerate(self.bytes_):
             self.text[i] = bytes([b])
         edges: dict[tuple[int, int], int] = {}
+        self.size = np.array([len(t) for t in self.text], dtype=np.int32)
+        self.start = (self.size.cumsum() - self.size).astype(np.int32)
+        self.flat = np.frombuffer(b"".join(self.text), dtype=np.uint8)
         ends = [-1]
         for i, name in names.items():
             state = 0
@@ -117,8 +120,15 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of piece ids."""
-        raw = b"".join(map(self.text.__getitem__, ids.tolist()))
-        return raw.decode("utf-8", "surrogatepass").removeprefix(" ")
+        return self.spell(ids)[0].tobytes().decode("utf-8", "surrogatepass").removeprefix(" ")
+
+    def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of piece ids, one after another, and the end of each."""
+        size = self.size[ids]
+        ends = size.cumsum()
+        at = np.repeat(self.start[ids] - (ends - size), size)
+        at += np.arange(len(at), dtype=at.dtype)
+        return self.flat[at], ends
 
 
 @lru_cache(maxsize=2)
@@ -149,91 +159,91 @@ def _uniform(base: np.ndarray, part: np.ndarray | int) -> np.ndarray:
 
 
 class Lattice:
-    """The lattices of distinct words: nodes between characters, arcs that are
-    sorted by the node they end at, and cumulative probabilities of the arcs
-    into a node."""
+    """The lattices of distinct words, the longest first.
+
+    Node (w, p) lies before the p-th character of word w.  Nodes are numbered
+    place by place, those of one place by word, so that all sums forward are
+    over ranges.  Arcs are sorted by the node they end at, the widest first;
+    `run` accumulates their probabilities, from `base` of that node on."""
 
     def __init__(self, p: Pieces, codes: np.ndarray, lengths: np.ndarray) -> None:
-        """`codes`: the characters of the words, one word after another."""
-        total, n_nodes = len(codes), len(codes) + len(lengths)
-        # A word of n characters has n + 1 nodes.
-        self.start = (lengths.cumsum() - lengths + np.arange(len(lengths))).astype(np.int32)
-        self.end = self.start + lengths.astype(np.int32)
-        node = np.arange(total, dtype=np.int32) + np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-        last = np.repeat(lengths.cumsum().astype(np.int32), lengths)
-        numbers = p.number[codes]
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # heads, piece ids, width
-        at, state, depth = np.arange(total, dtype=np.int32), np.zeros(total, dtype=np.int32), 0
-        single = np.zeros(total, dtype=bool)
-        while len(at):
-            state = p.step(state, numbers[at + depth])
+        """`codes`: the characters of the words, one word after another;
+        `lengths` descend."""
+        longest, self.words = int(lengths.max()), len(lengths)
+        count = np.searchsorted(-lengths, -np.arange(longest + 2), side="right").astype(np.int32)  # words of a length
+        off = np.append(0, count.cumsum()).astype(np.int32)  # first node of a place
+        char = np.append(0, count[1:].cumsum()).astype(np.int32)  # first character of a place
+        size = lengths.astype(np.int32)
+        word = np.repeat(np.arange(self.words, dtype=np.int32), size)
+        place = np.arange(len(codes), dtype=np.int32) - np.repeat((size.cumsum() - size).astype(np.int32), size)
+        numbers = np.empty(len(codes), dtype=np.int32)
+        numbers[char[place] + word] = p.number[codes]
+        self.end = off[size] + np.arange(self.words, dtype=np.int32)
+        n_nodes = int(off[longest + 1])
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # heads, tails, piece ids
+        single = np.zeros(len(codes), dtype=bool)
+        w, at, state, depth = word, place, np.zeros(len(codes), dtype=np.int32), 0
+        while len(w):
+            state = p.step(state, numbers[char[at + depth] + w])
             ok = state >= 0
-            at, state, depth = at[ok], state[ok], depth + 1
+            w, at, state, depth = w[ok], at[ok], state[ok], depth + 1
             piece = p.terminal[state]
             done = piece >= 0
-            found.append((node[at[done]] + np.int32(depth), piece[done], depth))
+            ww, pp = w[done], at[done]
+            found.append((off[pp + depth] + ww, off[pp] + ww, piece[done]))
             if depth == 1:
-                single[at[done]] = True
-            inside = at + depth < last[at]
-            at, state = at[inside], state[inside]
+                single[char[pp] + ww] = True
+            inside = w < count[at + depth + 1]
+            w, at, state = w[inside], at[inside], state[inside]
         # Spelled characters: their id is the number of the code, from below 0.
-        spelled = np.flatnonzero(~single)
-        spelling, number = np.unique(codes[spelled], return_inverse=True)
+        some = np.flatnonzero(~single[char[place] + word])
+        spelling, number = np.unique(codes[some], return_inverse=True)
         self.spelled = [p.bytes_[list(chr(ord(MARK) if c == REAL_MARK else c).encode("utf-8", "surrogatepass"))]
                         for c in spelling.tolist()]
-        found.insert(0, (node[spelled] + np.int32(1), (-1 - number).astype(np.int32), 1))
+        found.insert(0, (off[place[some] + 1] + word[some], off[place[some]] + word[some], (-1 - number).astype(np.int32)))
         into = np.zeros(n_nodes, dtype=np.int32)
         for head, _, _ in found:
             into[head] += 1  # a node has one arc of a width
         self.first = np.append(0, into.cumsum()).astype(np.int32)
-        # Arcs by the node they end at, the widest first.
         free = self.first[1:].copy()
         arcs = int(self.first[-1])
-        self.head, self.tail, self.piece = (np.empty(arcs, dtype=np.int32) for _ in range(3))
-        self.logp = np.empty(arcs)
+        self.tail, self.piece, self.logp = np.empty(arcs, np.int32), np.empty(arcs, np.int32), np.empty(arcs)
         costs = np.concatenate([p.logp, [p.logp[x].sum() for x in reversed(self.spelled)]])
-        for head, piece, width in found:
+        for head, tail, piece in found:
             free[head] -= 1
             where = free[head]
-            self.head[where], self.tail[where], self.piece[where] = head, head - np.int32(width), piece
+            self.tail[where], self.piece[where] = tail, piece
             self.logp[where] = costs[piece]
-        # Forward sums, all words together, by the end's place in its word.
-        alpha = np.full(n_nodes, -np.inf)
-        alpha[self.start] = 0.0
-        longest = int(lengths.max())
-        place = np.arange(n_nodes, dtype=np.int32) - np.repeat(self.start, lengths + 1)
-        place = np.repeat(place.astype(np.uint16) if longest < 1 << 16 else place, into)
-        by_place = np.argsort(place, kind="stable").astype(np.int32)
-        stop = np.bincount(place, minlength=longest + 1).cumsum()
-        for a, z in zip(stop[:-1].tolist(), stop[1:].tolist()):
-            some = by_place[a:z]
-            head = self.head[some]
-            first = np.flatnonzero(np.append(True, head[1:] != head[:-1]))
-            alpha[head[first]] = np.logaddexp.reduceat(alpha[self.tail[some]] + self.logp[some], first)
+        # Forward sums, place by place; every node but the first ones has an arc.
+        alpha, self.share = np.zeros(n_nodes), np.empty(arcs)
+        for a, z in zip(off[1:longest + 1].tolist(), off[2:longest + 2].tolist()):
+            i, j = int(self.first[a]), int(self.first[z])
+            value = alpha[self.tail[i:j]] + self.logp[i:j]
+            alpha[a:z] = np.logaddexp.reduceat(value, self.first[a:z] - i)
+            self.share[i:j] = value
         self.alpha = alpha
-        self.share = np.exp(alpha[self.tail] + self.logp - np.repeat(alpha, into))
-        run = self.share.cumsum()
-        self.cum = run - np.repeat(np.append(0.0, run)[self.first[:-1]], into)
-        self.cum[self.first[1:][into > 0] - 1] = np.inf  # the last arc takes what rounding leaves
-
-    def draw(self, nodes: np.ndarray, stops: np.ndarray, key: np.ndarray, which: int, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Paths back from `nodes` to `stops`: counts of arcs by occurrence, and
-        the arcs, one occurrence after another."""
+        self.share -= np.repeat(alpha, into)
+        np.exp(self.share, out=self.share)
+        self.run = self.share.cumsum()
+        self.base = np.append(0.0, self.run)[self.first[:-1]]
+        self.run[self.first[1:][into > 0] - 1] = np.inf  # the last arc takes what rounding leaves
+
+    def draw(self, nodes: np.ndarray, key: np.ndarray, which: int, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Paths back from `nodes` to their words' starts: counts of arcs by
+        occurrence, and the arcs, one occurrence after another."""
         taken: list[tuple[np.ndarray, np.ndarray]] = []
-        live, at, step = np.arange(len(nodes), dtype=np.int32), nodes, 0
-        base = _hash(key, which, number)
-        ended = at == stops
-        live, at = live[~ended], at[~ended]
+        live, at, step = np.flatnonzero(nodes >= self.words).astype(np.int32), nodes[nodes >= self.words], 0
+        hashes = _hash(key, which, number)
         while len(live):
-            u = _uniform(base[live], step)
+            u = self.base[at] + _uniform(hashes[live], step)
             arc = self.first[at]
-            over = np.flatnonzero(u > self.cum[arc])
+            over = np.flatnonzero(u > self.run[arc])
             while len(over):
                 arc[over] += 1
-                over = over[u[over] > self.cum[arc[over]]]
+                over = over[u[over] > self.run[arc[over]]]
             taken.append((live, arc))
             at, step = self.tail[arc], step + 1
-            open_ = at != stops[live]
+            open_ = at >= self.words
             live, at = live[open_], at[open_]
         counts = np.zeros(len(nodes), dtype=np.int32)
         for live, _ in taken:
@@ -244,18 +254,22 @@ class Lattice:
             arcs[offset[live] + step] = arc
         return counts, arcs
 
-    def ids(self, arcs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Piece ids of arcs that come word by word, each word's from its end."""
+    def ids(self, arcs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of arcs that come word by word, each word's from its end;
+        and the number of ids before each arc, and in all."""
         stop = counts.cumsum()
-        word = np.repeat(np.arange(len(counts)), counts)
-        flipped = self.piece[arcs[(stop - counts)[word] + stop[word] - 1 - np.arange(len(arcs))]]
-        if (flipped >= 0).all():
-            return flipped.astype(np.int32)
-        parts, begin = [], 0
-        for k in np.flatnonzero(flipped < 0):
-            parts += [flipped[begin:k], self.spelled[-1 - flipped[k]]]
-            begin = k + 1
-        return np.concatenate([*parts, flipped[begin:]]).astype(np.int32)
+        mirror = np.repeat((2 * stop - counts - 1).astype(np.int32), counts) - np.arange(len(arcs), dtype=np.int32)
+        found = self.piece[arcs[mirror]]
+        spelled = np.flatnonzero(found < 0)
+        if not len(spelled):
+            return found, np.arange(len(arcs) + 1)
+        width = np.ones(len(arcs), dtype=np.int64)
+        width[spelled] = [len(self.spelled[-1 - c]) for c in found[spelled].tolist()]
+        before = np.append(0, width.cumsum())
+        out = np.repeat(found, width)
+        for k, c in zip(spelled.tolist(), found[spelled].tolist()):
+            out[before[k]:before[k + 1]] = self.spelled[-1 - c]
+        return out, before
 
 
 class _Search:
@@ -276,7 +290,7 @@ class _Search:
         self.agenda.remove(entry)
         bound, which, step, out, mass = entry
         lat = self.lat
-        node = lat.head[self.paths[which][1][step]]
+        node = int(np.searchsorted(lat.first, self.paths[which][1][step], side="right")) - 1
         arcs = np.array([a for a in range(lat.first[node], lat.first[node + 1]) if a not in out])
         share = lat.share[arcs]
         # The best child of those left, then what remains beside it.
@@ -325,27 +339,27 @@ def _note(lat: Lattice, searches: list[_Search], found: list[tuple], k: int) ->
             u = _uniform(base[live, None], col)
             bounds = np.where(rest > -np.inf, rest - np.log(np.exp(rest - bound[live, None]) - np.log(u)), -np.inf)
         top = np.argpartition(-bounds, k, axis=1)[:, :k + 1]
-        more = []
-        for i, row in enumerate(live.tolist()):
-            agenda = searches[found[row][0]].agenda
-            agenda += [(float(bounds[i, j]), int(which[row]), int(col[i, j]), frozenset([int(arcs[i, j])]), float(mass[i, j]))
-                       for j in top[i].tolist() if bounds[i, j] > -np.inf]
+        best = (np.take_along_axis(x, top, 1).tolist() for x in (bounds, col, arcs, mass))
+        more, left = [], sums[:, -1].tolist()
+        for row, end, entries in zip(live.tolist(), left, zip(*best)):
+            agenda, me = searches[found[row][0]].agenda, int(which[row])
+            agenda += [(g, me, j, frozenset((x,)), m) for g, j, x, m in zip(*entries) if g > -np.inf]
             if len(agenda) > k + 1:
                 agenda.sort(reverse=True)
                 del agenda[k + 1:]
             worst = agenda[-1][0] if len(agenda) > k else -np.inf
-            if step[row] + STEPS < size[row] and sums[i, -1] + MOST_GUMBEL > worst:
+            if step[row] + STEPS < size[row] and end + MOST_GUMBEL > worst:
                 more.append(row)
                 step[row] += STEPS
-                before[row] = sums[i, -1]
+                before[row] = end
         live = np.array(more, dtype=np.int64)
 
 
 def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The words of texts, each text with a space before it: numbers of the
     distinct words, text after text; words of each text; and the characters and
-    lengths of the distinct words.  A word is a run of spaces and of what
-    follows up to the next space."""
+    lengths of the distinct words, the longest first.  A word is a run of spaces
+    and of what follows up to the next space."""
     given = [" " + t if t else "" for t in texts]
     size = np.array([len(t) for t in given], dtype=np.int64)
     codes = np.frombuffer("".join(given).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
@@ -376,6 +390,10 @@ def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         if same.all() and (length[one][flat] == length).all():
             break
         seed += 1
+    longest = np.argsort(-length[one], kind="stable")
+    rank = np.empty(len(one), dtype=np.int32)
+    rank[longest] = np.arange(len(one), dtype=np.int32)
+    one, flat = one[longest], rank[flat]
     kept = length[one]
     at = np.repeat(start[one] - np.append(0, kept.cumsum()[:-1]), kept) + np.arange(int(kept.sum()))
     return flat, sizes, codes[at], kept
@@ -394,7 +412,7 @@ def sample(texts: list[str | None], keys: np.ndarray, k: int, p: Pieces) -> list
     # The first path of every text at once.
     owner = np.repeat(np.arange(len(types)), sizes)
     number = np.arange(len(flat)) - word_at[owner]
-    counts, arcs = lat.draw(lat.end[flat], lat.start[flat], keys[owner], 0, number)
+    counts, arcs = lat.draw(lat.end[flat], keys[owner], 0, number)
     roots = -np.log(-np.log(_uniform(_hash(keys), -7)))
     arc_at = np.append(0, counts.cumsum())[word_at]
     _note(lat, searches, [(d, counts[word_at[d]:word_at[d + 1]], arcs[arc_at[d]:arc_at[d + 1]], float(roots[d]), 0, 0.0)
@@ -402,34 +420,40 @@ def sample(texts: list[str | None], keys: np.ndarray, k: int, p: Pieces) -> list
     for which in range(1, k):
         jobs = [(d, x) for d, s in enumerate(searches) if len(s.paths) == which and (x := s.branch()) is not None]
         _extend(lat, searches, jobs, keys, which, k)
-    out = []
-    for s in searches:
-        kappa, rows = s.kappa(), []
-        for counts, arcs, bound in s.paths:
-            logp = float(lat.logp[arcs].sum()) - s.logs
-            rows.append((lat.ids(arcs, counts), logp, bound, float(-np.expm1(-np.exp(min(50.0, logp - kappa))))))
-        out.append(rows)
+    out: list[list[tuple]] = [[] for _ in texts]
+    for which in range(k):
+        rows = [d for d, s in enumerate(searches) if len(s.paths) > which]
+        if not rows:
+            break
+        arcs = np.concatenate([searches[d].paths[which][1] for d in rows])
+        ids, before = lat.ids(arcs, np.concatenate([searches[d].paths[which][0] for d in rows]))
+        cut = np.append(0, np.cumsum([len(searches[d].paths[which][1]) for d in rows]))
+        sums = np.append(0.0, lat.logp[arcs].cumsum())
+        for d, a, z in zip(rows, cut[:-1].tolist(), cut[1:].tolist()):
+            s = searches[d]
+            # A short path's own sum: differences of long ones lose digits.
+            logp = (float(lat.logp[arcs[a:z]].sum()) if z - a < 64 else float(sums[z] - sums[a])) - s.logs
+            score = float(-np.expm1(-np.exp(min(50.0, logp - s.kappa()))))
+            out[d].append((ids[before[a]:before[z]], logp, s.paths[which][2], score))
     return out
 
 
 def _extend(lat: Lattice, searches: list[_Search], jobs: list[tuple], keys: np.ndarray, which: int, k: int) -> None:
     """The next path of each text of `jobs`: the words after the branch, and the
     rest of the branch's word, are drawn anew, all texts together."""
-    plans, nodes, stops, owners, numbers = [], [], [], [], []
+    plans, nodes, owners, numbers = [], [], [], []
     for d, (old, step, arc, bound, after) in jobs:
         counts, arcs, _ = searches[d].paths[old]
         word = int(np.searchsorted(counts.cumsum(), step, side="right"))
         later = searches[d].types[word + 1:]
         plans.append((d, counts[:word], arcs[:step], arc, step - int(counts[:word].sum()) + 1, bound, after, len(later) + 1))
         nodes += [lat.tail[arc:arc + 1], lat.end[later]]
-        start = lat.start[searches[d].types[word:]]
-        stops.append(start)
-        owners.append(np.full(len(start), d))
-        numbers.append(np.arange(word, word + len(start)))
+        owners.append(np.full(len(later) + 1, d))
+        numbers.append(np.arange(word, word + len(later) + 1))
     if not plans:
         return
     owner = np.concatenate(owners)
-    counts, arcs = lat.draw(np.concatenate(nodes), np.concatenate(stops), keys[owner], which, np.concatenate(numbers))
+    counts, arcs = lat.draw(np.concatenate(nodes), keys[owner], which, np.concatenate(numbers))
     at, word, found = np.append(0, counts.cumsum()), 0, []
     for d, counts_before, arcs_before, arc, in_word, bound, after, n in plans:
         new = counts[word:word + n].copy()
@@ -449,15 +473,26 @@ def encode(docs: DataFrame, k: int = 2, alpha: float = 1.0, model: str = MODEL)
         for b in batches:
             for part in _parts(b):
                 texts = part["text"].tolist()
-                rows = [(doc_id, rank, ids, logp, g, score, p.decode(ids) == (text or ""))
-                        for doc_id, text, found in zip(part["doc_id"], texts, sample(texts, part["_key"].to_numpy(), k, p))
-                        for rank, (ids, logp, g, score) in enumerate(found, 1)]
+                found = sample(texts, part["_key"].to_numpy(), k, p)
+                same = iter(_exact(texts, found, p))
+                rows = [(doc_id, rank, ids, logp, g, score, next(same))
+                        for doc_id, paths in zip(part["doc_id"], found)
+                        for rank, (ids, logp, g, score) in enumerate(paths, 1)]
                 yield pd.DataFrame(rows, columns=["doc_id", "rank", "ids", "log_prob", "perturbed", "inclusion", "exact"])
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_key")).mapInPandas(
         run, f"doc_id {kind}, rank int, ids array<int>, log_prob double, perturbed double, inclusion double, exact boolean")
 
 
+def _exact(texts: list[str | None], found: list[list[tuple]], p: Pieces) -> list[bool]:
+    """Whether each segmentation's ids decode to its text, all decoded at once."""
+    every = [ids for paths in found for ids, *_ in paths]
+    raw, ends = p.spell(np.concatenate(every))
+    cut = np.append(0, ends)[np.append(0, np.cumsum([len(ids) for ids in every]))].tolist()
+    want = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    return [raw[a:z].tobytes() == w for a, z, w in zip(cut[:-1], cut[1:], (w for w, paths in zip(want, found) for _ in paths))]
+
+
 def _parts(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
     """Rows of about TOGETHER characters; a longer text is a part of its own."""
     size = b["text"].map(lambda t: len(t) if t else 0).cumsum().to_numpy()
