@@ -139,8 +139,10 @@ class Parser:
             nxt = self.move[state[:, :n] * CLASSES + c]
             lost = nxt < 0
             again = self.move[start[:, :n][lost] * CLASSES + np.broadcast_to(c, lost.shape)[lost]]
-            # A character that no sample has is a phrase of its own.
+            # A character that the sample lacks is a phrase of its own, beside
+            # the one that it may end.
             count[:, :n] += lost
+            count[:, :n][lost] += (again < 0) & (state[:, :n][lost] != start[:, :n][lost])
             nxt[lost] = np.where(again < 0, start[:, :n][lost], again)
             state[:, :n] = nxt
         return (count + (state != start)).T
