@@ -130,80 +130,40 @@ def extract_numbers(text: str | Column) -> Column:
     return F.regexp_extract_all(col_(text), F.lit(NUMBER_PATTERN), 0)
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast `df` only when a count proves it holds at most `max_rows` rows;
-    otherwise leave the join strategy to the planner (sort-merge with AQE
-    skew splitting).  The count is one cheap job over a dimension table."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def global_rank(df: DataFrame, order_col: str, descending: bool = True,
-                tie_cols: tuple[str, ...] = (), partitions: int | None = None) -> DataFrame:
-    """rank / dense_rank / percent_rank / row_number over the whole table
-    without funnelling it into one task.
-
-    Rows are range-partitioned on the order key (equal keys land in the same
-    partition), ranked locally, then shifted by the row and distinct-value
-    counts of all earlier partitions (a table with one row per partition).
-    """
+                partitions: int | None = None) -> DataFrame:
+    """rank / dense_rank / percent_rank over the whole table without a single
+    task that holds it.
+
+    Rows are counted by key, so ties, however many, are one row from there on.
+    The counted keys are range-partitioned once, into a table: their partition
+    numbers are then data, and the running counts within a partition and the
+    totals of the partitions before it agree.  Null keys rank as one value."""
     from pyspark.sql import Window
 
-    spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    parted = df.repartitionByRange(n_parts, key).withColumn("_pid", F.spark_partition_id())
-    w_rn = Window.partitionBy("_pid").orderBy(key, *tie_cols)
-    w = Window.partitionBy("_pid").orderBy(key)
-    local = parted.withColumns({
-        "_rn": F.row_number().over(w_rn), "_rk": F.rank().over(w), "_drk": F.dense_rank().over(w)})
-    sizes = parted.groupBy("_pid").agg(F.count("*").alias("_n"),
-                                      F.count_distinct(order_col).alias("_nd"))
-    ws = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per partition: the offsets table is bounded by the partition count.
-    offsets = sizes.select(
-        "_pid",
-        F.coalesce(F.sum("_n").over(ws), F.lit(0)).alias("_off"),
-        F.coalesce(F.sum("_nd").over(ws), F.lit(0)).alias("_doff"),
-        F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
-            Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"))
-    out = local.join(F.broadcast(offsets), "_pid")
-    return out.select(
-        *[c for c in df.columns],
-        (F.col("_rn") + F.col("_off")).cast("int").alias("row_number"),
-        (F.col("_rk") + F.col("_off")).cast("int").alias("rank"),
-        (F.col("_drk") + F.col("_doff")).cast("int").alias("dense_rank"),
+    from shelfcast.session import materialize
+    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.col("_key").desc() if descending else F.col("_key").asc()
+    counted = df.groupBy(F.col(order_col).alias("_key")).agg(F.count("*").alias("_n"))
+    keys = materialize(counted.repartitionByRange(n_parts, key).withColumn("_pid", F.spark_partition_id()), "rank-keys")
+    ahead = Window.partitionBy("_pid").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    local = keys.withColumns({"_before": F.coalesce(F.sum("_n").over(ahead), F.lit(0)),
+                              "_keys_before": F.count("*").over(ahead)})
+    # One row per partition.
+    parts = keys.groupBy("_pid").agg(F.sum("_n").alias("_rows"), F.count("*").alias("_keys"))
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(
+        "_pid", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_off"),
+        F.coalesce(F.sum("_keys").over(earlier), F.lit(0)).alias("_koff"),
+        F.sum("_rows").over(Window.partitionBy()).alias("_total"))
+    ranks = local.join(offsets, "_pid").select(
+        "_key", "_total", (F.col("_off") + F.col("_before") + 1).alias("_rank"),
+        (F.col("_koff") + F.col("_keys_before") + 1).alias("_dense"))
+    return df.join(ranks, F.col(order_col).eqNullSafe(F.col("_key"))).select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        F.col("_rank").alias("rank"), F.col("_dense").alias("dense_rank"),
         F.when(F.col("_total") <= 1, F.lit(0.0)).otherwise(
-            (F.col("_rk") + F.col("_off") - 1) / (F.col("_total") - 1)).alias("percent_rank"),
-    )
-
-
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_of: Column,
-                salts: int = 16, how: str = "inner") -> DataFrame:
-    """Equi-join that splits hot keys: rows of `big` get a salt in [0, salts)
-    from `salt_of` (e.g. a hash of another column), and every row of `small`
-    is repeated once per salt.  A key holding a third of `big` is spread over
-    `salts` tasks; `small` grows by the factor `salts` only."""
-    b = big.withColumn("_salt", F.pmod(salt_of, F.lit(salts)))
-    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return b.join(s, [*keys, "_salt"], how).drop("_salt")
-
-
-# Lookup tables (e.g. a vocabulary) up to this many rows are broadcast.
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def join_lookup(big: DataFrame, small: DataFrame, keys: list[str], salt_of: Column,
-                small_rows: int | None = None, max_rows: int = MAX_BROADCAST_ROWS,
-                salts: int = 16, how: str = "inner") -> DataFrame:
-    """Join a (possibly skewed) fact side to a lookup table: broadcast the
-    table when its row count - given, or counted here - is at most
-    `max_rows`; otherwise a salted sort-merge join spreads hot keys."""
-    n = small_rows if small_rows is not None else small.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return big.join(F.broadcast(small), keys, how)
-    return salted_join(big, small, keys, salt_of, salts, how)
+            (F.col("_rank") - 1) / (F.col("_total") - 1)).alias("percent_rank"))
 
 
 # Fixed value: Python `str.split()` whitespace, as one character class.
@@ -225,3 +185,17 @@ def ngrams(tokens: Column, n: int) -> Column:
         g = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " "))
         return F.when(F.size(t) >= n, g).otherwise(F.array().cast("array<string>"))
     return let(tokens, grams)
+
+
+def term_counts(text: str | Column) -> Column:
+    """array<struct<term, tf>> of the word tokens of one text, counted within
+    the row: sorted tokens, cut where they change."""
+    empty = F.array().cast("array<struct<term:string,tf:int>>")
+
+    def counted(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (
+            F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+        return F.when(F.size(s) > 0, let(starts, lambda b: F.zip_with(
+            b, F.concat(F.slice(b, F.lit(2), F.size(b)), F.array(F.size(s) + 1)),
+            lambda i, j: F.struct(F.element_at(s, i).alias("term"), (j - i).alias("tf"))))).otherwise(empty)
+    return let(F.array_sort(F.coalesce(words(text), F.array().cast("array<string>"))), counted)

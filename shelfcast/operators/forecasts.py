@@ -136,6 +136,16 @@ def forecast_long(windows: DataFrame, models=("seasonal_naive",), with_actuals:
         "model", *extra)
 
 
+def one_per_day(fr: DataFrame) -> DataFrame:
+    """One row per (series, day, model): the forecast of the smallest horizon.
+    The last days of a series have no one-step forecast, as a window needs a
+    whole horizon of actuals; they keep the shortest one there is.  The rows are
+    partitioned by series already, so this adds no shuffle."""
+    rest = [c for c in fr.columns if c not in (*KEYS, "date", "model")]
+    return (fr.groupBy(*KEYS, "date", "model").agg(F.min_by(F.struct(*rest), "horizon").alias("r"))
+            .select(*KEYS, "date", "model", "r.*"))
+
+
 def attach_actuals(fc_long: DataFrame, panel: DataFrame) -> DataFrame:
     """Forecast <-> actual (J1): inner equi-join on (store, product, date), for
     forecasts that do not carry their actuals; also brings the day's price."""

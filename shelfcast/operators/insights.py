@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions import rules
 from shelfcast.functions.exprs import bround2, r6, safe_div
+from shelfcast.operators.forecasts import one_per_day
 from shelfcast.operators.panel import KEYS
 
 RECENT_DAYS = 7
@@ -26,10 +27,11 @@ TRAINING_TEXT = "### Instruction:\n{instruction}\n\n### Input:\n{input}\n\n### R
 
 
 def series_metrics(forecast_results: DataFrame, model: str = "seasonal_naive",
-                   horizon: int = 1, recent: int = RECENT_DAYS) -> DataFrame:
+                   recent: int = RECENT_DAYS) -> DataFrame:
     """avg sales, forecast accuracy, trend (last vs first by date, ties count
-    as decreasing), sample std, the last `recent` actuals in date order."""
-    fr = forecast_results.where((F.col("model") == model) & (F.col("horizon") == horizon))
+    as decreasing), sample std, the last `recent` actuals in date order, over
+    one forecast per day up to the series' last day."""
+    fr = one_per_day(forecast_results.where(F.col("model") == model))
     w = Window.partitionBy(*KEYS).orderBy(F.col("date").desc())
     ranked = fr.withColumn("rk", F.row_number().over(w))
     a, f = F.col("actual_sales"), F.col("forecast")

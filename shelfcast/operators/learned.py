@@ -2,15 +2,18 @@
 models, re-aimed as a pooled direct multi-output linear autoregression).
 
 * Features: the scaled 14 x 7 window flattened feature-major into a 98-long
-  vector; labels: the scaled 7 targets.  One `LinearRegression` per horizon
-  step (a driver loop over 7 steps, each fit is a distributed pass; the
-  normal-equation solver aggregates a 98 x 98 Gram matrix per task).
+  vector, or only the mean of its scaled sales (`FEATURE_SETS`); labels: the
+  scaled 7 targets.  One `LinearRegression` per horizon step: a driver loop of 7
+  fits, each one distributed pass over the narrow training table, whose
+  normal-equation solver aggregates a Gram matrix per task.
 * Leakage-free by default: time split, scalers fitted on training windows only.
+* The panel and the scaled windows are tables of their own in the shared
+  folder, so that no pass computes them again.
 * Persistence: the 7 step models form one `PipelineModel`
-  (`write().overwrite().save` / `PipelineModel.load`); scaler parameters are a
-  parquet table.
-* `pandas_scorer` is the generic scoring hook: `mapInPandas`, with the model
-  loaded once per partition and applied to Arrow batches with NumPy.
+  (`write().overwrite().save` / `PipelineModel.load`); both scalers are parquet
+  tables, and scoring reads model and scalers back.
+* Scoring is `mapInPandas`: the model rides with the function and is applied to
+  Arrow batches with NumPy.
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
@@ -31,54 +33,60 @@ from shelfcast.operators import scaling as sc
 from shelfcast.operators.panel import FEATURES, KEYS
 from shelfcast.operators.splits import cutoff_date, time_split
 from shelfcast.operators.windows import HORIZON, LOOKBACK, sliding_windows
+from shelfcast.session import materialize
 
-# Ridge penalties compared by `experiment_grid`; the default penalty of the
-# Spark ML fit keeps the normal equations well posed (calendar features are
-# collinear: the weekend flag is a function of the weekday).
-GRID = (1e-4, 1e-3, 1e-2, 1e-1, 1.0)
+# The penalty keeps the normal equations well posed: calendar features are
+# collinear (the weekend flag is a function of the weekday).
 DEFAULT_REG = 1e-3
 
+# Features of a scaled window.
+FEATURE_SETS = {
+    "window": lambda: F.flatten(F.array(*[F.col(f"xs_{f}") for f in FEATURES])),
+    "mean": lambda: F.array(F.aggregate("xs_sales", F.lit(0.0), lambda a, x: a + x) / F.size("xs_sales")),
+}
 
-def with_features(scaled: DataFrame) -> DataFrame:
-    feats = F.flatten(F.array(*[F.col(f"xs_{f}") for f in FEATURES]))
-    cols = {"features": array_to_vector(feats)}
-    if "ys" in scaled.columns:
-        cols.update({f"label_{h}": F.col("ys")[h] for h in range(HORIZON)})
-    return scaled.withColumns(cols)
 
-
-def prepared(panel: DataFrame, train_fraction: float = 0.8):
-    """Windows with their time split, scalers fitted on training windows only.
-    The panel is persisted: the cut-off, both scaler fits and the design
-    matrix all read it."""
-    panel = panel.persist(StorageLevel.MEMORY_AND_DISK)
+def split_windows(panel: DataFrame, train_fraction: float = 0.8):
+    """Windows with their time split, and the scalers of the training windows."""
     cutoff = cutoff_date(panel, train_fraction)
     windows = time_split(sliding_windows(panel, with_dates=True), cutoff)
-    w = Window.partitionBy(*KEYS).orderBy("date")
-    end_date = F.lead("date", LOOKBACK + HORIZON - 1).over(w)
-    x_params = sc.fit_input_scaler(panel, selected=end_date < F.lit(cutoff))
-    y_params = sc.fit_target_scaler(windows.where(F.col("split") == "train"))
-    scaled = with_features(sc.scale_windows(windows, x_params, y_params))
-    # Cache only what fitting and scoring read (the vector, labels, targets).
-    keep = [*KEYS, "pos", "start_date", "split", "features", *[f"label_{h}" for h in range(HORIZON)], "ys", "y"]
-    scaled = scaled.select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
-    return scaled, x_params, y_params
+    return windows, fit_train_scaler(panel, cutoff), sc.fit_target_scaler(windows.where(F.col("split") == "train"))
+
+
+def fit_train_scaler(panel: DataFrame, cutoff) -> DataFrame:
+    """Input scaler of the windows whose last target day is before `cutoff`."""
+    end_date = F.lead("date", LOOKBACK + HORIZON - 1).over(Window.partitionBy(*KEYS).orderBy("date"))
+    return sc.fit_input_scaler(panel, selected=F.coalesce(end_date < F.lit(cutoff), F.lit(False)))
+
+
+def prepared(panel: DataFrame, train_fraction: float = 0.8, features: str = "window"):
+    """(scaled, x_params, y_params); `scaled` holds what fitting reads, as a table."""
+    panel = materialize(panel, "learn-panel")
+    windows, x_params, y_params = split_windows(panel, train_fraction)
+    return materialize(scaled_features(windows, x_params, y_params, features), "learn-windows"), x_params, y_params
+
+
+def scaled_features(windows: DataFrame, x_params: DataFrame, y_params: DataFrame, features: str) -> DataFrame:
+    scaled = sc.scale_windows(windows, x_params, y_params).withColumn("f", FEATURE_SETS[features]())
+    return scaled.select(*KEYS, "pos", "start_date", "split", "f", "ys", "y")
 
 
 def fit_steps(train: DataFrame, reg: float = DEFAULT_REG, elastic: float = 0.0, max_iter: int = 100) -> PipelineModel:
+    rows = train.select(array_to_vector("f").alias("features"), *[F.col("ys")[h].alias(f"label_{h}") for h in range(HORIZON)])
     models = []
     for h in range(HORIZON):
         lr = LinearRegression(featuresCol="features", labelCol=f"label_{h}", predictionCol=f"pred_{h}",
                               regParam=reg, elasticNetParam=elastic, maxIter=max_iter,
                               solver="normal" if elastic == 0.0 else "auto", standardization=False)
-        models.append(lr.fit(train))
+        models.append(lr.fit(rows))
     return PipelineModel(stages=models)
 
 
 def predict(model: PipelineModel, scaled: DataFrame, y_params: DataFrame) -> DataFrame:
-    out = model.transform(scaled)
-    z = F.array(*[F.col(f"pred_{h}") for h in range(HORIZON)])
-    return out.withColumn("forecast", sc.inverse_scale_y(z, y_params))
+    """`scaled` with its forecast in sales units."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scaled.schema)
+    out = scaled.mapInPandas(pandas_scorer(model), f"{fields}, z array<double>")
+    return out.withColumn("forecast", sc.inverse_scale_y(F.col("z"), y_params)).drop("z")
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -89,122 +97,65 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def ar_linear_forecast(panel: DataFrame, model_dir: str, reg: float = DEFAULT_REG) -> DataFrame:
-    """Fit on the training windows, persist model and scalers, load them back
-    and forecast the test windows in sales units."""
-    scaled, x_params, y_params = prepared(panel)
-    train = scaled.where(F.col("split") == "train").select("features", *[f"label_{h}" for h in range(HORIZON)])
-    model = fit_steps(train, reg)
-    save_model(model, f"{model_dir}/model")
+def ar_linear_forecast(panel: DataFrame, model_dir: str, reg: float = DEFAULT_REG, features: str = "window") -> DataFrame:
+    """Fit on the training windows, save the model and both scalers, load them
+    back, and forecast the test windows from their raw values."""
+    spark = panel.sparkSession
+    panel = materialize(panel, "learn-panel")
+    windows, x_params, y_params = split_windows(panel)
+    sc.save_params(x_params, f"{model_dir}/x_params")
     sc.save_params(y_params, f"{model_dir}/y_params")
-    loaded = load_model(f"{model_dir}/model")
-    y_loaded = sc.load_params(panel.sparkSession, f"{model_dir}/y_params")
-    test = scaled.where(F.col("split") == "test")
-    out = predict(loaded, test, y_loaded)
+    train = materialize(scaled_features(windows.where(F.col("split") == "train"), x_params, y_params, features)
+                        .select("f", "ys"), "learn-train")
+    save_model(fit_steps(train, reg), f"{model_dir}/model")
+
+    model = load_model(f"{model_dir}/model")
+    x_params, y_params = (sc.load_params(spark, f"{model_dir}/{k}_params") for k in "xy")
+    test = scaled_features(windows.where(F.col("split") == "test"), x_params, y_params, features)
+    out = predict(model, test.drop("ys", "split"), y_params)
     return out.select(*KEYS, "pos", "start_date", F.transform("forecast", lambda v: r6(v)).alias("forecast"), "y")
 
 
-def forecast_errors(fc: DataFrame) -> DataFrame:
-    cells = fc.select(F.explode(F.arrays_zip("forecast", "y")).alias("c"))
-    a, p = F.col("c.y"), F.col("c.forecast")
-    return cells.agg(r6(F.avg(F.abs(p - a))).alias("mae"),
-                     r6(F.avg(F.abs((a - p) / (a + F.lit(1e-8)))) * 100).alias("mape"),
-                     F.count("*").alias("n_cells"))
-
-
-def _flat_features():
-    from pyspark.ml.functions import vector_to_array
-    return vector_to_array("features")
-
-
-def normal_equations(train: DataFrame, horizon: int = HORIZON) -> dict:
-    """One distributed pass: every partition accumulates X'X, X'Y and Y'Y
-    (with an intercept column) in NumPy over its Arrow batches and emits them
-    as (index, value) rows; Spark sums them.  The result is bounded by the
-    feature count ((d+1)^2 + (d+1)*H + H values), so it is collected."""
-    d = LOOKBACK * len(FEATURES)
-    n_g, n_b = (d + 1) ** 2, (d + 1) * horizon
-
-    def part(batches):
-        g = np.zeros((d + 1, d + 1))
-        b = np.zeros((d + 1, horizon))
-        yy = np.zeros(horizon)
-        n = 0.0
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.column_stack([np.ones(len(pdf)), np.vstack(pdf["f"].to_numpy())])
-            y = np.vstack(pdf["ys"].to_numpy())
-            g += x.T @ x
-            b += x.T @ y
-            yy += (y * y).sum(axis=0)
-            n += len(pdf)
-        vals = np.concatenate([g.ravel(), b.ravel(), yy, [n]])
-        yield pd.DataFrame({"k": np.arange(vals.size, dtype="int64"), "v": vals})
-
-    stats = (train.select(_flat_features().alias("f"), "ys").mapInPandas(part, "k long, v double")
-             .groupBy("k").agg(F.sum("v").alias("v")).collect())
-    vec = np.zeros(n_g + n_b + horizon + 1)
-    for r in stats:
-        vec[r["k"]] = r["v"]
-    return {"xtx": vec[:n_g].reshape(d + 1, d + 1), "xty": vec[n_g:n_g + n_b].reshape(d + 1, horizon),
-            "yty": vec[n_g + n_b:n_g + n_b + horizon], "n": vec[-1]}
-
-
-def ridge_solve(ne: dict, reg: float) -> np.ndarray:
-    """Minimise (1/2n)||Y - XW||^2 + (reg/2)||W||^2 (intercept unpenalised)."""
-    n = max(ne["n"], 1.0)
-    pen = np.eye(ne["xtx"].shape[0]) * reg
-    pen[0, 0] = 0.0
-    return np.linalg.solve(ne["xtx"] / n + pen, ne["xty"] / n)
-
-
-def _train_rmse(ne: dict, w: np.ndarray) -> float:
-    # RSS per step = y'y - 2 w'X'y + w'X'Xw, from the same statistics.
-    rss = ne["yty"] - 2 * np.einsum("ih,ih->h", w, ne["xty"]) + np.einsum("ih,ij,jh->h", w, ne["xtx"], w)
-    return float(np.mean(np.sqrt(np.maximum(rss, 0.0) / max(ne["n"], 1.0))))
-
-
-def experiment_grid(panel: DataFrame, grid=GRID) -> DataFrame:
-    """One row per ridge penalty: training RMSE (scaled, mean over steps) and
-    test MAE / MAPE in sales units, with the MAPE < 15 % gate.  All
-    configurations share one pass that builds the normal equations; each
-    solve is a (d+1) x (d+1) system on the driver, each evaluation one pass."""
-    spark = panel.sparkSession
-    scaled, _, y_params = prepared(panel)
-    train = scaled.where(F.col("split") == "train")
-    test = scaled.where(F.col("split") == "test")
-    ne = normal_equations(train)
-    rows = []
-    for reg in grid:
-        w = ridge_solve(ne, reg)
-        coef = F.array(*[F.array(*[F.lit(float(w[j, h])) for j in range(1, w.shape[0])]) for h in range(w.shape[1])])
-        z = F.transform(coef, lambda c, h: F.element_at(F.array(*[F.lit(float(v)) for v in w[0]]), h + 1)
-                        + F.aggregate(F.zip_with(F.col("f"), c, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
-        pred = test.select(_flat_features().alias("f"), "y").select(
-            sc.inverse_scale_y(z, y_params).alias("forecast"), "y")
-        err = forecast_errors(pred).first()
-        rows.append((float(reg), round(_train_rmse(ne, w), 6), err["mae"], err["mape"], bool(err["mape"] < 15.0)))
-    scaled.unpersist()
-    return spark.createDataFrame(rows, "reg_param double, train_rmse_scaled double, "
-                                       "test_mae double, test_mape double, meets_target boolean")
-
-
 def pandas_scorer(model: PipelineModel):
-    """mapInPandas function applying the step models with NumPy to a
-    flattened feature array column `f`.  The coefficients (7 x 98 doubles)
-    ride in the closure, so each partition loads the model once and scores
-    whole Arrow batches."""
+    """mapInPandas function applying the step models with NumPy to a feature
+    array column `f`; other columns pass through.  The coefficients (7 x 98
+    doubles at most) ride in the closure."""
     coef = np.array([m.coefficients.toArray() for m in model.stages])
     icpt = np.array([m.intercept for m in model.stages])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = np.vstack(pdf["f"].to_numpy()) if len(pdf) else np.zeros((0, coef.shape[1]))
-            z = x @ coef.T + icpt
-            yield pd.DataFrame({"store_id": pdf["store_id"], "product_id": pdf["product_id"], "pos": pdf["pos"],
-                                "z": list(z)})
+            yield pdf.assign(z=list(x @ coef.T + icpt))
     return score
 
 
-SCORER_SCHEMA = "store_id int, product_id int, pos int, z array<double>"
+# Parameters compared by `experiment_grid`: model, season, recency temperature.
+GRID = (("seasonal_naive", 1, None), ("seasonal_naive", 7, None), ("seasonal_naive", 14, None),
+        ("recency_weighted", None, 0.5), ("recency_weighted", None, 2.0), ("recency_weighted", None, 8.0))
+
+
+def experiment_grid(panel: DataFrame, grid=GRID) -> DataFrame:
+    """One row per parameter set of the closed-form baselines, with its error
+    over all windows and the MAPE < 15 % gate, in one pass: every window sums
+    its own errors for all sets, and the sums are aggregated by set."""
+    from shelfcast.operators.forecasts import recency_weighted_expr, seasonal_naive_expr
+    from shelfcast.operators.metrics import MAPE_EPSILON, MAPE_TARGET
+    x, y = F.col("x_sales"), F.col("y")
+
+    def total(f, term):
+        return F.aggregate(F.zip_with(f, y, term), F.lit(0.0), lambda a, v: a + v)
+
+    def config(model, season, temperature):
+        f = seasonal_naive_expr(x, season=season) if model == "seasonal_naive" else recency_weighted_expr(x, temperature=temperature)
+        return F.struct(F.lit(model).alias("model"), F.lit(season).cast("int").alias("season"),
+                        F.lit(temperature).cast("double").alias("temperature"),
+                        total(f, lambda p, a: F.abs(p - a)).alias("abs"), total(f, lambda p, a: (p - a) * (p - a)).alias("sq"),
+                        total(f, lambda p, a: F.abs((a - p) / (a + F.lit(MAPE_EPSILON)))).alias("rel"), F.size(y).alias("n"))
+    sums = (sliding_windows(panel).select(F.explode(F.array(*[config(*g) for g in grid])).alias("g")).select("g.*")
+            .groupBy("model", "season", "temperature")
+            .agg(F.sum("abs").alias("abs"), F.sum("sq").alias("sq"), F.sum("rel").alias("rel"), F.sum("n").alias("n")))
+    mape = F.col("rel") / F.col("n") * 100
+    return sums.select("model", "season", "temperature", "n", r6(F.col("abs") / F.col("n")).alias("mae"),
+                       r6(F.sqrt(F.col("sq") / F.col("n"))).alias("rmse"), r6(mape).alias("mape"),
+                       (mape < F.lit(MAPE_TARGET)).alias("meets_target"))

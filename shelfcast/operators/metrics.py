@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.exprs import r2, r6
+from shelfcast.operators.forecasts import one_per_day
 from shelfcast.operators.panel import KEYS
 
 # MAPE epsilon of the reference; the MAPE quality target (%).
@@ -61,10 +62,10 @@ def model_comparison(fr: DataFrame, target: float = MAPE_TARGET) -> DataFrame:
     return m.withColumn("meets_target", F.col("mape") < F.lit(target))
 
 
-def direction_accuracy(fr: DataFrame, model: str = "seasonal_naive", horizon: int = 1) -> DataFrame:
+def direction_accuracy(fr: DataFrame, model: str = "seasonal_naive") -> DataFrame:
     """Share of days where sign(a[t]-a[t-1]) == sign(p[t]-p[t-1]) per series;
     the first day of a series has no direction and is excluded."""
-    f = fr.where((F.col("model") == model) & (F.col("horizon") == horizon))
+    f = one_per_day(fr.where(F.col("model") == model))
     w = Window.partitionBy(*KEYS).orderBy("date")
     a, p = F.col("actual_sales"), F.col("forecast")
     d = f.select(*KEYS, "date",
@@ -91,16 +92,26 @@ def model_selection(fr: DataFrame, model_order=None) -> DataFrame:
         F.count("*").alias("n_models"))
 
 
-def inventory_costs(fr: DataFrame, model: str = "seasonal_naive", horizon: int = 1,
-                    holding_rate: float = HOLDING_RATE, lost_profit_rate: float = LOST_PROFIT_RATE) -> DataFrame:
-    """Stocking each day to the forecast: excess = max(forecast - actual, 0)
-    costs `unit_cost * holding_rate`, shortage = max(actual - forecast, 0)
-    costs `unit_price * lost_profit_rate`; service level = share of days in stock."""
-    f = fr.where((F.col("model") == model) & (F.col("horizon") == horizon))
-    a, p, price = F.col("actual_sales"), F.col("forecast"), F.col("price")
+def inventory_costs(panel: DataFrame, holding_rate: float = HOLDING_RATE,
+                    lost_profit_rate: float = LOST_PROFIT_RATE) -> DataFrame:
+    """The stock on hand against the day's sales: excess = max(inventory -
+    sales, 0) costs `price * holding_rate`, shortage = max(sales - inventory, 0)
+    costs `price * lost_profit_rate`; service level = share of days in stock."""
+    return _supply_costs(panel, "sales", "inventory", holding_rate, lost_profit_rate)
+
+
+def forecast_costs(fr: DataFrame, model: str = "seasonal_naive", holding_rate: float = HOLDING_RATE,
+                   lost_profit_rate: float = LOST_PROFIT_RATE) -> DataFrame:
+    """The same with each day's forecast as the supply."""
+    return _supply_costs(one_per_day(fr.where(F.col("model") == model)), "actual_sales", "forecast",
+                         holding_rate, lost_profit_rate)
+
+
+def _supply_costs(days: DataFrame, demand: str, supply: str, holding_rate: float, lost_profit_rate: float) -> DataFrame:
+    a, p, price = F.col(demand), F.col(supply), F.col("price")
     excess = F.greatest(p - a, F.lit(0.0))
     short = F.greatest(a - p, F.lit(0.0))
-    g = f.groupBy(*KEYS).agg(
+    g = days.groupBy(*KEYS).agg(
         F.count("*").alias("n_days"),
         F.sum(excess).alias("excess_units"),
         F.sum(short).alias("short_units"),

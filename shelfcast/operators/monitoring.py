@@ -70,7 +70,7 @@ def sessions(events: DataFrame, gap: str = SESSION_GAP) -> DataFrame:
                     "n_events", "total_value")
 
 
-def sessions_split(events: DataFrame, gap_hours: int = 6, bucket: str = "1 day") -> DataFrame:
+def sessions_split(events: DataFrame, gap_hours: int = 6, bucket: str = "1 hour") -> DataFrame:
     """Sessions - a gap of `gap_hours` or more starts a new one (Spark's
     `session_window` also merges events exactly one gap apart) - computed so
     that no user's timeline is one task.

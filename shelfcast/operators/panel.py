@@ -6,9 +6,9 @@ Scale notes
   `#series x #days` no matter how many fact lines arrive; at 100 TB the work
   is the fact scan + map-side partial aggregation, and only partial
   aggregates cross the shuffle.
-* `nation` (25 rows) is broadcast unconditionally.  The supplier -> store map
-  is broadcast only when a row count proves it small; beyond that the join is
-  a sort-merge join and AQE splits a hot supplier's partition.
+* `nation` (25 rows) is broadcast unconditionally.  How the supplier -> store
+  map is joined is left to the planner's size threshold and to AQE, which
+  splits a hot supplier's partition.
 * Hot (store, product, day) groups are absorbed by the partial aggregation
   before the exchange, so a key holding a third of all lines costs one
   partial row per task.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.functions.exprs import broadcast_if_bounded, r2, r6, safe_div, weekday_mon0
+from shelfcast.functions.exprs import r2, r6, safe_div, weekday_mon0
 from shelfcast.sources.tables import read_table
 
 KEYS = ("store_id", "product_id")
@@ -29,8 +29,6 @@ FEATURES = ("sales", "price", "promotion", "inventory", "day_of_week", "month",
 # Fixed values of the fact -> panel mapping.
 PRODUCTS = 20             # product_id = l_partkey mod 20
 PROMO_DISCOUNT = 0.09     # a line with discount >= 0.09 counts as promoted
-# Supplier maps with at most this many rows are broadcast.
-SUPPLIER_BROADCAST_ROWS = 2_000_000
 
 
 def store_map(supplier: DataFrame, nation: DataFrame) -> DataFrame:
@@ -57,7 +55,7 @@ def inventory_offset(store: str = "store_id", product: str = "product_id", date:
 
 
 def demand_panel(lineitem: DataFrame, supplier: DataFrame, nation: DataFrame) -> DataFrame:
-    stores = broadcast_if_bounded(store_map(supplier, nation), SUPPLIER_BROADCAST_ROWS)
+    stores = store_map(supplier, nation)
     lines = lineitem.select(
         "l_suppkey", "l_quantity", "l_extendedprice",
         (F.col("l_partkey") % PRODUCTS).cast("int").alias("product_id"),
@@ -210,9 +208,9 @@ def volatility_rank(panel: DataFrame) -> DataFrame:
     s = (panel.groupBy(*KEYS)
          .agg(F.avg("sales").alias("avg_sales"), F.stddev_samp("sales").alias("std_sales"))
          .select(*KEYS, r6(safe_div(F.col("std_sales"), F.col("avg_sales"))).alias("cv")))
-    ranked = global_rank(s, "cv", descending=True, tie_cols=KEYS)
-    return ranked.select(*KEYS, "cv", F.col("rank").alias("cv_rank"),
-                         F.col("dense_rank").alias("cv_dense_rank"),
+    ranked = global_rank(s, "cv", descending=True)
+    return ranked.select(*KEYS, "cv", F.col("rank").cast("int").alias("cv_rank"),
+                         F.col("dense_rank").cast("int").alias("cv_dense_rank"),
                          r6("percent_rank").alias("cv_percent_rank"))
 
 
@@ -235,24 +233,54 @@ def promo_uplift(panel: DataFrame) -> DataFrame:
 NUMERIC_COLUMNS = ("sales", "price", "promotion", "inventory", "day_of_week", "month", "is_holiday")
 
 
+def exact_quantiles(df: DataFrame, columns, quantiles=(0.25, 0.5, 0.75)) -> DataFrame:
+    """(column, q0, q1, ...): quantiles with linear interpolation, by rank.
+
+    Values are counted by (column, value), and the counted values range-
+    partitioned once into a table; running counts in a partition, on top of the
+    totals of the partitions before it, tell which values hold a rank."""
+    from pyspark.sql import Window
+
+    from shelfcast.session import materialize
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
+                                          for c in columns])).alias("x")).select("x.*").where("v IS NOT NULL")
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = cells.groupBy("column", "v").agg(F.count("*").alias("n"))
+    held = materialize(counted.repartitionByRange(n_parts, "column", "v")
+                       .withColumn("_pid", F.spark_partition_id()), "quantile-values")
+    within = Window.partitionBy("_pid", "column").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition and column.
+    parts = held.groupBy("_pid", "column").agg(F.sum("n").alias("_n"))
+    earlier = Window.partitionBy("column").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_pid", "column", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"),
+                         F.sum("_n").over(Window.partitionBy("column")).alias("_total"))
+    ranked = held.withColumn("_in", F.coalesce(F.sum("n").over(within), F.lit(0))).join(parts, ["_pid", "column"])
+    before = F.col("_off") + F.col("_in")
+    at = lambda rank: F.max(F.when((before <= rank) & (rank < before + F.col("n")), F.col("v")))
+    aggs = []
+    for i, q in enumerate(quantiles):
+        place = F.lit(q) * (F.col("_total") - 1)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        aggs.append((low + (high - low) * F.max(place - F.floor(place))).alias(f"q{i}"))
+    return ranked.groupBy("column").agg(*aggs)
+
+
 def describe_panel(panel: DataFrame, exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """`describe()`: count, mean, std, min, quartiles, max per numeric column,
     one row per column.  Exact percentiles interpolate linearly like pandas;
-    `exact=False` uses the bounded-memory `percentile_approx` for large panels."""
+    `exact=False` uses the bounded-memory `percentile_approx`."""
     aggs = []
     for c in NUMERIC_COLUMNS:
         x = F.col(c).cast("double")
-        if exact:
-            qs = [F.percentile(x, q) for q in (0.25, 0.5, 0.75)]
-        else:
-            qs = [F.percentile_approx(x, q, accuracy) for q in (0.25, 0.5, 0.75)]
+        approx = [] if exact else [F.percentile_approx(x, q, accuracy).alias(f"q{i}") for i, q in enumerate((0.25, 0.5, 0.75))]
         aggs.append(F.struct(
             F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-            qs[0].alias("p25"), qs[1].alias("p50"), qs[2].alias("p75"), F.max(x).alias("max"),
-        ))
+            F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), *approx))
     wide = panel.agg(F.array(*aggs).alias("stats"))
     s = wide.select(F.explode("stats").alias("s")).select("s.*")
+    if exact:
+        s = s.join(exact_quantiles(panel, NUMERIC_COLUMNS), "column", "left")
+    s = s.withColumnsRenamed({"q0": "p25", "q1": "p50", "q2": "p75"})
     return s.select("column", "count", *[r6(c).alias(c) for c in
                                           ("mean", "std", "min", "p25", "p50", "p75", "max")])
 

@@ -1,39 +1,29 @@
-"""Vector and TF-IDF retrieval with exact top-k, plus retrieval prompts.
-
-Exact retrieval scores a *bounded batch of queries* against the whole
-corpus.  The batch is size-checked (`MAX_QUERIES`) and inlined into the plan
-as literals, so each corpus row is scored in one projection - one scan of
-the corpus, no join and no cartesian product.  Per-query top-k then runs as
-`row_number() <= k`, which Spark plans as a partial WindowGroupLimit before
-the shuffle, so only k candidates per query and task are exchanged.  Beyond
-the bound, `lsh_topk` retrieves through LSH buckets (an equi-join).
+"""Vector and TF-IDF retrieval with complete top-k, plus retrieval prompts.
+
+Exact retrieval scores every query against every row, in blocks: rows and
+queries are dealt into blocks of a bounded size by a hash, a task scores one
+block of either as a NumPy product and returns its k best rows per query, and
+the k best of all blocks are merged by query.  Nothing is collected to the
+driver, no (row, query) pair leaves a task, and neither side has a size limit.
+`lsh_topk` looks only at rows whose signature is near the query's.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.functions.exprs import cosine, r6, words
+from shelfcast.functions.exprs import cosine, r6, term_counts
+from shelfcast.session import materialize
 
 TOP_K = 3           # fixed value: the reference's top_k
-MAX_QUERIES = 10_000
-# Fixed value: the retrieval prompt of the reference.
-RAG_PROMPT = ("Use the following context to answer the question:\n\nContext:\n{context}\n\n"
-              "Question: {query}\n\nAnswer:")
-
-
-class QueryBatchTooLarge(ValueError):
-    pass
-
-
-def _checked_rows(queries: DataFrame, max_queries: int) -> list:
-    rows = queries.limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise QueryBatchTooLarge(f"more than {max_queries} queries; use lsh_topk")
-    return rows
+ROW_BLOCK = 20_000
+QUERY_BLOCK = 500
 
 
 def label_centroids(emb: DataFrame) -> DataFrame:
@@ -49,19 +39,49 @@ def top_k(scored: DataFrame, group: str, score: str, tie: str, k: int = TOP_K) -
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _blocked(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, k: int,
+             score: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], row_block: int, query_block: int) -> DataFrame:
+    """(query_id, rank, row_id, score): the k best rows of each query, by
+    `score(rows, queries)`, a matrix for one block of either (NaN: no match).
+    Scores are rounded to 6 dp, ties go to the smaller row id."""
+    n_rows, n_queries = max(1, -(-rows.count() // row_block)), max(1, -(-queries.count() // query_block))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select("*", part(row_id, n_rows).alias("_r"), every(n_queries).alias("_q"))
+    right = queries.select("*", every(n_rows).alias("_r"), part(query_id, n_queries).alias("_q"))
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, query_id), (rows, row_id))}
+
+    def run(r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(r) and len(q):
+            ids = r[row_id].to_numpy()
+            for one, s in zip(q[query_id], np.floor(score(r, q) * 1e6 + 0.5).T / 1e6):
+                at = np.flatnonzero(~np.isnan(s))
+                if len(at) > k:  # all that tie with the k-th
+                    at = at[s[at] >= np.partition(s[at], len(at) - k)[len(at) - k]]
+                at = at[np.lexsort((ids[at], -s[at]))][:k]
+                out += [(one, i, x) for i, x in zip(ids[at], s[at])]
+        return pd.DataFrame(out, columns=[query_id, row_id, "score"])
+    found = left.groupBy("_r", "_q").cogroup(right.groupBy("_r", "_q")).applyInPandas(
+        run, f"{query_id} {kinds[query_id]}, {row_id} {kinds[row_id]}, score double")
+    return top_k(found, query_id, "score", row_id, k).select(query_id, "rank", row_id, "score")
+
+
+def _cosines(vec_col: str, query_vec: str):
+    def score(r: pd.DataFrame, q: pd.DataFrame) -> np.ndarray:
+        x, y = (np.stack([np.asarray(v, dtype=np.float64) for v in c]) for c in (r[vec_col], q[query_vec]))
+        size = np.sqrt((x ** 2).sum(axis=1))[:, None] * np.sqrt((y ** 2).sum(axis=1))[None, :]
+        return np.divide(x @ y.T, size, out=np.zeros_like(size), where=size > 0)
+    return score
+
+
 def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "vec_id",
                 vec_col: str = "embedding", query_id: str = "query_id", query_vec: str = "vector",
-                max_queries: int = MAX_QUERIES) -> DataFrame:
+                row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """Exact top-k cosine neighbours of each query vector (ties by id)."""
-    qs = _checked_rows(queries.select(query_id, query_vec), max_queries)
-    lit_q = F.array(*[F.struct(F.lit(r[query_id]).alias("qid"),
-                               F.array(*[F.lit(float(v)) for v in r[query_vec]]).alias("qv"))
-                      for r in qs])
-    scored = corpus.select(id_col, *[c for c in corpus.columns if c not in (id_col, vec_col)],
-                           F.explode(F.transform(lit_q, lambda q: F.struct(
-                               q["qid"].alias("qid"), cosine(F.col(vec_col), q["qv"]).alias("score")))).alias("s"))
-    scored = scored.select("*", F.col("s.qid").alias(query_id), r6("s.score").alias("score")).drop("s")
-    return top_k(scored, query_id, "score", id_col, k)
+    return _blocked(corpus.select(id_col, vec_col).where(F.col(vec_col).isNotNull()),
+                    queries.select(query_id, query_vec).where(F.col(query_vec).isNotNull()),
+                    id_col, query_id, k, _cosines(vec_col, query_vec), row_block, query_block)
 
 
 def rag_prompt(hits: DataFrame, corpus: DataFrame, question: Column, group: str = "query_id",
@@ -81,83 +101,109 @@ def rag_prompt(hits: DataFrame, corpus: DataFrame, question: Column, group: str
     return ctx.select(group, "question", prompt.alias("prompt"))
 
 
+def kb_prompt(hits: DataFrame, records: DataFrame, questions: DataFrame, query_id: str, row_id: str,
+              fields: tuple[str, ...]) -> DataFrame:
+    """The retrieval prompt of each question, with the retrieved records as JSON
+    lines in rank order: `records` has a JSON value text per field."""
+    line = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{f}": '), F.col(f)) for f in fields]), F.lit("}"))
+    found = hits.join(records.select(row_id, line.alias("_line")), row_id)
+    ctx = found.groupBy(query_id).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "_line"))), lambda x: x["_line"]), "\n").alias("context"))
+    return ctx.join(questions, query_id).select(query_id, "question", F.concat(
+        F.lit("Use the following context to answer the question:\n\nContext:\n"), F.col("context"),
+        F.lit("\n\nQuestion: "), F.col("question"), F.lit("\n\nAnswer:")).alias("prompt"))
+
+
 # ---------------------------------------------------------------- TF-IDF
 
-def term_frequencies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf): tokens are counted map-side before the shuffle."""
-    return (docs.select(id_col, F.explode(words(text_col)).alias("term"))
-            .groupBy(id_col, "term").agg(F.count("*").alias("tf")))
-
-
-def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-    """TF-IDF weights (id, term, w), document norms (id, norm) and the
-    (term, idf) table, with smooth idf = ln((1 + N) / (1 + df)) + 1.
-
-    The (doc, term) -> idf join is left to adaptive execution: it is
-    re-planned from the measured size of the idf shuffle output - broadcast
-    when small, otherwise a sort-merge join whose skewed (common-term)
-    partitions AQE splits - so the vocabulary is not counted in an extra pass
-    over the corpus (`join_lookup` is the explicit, counted form).  Weights
-    stay unnormalised; callers divide aggregated scores by the norm, so the
-    big (doc, term) table is never shuffled by document."""
-    tf = term_frequencies(docs, id_col, text_col)
-    n_docs = docs.select(id_col).distinct().count()
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.select("term", (F.log((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    w = tf.join(idf, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w, norm, idf, n_docs
+def _terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, term, tf): terms are counted within each row."""
+    return docs.select(id_col, F.explode(term_counts(text_col)).alias("t")).select(id_col, "t.term", "t.tf")
+
+
+def _weighted(tf: DataFrame, idf: DataFrame, id_col: str, unknown: float | None) -> DataFrame:
+    """(id, terms, weights): unit TF-IDF vectors, one row each, in one shuffle
+    by term and one by id; a row's terms are as many as its text is long.  A
+    term that `idf` lacks weighs `unknown`, or is left out where that is None."""
+    weight = F.col("tf") * (F.col("idf") if unknown is None else F.coalesce("idf", F.lit(unknown)))
+    rows = (tf.join(idf, "term", "inner" if unknown is None else "left")
+            .groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("w")))).alias("v")))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+    return rows.select(id_col, F.transform("v", lambda x: x["term"]).alias("terms"),
+                       F.transform("v", lambda x: x["w"]).alias("weights"), norm.alias("norm"))
+
+
+def _sparse_cosines(r: pd.DataFrame, q: pd.DataFrame) -> np.ndarray:
+    """Dot products of unit sparse vectors; NaN where no term is shared."""
+    number: dict[str, int] = {}
+    for terms in q["terms"]:
+        for t in terms:
+            number.setdefault(t, len(number))
+    table = np.zeros((len(number), len(q)))
+    for j, (terms, weights, norm) in enumerate(zip(q["terms"], q["weights"], q["norm"])):
+        table[[number[t] for t in terms], j] = np.asarray(weights) / norm
+    out = np.full((len(r), len(q)), np.nan)
+    for i, (terms, weights, norm) in enumerate(zip(r["terms"], r["weights"], r["norm"])):
+        known = [(number[t], w) for t, w in zip(terms, weights) if t in number]
+        if known:
+            at, w = zip(*known)
+            part = table[list(at)]
+            dots = np.asarray(w) @ part / norm
+            out[i] = np.where((part > 0).any(axis=0), dots, np.nan)
+    return out
 
 
 def tfidf_retrieve(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, corpus_id: str = "doc_id",
-                   query_id: str = "item_id", text_col: str = "text",
-                   max_query_terms: int = 2_000_000) -> DataFrame:
-    """Top-k corpus documents per query text by TF-IDF cosine.
-
-    Inverted-index scoring: the (term, query, weight) rows of the query batch
-    are size-checked and broadcast; each document term probes that hash table,
-    so only (document, query) pairs that share a term produce a partial dot
-    product, summed map-side before the shuffle; the sums are then divided by
-    the document norm.  The corpus is never shuffled by term, so a common term
-    is not a hot partition."""
-    w, norm, idf, n_docs = tfidf(corpus, corpus_id, text_col)
-    qtf = term_frequencies(queries, query_id, text_col)
-    n_terms = qtf.count()           # the batch's own (query, term) rows: no corpus pass
-    if n_terms > max_query_terms:
-        raise QueryBatchTooLarge(f"{n_terms} query terms; split the query batch")
-    default_idf = math.log(1.0 + n_docs) + 1.0
-    qw = (qtf.join(idf, "term", "left")
-          .select(query_id, "term", (F.col("tf") * F.coalesce("idf", F.lit(default_idf))).alias("w")))
-    qnorm = qw.groupBy(query_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
-    qunit = qw.join(qnorm, query_id).select(query_id, "term", (F.col("w") / F.col("n")).alias("qw"))
-    dots = (w.join(F.broadcast(qunit), "term")
-            .groupBy(corpus_id, query_id).agg(F.sum(F.col("w") * F.col("qw")).alias("dot")))
-    scored = dots.join(norm, corpus_id).select(corpus_id, query_id, r6(F.col("dot") / F.col("norm")).alias("score"))
-    return top_k(scored, query_id, "score", corpus_id, k)
+                   query_id: str = "item_id", text_col: str = "text", row_block: int = 2_000,
+                   query_block: int = QUERY_BLOCK) -> DataFrame:
+    """Top-k corpus documents per query text by TF-IDF cosine, of those that
+    share a term, with smooth idf = ln((1 + N) / (1 + df)) + 1; a query term
+    that no document has gets the idf of df = 0.
+
+    Terms are counted within each row.  Document frequencies are one aggregate,
+    a table of its own; documents and queries become weight vectors, one row
+    each, and are scored block by block."""
+    tf = _terms(corpus, corpus_id, text_col)
+    n_docs = corpus.select(corpus_id).distinct().count()
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    idf = materialize(df.select("term", (F.log((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0).alias("idf")), "idf")
+    rows = materialize(_weighted(tf, idf, corpus_id, None), "tfidf")
+    asked = _weighted(_terms(queries, query_id, text_col), idf, query_id, float(np.log(1.0 + n_docs) + 1.0))
+    return _blocked(rows, materialize(asked, "tfidf-queries"), corpus_id, query_id, k, _sparse_cosines, row_block, query_block)
 
 
 # ---------------------------------------------------------------- LSH
 
-def lsh_topk(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, bucket_length: float = 0.5,
-             num_tables: int = 8, threshold: float = 1.2, seed: int = 42) -> DataFrame:
-    """Approximate top-k by cosine: unit vectors -> BucketedRandomProjectionLSH
-    -> `approxSimilarityJoin` (an equi-join on bucket ids, no cartesian product)
-    -> exact re-rank of the candidates.  For unit vectors, euclidean distance d
-    gives cosine = 1 - d^2/2."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df, id_col, vec_col):
-        v = F.transform(vec_col, lambda x: x.cast("double"))
-        n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        return df.select(F.col(id_col).alias("id"),
-                         array_to_vector(F.transform(v, lambda x: x / n)).alias("features"))
-
-    c = unit(corpus, "vec_id", "embedding")
-    q = unit(queries, "query_id", "vector")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=seed).fit(c)
-    pairs = model.approxSimilarityJoin(q, c, threshold, distCol="dist")
-    scored = pairs.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("vec_id"),
-                          r6(F.lit(1.0) - F.col("dist") * F.col("dist") / 2).alias("score"))
+def signature(vec: Column, dim: int, bits: int) -> Column:
+    """Signs of the dot products with `bits` fixed planes, as a bit mask.  The
+    planes' components are digits of md5('plane:index'), so that any engine can
+    rebuild them."""
+    mask = F.lit(0).cast("long")
+    for j in range(bits):
+        plane = F.array(*[F.lit(int(hashlib.md5(f"{j}:{i}".encode()).hexdigest()[:8], 16) / 4294967296.0 - 0.5)
+                          for i in range(1, dim + 1)])
+        side = F.aggregate(F.zip_with(vec, plane, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
+        mask = mask + F.when(side >= 0, F.lit(1 << j)).otherwise(F.lit(0))
+    return mask
+
+
+def lsh_topk(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, bits: int = 8) -> DataFrame:
+    """Top-k by cosine among rows of near signatures: for each query the least
+    Hamming radius whose buckets hold k rows (all rows, if there are fewer), so
+    a query always gets k.  Bucket sizes are 2^bits rows at most; candidates
+    come by an equi-join on the signature."""
+    dim = corpus.where("embedding IS NOT NULL").select(F.size("embedding").alias("n")).first()
+    sign = lambda c: signature(F.col(c), dim["n"] if dim else 0, bits)
+    rows = corpus.select("vec_id", "embedding", sign("embedding").alias("sig"))
+    asked = queries.select("query_id", "vector", sign("vector").alias("own"))
+    sizes = rows.groupBy("sig").agg(F.count("*").alias("n"))
+    near = asked.select("query_id", "own", F.explode(F.sequence(F.lit(0), F.lit((1 << bits) - 1)).cast("array<bigint>")).alias("sig"))
+    near = near.join(sizes, "sig").withColumn("dist", F.bit_count(F.col("own").bitwiseXOR(F.col("sig"))))
+    upto = Window.partitionBy("query_id").orderBy("dist")
+    whole = Window.partitionBy("query_id")
+    held = near.withColumn("held", F.sum("n").over(upto))
+    reach = F.min(F.when(F.col("held") >= k, F.col("dist"))).over(whole)
+    probes = held.withColumn("reach", reach).where(F.coalesce(F.col("dist") <= F.col("reach"), F.lit(True)))
+    scored = (probes.select("query_id", "sig").join(asked.select("query_id", "vector"), "query_id").join(rows, "sig")
+              .select("query_id", "vec_id", r6(cosine("embedding", "vector")).alias("score")))
     return top_k(scored, "query_id", "score", "vec_id", k)

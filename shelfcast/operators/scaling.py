@@ -5,7 +5,7 @@ window to (N*14, 7) rows, so a panel row counts once for every window that
 covers it.  That multiplicity is a sliding sum over row positions: with
 `start(q)` = 1 when a selected window starts at position q, a row at
 position p weighs sum(start(q) for q in p-L+1..p).  One window pass computes
-it; the fit is then two weighted aggregates (mean, then centred variance).
+it; the fit is then one weighted aggregate.
 No 14x explode, and selecting windows (e.g. train only) just changes `start`.
 
 Target scaler (one mean/scale per horizon step) aggregates `posexplode(y)`.
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfcast.functions.exprs import safe_div
 from shelfcast.operators.panel import FEATURES, KEYS
 from shelfcast.operators.windows import HORIZON, LOOKBACK
 
@@ -46,20 +47,20 @@ def window_weights(panel: DataFrame, selected: Column | None = None,
 
 
 def fit_input_scaler(panel: DataFrame, selected: Column | None = None) -> DataFrame:
-    wt = window_weights(panel, selected).where(F.col("weight") > 0)
-    wcol = F.col("weight").cast("double")
-    means_row = wt.agg(F.sum(wcol).alias("_w"), *[
-        F.sum(wcol * F.col(f).cast("double")).alias(f) for f in FEATURES]).first()
-    total = means_row["_w"]
-    means = {f: (means_row[f] / total if total else None) for f in FEATURES}
-    var_row = wt.agg(*[
-        F.sum(wcol * F.pow(F.col(f).cast("double") - F.lit(means[f]), 2)).alias(f) for f in FEATURES]).first()
-    rows = []
-    for i, f in enumerate(FEATURES):
-        var = var_row[f] / total if total else None
-        scale = (var ** 0.5) if var else 1.0       # zero variance -> scale 1
-        rows.append(("x", i, f, means[f], scale))
-    return panel.sparkSession.createDataFrame(rows, PARAM_SCHEMA)
+    """(kind, idx, name, mean, scale) per feature: one aggregate of the weight,
+    the weighted sum and the weighted squares of every feature."""
+    w = F.col("weight").cast("double")
+    v = lambda f: F.col(f).cast("double")
+    sums = window_weights(panel, selected).where(F.col("weight") > 0).agg(F.sum(w).alias("w"), *[
+        x for f in FEATURES for x in (F.sum(w * v(f)).alias(f"s_{f}"), F.sum(w * v(f) * v(f)).alias(f"q_{f}"))])
+    rows = F.array(*[F.struct(F.lit("x").alias("kind"), F.lit(i).alias("idx"), F.lit(f).alias("name"),
+                              safe_div(f"s_{f}", "w").alias("mean"), safe_div(f"q_{f}", "w").alias("square"))
+                     for i, f in enumerate(FEATURES)])
+    var = F.col("square") - F.col("mean") * F.col("mean")
+    # What rounding leaves of a constant feature's variance is none: scale 1.
+    flat = var.isNull() | (var <= F.lit(1e-12) * F.col("square"))
+    return sums.select(F.explode(rows).alias("r")).select("r.*").select(
+        "kind", "idx", "name", "mean", F.when(flat, F.lit(1.0)).otherwise(F.sqrt(F.greatest(var, F.lit(0.0)))).alias("scale"))
 
 
 def fit_target_scaler(windows: DataFrame) -> DataFrame:

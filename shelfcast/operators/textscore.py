@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfcast.functions.exprs import (extract_numbers, join_lookup, ngrams, r4, r6, word_count, words)
+from shelfcast.functions.exprs import extract_numbers, ngrams, r4, r6, term_counts, word_count, words
+from shelfcast.session import materialize
 
 # Fixed values of the reference's overall score and coherence scaling.
 W_FACTUAL, W_NUMERIC, W_COHERENCE = 0.4, 0.4, 0.2
@@ -70,19 +71,40 @@ def strict_number_hits(text: Column, expected: Column) -> Column:
         F.lit(0), lambda a, x: a + x))
 
 
-def rouge_n(pairs: DataFrame, n: int, keys=PAIR_KEYS, gen: str = "generated", ref: str = "reference") -> DataFrame:
-    """ROUGE-n precision / recall / F1 per pair from clipped n-gram counts."""
-    toks = pairs.select(*keys, ngrams(words(gen), n).alias("g"), ngrams(words(ref), n).alias("r"))
-    g = (toks.select(*keys, F.explode("g").alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("cg")))
-    r = (toks.select(*keys, F.explode("r").alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("cr")))
-    overlap = g.join(r, [*keys, "gram"]).groupBy(*keys).agg(F.sum(F.least("cg", "cr")).alias("overlap"))
-    totals = toks.select(*keys, F.size("g").alias("n_gen"), F.size("r").alias("n_ref"))
-    t = totals.join(overlap, list(keys), "left").fillna(0, ["overlap"])
-    p = F.when(F.col("n_gen") > 0, F.col("overlap") / F.col("n_gen")).otherwise(F.lit(0.0))
-    rc = F.when(F.col("n_ref") > 0, F.col("overlap") / F.col("n_ref")).otherwise(F.lit(0.0))
-    f = F.when(p + rc > 0, 2 * p * rc / (p + rc)).otherwise(F.lit(0.0))
-    return t.select(*keys, "n_gen", "n_ref", "overlap",
-                    r6(p).alias(f"rouge{n}_p"), r6(rc).alias(f"rouge{n}_r"), r6(f).alias(f"rouge{n}_f"))
+def exact_numbers(text: Column, expected: Column) -> Column:
+    """Whether the numbers a text states are exactly the expected ones, in order."""
+    return F.coalesce(extract_numbers(text) == expected, F.lit(False))
+
+
+def _prf(overlap: Column, n_gen: Column, n_ref: Column) -> tuple[Column, Column, Column]:
+    p = F.when(n_gen > 0, overlap / n_gen).otherwise(F.lit(0.0))
+    r = F.when(n_ref > 0, overlap / n_ref).otherwise(F.lit(0.0))
+    return p, r, F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+
+
+def rouge_n(pairs: DataFrame, ns=(1, 2), keys=PAIR_KEYS, gen: str = "generated", ref: str = "reference") -> DataFrame:
+    """ROUGE-n precision / recall / F1 per pair for every n of `ns`, from
+    clipped n-gram counts: the n-grams of both sides are unrolled together,
+    counted by side in one aggregate, and folded per pair.  A pair's n-grams are
+    as many as its texts are long."""
+    def side(col, n, name):
+        return F.transform(ngrams(words(col), n), lambda x: F.struct(
+            F.lit(n).alias("n"), F.lit(name).alias("side"), x.alias("gram")))
+    sides = [side(col, n, name) for n in ns for col, name in ((gen, "g"), (ref, "r"))]
+    # One entry without an n-gram keeps pairs of empty texts.
+    none = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("side"), F.lit("").alias("gram")))
+    grams = pairs.select(*keys, F.explode(F.concat(none, *sides)).alias("x")).select(*keys, "x.*")
+    counted = grams.groupBy(*keys, "n", "gram").agg(
+        F.count_if(F.col("side") == "g").alias("cg"), F.count_if(F.col("side") == "r").alias("cr"))
+    of = lambda n, c: F.coalesce(F.sum(F.when(F.col("n") == n, c)), F.lit(0))
+    totals = counted.groupBy(*keys).agg(*[x for n in ns for x in (
+        of(n, F.col("cg")).alias(f"n_gen{n}"), of(n, F.col("cr")).alias(f"n_ref{n}"),
+        of(n, F.least("cg", "cr")).alias(f"overlap{n}"))])
+    out = []
+    for n in ns:
+        p, r, f = _prf(F.col(f"overlap{n}"), F.col(f"n_gen{n}"), F.col(f"n_ref{n}"))
+        out += [r6(p).alias(f"rouge{n}_p"), r6(r).alias(f"rouge{n}_r"), r6(f).alias(f"rouge{n}_f")]
+    return totals.select(*keys, *out)
 
 
 def lcs_length(a: list, b: list) -> int:
@@ -107,75 +129,57 @@ def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
                       for x, y in zip(a, b)], dtype="int64")
 
 
-def rouge_l(pairs: DataFrame, keys=PAIR_KEYS, gen: str = "generated", ref: str = "reference") -> DataFrame:
-    toks = pairs.select(*keys, words(gen).alias("g"), words(ref).alias("r"))
-    s = toks.select(*keys, F.size("g").alias("n_gen"), F.size("r").alias("n_ref"), lcs_udf("g", "r").alias("lcs"))
-    p = F.when(F.col("n_gen") > 0, F.col("lcs") / F.col("n_gen")).otherwise(F.lit(0.0))
-    rc = F.when(F.col("n_ref") > 0, F.col("lcs") / F.col("n_ref")).otherwise(F.lit(0.0))
-    f = F.when(p + rc > 0, 2 * p * rc / (p + rc)).otherwise(F.lit(0.0))
-    return s.select(*keys, "n_gen", "n_ref", "lcs", r6(p).alias("rougeL_p"), r6(rc).alias("rougeL_r"),
+def rouge_l(pairs: DataFrame, keys=PAIR_KEYS, gen: str = "generated", ref: str = "reference",
+            carry=()) -> DataFrame:
+    toks = pairs.select(*keys, *carry, words(gen).alias("g"), words(ref).alias("r"))
+    s = toks.select(*keys, *carry, F.size("g").alias("n_gen"), F.size("r").alias("n_ref"), lcs_udf("g", "r").alias("lcs"))
+    p, rc, f = _prf(F.col("lcs"), F.col("n_gen"), F.col("n_ref"))
+    return s.select(*keys, *carry, "n_gen", "n_ref", "lcs", r6(p).alias("rougeL_p"), r6(rc).alias("rougeL_r"),
                     r6(f).alias("rougeL_f"))
 
 
 def unigram_model(corpus: DataFrame, text_col: str = "text"):
-    """Add-one unigram model counted on the corpus: (term, count) table plus
-    the scalars N (tokens) and V (vocabulary size)."""
-    counts = (corpus.select(F.explode(words(text_col)).alias("term"))
-              .groupBy("term").agg(F.count("*").alias("c")))
+    """Add-one unigram model counted on the corpus: (term, count), a table of
+    its own, and the scalars N (tokens) and V (vocabulary size)."""
+    counts = materialize(corpus.select(F.explode(term_counts(text_col)).alias("t")).groupBy(F.col("t.term").alias("term"))
+                         .agg(F.sum("t.tf").alias("c")), "unigrams")
     tot = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     return counts, int(tot["n"] or 0), int(tot["v"] or 0)
 
 
-def corpus_perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      salts: int = 16) -> DataFrame:
+def corpus_perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Perplexity of every document under the add-one unigram model of the
-    same corpus.  N and V come from a term-only aggregation; in the scoring
-    job the corpus counts are the per-document counts summed by term, so both
-    sides of the join read one shuffle and the text is tokenised once there."""
-    _, n, v = unigram_model(docs, text_col)
-    tf = (docs.select(id_col, F.explode(words(text_col)).alias("term"))
-          .groupBy(id_col, "term").agg(F.count("*").alias("tf")))
-    counts = tf.groupBy("term").agg(F.sum("tf").alias("c"))
-    return _perplexity_from_tf(tf, counts, n, v, id_col, salts)
-
-
-def perplexity(docs: DataFrame, counts: DataFrame, n_tokens: int, vocab: int, id_col: str = "doc_id",
-               text_col: str = "text", salts: int = 16) -> DataFrame:
+    same corpus: one pass counts the corpus, one scores the documents."""
+    return perplexity(docs, *unigram_model(docs, text_col), [id_col], text_col)
+
+
+def perplexity(docs: DataFrame, counts: DataFrame, n_tokens: int, vocab: int, keys: list[str],
+               text_col: str = "text") -> DataFrame:
     """Per text: exp(mean over tokens of -ln p(w)), p(w) = (c_w + 1) / (N + V);
-    coherence = max(0, 1 - perplexity / 100).  Terms are counted per text
-    first; the join to the corpus counts broadcasts the vocabulary when its
-    size (V, known from the model) is bounded, else it is salted, since a
-    common word is a hot key."""
-    tf = (docs.select(id_col, F.explode(words(text_col)).alias("term"))
-          .groupBy(id_col, "term").agg(F.count("*").alias("tf")))
-    return _perplexity_from_tf(tf, counts, n_tokens, vocab, id_col, salts)
-
-
-def _perplexity_from_tf(tf: DataFrame, counts: DataFrame, n_tokens: int, vocab: int, id_col: str,
-                        salts: int) -> DataFrame:
-    j = join_lookup(tf, counts, ["term"], F.hash(F.col(id_col)), small_rows=vocab, salts=salts, how="left")
+    coherence = max(0, 1 - perplexity / 100).  Terms are counted within the
+    row; the join to the corpus counts is the planner's, and adaptive execution
+    splits a common word's rows."""
+    tf = docs.select(*keys, F.explode(term_counts(text_col)).alias("t")).select(*keys, "t.*")
+    j = tf.join(counts, "term", "left")
     denom = float(n_tokens + vocab)
     nll = F.col("tf") * -F.log((F.coalesce("c", F.lit(0)) + 1.0) / F.lit(denom))
-    g = j.groupBy(id_col).agg(F.sum("tf").alias("n_tokens"), F.sum(nll).alias("nll"))
+    g = j.groupBy(*keys).agg(F.sum("tf").alias("n_tokens"), F.sum(nll).alias("nll"))
     ppl = F.exp(F.col("nll") / F.col("n_tokens"))
-    return g.select(id_col, "n_tokens", r4(ppl).alias("perplexity"),
+    return g.select(*keys, "n_tokens", r4(ppl).alias("perplexity"),
                     r6(F.greatest(F.lit(0.0), 1 - ppl / PERPLEXITY_SCALE)).alias("coherence"))
 
 
 def overall_score(pairs: DataFrame, counts: DataFrame, n_tokens: int, vocab: int) -> DataFrame:
     """0.4 * ROUGE-L F + 0.4 * numeric accuracy + 0.2 * coherence per pair.
-    Expected numbers are the ones the reference text states."""
+    Expected numbers are the ones the reference text states.  All but the
+    coherence is one projection of the pairs."""
     keys = list(PAIR_KEYS)
-    rl = rouge_l(pairs).select(*keys, "rougeL_f")
     exp_nums = F.transform(extract_numbers("reference"), lambda s: F.struct(s.alias("k"), s.cast("double").alias("v")))
     expected = F.map_from_entries(F.array_distinct(exp_nums))
-    _, hits, score = numeric_accuracy_expr(F.col("generated"), expected)
-    num = pairs.select(*keys, score.alias("numeric"), word_count("generated").alias("length"))
-    gen = pairs.select(F.concat_ws("~", *[F.col(k).cast("string") for k in keys]).alias("pair_id"),
-                       F.col("generated").alias("text"), *keys)
-    coh = perplexity(gen, counts, n_tokens, vocab, id_col="pair_id").select("pair_id", "coherence")
-    coh = coh.join(gen.select("pair_id", *keys), "pair_id").drop("pair_id")
-    out = rl.join(num, keys).join(coh, keys, "left").fillna(0.0, ["coherence"])
+    _, _, score = numeric_accuracy_expr(F.col("generated"), expected)
+    own = rouge_l(pairs.withColumns({"numeric": score, "length": word_count("generated")}), carry=("numeric", "length"))
+    coh = perplexity(pairs, counts, n_tokens, vocab, keys, "generated").select(*keys, "coherence")
+    out = own.join(coh, keys, "left").fillna(0.0, ["coherence"])
     overall = (F.col("rougeL_f") * W_FACTUAL + F.col("numeric") * W_NUMERIC + F.col("coherence") * W_COHERENCE)
     return out.select(*keys, F.col("rougeL_f").alias("factual_accuracy"), r6("numeric").alias("numerical_accuracy"),
                       "coherence", "length", r6(overall).alias("overall"))

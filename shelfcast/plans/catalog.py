@@ -244,6 +244,12 @@ SELECT store_id, product_id, (floor((raw_avg_sales) * 1e6 + 0.5) / 1e6) AS avg_s
 FROM ctx WHERE raw_volatility > raw_avg_sales * 0.3""", "ctx"))(
     lambda spark, d: ins.risk_filter(_ctx(spark, d)))
 
+register("risk_filter_high", S.with_ctes("""
+SELECT store_id, product_id, (floor((raw_avg_sales) * 1e6 + 0.5) / 1e6) AS avg_sales, (floor((raw_volatility) * 1e6 + 0.5) / 1e6) AS volatility,
+       (floor((raw_volatility / raw_avg_sales * 100) * 1e6 + 0.5) / 1e6) AS cv_pct
+FROM ctx WHERE raw_volatility > raw_avg_sales * 0.62""", "ctx"))(
+    lambda spark, d: ins.risk_filter(_ctx(spark, d), 0.62))
+
 register("risk_assessment", S.with_ctes(f"""
 SELECT store_id, product_id, avg_daily_sales, volatility,
        (floor((volatility / avg_daily_sales * 100) * 1e6 + 0.5) / 1e6) AS cv_pct,
@@ -260,7 +266,7 @@ SELECT store_id, product_id, kind,
        '### Instruction:' || chr(10) || instruction || chr(10) || chr(10) || '### Input:' || chr(10) || input
        || chr(10) || chr(10) || '### Response:' || chr(10) || output AS text
 FROM examples""", "examples"))(
-    lambda spark, d: ins.instruction_text(ins.instruction_examples(_ctx(spark, d))))
+    lambda spark, d: _through_json(ins.instruction_text(ins.instruction_examples(_ctx(spark, d))), "instructions"))
 
 register("instruction_counts", S.with_ctes(
     "SELECT kind, instruction, count(*) AS n_examples FROM examples GROUP BY kind, instruction", "examples"))(
@@ -319,9 +325,8 @@ SELECT store_id, product_id, count(*) AS n_pairs,
        {R6('avg(CASE WHEN da = dp THEN 1.0 ELSE 0.0 END)')} AS direction_accuracy
 FROM (SELECT store_id, product_id,
              sign(actual_sales - lag(actual_sales) OVER w) AS da, sign(forecast - lag(forecast) OVER w) AS dp
-      FROM fr_seasonal_naive WHERE horizon = 1
-      WINDOW w AS (PARTITION BY store_id, product_id ORDER BY date)) t
-WHERE da IS NOT NULL GROUP BY store_id, product_id""", "fr_seasonal_naive"))(
+      FROM day_fr WINDOW w AS (PARTITION BY store_id, product_id ORDER BY date)) t
+WHERE da IS NOT NULL GROUP BY store_id, product_id""", "day_fr"))(
     lambda spark, d: mt.direction_accuracy(_fr(spark, d)))
 
 _MODEL_LIST = "[" + ", ".join(f"'{m}'" for m in fc.BASELINES) + "]"
@@ -335,15 +340,23 @@ SELECT store_id, product_id, best_model, best_mse, n_models FROM (
         FROM fr_all GROUP BY store_id, product_id, model) t) u
 WHERE rn = 1""", "fr_all"))(lambda spark, d: mt.model_selection(_fr(spark, d, fc.BASELINES)))
 
-register("inventory_costs", S.with_ctes(f"""
+
+
+def _costs_sql(demand, supply, src):
+    return S.with_ctes(f"""
 SELECT store_id, product_id, count(*) AS n_days,
-       {R6('sum(greatest(forecast - actual_sales, 0.0))')} AS excess_units,
-       {R6('sum(greatest(actual_sales - forecast, 0.0))')} AS short_units,
-       {S.r2('sum(greatest(forecast - actual_sales, 0.0) * price * 0.2)')} AS holding_cost,
-       {S.r2('sum(greatest(actual_sales - forecast, 0.0) * price * 0.25)')} AS stockout_cost,
-       {R6('avg(CASE WHEN actual_sales <= forecast THEN 1.0 ELSE 0.0 END)')} AS service_level
-FROM fr_seasonal_naive WHERE horizon = 1 GROUP BY store_id, product_id""", "fr_seasonal_naive"))(
-    lambda spark, d: mt.inventory_costs(_fr(spark, d)))
+       {R6(f'sum(greatest({supply} - {demand}, 0.0))')} AS excess_units,
+       {R6(f'sum(greatest({demand} - {supply}, 0.0))')} AS short_units,
+       {S.r2(f'sum(greatest({supply} - {demand}, 0.0) * price * 0.2)')} AS holding_cost,
+       {S.r2(f'sum(greatest({demand} - {supply}, 0.0) * price * 0.25)')} AS stockout_cost,
+       {R6(f'avg(CASE WHEN {demand} <= {supply} THEN 1.0 ELSE 0.0 END)')} AS service_level
+FROM {src} GROUP BY store_id, product_id""", src)
+
+
+register("inventory_costs", _costs_sql("sales", "inventory", "panel"))(
+    lambda spark, d: mt.inventory_costs(_panel(spark, d)))
+register("forecast_costs", _costs_sql("actual_sales", "forecast", "day_fr"))(
+    lambda spark, d: mt.forecast_costs(_fr(spark, d)))
 
 # ---------------------------------------------------------------- splits
 
@@ -378,6 +391,18 @@ SELECT *, sum(is_start) OVER (PARTITION BY store_id, product_id ORDER BY date
 FROM (SELECT *, CASE WHEN (row_number() OVER (PARTITION BY store_id, product_id ORDER BY date) - 1)
                           <= count(*) OVER (PARTITION BY store_id, product_id) - {S.L + S.H} THEN 1 ELSE 0 END
                   AS is_start FROM panel) t""")
+S.cte("wts_train", ("panel", "bounds"), f"""
+SELECT *, sum(is_start) OVER (PARTITION BY store_id, product_id ORDER BY date
+                              ROWS BETWEEN {S.L - 1} PRECEDING AND CURRENT ROW) AS weight
+FROM (SELECT p.*, CASE WHEN lead(date, {S.L + S.H - 1}) OVER (PARTITION BY store_id, product_id ORDER BY date)
+                            < b.lo + CAST(floor(datediff('day', b.lo, b.hi) * 0.8) AS INT) THEN 1 ELSE 0 END AS is_start
+      FROM panel p, bounds b) t""")
+S.cte("xmeans_train", ("wts_train",), "SELECT " + ", ".join(
+    f"sum(weight * {f}::DOUBLE) / sum(weight) AS m_{f}" for f in S.FEATURES) + " FROM wts_train WHERE weight > 0")
+S.cte("xparams_train", ("wts_train", "xmeans_train"), "\nUNION ALL\n".join(
+    f"SELECT 'x' AS kind, {i} AS idx, '{f}' AS name, any_value(m_{f}) AS mean, "
+    f"coalesce(nullif(sqrt(sum(weight * pow({f}::DOUBLE - m_{f}, 2)) / sum(weight)), 0), 1.0) AS scale "
+    f"FROM wts_train, xmeans_train WHERE weight > 0" for i, f in enumerate(S.FEATURES)))
 S.cte("xmeans", ("wts",), "SELECT " + ", ".join(
     f"sum(weight * {f}::DOUBLE) / sum(weight) AS m_{f}" for f in S.FEATURES) + " FROM wts WHERE weight > 0")
 S.cte("xparams", ("wts", "xmeans"), "\nUNION ALL\n".join(
@@ -399,17 +424,34 @@ register("scaler_fit_y", S.with_ctes(
     lambda spark, d: sc.fit_target_scaler(wn.sliding_windows(_panel(spark, d))).select(
         "kind", "idx", "name", r6("mean").alias("mean"), r6("scale").alias("scale")))
 
+register("scaler_fit_train", S.with_ctes(
+    f"SELECT kind, idx, name, {R6('mean')} AS mean, {R6('scale')} AS scale FROM xparams_train", "xparams_train"))(
+    lambda spark, d: _scaler_fit_train(spark, d))
+
+
+def _scaler_fit_train(spark, d):
+    from shelfcast.operators import learned
+    panel = _panel(spark, d)
+    return learned.fit_train_scaler(panel, sp.cutoff_date(panel)).select(
+        "kind", "idx", "name", r6("mean").alias("mean"), r6("scale").alias("scale"))
+
+
+_XS_LISTS = ", ".join(f"list({R6(f'(v_{f} - m_{f}) / s_{f}')} ORDER BY i) AS xs_{f}" for f in S.FEATURES)
+_XS_CELLS = ", ".join(f"unnest(x_{f}) AS v_{f}" for f in S.FEATURES)
 _PIVOT = ", ".join(f"max(CASE WHEN name = '{f}' THEN mean END) AS m_{f}, "
                    f"max(CASE WHEN name = '{f}' THEN scale END) AS s_{f}" for f in S.FEATURES)
-S.cte("xrow", ("xparams",), f"SELECT {_PIVOT} FROM xparams")
-S.cte("yrow", ("yparams",), "SELECT list(mean ORDER BY idx) AS ym, list(scale ORDER BY idx) AS ys_ FROM yparams")
-_XS = ", ".join(f"list_transform(x_{f}, lambda v: {R6(f'(v - m_{f}) / s_{f}')}) AS xs_{f}" for f in S.FEATURES)
 
 
-@register("scaled_windows", S.with_ctes(f"""
-SELECT store_id, product_id, pos, {_XS},
-       list_transform(y, lambda v, i: {R6('(v - ym[i]) / ys_[i]')}) AS ys
-FROM windows, xrow, yrow""", "windows", "xrow", "yrow"))
+@register("scaled_windows", S.with_ctes("", "windows", "xparams", "yparams") + f""",
+xrow AS MATERIALIZED (SELECT {_PIVOT} FROM xparams),
+yrows AS MATERIALIZED (SELECT idx, mean, scale FROM yparams),
+xs AS (SELECT store_id, product_id, pos, {_XS_LISTS}
+       FROM (SELECT store_id, product_id, pos, unnest(range({S.L})) AS i, {_XS_CELLS} FROM windows) c, xrow
+       GROUP BY store_id, product_id, pos),
+yy AS (SELECT store_id, product_id, pos, list({R6('(v - mean) / scale')} ORDER BY idx) AS ys
+       FROM (SELECT store_id, product_id, pos, unnest(range({S.H}))::INT AS idx, unnest(y) AS v FROM windows) c
+       JOIN yrows USING (idx) GROUP BY store_id, product_id, pos)
+SELECT * FROM xs JOIN yy USING (store_id, product_id, pos)""")
 def _scaled(spark, d):
     panel = _panel(spark, d)
     w = wn.sliding_windows(panel)
@@ -453,6 +495,15 @@ def _requests(spark, d):
     return scr.forecast_requests(_panel(spark, d))
 
 
+def _through_json(df, name):
+    """`df` by way of JSON lines in the shared folder: the sink, then the scan."""
+    from shelfcast.session import shared_path
+    from shelfcast.sources.files import read_json, write_json
+    path = shared_path(df.sparkSession, f"json/{name}")
+    write_json(df, path)
+    return read_json(df.sparkSession, path, df.schema)
+
+
 @register("batch_forecast", S.with_ctes(f"""
 SELECT store_id, product_id, kind, framework,
        CASE WHEN len(x_sales) <> 14 THEN 'Historical data must contain exactly 14 days' END AS error,
@@ -463,7 +514,8 @@ SELECT store_id, product_id, kind, framework,
          AS interval_upper
 FROM scored""", "scored"))
 def _batch_forecast(spark, d):
-    out = scr.batch_forecast(_requests(spark, d), scr.framework_models(spark))
+    out = scr.batch_forecast(_requests(spark, d), scr.framework_models(spark), with_timestamp=True)
+    out = _through_json(out, "responses")  # `generated_at` stays in the sink
     return out.select("store_id", "product_id", "kind", "framework", "error",
                       F.transform("forecast", lambda v: r6(v)).alias("forecast"),
                       F.transform("confidence_intervals", lambda s: r6(s["lower"])).alias("interval_lower"),
@@ -481,7 +533,8 @@ SELECT store_id, product_id, kind, framework, n_days::INT AS n_days, first_date,
        list_sum(x_sales) AS total_sales
 FROM req""", "req"))
 def _request_parse(spark, d):
-    parsed = scr.parse_requests(scr.requests_to_json(_requests(spark, d)))
+    bodies = _through_json(_requests(spark, d), "requests")
+    parsed = scr.parse_requests(scr.requests_to_json(bodies))
     h = F.col("historical_data")
     return parsed.select("store_id", "product_id", "kind", "framework", F.size(h).alias("n_days"),
                          h[0]["date"].alias("first_date"), F.element_at(h, -1)["date"].alias("last_date"),
@@ -489,19 +542,24 @@ def _request_parse(spark, d):
 
 
 @register("prediction_interval", S.with_ctes(f"""
-SELECT store_id, product_id, unnest(range(1, 8))::INT AS day, unnest(list_transform(fc, lambda v: {R6('v')})) AS forecast,
+SELECT store_id, product_id, kind, NULL AS error, unnest(range(1, 8))::INT AS day,
+       unnest(list_transform(fc, lambda v: {R6('v')})) AS forecast,
        unnest(list_transform(fc, lambda v: {R6('greatest(0.0, v - 1.96 * sigma)')})) AS lower,
        unnest(list_transform(fc, lambda v: {R6('v + 1.96 * sigma')})) AS upper
-FROM (SELECT *, {S.FC_EXPR['seasonal_naive']} AS fc, {_SIGMA} AS sigma FROM req WHERE kind = 'rows') t""", "req"))
+FROM (SELECT *, {S.FC_EXPR['seasonal_naive']} AS fc, {_SIGMA} AS sigma FROM req WHERE len(x_sales) = 14) t
+UNION ALL
+SELECT store_id, product_id, kind, 'Historical data must contain exactly 14 days', NULL, NULL, NULL, NULL
+FROM req WHERE len(x_sales) <> 14""", "req"))
 def _prediction_interval(spark, d):
     from shelfcast.functions.exprs import array_pop_std
     from shelfcast.functions.rules import prediction_intervals
-    req = _requests(spark, d).where(F.col("kind") == "rows")
     x = F.transform("historical_data", lambda day: day["sales"])
-    f = fc.seasonal_naive_expr(x)
-    iv = req.select("store_id", "product_id", F.explode(prediction_intervals(f, array_pop_std(x))).alias("i"),
-                    f.alias("f"))
-    return iv.select("store_id", "product_id", F.col("i.day").alias("day"),
+    valid = F.size("historical_data") == wn.LOOKBACK
+    f = F.when(valid, fc.seasonal_naive_expr(x))
+    iv = _requests(spark, d).select(
+        "store_id", "product_id", "kind", F.when(~valid, F.lit(scr.WRONG_LENGTH)).alias("error"),
+        F.explode_outer(F.when(valid, prediction_intervals(f, array_pop_std(x)))).alias("i"), f.alias("f"))
+    return iv.select("store_id", "product_id", "kind", "error", F.col("i.day").alias("day"),
                      r6(F.element_at("f", F.col("i.day"))).alias("forecast"),
                      r6("i.lower").alias("lower"), r6("i.upper").alias("upper"))
 
@@ -510,7 +568,8 @@ _QUESTION = scr.INSIGHT_QUESTION.replace("'", "''")
 register("rule_insights", S.with_ctes(f"""
 SELECT store_id, product_id, '{_QUESTION}' AS query,
        {S.rule_insight_text('avg_daily_sales', 'trend', 'volatility')} AS insights
-FROM ctx""", "ctx"))(lambda spark, d: scr.rule_insights(scr.insight_requests(_ctx(spark, d))))
+FROM ctx""", "ctx"))(lambda spark, d: _through_json(scr.rule_insights(
+    scr.insight_requests(_ctx(spark, d)), with_timestamp=True), "insights").drop("generated_at"))
 
 
 def _ctx_repr_sql():
@@ -553,14 +612,16 @@ WHERE rank <= 3""")
 
 def _cos_hits(spark, d):
     emb = read_table(spark, d, "embeddings")
-    q = rt.label_centroids(emb).select(F.col("label").alias("query_id"), "vector")
+    from shelfcast.session import materialize
+    q = materialize(rt.label_centroids(emb).select(F.col("label").alias("query_id"), "vector"), "centroids")
     return emb, rt.cosine_topk(emb, q)
 
 
 @register("cosine_topk", S.with_ctes("SELECT query_label, rank, vec_id, label, score FROM cos_hits", "cos_hits"))
 def _cosine_topk(spark, d):
-    _, hits = _cos_hits(spark, d)
-    return hits.select(F.col("query_id").alias("query_label"), "rank", "vec_id", "label", "score")
+    emb, hits = _cos_hits(spark, d)
+    return hits.join(emb.select("vec_id", "label"), "vec_id").select(
+        F.col("query_id").alias("query_label"), "rank", "vec_id", "label", "score")
 
 
 @register("rag_prompt", S.with_ctes("""
@@ -578,44 +639,98 @@ def _rag_prompt(spark, d):
     return out.select(F.col("query_id").alias("query_label"), "question", "prompt")
 
 
-_TFIDF_SQL = f"""
-WITH dt AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORD_PATTERN}')) AS term FROM documents),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY doc_id, term),
-nd AS (SELECT count(DISTINCT doc_id) AS n FROM documents),
+
+
+def _tfidf_ctes(docs, doc_id, texts, query_id):
+    """CTEs up to `scored`: (doc_id, query_id, score) of all pairs that share a term."""
+    return f"""
+dt AS (SELECT {doc_id}, unnest(regexp_extract_all(lower(text), '{WORD_PATTERN}')) AS term FROM {docs}),
+tf AS (SELECT {doc_id}, term, count(*) AS tf FROM dt GROUP BY {doc_id}, term),
+nd AS (SELECT count(DISTINCT {doc_id}) AS n FROM {docs}),
 idf AS (SELECT term, ln((1.0 + any_value(nd.n)) / (1.0 + count(*))) + 1.0 AS idf FROM tf, nd GROUP BY term),
-w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
-norm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),
-qt AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '{WORD_PATTERN}')) AS term FROM benchmark),
-qtf AS (SELECT item_id, term, count(*) AS tf FROM qt GROUP BY item_id, term),
-qw AS (SELECT item_id, term, tf * coalesce(idf, ln(1.0 + nd.n) + 1.0) AS w FROM qtf LEFT JOIN idf USING (term), nd),
-qunit AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS qw FROM qw),
-scored AS (SELECT d.doc_id, d.item_id, {R6('d.dot / n.norm')} AS score
-           FROM (SELECT u.doc_id, q.item_id, sum(u.w * q.qw) AS dot
-                 FROM w u JOIN qunit q USING (term) GROUP BY u.doc_id, q.item_id) d
-           JOIN norm n USING (doc_id))
-SELECT item_id, rank, doc_id, score FROM (
-  SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM scored) t
-WHERE rank <= 3"""
-
-
-@register("tfidf_retrieve", _TFIDF_SQL)
+w AS (SELECT {doc_id}, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+norm AS (SELECT {doc_id}, sqrt(sum(w * w)) AS norm FROM w GROUP BY {doc_id}),
+qt AS (SELECT {query_id}, unnest(regexp_extract_all(lower(text), '{WORD_PATTERN}')) AS term FROM {texts}),
+qtf AS (SELECT {query_id}, term, count(*) AS tf FROM qt GROUP BY {query_id}, term),
+qw AS (SELECT {query_id}, term, tf * coalesce(idf, ln(1.0 + nd.n) + 1.0) AS w FROM qtf LEFT JOIN idf USING (term), nd),
+qunit AS (SELECT {query_id}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {query_id})) AS qw FROM qw),
+scored AS (SELECT d.{doc_id}, d.{query_id}, {R6('d.dot / n.norm')} AS score
+           FROM (SELECT u.{doc_id}, q.{query_id}, sum(u.w * q.qw) AS dot
+                 FROM w u JOIN qunit q USING (term) GROUP BY u.{doc_id}, q.{query_id}) d
+           JOIN norm n USING ({doc_id})),
+ranked AS (SELECT * FROM (
+  SELECT *, (row_number() OVER (PARTITION BY {query_id} ORDER BY score DESC, {doc_id}))::INT AS rank FROM scored) t
+WHERE rank <= 3)"""
+
+
+@register("tfidf_retrieve", "WITH" + _tfidf_ctes("documents", "doc_id", "benchmark", "item_id")
+          + "\nSELECT item_id, rank, doc_id, score FROM ranked")
 def _tfidf(spark, d):
     return rt.tfidf_retrieve(read_table(spark, d, "documents"), read_table(spark, d, "benchmark")).select(
         "item_id", "rank", "doc_id", "score")
 
 
-@register("lsh_topk")
+# The knowledge base as records and texts, and a question about each series.
+S.cte("kb", ("metrics",), f"""
+SELECT store_id * 1000 + product_id AS kb_id, store_id, product_id, avg_sales, avg_forecast, trend,
+       'Product ' || product_id || ' at Store ' || store_id || ': Average sales ' || {S.py_repr('avg_sales')}
+       || ', trend ' || trend AS text
+FROM metrics""")
+S.cte("asked", ("kb",), """
+SELECT kb_id AS question_id, 'What is the sales trend of product ' || product_id || ' at store ' || store_id || '?' AS text
+FROM kb""")
+_KB_SQL = (S.with_ctes("", "kb", "asked") + ", " + _tfidf_ctes("kb", "kb_id", "asked", "question_id") + f"""
+SELECT r.question_id, a.text AS question,
+       'Use the following context to answer the question:' || chr(10) || chr(10) || 'Context:' || chr(10) ||
+       string_agg('{{"store_id": ' || k.store_id || ', "product_id": ' || k.product_id || ', "avg_sales": '
+                  || {S.py_repr('k.avg_sales')} || ', "avg_forecast": ' || {S.py_repr('k.avg_forecast')}
+                  || ', "trend": "' || k.trend || '"}}', chr(10) ORDER BY r.rank)
+       || chr(10) || chr(10) || 'Question: ' || a.text || chr(10) || chr(10) || 'Answer:' AS prompt
+FROM ranked r JOIN kb k USING (kb_id) JOIN asked a USING (question_id) GROUP BY r.question_id, a.text""")
+
+
+@register("kb_question_prompt", _KB_SQL)
+def _kb_question_prompt(spark, d):
+    from shelfcast.functions.rules import py_repr
+    from shelfcast.session import materialize
+    kb = ins.knowledge_base(_metrics(spark, d))
+    kb_id = (F.col("store_id") * 1000 + F.col("product_id")).alias("kb_id")
+    text = ins.kb_text(kb).select(kb_id, "store_id", "product_id", "text")
+    records = materialize(kb.select(
+        kb_id, F.col("store_id").cast("string"), F.col("product_id").cast("string"), py_repr(F.col("avg_sales")).alias("avg_sales"),
+        py_repr(F.col("avg_forecast")).alias("avg_forecast"), F.concat(F.lit('"'), "trend", F.lit('"')).alias("trend"))
+        .join(text.select("kb_id", "text"), "kb_id"), "kb")
+    asked = records.select(F.col("kb_id").alias("question_id"), F.concat(
+        F.lit("What is the sales trend of product "), "product_id", F.lit(" at store "), "store_id", F.lit("?")).alias("question"))
+    hits = rt.tfidf_retrieve(records, asked.withColumnRenamed("question", "text"), corpus_id="kb_id", query_id="question_id")
+    return rt.kb_prompt(hits, records, asked, "question_id", "kb_id",
+                        ("store_id", "product_id", "avg_sales", "avg_forecast", "trend"))
+
+
+_LSH_BITS = 8
+_SIG = lambda v: " + ".join(
+    f"(CASE WHEN list_sum(list_transform({v}, lambda v, i: v::DOUBLE * "
+    f"(('0x' || substr(md5('{j}:' || i), 1, 8))::BIGINT / 4294967296.0 - 0.5))) >= 0 THEN {1 << j} ELSE 0 END)"
+    for j in range(_LSH_BITS))
+
+
+@register("lsh_topk", S.with_ctes(f"""
+SELECT query_label, rank, vec_id, score FROM (
+  SELECT query_label, vec_id, {R6('list_cosine_similarity(embedding::DOUBLE[], c)')} AS score,
+         (row_number() OVER (PARTITION BY query_label
+                             ORDER BY {R6('list_cosine_similarity(embedding::DOUBLE[], c)')} DESC, vec_id))::INT AS rank
+  FROM (SELECT *, min(CASE WHEN held >= 3 THEN dist END) OVER (PARTITION BY query_label) AS reach
+        FROM (SELECT q.query_label, q.c, e.vec_id, e.embedding, bit_count(xor(q.sig, e.sig)) AS dist,
+                     count(*) OVER (PARTITION BY q.query_label ORDER BY bit_count(xor(q.sig, e.sig))) AS held
+              FROM (SELECT vec_id, embedding, ({_SIG('embedding')})::BIGINT AS sig FROM embeddings) e,
+                   (SELECT query_label, c, ({_SIG('c')})::BIGINT AS sig FROM centroids) q) p) h
+  WHERE reach IS NULL OR dist <= reach) s
+WHERE rank <= 3""", "centroids"))
 def _lsh(spark, d):
+    from shelfcast.session import materialize
     emb = read_table(spark, d, "embeddings")
-    q = rt.label_centroids(emb).select(F.col("label").alias("query_id"), "vector")
-    approx = rt.lsh_topk(emb, q)
-    exact = rt.cosine_topk(emb, q).select("query_id", F.col("vec_id").alias("exact_id"), F.col("rank").alias("r"))
-    # Recall of the approximate top-k against the exact one, per query.
-    rec = (exact.join(approx.select("query_id", F.col("vec_id").alias("exact_id")), ["query_id", "exact_id"], "left_semi")
-           .groupBy("query_id").agg(F.count("*").alias("found")))
-    return (approx.join(rec, "query_id", "left")
-            .select(F.col("query_id").alias("query_label"), "rank", "vec_id", "score",
-                    r6(F.coalesce("found", F.lit(0)) / F.lit(rt.TOP_K)).alias("recall_at_k")))
+    q = materialize(rt.label_centroids(emb).select(F.col("label").alias("query_id"), "vector"), "centroids")
+    return rt.lsh_topk(emb, q, bits=_LSH_BITS).select(F.col("query_id").alias("query_label"), "rank", "vec_id", "score")
 
 
 # ---------------------------------------------------------------- text scoring
@@ -713,10 +828,13 @@ S.cte("rouge2", ("ptoks",), _rouge_sql(2))
 register("rouge_n", S.with_ctes(f"""
 SELECT a.conv_id, a.turn, {_prf(1, 'a')}, {_prf(2, 'b')}
 FROM rouge1 a JOIN rouge2 b USING (conv_id, turn)""", "rouge1", "rouge2"))(
-    lambda spark, d: (lambda p: ts.rouge_n(p, 1).select(
-        "conv_id", "turn", "rouge1_p", "rouge1_r", "rouge1_f").join(
-        ts.rouge_n(p, 2).select("conv_id", "turn", "rouge2_p", "rouge2_r", "rouge2_f"), ["conv_id", "turn"]))(
-        ts.conversation_pairs(read_table(spark, d, "conversations"))))
+    lambda spark, d: ts.rouge_n(ts.conversation_pairs(read_table(spark, d, "conversations"))))
+
+register("exact_numbers", S.with_ctes(f"""
+SELECT conv_id, turn, regexp_extract_all(generated, '{NUMBER_PATTERN}') = regexp_extract_all(reference, '{NUMBER_PATTERN}') AS exact
+FROM pairs""", "pairs"))(
+    lambda spark, d: ts.conversation_pairs(read_table(spark, d, "conversations")).select(
+        "conv_id", "turn", ts.exact_numbers(F.col("generated"), ts.extract_numbers("reference")).alias("exact")))
 
 # LCS as a dynamic program in SQL: the outer list_reduce walks the generated
 # tokens, the inner one builds the next DP row left to right.
@@ -862,7 +980,39 @@ FROM events e JOIN (SELECT event_type, avg(value) AS m,
                            CASE WHEN stddev_pop(value) > 0 THEN stddev_pop(value) ELSE 1.0 END AS s
                     FROM events GROUP BY event_type) p USING (event_type)""")(
     lambda spark, d: stm.stream_scale(spark, d))
-register("stream_forecast")(lambda spark, d: stm.stream_forecast(spark, _panel(spark, d)))
+register("stream_forecast", S.with_ctes("""
+SELECT store_id, product_id, strftime(max(date), '%Y-%m-%d') AS last_date, count(*)::INT AS n_days,
+       CASE WHEN count(*) = 14 THEN list_transform(range(7), lambda h: list(sales ORDER BY date)[8 + h]) END AS seasonal_naive,
+       CASE WHEN count(*) = 14 THEN list_transform(range(7), lambda h: (floor(list_sum(list(sales ORDER BY date)) / 14 * 1e6 + 0.5) / 1e6)) END
+         AS moving_average
+FROM (SELECT *, row_number() OVER (PARTITION BY store_id, product_id ORDER BY date DESC) AS rk FROM panel) t
+WHERE rk <= 14 GROUP BY store_id, product_id""", "panel"))(
+    lambda spark, d: stm.stream_forecast(spark, _panel(spark, d)).withColumn(
+        "moving_average", F.transform("moving_average", lambda v: r6(v))))
+
+# A window or session is written once the watermark, a day behind the last event, has passed its end.
+register("stream_sliding", f"""
+SELECT * FROM (
+  SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, event_type, count(*) AS n_events,
+         {R6('sum(value)')} AS total_value
+  FROM (SELECT event_type, value, time_bucket(INTERVAL 1 DAY, ts) - to_days(r.i::INT) AS window_start
+        FROM events, range(7) r(i)) t
+  GROUP BY ALL) w
+WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")(
+    lambda spark, d: stm.stream_sliding(spark, d).select(
+        _ntz("window_start"), _ntz("window_end"), "event_type", "n_events", "total_value"))
+
+register("stream_sessions", f"""
+SELECT * FROM (
+  SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n_events,
+         {R6('sum(value)')} AS total_value
+  FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid
+        FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR
+                             THEN 0 ELSE 1 END AS new FROM events) t) u
+  GROUP BY user_id, sid) s
+WHERE session_end <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")(
+    lambda spark, d: stm.stream_sessions(spark, d).select(
+        "user_id", _ntz("session_start"), _ntz("session_end"), "n_events", "total_value"))
 
 # The streaming counters end in the same state as the batch aggregates.
 from shelfcast.plans.registry import ORACLES as _ORACLES  # noqa: E402
@@ -904,7 +1054,41 @@ def _ar_linear(spark, d):
     return lrn.ar_linear_forecast(_panel(spark, d), stm.run_dir(spark, "ar-linear"))
 
 
-register("experiment_grid")(lambda spark, d: lrn.experiment_grid(_panel(spark, d)))
+# The same with the window's mean alone: its least squares are closed forms.
+_MEAN = "(list_sum(list_transform(x_sales, lambda v: (v - m) / s)) / len(x_sales))"
+
+
+@register("mean_linear_forecast", S.with_ctes("", "windows", "bounds", "xparams_train") + f""",
+cut AS MATERIALIZED (SELECT lo + CAST(floor(datediff('day', lo, hi) * 0.8) AS INT) AS cutoff FROM bounds),
+parted AS (SELECT w.*, CASE WHEN w.y_date[len(w.y_date)] < c.cutoff THEN 'train'
+                            WHEN w.start_date >= c.cutoff THEN 'test' END AS split FROM windows w, cut c),
+xp AS MATERIALIZED (SELECT mean AS m, scale AS s FROM xparams_train WHERE name = 'sales'),
+cells AS (SELECT store_id, product_id, pos, start_date, y, split, f, unnest(range(7))::INT AS idx, unnest(y) AS v
+          FROM (SELECT parted.*, {_MEAN} AS f FROM parted, xp WHERE split IS NOT NULL) t),
+yp AS MATERIALIZED (SELECT idx, avg(v) AS ym, coalesce(nullif(stddev_pop(v), 0), 1.0) AS ysd
+                    FROM cells WHERE split = 'train' GROUP BY idx),
+fit AS MATERIALIZED (SELECT idx, regr_slope((v - ym) / ysd, f) AS b, regr_intercept((v - ym) / ysd, f) AS a
+                     FROM cells JOIN yp USING (idx) WHERE split = 'train' GROUP BY idx)
+SELECT store_id, product_id, pos, start_date, list({R6('(a + b * f) * ysd + ym')} ORDER BY idx) AS forecast, y
+FROM cells JOIN yp USING (idx) JOIN fit USING (idx) WHERE split = 'test'
+GROUP BY store_id, product_id, pos, start_date, y""")
+def _mean_linear(spark, d):
+    return lrn.ar_linear_forecast(_panel(spark, d), stm.run_dir(spark, "mean-linear"), reg=0.0, features="mean")
+
+
+def _grid_sql(model, season, temperature):
+    expr = (f"list_transform(range(1, {S.H + 1}), lambda h: x_sales[{S.L} - {season} + ((h - 1) % {season}) + 1])"
+            if model == "seasonal_naive" else S.FC_EXPR["recency_weighted"].replace(f"tanh({S.TEMP} *", f"tanh({temperature} *"))
+    return f"""
+SELECT '{model}' AS model, {season or 'NULL'}::INT AS season, {temperature or 'NULL'}::DOUBLE AS temperature,
+       unnest({expr}) AS p, unnest(y) AS a FROM windows"""
+
+
+register("experiment_grid", S.with_ctes(f"""
+SELECT model, season, temperature, count(*) AS n, {R6('avg(abs(p - a))')} AS mae, {R6('sqrt(avg(pow(p - a, 2)))')} AS rmse,
+       {R6('avg(abs((a - p) / (a + 1e-8))) * 100')} AS mape, avg(abs((a - p) / (a + 1e-8))) * 100 < 15.0 AS meets_target
+FROM ({" UNION ALL ".join(_grid_sql(*g) for g in lrn.GRID)}) t GROUP BY model, season, temperature""", "windows"))(
+    lambda spark, d: lrn.experiment_grid(_panel(spark, d)))
 
 
 @register("csv_roundtrip", S.with_ctes(f"""

@@ -117,7 +117,15 @@ cte("fr_all", tuple(f"fr_{m}" for m in FC_EXPR), "\nUNION ALL\n".join(
     f"SELECT * FROM fr_{m}" for m in FC_EXPR))
 
 # ---------------------------------------------------------------- series metrics / context
-cte("metrics", ("fr_seasonal_naive",), f"""
+# One forecast per day, straight from the panel: a seasonal-naive forecast of the
+# shortest horizon is the sales seven rows earlier, from the 15th row on, in
+# series that hold at least one window.
+cte("day_fr", ("panel",), f"""
+SELECT store_id, product_id, date, price, sales AS actual_sales, week_before AS forecast
+FROM (SELECT *, lag(sales, {SEASON}) OVER ({W}) AS week_before, row_number() OVER ({W}) AS n,
+             count(*) OVER (PARTITION BY store_id, product_id) AS n_rows FROM panel) t
+WHERE n > {L} AND n_rows >= {L + H}""")
+cte("metrics", ("day_fr",), f"""
 SELECT store_id, product_id, count(*) AS n_days,
        avg(actual_sales) AS avg_sales, avg(forecast) AS avg_forecast,
        1 - avg(abs(forecast - actual_sales)) / avg(actual_sales) AS forecast_accuracy,
@@ -125,8 +133,7 @@ SELECT store_id, product_id, count(*) AS n_days,
             THEN 'increasing' ELSE 'decreasing' END AS trend,
        stddev_samp(actual_sales) AS volatility,
        list(actual_sales ORDER BY date) FILTER (WHERE rk <= 7) AS recent_sales
-FROM (SELECT *, row_number() OVER (PARTITION BY store_id, product_id ORDER BY date DESC) AS rk
-      FROM fr_seasonal_naive WHERE horizon = 1) t
+FROM (SELECT *, row_number() OVER (PARTITION BY store_id, product_id ORDER BY date DESC) AS rk FROM day_fr) t
 GROUP BY store_id, product_id""")
 
 

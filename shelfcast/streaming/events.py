@@ -9,6 +9,7 @@ from the committed offsets and state instead of recomputing.
 * `stream_tumbling`  daily windows per event type, watermark 1 day, append.
 * `stream_dedup`     late-data drop + `dropDuplicatesWithinWatermark(event_id)`.
 * `stream_scale`     stream-static join with per-type scaling parameters.
+* `stream_sliding`, `stream_sessions`  sliding windows and user sessions, append.
 * `stream_forecast`  rolling last-14-days state per series with
                      `applyInPandasWithState`; emits seasonal-naive and
                      moving-average forecasts (state is bounded: 14 values/key).
@@ -19,35 +20,45 @@ from the committed offsets and state instead of recomputing.
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from shelfcast.functions.exprs import broadcast_if_bounded, r6
-from shelfcast.operators.monitoring import event_time
-from shelfcast.session import ensure_checkpoint_dir
-from shelfcast.sources.tables import read_table, table_path
+from shelfcast.functions.exprs import r6
+from shelfcast.operators.monitoring import SESSION_GAP, event_time
+from shelfcast.session import shared_path
+from shelfcast.sources.tables import read_table
 
 WATERMARK = "1 day"
 DEDUP_WATERMARK = "1 hour"
-MAX_EVENT_TYPES = 10_000
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
     """A new folder for one run's checkpoint and output, in the shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    return f"{root.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, f"streams/{name}")
+
 
+#: Pieces of the event table's time span, each a file set of its own.
+SLICES = 4
 
-def event_stream(spark: SparkSession, sf_dir: str, table: str = "events", max_files: int | None = None) -> DataFrame:
-    schema = spark.read.parquet(table_path(sf_dir, table)).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(sf_dir)
+
+def event_stream(spark: SparkSession, sf_dir: str, table: str = "events", slices: int = SLICES) -> DataFrame:
+    """The event table as a stream in time order: its time span is cut into
+    `slices`, staged one after another in the shared folder, and each trigger
+    takes one file on, so that state is carried from batch to batch."""
+    events = read_table(spark, sf_dir, table)
+    stage = run_dir(spark, f"{table}-stage")
+    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    step = (hi - lo) / slices if lo is not None else None
+    for i in range(slices if step else 1):
+        some = events
+        if step:
+            some = events.where(F.col("ts") >= F.lit(lo + i * step)) if i else events.where(
+                F.col("ts").isNull() | (F.col("ts") >= F.lit(lo)))
+            some = some.where(F.col("ts").isNull() | (F.col("ts") < F.lit(lo + (i + 1) * step))) if i < slices - 1 else some
+        some.write.mode("append").parquet(stage)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(stage)
 
 
 def run_append(df: DataFrame, name: str) -> DataFrame:
@@ -86,6 +97,28 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_append(out, "tumbling")
 
 
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven-day windows that start every day; a window is written when the
+    watermark has passed its end."""
+    ev = event_time(event_stream(spark, sf_dir)).withWatermark("ts", WATERMARK)
+    agg = ev.groupBy(F.window("ts", "7 days", "1 day").alias("w"), "event_type").agg(
+        F.count("*").alias("n_events"), r6(F.sum("value")).alias("total_value"))
+    out = agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                     "event_type", "n_events", "total_value")
+    return run_append(out, "sliding")
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User sessions with the built-in session window; a session is written
+    when the watermark has passed its end."""
+    ev = event_time(event_stream(spark, sf_dir)).withWatermark("ts", WATERMARK)
+    agg = ev.groupBy("user_id", F.session_window("ts", SESSION_GAP).alias("w")).agg(
+        F.count("*").alias("n_events"), r6(F.sum("value")).alias("total_value"))
+    out = agg.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"),
+                     "n_events", "total_value")
+    return run_append(out, "sessions")
+
+
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = event_time(event_stream(spark, sf_dir)).withWatermark("ts", DEDUP_WATERMARK)
     uniq = ev.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "ts", "user_id", "event_type", "value")
@@ -100,7 +133,7 @@ def scaling_params(events: DataFrame) -> DataFrame:
 
 
 def stream_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    params = broadcast_if_bounded(scaling_params(read_table(spark, sf_dir, "events")), MAX_EVENT_TYPES)
+    params = scaling_params(read_table(spark, sf_dir, "events"))
     ev = event_stream(spark, sf_dir).join(params, "event_type")
     out = ev.select("event_id", "event_type", "value",
                     r6((F.col("value") - F.col("mean")) / F.col("scale")).alias("z"))
@@ -136,20 +169,25 @@ def _rolling_forecast(lookback: int, horizon: int, season: int):
 
 
 def stream_forecast(spark: SparkSession, panel: DataFrame, lookback: int = 14, horizon: int = 7,
-                    season: int = 7, files: int = 8) -> DataFrame:
-    """Demand rows arrive as a stream (the panel staged as files in date
-    order); each series keeps its latest `lookback` days as state and emits
-    forecasts once the state is full.  Keeping the top-`lookback` days by
-    date is order-insensitive, so late files do not corrupt the state."""
+                    season: int = 7) -> DataFrame:
+    """Demand rows arrive as a stream, year by year (the panel staged in the
+    shared folder); each series keeps its latest `lookback` days as state and
+    emits forecasts once the state is full.  Keeping the top-`lookback` days by
+    date is order-insensitive, so late files do not corrupt the state.  Returns
+    each series' latest emission: its state after the last batch."""
     stage = run_dir(spark, "panel-stage")
-    (panel.select("store_id", "product_id", F.date_format("date", "yyyy-MM-dd").alias("date"), "sales")
-     .repartitionByRange(files, "date").write.parquet(stage))
+    (panel.select("store_id", "product_id", F.date_format("date", "yyyy-MM-dd").alias("date"), "sales",
+                  F.year("date").alias("year"))
+     .repartitionByRange("date").write.partitionBy("year").parquet(stage))
     schema = spark.read.parquet(stage).schema
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(stage)
     out = rows.groupBy("store_id", "product_id").applyInPandasWithState(
         _rolling_forecast(lookback, horizon, season), FORECAST_OUT, STATE_SCHEMA, "update",
         GroupStateTimeout.NoTimeout)
-    return run_update(out, "forecast")
+    emitted = run_update(out, "forecast")
+    rest = [c for c in emitted.columns if c not in ("store_id", "product_id", "batch_id")]
+    return emitted.groupBy("store_id", "product_id").agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select(
+        "store_id", "product_id", "r.*")
 
 
 # ---------------------------------------------------------------- monitoring counters (update mode)

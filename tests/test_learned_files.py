@@ -7,18 +7,17 @@ from shelfcast.sources import files as fl
 
 
 def test_pandas_scorer_matches_spark_ml(spark, small_panel, tmp_path):
-    scaled, _, y_params = lrn.prepared(small_panel)
-    train = scaled.where(F.col("split") == "train")
-    model = lrn.fit_steps(train, reg=0.01)
+    from pyspark.ml.functions import array_to_vector
+    scaled, _, _ = lrn.prepared(small_panel)
+    model = lrn.fit_steps(scaled.where(F.col("split") == "train"), reg=0.01)
     lrn.save_model(model, str(tmp_path / "m"))
     loaded = lrn.load_model(str(tmp_path / "m"))
-    test = scaled.where(F.col("split") == "test")
+    test = scaled.where(F.col("split") == "test").select("store_id", "product_id", "pos", "f")
     spark_pred = {(r["store_id"], r["product_id"], r["pos"]): [r[f"pred_{h}"] for h in range(7)]
-                  for r in loaded.transform(test).collect()}
-    from pyspark.ml.functions import vector_to_array
-    cols = ["store_id", "product_id", "pos", vector_to_array("features").alias("f")]
+                  for r in loaded.transform(test.withColumn("features", array_to_vector("f"))).collect()}
+    schema = "store_id int, product_id int, pos int, f array<double>, z array<double>"
     pd_pred = {(r["store_id"], r["product_id"], r["pos"]): r["z"]
-               for r in test.select(*cols).mapInPandas(lrn.pandas_scorer(loaded), lrn.SCORER_SCHEMA).collect()}
+               for r in test.mapInPandas(lrn.pandas_scorer(loaded), schema).collect()}
     assert spark_pred and spark_pred.keys() == pd_pred.keys()
     for k, v in spark_pred.items():
         assert all(abs(a - b) < 1e-6 for a, b in zip(v, pd_pred[k]))

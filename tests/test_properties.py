@@ -2,11 +2,13 @@
 
 import random
 
+import pytest
+
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shelfcast.functions.exprs import global_rank, salted_join
+from shelfcast.functions.exprs import global_rank
 from shelfcast.operators import forecasts as fc
 from shelfcast.operators import scaling as sc
 from shelfcast.operators import splits as sp
@@ -90,7 +92,7 @@ def test_rouge_n_brute_force(spark):
     texts = [("a b c a b", "a b a c"), ("x y", "z"), ("", "q")]
     df = spark.createDataFrame([(i, 0, g, r) for i, (g, r) in enumerate(texts)],
                                "conv_id long, turn long, generated string, reference string")
-    got = {r["conv_id"]: r for r in ts.rouge_n(df, 2).collect()}
+    got = {r["conv_id"]: r for r in ts.rouge_n(df).collect()}
     for i, (g, r) in enumerate(texts):
         gg = Counter(zip(g.split(), g.split()[1:]))
         rr = Counter(zip(r.split(), r.split()[1:]))
@@ -101,21 +103,26 @@ def test_rouge_n_brute_force(spark):
 
 def test_global_rank_matches_window(spark):
     rnd = random.Random(7)
-    rows = [(i, float(rnd.randint(0, 20))) for i in range(300)]
+    rows = [(i, float(rnd.randint(0, 20)) if i % 11 else None) for i in range(300)]
     df = spark.createDataFrame(rows, "id int, v double")
-    got = {r["id"]: (r["rank"], r["dense_rank"]) for r in global_rank(df, "v", tie_cols=("id",)).collect()}
+    got = {r["id"]: (r["rank"], r["dense_rank"]) for r in global_rank(df, "v").collect()}
     w = Window.orderBy(F.col("v").desc())
     ref = {r["id"]: (r["r"], r["d"]) for r in df.select(
         "id", F.rank().over(w).alias("r"), F.dense_rank().over(w).alias("d")).collect()}
     assert got == ref
 
 
-def test_salted_join_equals_join(spark):
-    big = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(500)], "id int, key string")
-    small = spark.createDataFrame([("hot", 1), ("k3", 2), ("k6", 3)], "key string, val int")
-    a = sorted(tuple(r) for r in big.join(small, "key").select("id", "val").collect())
-    b = sorted(tuple(r) for r in salted_join(big, small, ["key"], F.hash("id"), 8).select("id", "val").collect())
-    assert a == b
+@pytest.mark.parametrize("values", [2_000_000, 1000])
+def test_global_rank_is_right_on_a_million_rows(spark, values):
+    """More rows than a range partitioning samples, without ties and with."""
+    n = 1_200_000
+    df = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(values)).alias("v"))
+    got = global_rank(df, "v", partitions=7).groupBy("v").agg(
+        F.min("rank").alias("a"), F.max("rank").alias("b"), F.min("dense_rank").alias("d"), F.count("*").alias("n")).toPandas()
+    got = got.sort_values("v", ascending=False)
+    before = got["n"].cumsum() - got["n"]
+    assert (got["a"] == got["b"]).all() and (got["a"] == before + 1).all()
+    assert (got["d"].to_numpy() == range(1, len(got) + 1)).all() and got["n"].sum() == n
 
 
 def test_stream_tumbling_equals_batch_closed_windows(spark):
