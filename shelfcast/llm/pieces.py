@@ -164,7 +164,7 @@ class Lattice:
     Node (w, p) lies before the p-th character of word w.  Nodes are numbered
     place by place, those of one place by word, so that all sums forward are
     over ranges.  Arcs are sorted by the node they end at, the widest first;
-    `run` accumulates their probabilities, from `base` of that node on."""
+    `run` accumulates a node's arcs' probabilities."""
 
     def __init__(self, p: Pieces, codes: np.ndarray, lengths: np.ndarray) -> None:
         """`codes`: the characters of the words, one word after another;
@@ -224,8 +224,14 @@ class Lattice:
         self.alpha = alpha
         self.share -= np.repeat(alpha, into)
         np.exp(self.share, out=self.share)
-        self.run = self.share.cumsum()
-        self.base = np.append(0.0, self.run)[self.first[:-1]]
+        # Node by node, so that no node's sums depend on those before it.
+        self.run, j = self.share.copy(), 1
+        nodes = np.flatnonzero(into > 1)
+        while len(nodes):
+            at = self.first[nodes] + j
+            self.run[at] += self.run[at - 1]
+            j += 1
+            nodes = nodes[into[nodes] > j]
         self.run[self.first[1:][into > 0] - 1] = np.inf  # the last arc takes what rounding leaves
 
     def draw(self, nodes: np.ndarray, key: np.ndarray, which: int, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +241,7 @@ class Lattice:
         live, at, step = np.flatnonzero(nodes >= self.words).astype(np.int32), nodes[nodes >= self.words], 0
         hashes = _hash(key, which, number)
         while len(live):
-            u = self.base[at] + _uniform(hashes[live], step)
+            u = _uniform(hashes[live], step)
             arc = self.first[at]
             over = np.flatnonzero(u > self.run[arc])
             while len(over):
@@ -428,11 +434,10 @@ def sample(texts: list[str | None], keys: np.ndarray, k: int, p: Pieces) -> list
         arcs = np.concatenate([searches[d].paths[which][1] for d in rows])
         ids, before = lat.ids(arcs, np.concatenate([searches[d].paths[which][0] for d in rows]))
         cut = np.append(0, np.cumsum([len(searches[d].paths[which][1]) for d in rows]))
-        sums = np.append(0.0, lat.logp[arcs].cumsum())
+        weight = lat.logp[arcs]
         for d, a, z in zip(rows, cut[:-1].tolist(), cut[1:].tolist()):
             s = searches[d]
-            # A short path's own sum: differences of long ones lose digits.
-            logp = (float(lat.logp[arcs[a:z]].sum()) if z - a < 64 else float(sums[z] - sums[a])) - s.logs
+            logp = float(weight[a:z].sum()) - s.logs
             score = float(-np.expm1(-np.exp(min(50.0, logp - s.kappa()))))
             out[d].append((ids[before[a]:before[z]], logp, s.paths[which][2], score))
     return out
