@@ -903,8 +903,9 @@ JOIN numsc n USING (conv_id, turn)
 LEFT JOIN coh c USING (conv_id, turn)""", "rougel", "numsc", "coh"))
 def _overall(spark, d):
     conv = read_table(spark, d, "conversations")
+    from shelfcast.session import materialize
     counts, n, v = ts.unigram_model(conv)
-    return ts.overall_score(ts.conversation_pairs(conv), counts, n, v)
+    return ts.overall_score(materialize(ts.conversation_pairs(conv), "pairs"), counts, n, v)
 
 
 # ---------------------------------------------------------------- monitoring & streams

@@ -39,5 +39,14 @@ def test_no_cartesian_products(spark):
 
 
 def test_rank_is_not_single_partition(spark):
+    # The counted keys are range-partitioned into a table before; rows meet them by key.
     p = _plan(entry.queries()["volatility_rank"](spark, SF_SMALL))
-    assert "rangepartitioning" in p
+    assert "hashpartitioning(_pid" in p and "CartesianProduct" not in p
+
+
+def test_text_is_scanned_twice_at_most(spark):
+    import re
+    for name, table in (("corpus_perplexity", "documents"), ("rouge_n", "conversations"), ("rouge_l", "conversations"),
+                        ("overall_score", "conversations"), ("tfidf_retrieve", "documents")):
+        p = _plan(entry.queries()[name](spark, SF_SMALL))
+        assert len(re.findall(rf"FileScan parquet [^\n]*{table}\.parquet", p)) <= 2, name

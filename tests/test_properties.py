@@ -185,3 +185,26 @@ def test_split_sessions_equal_session_window(spark):
     assert a == [r for r in b if r[0] != 2]
     real = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     assert sorted(map(tuple, sessions(real).collect())) == sorted(map(tuple, sessions_split(real).collect()))
+
+
+def test_recent_sales_are_the_newest_days(spark, small_panel):
+    from shelfcast.operators import insights as ins
+    days = {}
+    for r in small_panel.collect():
+        days.setdefault((r["store_id"], r["product_id"]), []).append((r["date"], r["sales"]))
+    got = ins.series_metrics(fc.forecast_results(small_panel)).collect()
+    assert got and len(got) == sum(len(v) >= 21 for v in days.values())
+    for r in got:
+        own = sorted(days[r["store_id"], r["product_id"]])
+        assert r["recent_sales"] == [s for _, s in own[-7:]]
+        assert r["n_days"] == len(own) - 14
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    from shelfcast.operators.panel import exact_quantiles
+    rng = np.random.default_rng(2)
+    cols = {"a": rng.normal(size=5001), "b": rng.integers(0, 4, size=5001).astype(float)}
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(*cols.values())] + [(None, None)], "a double, b double")
+    for r in exact_quantiles(df, ("a", "b")).collect():
+        assert np.allclose([r["q0"], r["q1"], r["q2"]], np.quantile(cols[r["column"]], (0.25, 0.5, 0.75)))
