@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the white space that separates words (space, tab to CR).
-SPACE = " \t\n\x0b\x0c\r"
+# Fixed value: words are runs of all but space and tab to carriage return.
 WORD_RX = r"[^\x20\x09-\x0D]+"
 
 

@@ -169,21 +169,24 @@ def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
 def samples(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS) -> tuple[tuple[str, str], ...]:
     """A bounded sample of labelled text per language, in the order of the
     languages' code points: of documents that are not held out, those whose
-    hashed id comes first."""
+    hashed id comes first, up to the language's share of characters."""
     from shelfcast.session import materialize
     known = docs.select("doc_id", "text", "lang").where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
+    langs = known.select("lang").distinct().count()
+    size = min(sample_chars, total_chars // max(1, langs))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "_n", "_h")
     # Ranked by id, length and hash: texts are not sorted, only fetched after.
     ids = known.select("lang", "doc_id", F.length("text").alias("_n"), F.xxhash64("text").alias("_h"))
     first = ids.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLE_DOCS)
+    ahead = Window.partitionBy("lang").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    first = first.withColumn("_left", F.lit(size) - F.coalesce(F.sum("_n").over(ahead), F.lit(0))).where("_left > 0")
     picked = materialize(known.withColumn("_h", F.xxhash64("text")).join(
-        F.broadcast(first.select("lang", "doc_id", "_h", "_r")), ["lang", "doc_id", "_h"])
-        .select("lang", "_r", F.substring("text", 1, sample_chars).alias("text")), "langid")
+        F.broadcast(first.select("lang", "doc_id", "_h", "_r", "_left")), ["lang", "doc_id", "_h"])
+        .select("lang", "_r", F.substring("text", F.lit(1), F.col("_left").cast("int")).alias("text")), "langid")
     texts: dict[str, list[str]] = {}
     for row in picked.dropDuplicates(["lang", "_r"]).orderBy("lang", "_r").collect():
         texts.setdefault(row["lang"], []).append(row["text"])
-    size = min(sample_chars, total_chars // max(1, len(texts)))
     return tuple((k, "\n".join(texts[k])[:size]) for k in sorted(texts))
 
 
