@@ -89,10 +89,12 @@ def runs(raw: bytes, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.append(np.flatnonzero(least[1:] != least[:-1]) + 1, len(least))
     starts = np.append(0, ends[:-1])
     keys = least[starts]
-    # Occurrences of the key among the grams of the run's strings.
-    sizes = ends - starts + width - 1
-    at = np.repeat(starts - np.append(0, sizes.cumsum()[:-1]), sizes) + np.arange(sizes.sum())
-    count = np.add.reduceat((h[at] == np.repeat(keys, sizes)).astype(np.int32), np.append(0, sizes.cumsum()[:-1]))
+    # Occurrences of the key among the grams of the run's strings: those that
+    # begin a string, and those after the start of the last string, which has
+    # some only if a smaller key ends the run (or the text does).
+    count = np.add.reduceat((h[:len(least)] == least).astype(np.int32), starts)
+    more = np.flatnonzero(np.append(keys[1:] < keys[:-1], True))
+    count[more] += (h[ends[more, None] + np.arange(width - 1)] == keys[more, None]).sum(axis=1)
     return keys.view(np.int64), ends.astype(np.int32), np.minimum(count, 2).astype(np.int32)
 
 
