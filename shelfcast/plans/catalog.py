@@ -187,7 +187,8 @@ FROM fr_seasonal_naive""", "fr_seasonal_naive"))
 def _forecast_results(spark, d):
     # The registered query takes the join path (forecast rows joined back to
     # the panel); the metric queries use the join-free path.
-    fr = fc.forecast_results(_panel(spark, d), join_actuals=True)
+    from shelfcast.session import materialize
+    fr = fc.forecast_results(materialize(_panel(spark, d), "panel"), join_actuals=True)  # both sides read one panel
     return fr.select("store_id", "product_id", "origin_date", "horizon", "date", "model",
                      "actual_sales", r6("forecast").alias("forecast"))
 
