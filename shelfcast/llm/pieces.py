@@ -43,7 +43,7 @@ MARK = "▁"
 # A code beyond Unicode for a mark that is part of a text.
 REAL_MARK = 0x110000
 # Characters that are searched together: bounds the memory of a step.
-TOGETHER = 2_000_000
+TOGETHER = 500_000
 # -log(-log u) of the largest uniform variable: no perturbation exceeds its
 # location by more.
 MOST_GUMBEL = 38.0
