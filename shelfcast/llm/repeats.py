@@ -45,7 +45,7 @@ from shelfcast.session import materialize
 MIN_LEN = 200
 GRAM = 32
 SPAN = 96
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17
 GROUP_BYTES = 8 << 20
 # First sorting depth of suffixes; doubled until it exceeds the longest string,
 # MIN_LEN bytes for the first window and one more for each further window.
