@@ -45,7 +45,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return pieces.encode(docs)
+    # Workers here hold memory of earlier stages, too: smaller steps.
+    return pieces.encode(docs, together=500_000)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -42,8 +42,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 # A code beyond Unicode for a mark that is part of a text.
 REAL_MARK = 0x110000
-# Characters that are searched together: bounds the memory of a step.
-TOGETHER = 500_000
+# Characters that are searched together: bounds the memory of a step, some 100
+# bytes a character.
+TOGETHER = 2_000_000
 # -log(-log u) of the largest uniform variable: no perturbation exceeds its
 # location by more.
 MOST_GUMBEL = 38.0
@@ -469,14 +470,14 @@ def _extend(lat: Lattice, searches: list[_Search], jobs: list[tuple], keys: np.n
     _note(lat, searches, found, k)
 
 
-def encode(docs: DataFrame, k: int = 2, alpha: float = 1.0, model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, k: int = 2, alpha: float = 1.0, model: str = MODEL, together: int = TOGETHER) -> DataFrame:
     """(doc_id, rank, ids, log_prob, perturbed, inclusion, exact) of every row:
     `exact` tells that the ids were decoded to the row's text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(model, alpha)
         for b in batches:
-            for part in _parts(b):
+            for part in _parts(b, together):
                 texts = part["text"].tolist()
                 found = sample(texts, part["_key"].to_numpy(), k, p)
                 same = iter(_exact(texts, found, p))
@@ -498,10 +499,10 @@ def _exact(texts: list[str | None], found: list[list[tuple]], p: Pieces) -> list
     return [raw[a:z].tobytes() == w for a, z, w in zip(cut[:-1], cut[1:], (w for w, paths in zip(want, found) for _ in paths))]
 
 
-def _parts(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Rows of about TOGETHER characters; a longer text is a part of its own."""
+def _parts(b: pd.DataFrame, together: int) -> Iterator[pd.DataFrame]:
+    """Rows of about `together` characters; a longer text is a part of its own."""
     size = b["text"].map(lambda t: len(t) if t else 0).cumsum().to_numpy()
-    group = size // TOGETHER
+    group = size // together
     for g in np.unique(group):
         yield b[group == g]
 
