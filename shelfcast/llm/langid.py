@@ -7,8 +7,10 @@ into longest matches: a phrase ends where the automaton has no transition.
 The number of phrases times log2 of the sample's length, per character, is the
 cross-parsing estimate of the entropy; the language with the least one wins.
 
-The automaton is a dense table (state, character class), and a batch of texts
-is parsed in step: texts are cut into segments of `SEGMENT` characters, which
+Every character of the samples has a number of its own, whatever the scripts
+and however many there are.  The automata are one sparse table (state,
+character), so its size follows the samples' length and not their alphabet,
+and a batch of texts is parsed in step: texts are cut into segments of `SEGMENT` characters, which
 all advance by one character at a time, each in every language's automaton.
 A phrase ends with its segment; whole texts are parsed.
 
@@ -21,7 +23,6 @@ point.  Other columns of the input are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +34,6 @@ from pyspark.sql import functions as F
 SAMPLE_CHARS = 40_000
 TOTAL_CHARS = 320_000
 SAMPLE_DOCS = 64
-CLASSES = 64
 SEGMENT = 512
 # Segments parsed together: bounds the memory of a step.
 TOGETHER = 8192
@@ -52,9 +52,59 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def automaton(text: np.ndarray, classes: int = CLASSES) -> np.ndarray:
-    """Dense transition table of the suffix automaton of a text of character
-    classes (1 .. classes-1; 0 matches nothing); -1 where there is no move."""
+class Moves:
+    """Transitions (state, code) -> state as a sparse table: a state's row of
+    codes is laid over the others' from the slot `base` on, where its own
+    codes' slots are free, so a look-up is one place and a check of its owner."""
+
+    #: Slots a transition, and tries to find a row's place among the others.
+    ROOM, TRIES = 2, 32
+
+    def __init__(self, states: int, codes: int, source: np.ndarray, code: np.ndarray, to: np.ndarray) -> None:
+        """Transitions come in the order of their sources."""
+        degree = np.bincount(source, minlength=states)
+        first = np.cumsum(degree) - degree
+        room = self.ROOM * len(source) + 1
+        base, rng = np.zeros(states, dtype=np.int32), np.random.default_rng(0)
+        owner, places = np.full(room + codes, -1, dtype=np.int32), np.zeros(len(source), dtype=np.int64)
+        # Rows of similar length together, the longest first.
+        rank = np.where(degree > 0, np.int64(np.log2(np.maximum(degree, 1))), -1)
+        for k in range(int(rank.max(initial=-1)), -1, -1):
+            left = np.flatnonzero(rank == k)
+            for _ in range(self.TRIES):
+                if not len(left):
+                    break
+                n = degree[left]
+                edges = np.repeat(first[left] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                base[left] = rng.integers(0, room, size=len(left))
+                slots = base[source[edges]] + code[edges]
+                free = owner[slots] < 0
+                owner[slots[free]] = source[edges][free]  # of two rows, the last one's
+                lost = np.zeros(states, dtype=bool)
+                lost[source[edges][~free | (owner[slots] != source[edges])]] = True
+                back = lost[source[edges]] & (owner[slots] == source[edges]) & free
+                owner[slots[back]] = -1
+                left = left[lost[left]]
+            # Rows that found no place go behind all others.
+            base[left] = len(owner) + codes * np.arange(len(left))
+            owner = np.concatenate([owner, np.full(codes * len(left), -1, dtype=np.int32)])
+            for s in left:
+                owner[base[s] + code[first[s]:first[s] + degree[s]]] = s
+        places = base[source] + code
+        self.base, self.owner, self.to = base, owner, np.zeros(len(owner), dtype=np.int32)
+        assert (owner[places] == source).all()
+        self.to[places] = to
+
+    def __getitem__(self, at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The states that (states, codes) lead to; -1 where there is no move."""
+        state, code = at
+        slots = self.base[state] + code
+        return np.where(self.owner[slots] == state, self.to[slots], -1)
+
+
+def transitions(text: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix automaton of a text of codes: its number of states, and the
+    source, code and target of each transition, in the order of the sources."""
     size = 2 * len(text) + 2
     move: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
@@ -83,11 +133,17 @@ def automaton(text: np.ndarray, classes: int = CLASSES) -> np.ndarray:
                 link[q] = link[me] = twin
         last = me
     assert len(move) <= size
-    table = np.full((len(move), classes), -1, dtype=np.int32)
-    for s, out in enumerate(move):
-        for c, t in out.items():
-            table[s, c] = t
-    return table
+    source = np.repeat(np.arange(len(move), dtype=np.int32), [len(out) for out in move])
+    code = np.array([c for out in move for c in out], dtype=np.int32)
+    to = np.array([t for out in move for t in out.values()], dtype=np.int32)
+    return len(move), source, code, to
+
+
+def automaton(text: np.ndarray, classes: int) -> Moves:
+    """The suffix automaton of a text of codes (1 .. classes-1; 0 matches
+    nothing), by (state, code); -1 where there is no move."""
+    states, source, code, to = transitions(text)
+    return Moves(states, classes, source, code, to)
 
 
 class Parser:
@@ -96,22 +152,23 @@ class Parser:
     def __init__(self, samples: tuple[tuple[str, str], ...]) -> None:
         self.langs = [k for k, _ in samples]
         texts = [plain(t) for _, t in samples]
-        common = Counter("".join(texts)).most_common(CLASSES - 1)
-        self.points = np.array(sorted(ord(c) for c, _ in common), dtype=np.uint32)
-        tables, roots, at = [], [], 0
+        # All characters of the samples, which are bounded.
+        self.points = np.array(sorted({ord(c) for t in texts for c in t}), dtype=np.uint32)
+        self.kind = np.min_scalar_type(len(self.points))
+        found, roots, at = [], [], 0
         for t in texts:
-            table = automaton(self._codes(t)[self._codes(t) > 0])
-            tables.append(np.where(table >= 0, table + at, -1))
+            states, source, code, to = transitions(self._codes(t))
+            found.append((source + at, code, to + at))
             roots.append(at)
-            at += len(table)
-        self.move = np.vstack(tables).astype(np.int32).ravel()
+            at += states
+        self.moves = Moves(at, len(self.points) + 1, *(np.concatenate(x) for x in zip(*found)))
         self.roots = np.array(roots, dtype=np.int32)
         self.bits = np.log2(np.maximum([len(t) for t in texts], 2))
 
     def _codes(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
-        return np.where(self.points[at] == points, at + 1, 0).astype(np.uint8)
+        return np.where(self.points[at] == points, at + 1, 0).astype(self.kind)
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each text in each language's automaton."""
@@ -136,9 +193,9 @@ class Parser:
         state, count = start.copy(), np.zeros(start.shape, dtype=np.int64)
         for codes, n in zip(steps, running):
             c = codes[:n]
-            nxt = self.move[state[:, :n] * CLASSES + c]
+            nxt = self.moves[state[:, :n], c]
             lost = nxt < 0
-            again = self.move[start[:, :n][lost] * CLASSES + np.broadcast_to(c, lost.shape)[lost]]
+            again = self.moves[start[:, :n][lost], np.broadcast_to(c, lost.shape)[lost]]
             # A character that the sample lacks is a phrase of its own, beside
             # the one that it may end.
             count[:, :n] += lost

@@ -422,5 +422,43 @@ def test_cross_parsing_matches_greedy_phrases(monkeypatch):
             assert found[j] == n, (t, plain)
 
 
+def test_parser_knows_every_character_of_many_scripts():
+    rng = random.Random(4)
+    scripts = {"en": (0x61, 26), "ru": (0x430, 32), "el": (0x3B1, 24), "ar": (0x628, 30), "ja": (0x4E00, 900), "zh": (0x7000, 900)}
+
+    def text(lang, n):
+        first, size = scripts[lang]
+        return "".join(" " if rng.random() < 0.1 else chr(first + min(int(rng.expovariate(6 / size)), size - 1)) for _ in range(n))
+    samples = tuple((k, text(k, 3000)) for k in sorted(scripts))
+    parser = langid.Parser(samples)
+    assert len(parser.points) == len(set("".join(langid.plain(t) for _, t in samples))) > 500
+    texts = [samples[k % 6][1][40 * k:40 * k + 30] + text(lang, 60) for k, lang in enumerate(sorted(scripts) * 3)]
+    for t, found in zip(texts, parser.phrases(texts)):
+        plain = langid.plain(t)
+        for j, (_, sample) in enumerate(samples):
+            source, rest, n = langid.plain(sample), plain, 0
+            while rest:
+                m = 0
+                while m < len(rest) and rest[:m + 1] in source:
+                    m += 1
+                rest, n = rest[max(m, 1):], n + 1
+            assert found[j] == n, (t, plain)
+    own = [text(lang, 200) for lang in sorted(scripts)]
+    assert parser.predict(own)[0] == sorted(scripts)
+
+
+def test_moves_hold_every_transition(monkeypatch):
+    rng = np.random.default_rng(5)
+    text = rng.integers(1, 300, size=2000)
+    states, source, code, to = langid.transitions(text)
+    for tries in (langid.Moves.TRIES, 0):
+        monkeypatch.setattr(langid.Moves, "TRIES", tries)
+        moves = langid.Moves(states, 300, source, code, to)
+        assert (moves[source, code] == to).all()
+        known = set(zip(source.tolist(), code.tolist()))
+        s, c = rng.integers(0, states, size=5000), rng.integers(0, 300, size=5000)
+        assert [x >= 0 for x in moves[s, c].tolist()] == [k in known for k in zip(s.tolist(), c.tolist())]
+
+
 def test_nasty_texts_are_whole():
     assert any(len(t or "") > 10_000 for t in NASTY)
