@@ -20,9 +20,12 @@ from the committed offsets and state instead of recomputing.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from shelfcast.functions.exprs import r6
@@ -39,40 +42,57 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return shared_path(spark, f"streams/{name}")
 
 
-#: Pieces of the event table's time span, each a file set of its own.
+#: Pieces of the event table's time span, each a batch of its own.
 SLICES = 4
 
 
-def event_stream(spark: SparkSession, sf_dir: str, table: str = "events", slices: int = SLICES) -> DataFrame:
-    """The event table as a stream in time order: its time span is cut into
-    `slices`, staged one after another in the shared folder, and each trigger
-    takes one file on, so that state is carried from batch to batch."""
+def event_stream(spark: SparkSession, sf_dir: str, table: str = "events",
+                 slices: int = SLICES) -> tuple[DataFrame, Iterator[None]]:
+    """The event table as a stream in time order, and its feed: the time span
+    is cut into `slices`, and each step of the feed stages the next one in the
+    shared folder.  A slice has as many files as the table has partitions, in
+    no order, so the runs below read each slice in one batch, after it is
+    staged whole and before the next one is: rows are never late because of
+    the file they are in, and state is carried from slice to slice."""
     events = read_table(spark, sf_dir, table)
     stage = run_dir(spark, f"{table}-stage")
     lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
     step = (hi - lo) / slices if lo is not None else None
-    for i in range(slices if step else 1):
+
+    def put(i: int) -> None:
         some = events
         if step:
             some = events.where(F.col("ts") >= F.lit(lo + i * step)) if i else events.where(
                 F.col("ts").isNull() | (F.col("ts") >= F.lit(lo)))
             some = some.where(F.col("ts").isNull() | (F.col("ts") < F.lit(lo + (i + 1) * step))) if i < slices - 1 else some
         some.write.mode("append").parquet(stage)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(stage)
+
+    def feed() -> Iterator[None]:
+        yield
+        for i in range(1, slices if step else 1):
+            put(i)
+            yield
+    put(0)  # the stream's folder has to exist
+    return spark.readStream.schema(events.schema).parquet(stage), feed()
+
+
+def _run(writer: DataStreamWriter, feed: Iterable[None]) -> None:
+    """Run a query to the end of what is staged (availableNow) after each step
+    of the feed; each run goes on from the checkpoint of the one before."""
+    for _ in feed:
+        writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def run_append(df: DataFrame, name: str) -> DataFrame:
-    """Run an append-mode query to completion (availableNow) into a parquet sink."""
+def run_append(df: DataFrame, name: str, feed: Iterable[None] = (None,)) -> DataFrame:
+    """Run an append-mode query to completion into a parquet sink."""
     spark = df.sparkSession
     base = run_dir(spark, name)
-    q = (df.writeStream.format("parquet").outputMode("append")
-         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    _run(df.writeStream.format("parquet").outputMode("append")
+         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint"), feed)
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
-def run_update(df: DataFrame, name: str) -> DataFrame:
+def run_update(df: DataFrame, name: str, feed: Iterable[None] = (None,)) -> DataFrame:
     """Update-mode query written with foreachBatch; each micro-batch lands in
     its own `batch_id=` folder (overwritten on replay, so retries are idempotent)."""
     spark = df.sparkSession
@@ -82,47 +102,50 @@ def run_update(df: DataFrame, name: str) -> DataFrame:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    q = (df.writeStream.outputMode("update").foreachBatch(write)
-         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
+    _run(df.writeStream.outputMode("update").foreachBatch(write)
+         .option("checkpointLocation", f"{base}/checkpoint"), feed)
     return spark.read.parquet(out)
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = event_time(event_stream(spark, sf_dir)).withWatermark("ts", WATERMARK)
+    ev, feed = event_stream(spark, sf_dir)
+    ev = event_time(ev).withWatermark("ts", WATERMARK)
     agg = ev.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(
         F.count("*").alias("n_events"), r6(F.sum("value")).alias("total_value"))
     out = agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                      "event_type", "n_events", "total_value")
-    return run_append(out, "tumbling")
+    return run_append(out, "tumbling", feed)
 
 
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven-day windows that start every day; a window is written when the
     watermark has passed its end."""
-    ev = event_time(event_stream(spark, sf_dir)).withWatermark("ts", WATERMARK)
+    ev, feed = event_stream(spark, sf_dir)
+    ev = event_time(ev).withWatermark("ts", WATERMARK)
     agg = ev.groupBy(F.window("ts", "7 days", "1 day").alias("w"), "event_type").agg(
         F.count("*").alias("n_events"), r6(F.sum("value")).alias("total_value"))
     out = agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                      "event_type", "n_events", "total_value")
-    return run_append(out, "sliding")
+    return run_append(out, "sliding", feed)
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User sessions with the built-in session window; a session is written
     when the watermark has passed its end."""
-    ev = event_time(event_stream(spark, sf_dir)).withWatermark("ts", WATERMARK)
+    ev, feed = event_stream(spark, sf_dir)
+    ev = event_time(ev).withWatermark("ts", WATERMARK)
     agg = ev.groupBy("user_id", F.session_window("ts", SESSION_GAP).alias("w")).agg(
         F.count("*").alias("n_events"), r6(F.sum("value")).alias("total_value"))
     out = agg.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"),
                      "n_events", "total_value")
-    return run_append(out, "sessions")
+    return run_append(out, "sessions", feed)
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = event_time(event_stream(spark, sf_dir)).withWatermark("ts", DEDUP_WATERMARK)
+    ev, feed = event_stream(spark, sf_dir)
+    ev = event_time(ev).withWatermark("ts", DEDUP_WATERMARK)
     uniq = ev.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "ts", "user_id", "event_type", "value")
-    return run_append(uniq, "dedup")
+    return run_append(uniq, "dedup", feed)
 
 
 def scaling_params(events: DataFrame) -> DataFrame:
@@ -134,10 +157,10 @@ def scaling_params(events: DataFrame) -> DataFrame:
 
 def stream_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = scaling_params(read_table(spark, sf_dir, "events"))
-    ev = event_stream(spark, sf_dir).join(params, "event_type")
-    out = ev.select("event_id", "event_type", "value",
+    ev, feed = event_stream(spark, sf_dir)
+    out = ev.join(params, "event_type").select("event_id", "event_type", "value",
                     r6((F.col("value") - F.col("mean")) / F.col("scale")).alias("z"))
-    return run_append(out, "scale")
+    return run_append(out, "scale", feed)
 
 
 # ---------------------------------------------------------------- rolling state
@@ -200,11 +223,12 @@ def stream_monitoring_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfcast.operators.monitoring import LATENCY_BUCKETS, VALUE_TO_SECONDS
     bounds = F.array(*[F.lit(b) for b in LATENCY_BUCKETS])
     secs = F.col("value") * F.lit(VALUE_TO_SECONDS)
-    ev = event_stream(spark, sf_dir).select(
+    ev, feed = event_stream(spark, sf_dir)
+    ev = ev.select(
         "event_type", F.size(F.filter(bounds, lambda b: b < secs)).alias("b"), secs.alias("s"), "value")
     state = ev.groupBy("event_type", "b").agg(F.count("*").alias("c"), F.sum("s").alias("s"),
                                               F.sum("value").alias("v"))
-    out = run_update(state, "monitoring")
+    out = run_update(state, "monitoring", feed)
     return out.groupBy("event_type", "b").agg(
         *[F.max_by(c, "batch_id").alias(c) for c in ("c", "s", "v")])
 

@@ -137,6 +137,20 @@ def test_stream_tumbling_equals_batch_closed_windows(spark):
     assert len(streamed) < len(batch)                   # the last window is still open
 
 
+def test_streams_lose_no_rows_of_an_unsorted_table(spark, tmp_path):
+    from shelfcast.operators.monitoring import event_time, tumbling
+    from shelfcast.streaming import events as stm
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    events.orderBy(F.xxhash64("event_id")).repartition(6).write.parquet(str(tmp_path / "events.parquet"))
+    assert stm.stream_dedup(spark, str(tmp_path)).count() == events.count()
+    streamed = {(r[0], r[1]): (r[2], r[3]) for r in stm.stream_tumbling(spark, str(tmp_path)).select(
+        "window_start", "event_type", "n_events", "total_value").collect()}
+    batch = {(r[0], r[1]): (r[2], r[3]) for r in tumbling(event_time(events)).select(
+        "window_start", "event_type", "n_events", "total_value").collect()}
+    end = max(k[0] for k in streamed)
+    assert streamed == {k: v for k, v in batch.items() if k[0] <= end} and len(streamed) > len(batch) * 0.8
+
+
 def test_stream_dedup_drops_duplicates_and_late_rows(spark, tmp_path):
     from shelfcast.streaming.events import run_append
     import datetime as dt
