@@ -9,8 +9,10 @@ rule's priority.  An interval within another of the same or a higher priority
 is suppressed: of "licensed under the gnu lesser general public license" the
 lesser license stays, and its "general public license" goes.
 
-The rules: the three base phrases, and for each license of `LICENSES` the
-phrases of `TEMPLATES`, some 300 in all, tried in that order.
+The rules: the three base phrases, for each license of `LICENSES` the phrases
+of `TEMPLATES`, and the names of `FULL_NAMES` that hold the keyword themselves,
+some 400 in all, tried in that order.  The test for any sign (`hint`) is made
+from the rules: it admits every text that a rule can match.
 
 Only DataFrame functions run, and a row is scanned within itself: no shuffle.
 Rules match whole words, and reach no further than `REACH` words, so that long
@@ -22,13 +24,16 @@ doc_id and repeated rows: one result each.  Other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions.exprs import let
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-# The same words in a text that is not lower-cased yet.
+# The same in a text that is not lower-cased yet.
+RAW_SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 REACH = 14
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,6 +95,41 @@ LICENSES = (
     ("cc-by", "creative commons attribution|cc by(?: [1-4] [05])?"),
 )
 
+# SPDX ids that are not written like the label.
+SPDX_IDS = {
+    "mit": "mit|x11", "lgpl-2.1": "lgpl 2 [01]", "boost": "bsl 1 0", "python": "psf 2 0|python 2 0",
+    "zlib": "zlib|libpng 2 0", "artistic": "artistic 1 0",
+}
+
+# Full names that hold the keyword "license": label, the words before it, and
+# the major and minor numbers of its version, which follows or goes before.
+FULL_NAMES = (
+    ("apache-1", "apache(?: software)?", "1", "[01]"),
+    ("apache-2", "apache(?: software)?", "2", "0"),
+    ("gpl", "gnu general public", "", ""),
+    ("gpl-1", "gnu general public", "1", "0"),
+    ("gpl-2", "gnu general public", "2", "0"),
+    ("gpl-3", "gnu general public", "3", "0"),
+    ("lgpl", "(?:gnu )?(?:lesser|library) general public", "", ""),
+    ("lgpl-2.1", "(?:gnu )?(?:lesser|library) general public", "2", "[01]"),
+    ("lgpl-3", "(?:gnu )?lesser general public", "3", "0"),
+    ("agpl", "(?:gnu )?affero general public", "", ""),
+    ("agpl-3", "(?:gnu )?affero general public", "3", "0"),
+    ("gfdl", "gnu free documentation", "", ""),
+    ("mpl", "mozilla public", "", ""),
+    ("mpl-1.1", "mozilla public", "1 1", ""),
+    ("mpl-2", "mozilla public", "2", "0"),
+    ("epl", "eclipse public", "", ""),
+    ("epl-1", "eclipse public", "1", "0"),
+    ("epl-2", "eclipse public", "2", "0"),
+    ("cddl", "common development and distribution", "", ""),
+    ("cpl", "common public", "", ""),
+    ("eupl", "european union public", "", ""),
+    ("artistic-2", "artistic", "2", "0"),
+)
+# What may stand between a full name and its version.
+PUBLISHED = "(?:as published by the free software foundation )?(?:either )?"
+
 # Keyword, words before and after it ({} is the license's name), priority.
 TEMPLATES = (
     ("spdx", "", "license identifier {}", 3, 1.0),
@@ -108,23 +148,43 @@ OTHER_RULES = (
     ("cc-by-nc", "", "cc", "by nc", 2, 0.95),
 )
 
-# Any keyword's sign in a text as it is.
-HINT = (r"(?i)licen[cs]e|spdx|rights[^0-9a-z]+reserved|public[^0-9a-z]+domain|confidential[^0-9a-z]+and"
-        r"|under[^0-9a-z]+(?:the[^0-9a-z]+)?(?:terms|mit|isc|bsd|gnu|a?l?gpl|apache|mozilla|creative)"
-        r"|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by")
-
-
-def rules() -> list[tuple[int, str, str, str, str, int, float, bool]]:
-    """The ordered rules: id, label, keyword, before, after, priority, score, base."""
+def _phrases() -> list[tuple[str, str, str, str, int, float, bool]]:
+    """The ordered rules as written: label, keyword, before, after, priority, score, base."""
     made = [(label, word, before, after, 3, 1.0, True) for label, before, word, after in BASE_RULES]
     made += [(label, word, before, after, p, sure, False) for label, before, word, after, p, sure in OTHER_RULES]
     for word, before, after, priority, sure in TEMPLATES:
         for label, name in LICENSES:
-            id_words = label.replace("-", " ").replace(".", " ")
-            fill = f"(?:{id_words}(?: 0| only| or later| 0 only| 0 or later)?)" if word == "spdx" else name
+            id_words = SPDX_IDS.get(label, label.replace("-", " ").replace(".", " "))
+            fill = f"(?:(?:{id_words})(?: 0| only| or later| 0 only| 0 or later)?)" if word == "spdx" else name
             made.append((label, word, before.replace("{}", fill), after.replace("{}", fill), priority, sure, False))
+    for word in ("license", "licence"):
+        for label, name, major, minor in FULL_NAMES:
+            if not major:
+                made.append((label, word, name, "", 1, 0.8, False))
+                continue
+            point = f"(?: {minor})" if minor else ""
+            marked = f"(?:version |v ?){major}{point and point + '?'}"
+            made.append((label, word, name, f"{PUBLISHED}(?:{marked}|{major}{point})", 1, 0.8, False))
+            made.append((label, word, f"(?:{marked}) (?:or later )?of the {name}", "", 1, 0.8, False))
+    return made
+
+
+def rules() -> list[tuple[int, str, str, str, str, int, float, bool]]:
+    """The ordered rules: id, label, keyword, before, after, priority, score, base."""
     return [(i, label, word, f"(?:^| )(?:{before})$" if before else "", f"^(?:{after})(?: |$)" if after else "", *rest)
-            for i, (label, word, before, after, *rest) in enumerate(made)]
+            for i, (label, word, before, after, *rest) in enumerate(_phrases())]
+
+
+def hint() -> str:
+    """A pattern that every text holds in which a rule can match: the rules'
+    keywords, each with the plain word that has to stand next to it."""
+    signs = set()
+    for _, word, before, after, *_ in _phrases():
+        ahead = re.search(r"(?:^| )([0-9a-z]+)$", before)
+        then = re.match(r"([0-9a-z]+)(?: |$)", after)
+        signs.add(" ".join([*(ahead.groups() if ahead else ()), word, *(then.groups() if then else ())]))
+    least = [s for s in sorted(signs) if not any(t != s and t in s for t in signs)]
+    return "(?i)" + "|".join(s.replace(" ", RAW_SEPARATOR) for s in least)
 
 
 def _tables() -> tuple[Column, Column]:
@@ -195,7 +255,7 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     hinted = docs.select(
         "doc_id", F.size(F.regexp_extract_all(text, F.lit(RAW_WORD), 0)).cast("long").alias("n_words"),
-        F.when(text.rlike(HINT), let(_words_of(text), _detections)).alias("_found"))
+        F.when(text.rlike(hint()), let(_words_of(text), _detections)).alias("_found"))
     base = F.filter("_found", lambda d: d["base"])
     judged = hinted.select(
         "doc_id", "n_words", base.alias("_base"), F.when(F.size("_found") > 0, _surviving(F.col("_found"))).alias("_kept"))

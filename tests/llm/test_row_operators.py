@@ -85,6 +85,38 @@ def check_pii(docs):
     return {t: r["spans"] for t, r in found}
 
 
+def test_licenses_of_standard_notices(spark):
+    """Full names that hold the keyword, versions apart from it, SPDX ids, and texts with a weak sign."""
+    from tests.llm.conftest import documents
+    texts = {
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License": "gpl",
+        "the GNU General Public License as published by the Free Software Foundation; either version 2 of the License": "gpl-2",
+        "under version 3 of the GNU General Public License": "gpl-3",
+        "the GNU Lesser General Public License, version 2.1": "lgpl-2.1",
+        "the terms of the GNU Affero General Public License": "agpl",
+        "the GNU General Public License. 2. Redistributions": "gpl",
+        "subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2",
+        "the Eclipse Public License - v 2.0": "epl-2", "the European Union Public Licence": "eupl",
+        "the Apache License 2.0": "apache-2", "the Common Development and Distribution License": "cddl",
+        "the GNU Free Documentation License": "gfdl", "the Common Public License": "cpl", "Artistic License 2.0": "artistic-2",
+        "released under a BSD variant": "bsd", "available under MPL 2.0": "mpl-2", "distributed under zlib": "zlib",
+        "SPDX-License-Identifier: BSL-1.0": "boost", "SPDX-License-Identifier: PSF-2.0": "python",
+        "released last year, available soon, the general public": "",
+    }
+    got = [r["labels"] for r in rows(licenses.scan(documents(spark, list(texts))).orderBy("doc_id"))]
+    assert dict(zip(texts, got)) == texts
+
+
+def test_license_hint_admits_every_rule():
+    """Each rule's own words, the optional ones left out, pass the hint."""
+    hint = re.compile(licenses.hint())
+    for _, _, word, before, after, *_ in licenses.rules():
+        plain = [re.sub(r"\(\?:\^\| \)|[$^]|\(\?: \|\$\)", "", x) for x in (before, after)]
+        lead = [re.sub(r"\(\?:|\)\??|\?", "", x) for x in plain]
+        for sep in (" ", "-- ", "\n"):
+            assert hint.search(" ".join([lead[0], word, lead[1]]).strip().replace(" ", sep).upper()), (word, before, after)
+
+
 def test_pii_base(nasty, empty):
     spans = check_pii(nasty)
     assert spans["konto DE89 3704 0044 0532 0130 00."].endswith("iban:6:33")
