@@ -90,3 +90,67 @@ def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "rank", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
         "log_prob", "perturbed", "inclusion", "exact")
+
+
+@register("op12_top_products", """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.r, q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(q.e, x.e) AS BIGINT) AS score
+  FROM v q JOIN v x ON q.vec_id % 100 = 0 AND q.r <> x.r AND len(q.e) = len(x.e)
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+""")
+def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.llm import products
+    return products.top_products(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+# CRC-32 over a list of bytes, its table made by eight halvings a value.
+@register("op11_spelling_variants", """
+WITH crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)),
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) s(i)
+), runs AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{00C0}-\\x{00FF}]{6,}')) AS r FROM documents)
+  GROUP BY ALL
+), hashed AS (
+  SELECT r, c, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(
+      string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r, ''),
+      lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, unicode(x) - 64] END))),
+    lambda h, x: xor(h >> 8, t[(xor(h, x) & 255) + 1])), 4294967295) AS h
+  FROM runs, crc
+), words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+    SELECT c, CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word
+    FROM hashed) WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+), cuts AS (  -- words one edit apart share a word with the place's letter out
+  SELECT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS cut, i
+  FROM words, unnest(range(1, length(word) + 1)) s(i)
+), near AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.cut = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.cut = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS other, max(n) AS most FROM near GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * w.n THEN other END AS form,
+         CASE WHEN most >= 5 * w.n THEN most END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), paths AS (
+  WITH RECURSIVE p(word, tip) AS (
+    SELECT word, word FROM forms UNION ALL SELECT p.word, f.form FROM p JOIN forms f ON p.tip = f.word WHERE f.form IS NOT NULL
+  ) SELECT p.word, p.tip AS root FROM p JOIN forms f ON p.tip = f.word WHERE f.form IS NULL
+)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN paths USING (word)
+""")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.llm import variants
+    return variants.variants(read_table(spark, sf_dir, "documents"))
