@@ -154,3 +154,46 @@ SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfcast.llm import variants
     return variants.variants(read_table(spark, sf_dir, "documents"))
+
+
+@register("op13_collocations", """
+WITH pieces AS (
+  SELECT row_number() OVER () AS p, lang, piece FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n\\x0B\\f\\r]')) AS piece
+    FROM documents)
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM pieces
+), grams AS (
+  SELECT lang, 1 AS m, unnest(w) AS phrase FROM words
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+  FROM words
+), f AS (
+  SELECT lang, m, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM grams GROUP BY lang, m, phrase
+), totals AS (
+  SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang
+), parts AS (
+  SELECT lang, m, phrase, f AS a, 1 AS k, w[1] AS x, array_to_string(w[2:m], ' ') AS y FROM f WHERE m >= 2 AND f >= 10
+  UNION ALL SELECT lang, m, phrase, f, 2, w[1] || ' ' || w[2], w[3] FROM f WHERE m = 3 AND f >= 10
+), cut AS (
+  SELECT c.lang, c.phrase, c.m, a, k, x.f AS l, y.f AS r,
+         CAST(1000000 AS HUGEINT) * a * a // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM parts c JOIN f x ON x.lang = c.lang AND x.phrase = c.x JOIN f y ON y.lang = c.lang AND y.phrase = c.y
+), candidates AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, f FROM f WHERE m = 3 AND f >= 10)
+  GROUP BY lang, phrase
+), ranked AS (
+  SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.phrase) AS rank, c.phrase, a, l, r, score
+  FROM candidates c LEFT JOIN longer g ON c.m = 2 AND g.lang = c.lang AND g.phrase = c.phrase
+  WHERE g.f IS NULL OR 100 * g.f < 50 * a
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""")
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.llm import phrases
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
