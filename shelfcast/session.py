@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_session(master: str | None = None, app: str = "shelfcast",
@@ -73,10 +74,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once as a parquet table in the shared checkpoint folder and
     read it back.  Cuts lineage like `checkpoint()`, but computes the input a
     single time and stores it columnar and compressed; later jobs (and retries
-    after a lost executor) start from the table."""
+    after a lost executor) start from the table.  The write's own shuffle files,
+    which nothing reads again, go when it ends."""
     spark = df.sparkSession
     path = shared_path(spark, f"tables/{name}")
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP_CONF, "false")
+    spark.conf.set(SHUFFLE_CLEANUP_CONF, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
