@@ -100,8 +100,9 @@ def runs(raw: bytes, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_k1"),
-                       F.xxhash64(F.lit(7), "text", "doc_id").alias("_k2"), raw.alias("_raw"))
+    # Hashes skip nulls, so that these are told apart by flags.
+    parts = ["doc_id", F.isnull("doc_id"), "text", F.isnull("text")]
+    return docs.select("doc_id", F.xxhash64(*parts).alias("_k1"), F.xxhash64(F.lit(7), *parts).alias("_k2"), raw.alias("_raw"))
 
 
 def _run_table(rows: DataFrame, column: str, carry: list[str], span: int, name: str) -> DataFrame:
@@ -337,7 +338,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     every = strings(regions(docs))
     covered = (every.select("s1", "s2", "_k1", "_k2", "start").join(marks(every), ["s1", "s2"])
                .select("_k1", "_k2", F.transform("spans", lambda x: x + F.col("start") + F.col("off")).alias("at"))
-               .groupBy("_k1", "_k2").agg(F.flatten(F.collect_list("at")).alias("at")))
+               # A set: equal rows bring equal spans, however many they are.
+               .groupBy("_k1", "_k2").agg(F.flatten(F.collect_set("at")).alias("at")))
     both = _keyed(docs).join(materialize(covered, "repeat-cover"), ["_k1", "_k2"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
