@@ -3,15 +3,15 @@ models, re-aimed as a pooled direct multi-output linear autoregression).
 
 * Features: the scaled 14 x 7 window flattened feature-major into a 98-long
   vector, or only the mean of its scaled sales (`FEATURE_SETS`); labels: the
-  scaled 7 targets.  One `LinearRegression` per horizon step: a driver loop of 7
-  fits, each one distributed pass over the narrow training table, whose
-  normal-equation solver aggregates a Gram matrix per task.
+  scaled 7 targets.  Ridge fits take one pass over the training windows for all
+  seven labels (`leastsquares`); an elastic net is one Spark ML
+  `LinearRegression` per horizon step (`fit_steps`).
 * Leakage-free by default: time split, scalers fitted on training windows only.
 * The panel and the scaled windows are tables of their own in the shared
   folder, so that no pass computes them again.
-* Persistence: the 7 step models form one `PipelineModel`
-  (`write().overwrite().save` / `PipelineModel.load`); both scalers are parquet
-  tables, and scoring reads model and scalers back.
+* Persistence: the ridge model and both scalers are parquet tables, and scoring
+  reads them back; the 7 step models of `fit_steps` form one `PipelineModel`
+  (`write().overwrite().save` / `PipelineModel.load`).
 * Scoring is `mapInPandas`: the model rides with the function and is applied to
   Arrow batches with NumPy.
 """
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.exprs import r6
+from shelfcast.operators import leastsquares as ls
 from shelfcast.operators import scaling as sc
 from shelfcast.operators.panel import FEATURES, KEYS
 from shelfcast.operators.splits import cutoff_date, time_split
@@ -66,9 +67,10 @@ def prepared(panel: DataFrame, train_fraction: float = 0.8, features: str = "win
     return materialize(scaled_features(windows, x_params, y_params, features), "learn-windows"), x_params, y_params
 
 
-def scaled_features(windows: DataFrame, x_params: DataFrame, y_params: DataFrame, features: str) -> DataFrame:
+def scaled_features(windows: DataFrame, x_params: DataFrame, y_params: DataFrame, features: str,
+                    carry: tuple[str, ...] = ("split",)) -> DataFrame:
     scaled = sc.scale_windows(windows, x_params, y_params).withColumn("f", FEATURE_SETS[features]())
-    return scaled.select(*KEYS, "pos", "start_date", "split", "f", "ys", "y")
+    return scaled.select(*KEYS, "pos", "start_date", *carry, "f", "ys", "y")
 
 
 def fit_steps(train: DataFrame, reg: float = DEFAULT_REG, elastic: float = 0.0, max_iter: int = 100) -> PipelineModel:
@@ -82,7 +84,13 @@ def fit_steps(train: DataFrame, reg: float = DEFAULT_REG, elastic: float = 0.0,
     return PipelineModel(stages=models)
 
 
-def predict(model: PipelineModel, scaled: DataFrame, y_params: DataFrame) -> DataFrame:
+def step_models(model: PipelineModel) -> ls.LinearModel:
+    """The step models of `fit_steps` as one function."""
+    return ls.LinearModel(np.array([m.coefficients.toArray() for m in model.stages]),
+                          np.array([m.intercept for m in model.stages]))
+
+
+def predict(model: ls.LinearModel, scaled: DataFrame, y_params: DataFrame) -> DataFrame:
     """`scaled` with its forecast in sales units."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scaled.schema)
     out = scaled.mapInPandas(pandas_scorer(model), f"{fields}, z array<double>")
@@ -107,26 +115,23 @@ def ar_linear_forecast(panel: DataFrame, model_dir: str, reg: float = DEFAULT_RE
     sc.save_params(y_params, f"{model_dir}/y_params")
     train = materialize(scaled_features(windows.where(F.col("split") == "train"), x_params, y_params, features)
                         .select("f", "ys"), "learn-train")
-    save_model(fit_steps(train, reg), f"{model_dir}/model")
+    ls.fit(train, reg).save(spark, f"{model_dir}/model")
 
-    model = load_model(f"{model_dir}/model")
+    model = ls.LinearModel.load(spark, f"{model_dir}/model")
     x_params, y_params = (sc.load_params(spark, f"{model_dir}/{k}_params") for k in "xy")
     test = scaled_features(windows.where(F.col("split") == "test"), x_params, y_params, features)
     out = predict(model, test.drop("ys", "split"), y_params)
     return out.select(*KEYS, "pos", "start_date", F.transform("forecast", lambda v: r6(v)).alias("forecast"), "y")
 
 
-def pandas_scorer(model: PipelineModel):
-    """mapInPandas function applying the step models with NumPy to a feature
-    array column `f`; other columns pass through.  The coefficients (7 x 98
-    doubles at most) ride in the closure."""
-    coef = np.array([m.coefficients.toArray() for m in model.stages])
-    icpt = np.array([m.intercept for m in model.stages])
-
+def pandas_scorer(model: ls.LinearModel):
+    """mapInPandas function applying the model with NumPy to a feature array
+    column `f`; other columns pass through.  The coefficients (7 x 98 doubles at
+    most) ride in the closure."""
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = np.vstack(pdf["f"].to_numpy()) if len(pdf) else np.zeros((0, coef.shape[1]))
-            yield pdf.assign(z=list(x @ coef.T + icpt))
+            x = np.vstack(pdf["f"].to_numpy()) if len(pdf) else np.zeros((0, model.coef.shape[1]))
+            yield pdf.assign(z=list(model(x)))
     return score
 
 
@@ -135,6 +140,14 @@ GRID = (("seasonal_naive", 1, None), ("seasonal_naive", 7, None), ("seasonal_nai
         ("recency_weighted", None, 0.5), ("recency_weighted", None, 2.0), ("recency_weighted", None, 8.0))
 
 
+def residual_moments(panel: DataFrame, reg: float = DEFAULT_REG, features: str = "window") -> DataFrame:
+    """(step, feature, n, moment) of the fit over the training windows: what
+    its normal equations leave, which is zero."""
+    scaled, _, _ = prepared(panel, features=features)
+    train = scaled.where(F.col("split") == "train").select("f", "ys")
+    return ls.residual_moments(train, ls.fit(train, reg), reg)
+
+
 def experiment_grid(panel: DataFrame, grid=GRID) -> DataFrame:
     """One row per parameter set of the closed-form baselines, with its error
     over all windows and the MAPE < 15 % gate, in one pass: every window sums
