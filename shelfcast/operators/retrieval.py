@@ -1,24 +1,26 @@
 """Vector and TF-IDF retrieval with complete top-k, plus retrieval prompts.
 
-Exact retrieval scores every query against every row, in blocks: rows and
-queries are dealt into blocks of a bounded size by a hash, a task scores one
-block of either as a NumPy product and returns its k best rows per query, and
-the k best of all blocks are merged by query.  Nothing is collected to the
-driver, no (row, query) pair leaves a task, and neither side has a size limit.
-`lsh_topk` looks only at rows whose signature is near the query's.
+Exact retrieval scores every query against every row, in blocks: rows are dealt
+once into blocks of a bounded size by a hash, a task holds one block, streams the
+queries past it as NumPy products and returns its k best rows per query, and the
+k best of all blocks are merged by query.  Nothing is collected to the driver, no
+(row, query) pair leaves a task, and neither side has a size limit.  Texts are
+found over an inverted index (`textindex`).  `lsh_topk` looks only at rows whose
+signature is near the query's, `cells_topk` at the cells nearest to it.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.functions.exprs import cosine, r6, term_counts
+from shelfcast.functions.exprs import cosine, r6
+from shelfcast.operators import textindex
 from shelfcast.session import materialize
 
 TOP_K = 3           # fixed value: the reference's top_k
@@ -43,27 +45,46 @@ def _blocked(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, k:
              score: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], row_block: int, query_block: int) -> DataFrame:
     """(query_id, rank, row_id, score): the k best rows of each query, by
     `score(rows, queries)`, a matrix for one block of either (NaN: no match).
-    Scores are rounded to 6 dp, ties go to the smaller row id."""
-    n_rows, n_queries = max(1, -(-rows.count() // row_block)), max(1, -(-queries.count() // query_block))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select("*", part(row_id, n_rows).alias("_r"), every(n_queries).alias("_q"))
-    right = queries.select("*", every(n_rows).alias("_r"), part(query_id, n_queries).alias("_q"))
+    A row is dealt once; queries are copied once a block of rows.  Scores are
+    rounded to 6 dp, ties go to the smaller row id."""
+    n_blocks = max(1, -(-rows.count() // row_block))
     kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, query_id), (rows, row_id))}
-
-    def run(r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(r) and len(q):
-            ids = r[row_id].to_numpy()
-            for one, s in zip(q[query_id], np.floor(score(r, q) * 1e6 + 0.5).T / 1e6):
-                at = np.flatnonzero(~np.isnan(s))
-                if len(at) > k:  # all that tie with the k-th
-                    at = at[s[at] >= np.partition(s[at], len(at) - k)[len(at) - k]]
-                at = at[np.lexsort((ids[at], -s[at]))][:k]
-                out += [(one, i, x) for i, x in zip(ids[at], s[at])]
+    only = lambda df, other: [F.col(c) if c in df.columns else F.lit(None).cast(other.schema[c].dataType).alias(c)
+                              for c in dict.fromkeys([*rows.columns, *queries.columns])]
+    data = rows.select(F.pmod(F.xxhash64(row_id), F.lit(n_blocks)).cast("int").alias("_b"), F.lit(0).alias("_ask"), *only(rows, queries))
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_b"), F.lit(1).alias("_ask"), *only(queries, rows))
+
+    def best(r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out, ids = [], r[row_id].to_numpy()
+        for one, s in zip(q[query_id], np.floor(score(r, q) * 1e6 + 0.5).T / 1e6):
+            at = np.flatnonzero(~np.isnan(s))
+            if len(at) > k:  # all that tie with the k-th
+                at = at[s[at] >= np.partition(s[at], len(at) - k)[len(at) - k]]
+            at = at[np.lexsort((ids[at], -s[at]))][:k]
+            out += [(one, i, x) for i, x in zip(ids[at], s[at])]
         return pd.DataFrame(out, columns=[query_id, row_id, "score"])
-    found = left.groupBy("_r", "_q").cogroup(right.groupBy("_r", "_q")).applyInPandas(
-        run, f"{query_id} {kinds[query_id]}, {row_id} {kinds[row_id]}, score double")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks come one after another, each with its rows first."""
+        now, held = None, []
+        for b in batches:
+            keys = b[["_b", "_ask"]].to_numpy()
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for i, j in zip(np.append(0, cuts), np.append(cuts, len(b))):
+                if i == j:
+                    continue
+                if keys[i][0] != now:
+                    now, held = keys[i][0], []
+                if not keys[i][1]:
+                    held.append(b.iloc[i:j])
+                    continue
+                if len(held) > 1:
+                    held = [pd.concat(held)]
+                for at in range(i, j if held else i, query_block):
+                    yield best(held[0], b.iloc[at:min(j, at + query_block)])
+
+    found = (data.unionByName(asked).repartition("_b").sortWithinPartitions("_b", "_ask")
+             .mapInPandas(run, f"{query_id} {kinds[query_id]}, {row_id} {kinds[row_id]}, score double"))
     return top_k(found, query_id, "score", row_id, k).select(query_id, "rank", row_id, "score")
 
 
@@ -116,60 +137,11 @@ def kb_prompt(hits: DataFrame, records: DataFrame, questions: DataFrame, query_i
 
 # ---------------------------------------------------------------- TF-IDF
 
-def _terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf): terms are counted within each row."""
-    return docs.select(id_col, F.explode(term_counts(text_col)).alias("t")).select(id_col, "t.term", "t.tf")
-
-
-def _weighted(tf: DataFrame, idf: DataFrame, id_col: str, unknown: float | None) -> DataFrame:
-    """(id, terms, weights): unit TF-IDF vectors, one row each, in one shuffle
-    by term and one by id; a row's terms are as many as its text is long.  A
-    term that `idf` lacks weighs `unknown`, or is left out where that is None."""
-    weight = F.col("tf") * (F.col("idf") if unknown is None else F.coalesce("idf", F.lit(unknown)))
-    rows = (tf.join(idf, "term", "inner" if unknown is None else "left")
-            .groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("w")))).alias("v")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    return rows.select(id_col, F.transform("v", lambda x: x["term"]).alias("terms"),
-                       F.transform("v", lambda x: x["w"]).alias("weights"), norm.alias("norm"))
-
-
-def _sparse_cosines(r: pd.DataFrame, q: pd.DataFrame) -> np.ndarray:
-    """Dot products of unit sparse vectors; NaN where no term is shared."""
-    number: dict[str, int] = {}
-    for terms in q["terms"]:
-        for t in terms:
-            number.setdefault(t, len(number))
-    table = np.zeros((len(number), len(q)))
-    for j, (terms, weights, norm) in enumerate(zip(q["terms"], q["weights"], q["norm"])):
-        table[[number[t] for t in terms], j] = np.asarray(weights) / norm
-    out = np.full((len(r), len(q)), np.nan)
-    for i, (terms, weights, norm) in enumerate(zip(r["terms"], r["weights"], r["norm"])):
-        known = [(number[t], w) for t, w in zip(terms, weights) if t in number]
-        if known:
-            at, w = zip(*known)
-            part = table[list(at)]
-            dots = np.asarray(w) @ part / norm
-            out[i] = np.where((part > 0).any(axis=0), dots, np.nan)
-    return out
-
-
 def tfidf_retrieve(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, corpus_id: str = "doc_id",
-                   query_id: str = "item_id", text_col: str = "text", row_block: int = 2_000,
-                   query_block: int = QUERY_BLOCK) -> DataFrame:
+                   query_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """Top-k corpus documents per query text by TF-IDF cosine, of those that
-    share a term, with smooth idf = ln((1 + N) / (1 + df)) + 1; a query term
-    that no document has gets the idf of df = 0.
-
-    Terms are counted within each row.  Document frequencies are one aggregate,
-    a table of its own; documents and queries become weight vectors, one row
-    each, and are scored block by block."""
-    tf = _terms(corpus, corpus_id, text_col)
-    n_docs = corpus.select(corpus_id).distinct().count()
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = materialize(df.select("term", (F.log((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0).alias("idf")), "idf")
-    rows = materialize(_weighted(tf, idf, corpus_id, None), "tfidf")
-    asked = _weighted(_terms(queries, query_id, text_col), idf, query_id, float(np.log(1.0 + n_docs) + 1.0))
-    return _blocked(rows, materialize(asked, "tfidf-queries"), corpus_id, query_id, k, _sparse_cosines, row_block, query_block)
+    share a term, over an inverted index made for it (`textindex`)."""
+    return textindex.search(textindex.build(corpus, corpus_id, text_col), queries, query_id, k, text_col)
 
 
 # ---------------------------------------------------------------- LSH
@@ -207,3 +179,95 @@ def lsh_topk(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, bits: int =
     scored = (probes.select("query_id", "sig").join(asked.select("query_id", "vector"), "query_id").join(rows, "sig")
               .select("query_id", "vec_id", r6(cosine("embedding", "vector")).alias("score")))
     return top_k(scored, "query_id", "score", "vec_id", k)
+
+
+# ---------------------------------------------------------------- cells
+
+CELL_SAMPLE = 50_000   # rows that cells are fitted on, about
+CELL_SHARE = 0.08      # of the rows that a query looks at, at most about
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x ** 2).sum(axis=1, keepdims=True))
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def fit_cells(vectors: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
+    """Unit centres by spherical k-means."""
+    x = _unit(vectors)
+    centres = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(rounds):
+        own = np.concatenate([(x[i:i + 4_096] @ centres.T).argmax(axis=1) for i in range(0, len(x), 4_096)])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        empty = ~sums.any(axis=1)
+        sums[empty] = centres[empty]
+        centres = _unit(sums)
+    return centres
+
+
+def cells_topk(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, share: float = CELL_SHARE,
+               sample: int = CELL_SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, id, score, candidates): approximate top-k by cosine in
+    an inverted file.
+
+    About 2 sqrt(N) cells are fitted on about `sample` rows; every row goes to
+    the cell of its nearest centre.  A query probes cells by their centre's
+    cosine until the cells probed hold `share` of the rows (and k rows); the cells
+    grow slower than the rows, and so do the rows of one.  Candidates meet by an
+    equi-join on the cell; a cell of many rows is dealt into parts, and its
+    queries go to each."""
+    rows = materialize(corpus.where(F.col(vec_col).isNotNull() & (F.size(vec_col) > 0)).select(id_col, vec_col), "cells-rows")
+    n = rows.count()
+    if not n:
+        empty = queries.select("query_id").limit(0)
+        return empty.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast(corpus.schema[id_col].dataType).alias(id_col),
+                            F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("candidates"))
+    cells = max(1, int(2 * n ** 0.5))
+    every = -(-n // sample)
+    some = rows.where(F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(every)) == 0).select(vec_col).toPandas()[vec_col]
+    if not len(some):
+        some = rows.limit(1).toPandas()[vec_col]
+    centres = fit_cells(np.stack([np.asarray(v, dtype=np.float64) for v in some]), min(cells, max(1, len(some) // 8)))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = np.stack([np.asarray(v, dtype=np.float64) for v in b[vec_col]])
+                yield b.assign(cell=(x @ centres.T).argmax(axis=1))
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    placed = materialize(rows.mapInPandas(nearest, f"{id_col} {kind(rows, id_col)}, {vec_col} {kind(rows, vec_col)}, cell int"), "cells")
+    # One row a cell.
+    held = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    size = np.array([held.get(c, 0) for c in range(len(centres))])
+    parts = np.maximum(1, -(-size // ROW_BLOCK))
+    enough = max(k, share * n)
+
+    def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for query, vector in zip(b["query_id"], b["vector"]):
+                order = np.argsort(-(centres @ np.asarray(vector, dtype=np.float64)), kind="stable")
+                before = np.append(0, size[order].cumsum()[:-1])
+                # The first cell, and further ones while they fit into the share.
+                use = order[(before < k) | (before + size[order] <= enough)]
+                cell = np.repeat(use, parts[use])
+                part = np.concatenate([np.arange(p) for p in parts[use]])
+                yield pd.DataFrame({"query_id": query, "vector": [vector] * len(cell), "cell": cell, "part": part,
+                                    "candidates": int(size[use].sum())})
+
+    asked = queries.select("query_id", "vector").where("vector IS NOT NULL").mapInPandas(
+        probes, f"query_id {kind(queries, 'query_id')}, vector {kind(queries, 'vector')}, cell int, part int, candidates long")
+    width = F.element_at(F.lit([int(p) for p in parts]), F.col("cell") + 1)
+    data = placed.withColumn("part", F.pmod(F.xxhash64(id_col), width).cast("int"))
+    scored = data.join(asked, ["cell", "part"]).select("query_id", id_col, r6(cosine(vec_col, "vector")).alias("score"), "candidates")
+    return top_k(scored, "query_id", "score", id_col, k).select("query_id", "rank", id_col, "score", "candidates")
+
+
+def recall(found: DataFrame, exact: DataFrame, row_id: str = "vec_id", query_id: str = "query_id") -> DataFrame:
+    """(query_id, k, recall): the share of each query's exact hits that were
+    found; a found row that scores as high as the last exact one counts."""
+    last = exact.groupBy(query_id).agg(F.count("*").alias("k"), F.min("score").alias("_least"))
+    hits = found.join(last, query_id).where(F.col("score") >= F.col("_least")).groupBy(query_id).agg(F.count("*").alias("_hits"))
+    return last.join(hits, query_id, "left").select(
+        query_id, "k", (F.least(F.coalesce("_hits", F.lit(0)), F.col("k")) / F.col("k")).alias("recall"))

@@ -138,32 +138,44 @@ def rouge_l(pairs: DataFrame, keys=PAIR_KEYS, gen: str = "generated", ref: str =
                     r6(f).alias("rougeL_f"))
 
 
-def unigram_model(corpus: DataFrame, text_col: str = "text"):
-    """Add-one unigram model counted on the corpus: (term, count), a table of
-    its own, and the scalars N (tokens) and V (vocabulary size)."""
-    counts = materialize(corpus.select(F.explode(term_counts(text_col)).alias("t")).groupBy(F.col("t.term").alias("term"))
+def unigram_model(terms: DataFrame):
+    """Add-one unigram model of rows with counted `terms`: (term, count), a
+    table of its own, and the scalars N (tokens) and V (vocabulary size)."""
+    counts = materialize(terms.select(F.explode("terms").alias("t")).groupBy(F.col("t.term").alias("term"))
                          .agg(F.sum("t.tf").alias("c")), "unigrams")
     tot = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     return counts, int(tot["n"] or 0), int(tot["v"] or 0)
 
 
+def counted_terms(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """(keys, terms): texts tokenised once, as a table; terms are counted
+    within each row."""
+    return materialize(texts.select(*keys, term_counts(text_col).alias("terms")), "terms")
+
+
 def corpus_perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Perplexity of every document under the add-one unigram model of the
-    same corpus: one pass counts the corpus, one scores the documents."""
-    return perplexity(docs, *unigram_model(docs, text_col), [id_col], text_col)
-
-
-def perplexity(docs: DataFrame, counts: DataFrame, n_tokens: int, vocab: int, keys: list[str],
-               text_col: str = "text") -> DataFrame:
-    """Per text: exp(mean over tokens of -ln p(w)), p(w) = (c_w + 1) / (N + V);
-    coherence = max(0, 1 - perplexity / 100).  Terms are counted within the
-    row; the join to the corpus counts is the planner's, and adaptive execution
-    splits a common word's rows."""
-    tf = docs.select(*keys, F.explode(term_counts(text_col)).alias("t")).select(*keys, "t.*")
-    j = tf.join(counts, "term", "left")
+    same corpus; the texts are tokenised once."""
+    terms = counted_terms(docs, [id_col], text_col)
+    return perplexity(terms, *unigram_model(terms), [id_col])
+
+
+COMMON = 1_024  # terms whose counts go to every task
+
+
+def perplexity(terms: DataFrame, counts: DataFrame, n_tokens: int, vocab: int, keys: list[str]) -> DataFrame:
+    """Per row of counted `terms`: exp(mean over tokens of -ln p(w)),
+    p(w) = (c_w + 1) / (N + V); coherence = max(0, 1 - perplexity / 100).
+
+    The `COMMON` most frequent terms, which would meet in a few join keys, are a
+    broadcast of that many rows; only the others are joined by term."""
+    tf = terms.select(*keys, F.explode("terms").alias("t")).select(*keys, "t.*")
+    head = F.broadcast(counts.orderBy(F.col("c").desc(), "term").limit(COMMON))
     denom = float(n_tokens + vocab)
     nll = F.col("tf") * -F.log((F.coalesce("c", F.lit(0)) + 1.0) / F.lit(denom))
-    g = j.groupBy(*keys).agg(F.sum("tf").alias("n_tokens"), F.sum(nll).alias("nll"))
+    known = tf.join(head, "term").select(*keys, "tf", nll.alias("nll"))
+    other = tf.join(head, "term", "left_anti").join(counts, "term", "left").select(*keys, "tf", nll.alias("nll"))
+    g = known.unionByName(other).groupBy(*keys).agg(F.sum("tf").alias("n_tokens"), F.sum("nll").alias("nll"))
     ppl = F.exp(F.col("nll") / F.col("n_tokens"))
     return g.select(*keys, "n_tokens", r4(ppl).alias("perplexity"),
                     r6(F.greatest(F.lit(0.0), 1 - ppl / PERPLEXITY_SCALE)).alias("coherence"))
@@ -178,7 +190,7 @@ def overall_score(pairs: DataFrame, counts: DataFrame, n_tokens: int, vocab: int
     expected = F.map_from_entries(F.array_distinct(exp_nums))
     _, _, score = numeric_accuracy_expr(F.col("generated"), expected)
     own = rouge_l(pairs.withColumns({"numeric": score, "length": word_count("generated")}), carry=("numeric", "length"))
-    coh = perplexity(pairs, counts, n_tokens, vocab, keys, "generated").select(*keys, "coherence")
+    coh = perplexity(counted_terms(pairs, keys, "generated"), counts, n_tokens, vocab, keys).select(*keys, "coherence")
     out = own.join(coh, keys, "left").fillna(0.0, ["coherence"])
     overall = (F.col("rougeL_f") * W_FACTUAL + F.col("numeric") * W_NUMERIC + F.col("coherence") * W_COHERENCE)
     return out.select(*keys, F.col("rougeL_f").alias("factual_accuracy"), r6("numeric").alias("numerical_accuracy"),
