@@ -13,6 +13,10 @@ from the committed offsets and state instead of recomputing.
 * `stream_forecast`  rolling last-14-days state per series with
                      `applyInPandasWithState`; emits seasonal-naive and
                      moving-average forecasts (state is bounded: 14 values/key).
+* `stream_series_lives` runs of a series, as state that ends: an event-time
+                     timer emits a silent series' last row and clears its state.
+* `stream_forecast_errors` stream-stream join of forecasts and actuals, with
+                     watermarks on both sides and rows for actuals that never come.
 * `stream_event_counts` / `stream_latency_histogram`  the prediction counter
                      and latency histogram as an update-mode streaming
                      aggregation written with foreachBatch.
@@ -20,12 +24,13 @@ from the committed offsets and state instead of recomputing.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from shelfcast.functions.exprs import r6
@@ -48,23 +53,28 @@ SLICES = 4
 
 def event_stream(spark: SparkSession, sf_dir: str, table: str = "events",
                  slices: int = SLICES) -> tuple[DataFrame, Iterator[None]]:
-    """The event table as a stream in time order, and its feed: the time span
-    is cut into `slices`, and each step of the feed stages the next one in the
-    shared folder.  A slice has as many files as the table has partitions, in
-    no order, so the runs below read each slice in one batch, after it is
-    staged whole and before the next one is: rows are never late because of
-    the file they are in, and state is carried from slice to slice."""
-    events = read_table(spark, sf_dir, table)
-    stage = run_dir(spark, f"{table}-stage")
-    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    """The event table as a stream in time order, and its feed."""
+    return sliced_stream(read_table(spark, sf_dir, table), "ts", table, slices)
+
+
+def sliced_stream(rows: DataFrame, column: str, name: str, slices: int = SLICES, span=None) -> tuple[DataFrame, Iterator[None]]:
+    """Rows as a stream in the order of a date or time column, and its feed: the
+    time span is cut into `slices`, and each step of the feed stages the next one
+    in the shared folder.  A slice has as many files as the table has partitions,
+    in no order, so the runs below read each slice in one batch, after it is
+    staged whole and before the next one is: rows are never late because of the
+    file they are in, and state is carried from slice to slice.  `span` (first,
+    last) makes slices of several streams end at the same times."""
+    spark = rows.sparkSession
+    stage = run_dir(spark, f"{name}-stage")
+    lo, hi = span or rows.agg(F.min(column), F.max(column)).first()
     step = (hi - lo) / slices if lo is not None else None
 
     def put(i: int) -> None:
-        some = events
+        some, at = rows, F.col(column)
         if step:
-            some = events.where(F.col("ts") >= F.lit(lo + i * step)) if i else events.where(
-                F.col("ts").isNull() | (F.col("ts") >= F.lit(lo)))
-            some = some.where(F.col("ts").isNull() | (F.col("ts") < F.lit(lo + (i + 1) * step))) if i < slices - 1 else some
+            some = rows.where(at >= F.lit(lo + i * step)) if i else rows.where(at.isNull() | (at >= F.lit(lo)))
+            some = some.where(at.isNull() | (at < F.lit(lo + (i + 1) * step))) if i < slices - 1 else some
         some.write.mode("append").parquet(stage)
 
     def feed() -> Iterator[None]:
@@ -73,7 +83,7 @@ def event_stream(spark: SparkSession, sf_dir: str, table: str = "events",
             put(i)
             yield
     put(0)  # the stream's folder has to exist
-    return spark.readStream.schema(events.schema).parquet(stage), feed()
+    return spark.readStream.schema(rows.schema).parquet(stage), feed()
 
 
 def _run(writer: DataStreamWriter, feed: Iterable[None]) -> None:
@@ -213,6 +223,113 @@ def stream_forecast(spark: SparkSession, panel: DataFrame, lookback: int = 14, h
         "store_id", "product_id", "r.*")
 
 
+# ---------------------------------------------------------------- state that ends
+
+SILENT_DAYS = 14
+LIFE_OUT = "store_id int, product_id int, first_date date, last_date date, n_days long, total_sales double, last_mean double"
+LIFE_STATE = "first int, last int, n long, total double, recent array<double>"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+EPOCH = dt.date(1970, 1, 1)
+
+
+class SeriesLife(StatefulProcessor):
+    """One run of a series' days without `silent` days between two of them.
+
+    Its state is a few numbers and the last `lookback` sales.  A timer stands
+    `silent` days (and a half, so that no day is at the edge) after the last
+    day: when the watermark passes it, the run's last row is emitted and its
+    state is gone.  A gap within the rows at hand ends a run at once, so that
+    the result does not depend on how the rows are batched."""
+
+    def __init__(self, silent: int, lookback: int) -> None:
+        self.silent, self.lookback = silent, lookback
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.life = handle.getValueState("life", LIFE_STATE)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        days = pd.concat([p[["day", "sales"]] for p in rows], ignore_index=True)
+        day = days["day"].map(lambda t: (pd.Timestamp(t).date() - EPOCH).days).to_numpy()
+        now, ended = (tuple(self.life.get()) if self.life.exists() else None), []
+        for i in day.argsort(kind="stable"):
+            at, sales = int(day[i]), float(days["sales"].iloc[i])
+            if now is not None and at - now[1] > self.silent:
+                ended.append(now)
+                now = None
+            first, last, n, total, recent = now or (at, at, 0, 0.0, [])
+            now = (first, max(at, last), n + 1, total + sales, [*recent, sales][-self.lookback:])
+        self.life.update(now)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer((now[1] + self.silent) * 86_400_000 + 43_200_000)
+        yield self._rows(key, ended)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        ended = [tuple(self.life.get())] if self.life.exists() else []
+        self.life.clear()
+        yield self._rows(key, ended)
+
+    @staticmethod
+    def _rows(key, ended: list[tuple]) -> pd.DataFrame:
+        rows = [(int(key[0]), int(key[1]), EPOCH + dt.timedelta(days=first), EPOCH + dt.timedelta(days=last), n, total,
+                 sum(recent) / len(recent)) for first, last, n, total, recent in ended]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in LIFE_OUT.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_series_lives(panel: DataFrame, silent: int = SILENT_DAYS, lookback: int = 14, slices: int = SLICES) -> DataFrame:
+    """The runs of each series that have ended, as demand rows arrive: its
+    first and last day, days, sales, and the mean of its last `lookback` days.  A
+    series that stops leaves the state `silent` days later."""
+    spark = panel.sparkSession
+    days = panel.select("store_id", "product_id", F.col("date").cast("timestamp").alias("day"), F.col("sales").cast("double").alias("sales"))
+    rows, feed = sliced_stream(days, "day", "series-lives", slices)
+    out = rows.withWatermark("day", WATERMARK).groupBy("store_id", "product_id").transformWithStateInPandas(
+        SeriesLife(silent, lookback), LIFE_OUT, "append", "EventTime")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, ROCKSDB)  # what transformWithState needs
+    try:
+        return run_append(out, "series-lives", feed)
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+
+
+# ---------------------------------------------------------------- stream-stream join
+
+def weekly_forecasts(panel: DataFrame, season: int = 7) -> DataFrame:
+    """Forecast rows as a forecaster emits them, each day one for `season`
+    calendar days later: the day's own sales."""
+    return panel.select("store_id", "product_id", F.col("date").cast("timestamp").alias("origin"),
+                        F.date_add("date", season).cast("timestamp").alias("target"), F.col("sales").cast("double").alias("forecast"))
+
+
+def stream_forecast_errors(panel: DataFrame, forecasts: DataFrame | None = None, slices: int = SLICES) -> DataFrame:
+    """Forecasts (store_id, product_id, origin, target, forecast) joined with the
+    actuals as both arrive: (store_id, product_id, date, forecast, actual_sales,
+    abs_error).  Both sides wait for each other until the watermark passes the
+    day, and no longer; a forecast whose day closes without an actual has nulls.
+    Days that the watermark has not passed are left out."""
+    spark = panel.sparkSession
+    forecasts = weekly_forecasts(panel) if forecasts is None else forecasts
+    actuals = panel.select(F.col("store_id").alias("a_store"), F.col("product_id").alias("a_product"),
+                           F.col("date").cast("timestamp").alias("day"), F.col("sales").cast("double").alias("actual_sales"))
+    span = actuals.agg(F.min("day"), F.max("day")).first()
+    left, feed_left = sliced_stream(forecasts, "origin", "forecasts", slices, span)
+    right, feed_right = sliced_stream(actuals, "day", "actuals", slices, span)
+    joined = left.withWatermark("target", WATERMARK).join(
+        right.withWatermark("day", WATERMARK),
+        (F.col("store_id") == F.col("a_store")) & (F.col("product_id") == F.col("a_product")) & (F.col("target") == F.col("day")),
+        "left_outer").select("store_id", "product_id", F.col("target").cast("date").alias("date"), "forecast", "actual_sales",
+                             F.abs(F.col("forecast") - F.col("actual_sales")).alias("abs_error"))
+    out = run_append(joined, "forecast-errors", (None for _ in zip(feed_left, feed_right)))
+    closed = span[1] - dt.timedelta(days=1) if span[1] is not None else None
+    return out.where(F.col("date") <= F.lit(closed).cast("date"))
+
+
 # ---------------------------------------------------------------- monitoring counters (update mode)
 
 def stream_monitoring_state(spark: SparkSession, sf_dir: str) -> DataFrame:
