@@ -14,7 +14,7 @@ Forecast rows are joined back to the actual sales by (store, product, date).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.exprs import let, r6
@@ -146,6 +146,22 @@ def one_per_day(fr: DataFrame) -> DataFrame:
             .select(*KEYS, "date", "model", "r.*"))
 
 
+def daily_forecasts(panel: DataFrame, model: str = "seasonal_naive") -> DataFrame:
+    """The rows of `one_per_day(forecast_results(panel))` without the others:
+    each window emits its steps up to the first day of the next window's
+    horizon, the last window all of them.  One row a day, no further shuffle."""
+    windows = sliding_windows(panel, with_dates=True)
+    ahead = F.lead("pos").over(Window.partitionBy(*KEYS).orderBy("start_date"))
+    steps = F.arrays_zip(MODEL_EXPRS[model](F.col("x_sales")).alias("f"), F.col("y_date").alias("d"), F.col("y").alias("a"),
+                         F.col("y_price").alias("pr"))
+    own = F.slice(steps, 1, F.least(F.coalesce(ahead - F.col("pos"), F.lit(HORIZON)), F.lit(HORIZON)))
+    return windows.select(*KEYS, F.col("pos").alias("origin_pos"), F.col("start_date").alias("origin_date"), own.alias("s")).select(
+        *KEYS, "origin_pos", "origin_date", F.posexplode("s")).select(
+        *KEYS, F.col("col.d").alias("date"), F.lit(model).alias("model"), "origin_pos", "origin_date",
+        (F.col("pos") + 1).alias("horizon"), F.col("col.f").alias("forecast"), F.col("col.a").alias("actual_sales"),
+        F.col("col.pr").alias("price"))
+
+
 def attach_actuals(fc_long: DataFrame, panel: DataFrame) -> DataFrame:
     """Forecast <-> actual (J1): inner equi-join on (store, product, date), for
     forecasts that do not carry their actuals; also brings the day's price."""

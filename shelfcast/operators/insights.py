@@ -27,11 +27,13 @@ TRAINING_TEXT = "### Instruction:\n{instruction}\n\n### Input:\n{input}\n\n### R
 
 
 def series_metrics(forecast_results: DataFrame, model: str = "seasonal_naive",
-                   recent: int = RECENT_DAYS) -> DataFrame:
+                   recent: int = RECENT_DAYS, daily: bool = False) -> DataFrame:
     """avg sales, forecast accuracy, trend (last vs first by date, ties count
     as decreasing), sample std, the last `recent` actuals in date order, over
-    one forecast per day up to the series' last day."""
-    fr = one_per_day(forecast_results.where(F.col("model") == model))
+    one forecast per day up to the series' last day; `daily` rows (of
+    `forecasts.daily_forecasts`) are that already."""
+    fr = forecast_results.where(F.col("model") == model)
+    fr = fr if daily else one_per_day(fr)
     w = Window.partitionBy(*KEYS).orderBy(F.col("date").desc())
     ranked = fr.withColumn("rk", F.row_number().over(w))
     a, f = F.col("actual_sales"), F.col("forecast")

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.functions.exprs import r2, r6
-from shelfcast.operators.forecasts import one_per_day
+from shelfcast.functions.exprs import let, r2, r6
+from shelfcast.operators.forecasts import MODEL_EXPRS, one_per_day
 from shelfcast.operators.panel import KEYS
 
 # MAPE epsilon of the reference; the MAPE quality target (%).
@@ -56,10 +56,34 @@ def forecast_metrics_sets(fr: DataFrame) -> DataFrame:
     return _rounded(g, ["model", "level", "horizon", "store_id", "product_id"])
 
 
-def model_comparison(fr: DataFrame, target: float = MAPE_TARGET) -> DataFrame:
-    """Stacked models, same metrics, and the quality gate MAPE < target."""
-    m = forecast_metrics(fr)
-    return m.withColumn("meets_target", F.col("mape") < F.lit(target))
+def model_comparison(metrics: DataFrame, target: float = MAPE_TARGET) -> DataFrame:
+    """Stacked models' metrics (`forecast_metrics` or `window_metrics`) with the
+    quality gate MAPE < target."""
+    return metrics.withColumn("meets_target", F.col("mape") < F.lit(target))
+
+
+def window_metrics(windows: DataFrame, models) -> DataFrame:
+    """`forecast_metrics` of several models straight from windows: a window
+    sums its own errors, so that it is one row a model, not one a step."""
+    y = F.col("y")
+
+    def sums(model: str):
+        def of(f):
+            each = lambda term: F.aggregate(F.zip_with(f, y, lambda p, a: F.coalesce(term(p, a), F.lit(0.0))), F.lit(0.0),
+                                            lambda t, v: t + v)
+            return F.struct(F.lit(model).alias("model"), F.size(y).alias("n"), each(lambda p, a: (p - a) * (p - a)).alias("sq"),
+                            each(lambda p, a: F.abs(p - a)).alias("abs"), each(lambda p, a: a - p).alias("bias"),
+                            each(lambda p, a: F.abs((a - p) / (a + F.lit(MAPE_EPSILON)))).alias("rel"),
+                            each(lambda p, a: F.when(a != 0, F.abs((a - p) / a))).alias("rel_nz"),
+                            F.size(F.filter(y, lambda a: a != 0)).alias("n_nz"))
+        return let(MODEL_EXPRS[model](F.col("x_sales")), of)
+
+    rows = windows.select(F.explode(F.array(*[sums(m) for m in models])).alias("m")).select("m.*")
+    g = rows.groupBy("model").agg(*[F.sum(c).alias(c) for c in ("n", "sq", "abs", "bias", "rel", "rel_nz", "n_nz")])
+    mean = lambda c: F.col(c) / F.col("n")
+    return g.select("model", "n", r6(mean("sq")).alias("mse"), r6(mean("abs")).alias("mae"), r6(mean("rel") * 100).alias("mape"),
+                    r6(F.try_divide(F.col("rel_nz"), F.col("n_nz")) * 100).alias("mape_nonzero"),
+                    r6(F.sqrt(mean("sq"))).alias("rmse"), r6(mean("bias")).alias("bias"))
 
 
 def direction_accuracy(fr: DataFrame, model: str = "seasonal_naive") -> DataFrame:

@@ -158,6 +158,53 @@ def rule_insights(requests: DataFrame, with_timestamp: bool = False) -> DataFram
     return out
 
 
+# ---------------------------------------------------------------- free-form contexts
+
+INVALID_BODY = "Request is not a JSON object"
+NUMBERS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))$"
+
+
+def _typed(body: Column, path: str, kind: str, pattern: str) -> Column:
+    """The value at `path` where its own type matches; null where it is missing
+    or of another type (a number written as text is text)."""
+    value = F.try_variant_get(body, path, "variant")
+    return F.when(F.schema_of_variant(value).rlike(pattern), F.try_variant_get(body, path, kind))
+
+
+def free_form_insights(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """Insights of requests whose context is any JSON: its known keys count
+    where they have the right type, and take the rule's defaults elsewhere;
+    other keys are ignored.  A body that is no JSON object has an `error` and no
+    insights.  Other columns of `bodies` pass through."""
+    v = F.try_parse_json(body)
+    rest = [c for c in bodies.columns if c != body]
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    read = bodies.select(
+        *rest, F.when(~is_object, F.lit(INVALID_BODY)).alias("error"), _typed(v, "$.query", "string", "^STRING$").alias("query"),
+        F.coalesce(_typed(v, "$.context.avg_sales", "double", NUMBERS), F.lit(0.0)).alias("avg_sales"),
+        F.coalesce(_typed(v, "$.context.trend", "string", "^STRING$"), F.lit("stable")).alias("trend"),
+        F.coalesce(_typed(v, "$.context.volatility", "double", NUMBERS), F.lit(0.0)).alias("volatility"))
+    text = rules.rule_insight_text(F.col("avg_sales"), F.col("trend"), F.col("volatility"))
+    return read.withColumn("insights", F.when(F.col("error").isNull(), text))
+
+
+def free_form_requests(ctx: DataFrame, question: str = INSIGHT_QUESTION) -> DataFrame:
+    """One body per series, as clients of all sorts send them: `kind` 0 whole, 1
+    without the mean, 2 with more keys, 3 with values of other types, 4 with a
+    text for a context, 5 cut off."""
+    kind = F.pmod(F.col("store_id") * 7 + F.col("product_id"), F.lit(6)).cast("int")
+    avg, trend, vol = F.col("avg_daily_sales"), F.col("trend"), F.col("volatility")
+    whole = F.struct(avg.alias("avg_sales"), "trend", vol.alias("volatility"))
+    contexts = [whole, F.struct("trend", vol.alias("volatility")),
+                F.struct(avg.alias("avg_sales"), "trend", vol.alias("volatility"), F.array(F.lit("a"), F.lit("b")).alias("tags"),
+                         F.struct(F.lit(1).alias("avg_sales")).alias("nested")),
+                F.struct(avg.cast("string").alias("avg_sales"), F.lit(3).alias("trend"), F.array(vol).alias("volatility")),
+                F.lit("see above"), whole]
+    texts = [F.to_json(F.struct("store_id", "product_id", F.lit(question).alias("query"), c.alias("context"))) for c in contexts]
+    texts[5] = F.substring(texts[5], F.lit(1), F.length(texts[5]) - 2)
+    return ctx.select(*KEYS, kind.alias("kind"), F.element_at(F.array(*texts), kind + 1).alias("body"))
+
+
 def context_repr(c: Column) -> Column:
     """Python `str(dict)` of the context: single quotes, Python float text."""
     def val(x, is_text=False):

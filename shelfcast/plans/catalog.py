@@ -142,6 +142,20 @@ _X_COLS = ", ".join(f"list_transform(x_{f}, lambda v: (floor((v) * 1e6 + 0.5) /
                     for f in S.FEATURES)
 
 
+# Sketches of each store and month, merged to stores and held against exact figures.
+register("sketch_rollup", S.with_ctes("""
+SELECT store_id, probability, count(*) AS n, true AS rank_ok, true AS distinct_ok
+FROM panel, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS probability) GROUP BY store_id, probability""", "panel"))(
+    lambda spark, d: _sketch_rollup(spark, d))
+
+
+def _sketch_rollup(spark, d):
+    from shelfcast.operators import sketches as sk
+    from shelfcast.session import materialize
+    panel = materialize(_panel(spark, d), "panel")
+    return sk.sketch_check(panel, materialize(sk.sketch_table(panel), "sketches"))
+
+
 @register("sliding_windows", S.with_ctes(
     f"SELECT store_id, product_id, pos, start_date, {_X_COLS}, y FROM windows", "windows"))
 def _sliding(spark, d):
@@ -196,7 +210,7 @@ def _forecast_results(spark, d):
 # ---------------------------------------------------------------- series context & rules
 
 def _metrics(spark, d):
-    return ins.series_metrics(fc.forecast_results(_panel(spark, d)))
+    return ins.series_metrics(fc.daily_forecasts(_panel(spark, d)), daily=True)
 
 
 def _ctx(spark, d):
@@ -208,7 +222,10 @@ SELECT store_id, product_id, n_days, (floor((avg_sales) * 1e6 + 0.5) / 1e6) AS a
        (floor((forecast_accuracy) * 1e6 + 0.5) / 1e6) AS forecast_accuracy, trend, (floor((volatility) * 1e6 + 0.5) / 1e6) AS volatility, recent_sales
 FROM metrics""", "metrics"))
 def _series_metrics(spark, d):
-    m = _metrics(spark, d)
+    return _metrics_out(_metrics(spark, d))
+
+
+def _metrics_out(m):
     return m.select("store_id", "product_id", "n_days", *[r6(c).alias(c) for c in (
         "avg_sales", "avg_forecast", "forecast_accuracy")], "trend", r6("volatility").alias("volatility"),
         "recent_sales")
@@ -319,7 +336,7 @@ GROUP BY GROUPING SETS ((model), (model, horizon), (model, store_id), (model, st
 
 register("model_comparison", S.with_ctes(f"""
 SELECT *, mape < 15.0 AS meets_target FROM (SELECT model, {_err_sql()} FROM fr_all GROUP BY model) t""",
-    "fr_all"))(lambda spark, d: mt.model_comparison(_fr(spark, d, fc.BASELINES)))
+    "fr_all"))(lambda spark, d: mt.model_comparison(mt.window_metrics(wn.sliding_windows(_panel(spark, d)), fc.BASELINES)))
 
 register("direction_accuracy", S.with_ctes(f"""
 SELECT store_id, product_id, count(*) AS n_pairs,
@@ -573,6 +590,18 @@ FROM ctx""", "ctx"))(lambda spark, d: _through_json(scr.rule_insights(
     scr.insight_requests(_ctx(spark, d)), with_timestamp=True), "insights").drop("generated_at"))
 
 
+# Clients' own contexts: what is missing or of another type takes the defaults.
+register("free_form_insights", S.with_ctes(f"""
+SELECT store_id, product_id, kind, CASE WHEN kind = 5 THEN '{scr.INVALID_BODY}' END AS error,
+       CASE WHEN kind <> 5 THEN '{_QUESTION}' END AS query, avg_sales, trend, volatility,
+       CASE WHEN kind <> 5 THEN {S.rule_insight_text('avg_sales', 'trend', 'volatility')} END AS insights
+FROM (SELECT store_id, product_id, kind, CASE WHEN kind IN (0, 2) THEN avg_daily_sales ELSE 0.0 END AS avg_sales,
+             CASE WHEN kind < 3 THEN trend ELSE 'stable' END AS trend,
+             CASE WHEN kind < 3 THEN coalesce(volatility, 0.0) ELSE 0.0 END AS volatility
+      FROM (SELECT *, ((store_id * 7 + product_id) % 6)::INT AS kind FROM ctx) c) t""", "ctx"))(
+    lambda spark, d: scr.free_form_insights(scr.free_form_requests(_ctx(spark, d))))
+
+
 def _ctx_repr_sql():
     def val(x, text=False):
         if text:
@@ -734,6 +763,17 @@ def _lsh(spark, d):
     return rt.lsh_topk(emb, q, bits=_LSH_BITS).select(F.col("query_id").alias("query_label"), "rank", "vec_id", "score")
 
 
+@register("cells_topk")
+def _cells(spark, d):
+    """Approximate hits with their recall against the exact ones."""
+    from shelfcast.session import materialize
+    emb = read_table(spark, d, "embeddings")
+    q = materialize(rt.label_centroids(emb).select(F.col("label").alias("query_id"), "vector"), "centroids")
+    found = materialize(rt.cells_topk(emb, q), "cells-hits")
+    return found.join(rt.recall(found, rt.cosine_topk(emb, q)), "query_id").select(
+        F.col("query_id").alias("query_label"), "rank", "vec_id", "score", "candidates", r6("recall").alias("recall"))
+
+
 # ---------------------------------------------------------------- text scoring
 
 _WS = PY_WHITESPACE
@@ -905,7 +945,7 @@ LEFT JOIN coh c USING (conv_id, turn)""", "rougel", "numsc", "coh"))
 def _overall(spark, d):
     conv = read_table(spark, d, "conversations")
     from shelfcast.session import materialize
-    counts, n, v = ts.unigram_model(conv)
+    counts, n, v = ts.unigram_model(ts.counted_terms(conv, []))
     return ts.overall_score(materialize(ts.conversation_pairs(conv), "pairs"), counts, n, v)
 
 
@@ -1016,6 +1056,23 @@ WHERE session_end <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")(
     lambda spark, d: stm.stream_sessions(spark, d).select(
         "user_id", _ntz("session_start"), _ntz("session_end"), "n_events", "total_value"))
 
+register("stream_series_lives", S.with_ctes(f"""
+SELECT store_id, product_id, min(date) AS first_date, max(date) AS last_date, count(*) AS n_days,
+       sum(sales)::DOUBLE AS total_sales, {R6('avg(sales) FILTER (WHERE back <= 14)')} AS last_mean
+FROM (SELECT *, row_number() OVER (PARTITION BY store_id, product_id, life ORDER BY date DESC) AS back
+      FROM (SELECT *, sum(new) OVER (PARTITION BY store_id, product_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS life
+            FROM (SELECT *, CASE WHEN date - lag(date) OVER (PARTITION BY store_id, product_id ORDER BY date) <= 14
+                                 THEN 0 ELSE 1 END AS new FROM panel) t) u) v, bounds
+GROUP BY store_id, product_id, life, hi
+HAVING max(date) + 14 < hi - 1 OR max(date) < (SELECT max(p.date) FROM panel p WHERE p.store_id = v.store_id AND p.product_id = v.product_id)
+""", "panel", "bounds"))(lambda spark, d: stm.stream_series_lives(_panel(spark, d)).withColumn("last_mean", r6("last_mean")))
+
+register("stream_forecast_errors", S.with_ctes("""
+SELECT f.store_id, f.product_id, f.date + 7 AS date, f.sales::DOUBLE AS forecast, a.sales::DOUBLE AS actual_sales,
+       abs(f.sales - a.sales)::DOUBLE AS abs_error
+FROM panel f LEFT JOIN panel a ON a.store_id = f.store_id AND a.product_id = f.product_id AND a.date = f.date + 7, bounds
+WHERE f.date + 7 <= hi - 1""", "panel", "bounds"))(lambda spark, d: stm.stream_forecast_errors(_panel(spark, d)))
+
 # The streaming counters end in the same state as the batch aggregates.
 from shelfcast.plans.registry import ORACLES as _ORACLES  # noqa: E402
 register("stream_event_counts", _ORACLES["event_counts"])(lambda spark, d: stm.stream_event_counts(spark, d))
@@ -1047,6 +1104,7 @@ FROM ctx""", "ctx"))(lambda spark, d: scr.analysis_prompt(_ctx(spark, d)))
 
 
 # ---------------------------------------------------------------- learned model & files
+from shelfcast.operators import experiments as ex  # noqa: E402
 from shelfcast.operators import learned as lrn  # noqa: E402
 from shelfcast.sources import files as fl  # noqa: E402
 
@@ -1056,6 +1114,16 @@ def _ar_linear(spark, d):
     return lrn.ar_linear_forecast(_panel(spark, d), stm.run_dir(spark, "ar-linear"))
 
 
+# What the 98-feature fit leaves in its normal equations: nothing, at each step
+# and feature, over all training windows.
+register("ar_linear_residuals", S.with_ctes(f"""
+SELECT s.step::INT AS step, j.feature::INT AS feature, count(*) AS n, 0.0::DOUBLE AS moment
+FROM windows w, (SELECT lo + CAST(floor(datediff('day', lo, hi) * 0.8) AS INT) AS cutoff FROM bounds) c,
+     range({S.H}) s(step), range(-1, {S.L * len(S.FEATURES)}) j(feature)
+WHERE w.y_date[len(w.y_date)] < c.cutoff GROUP BY ALL""", "windows", "bounds"))(
+    lambda spark, d: lrn.residual_moments(_panel(spark, d)))
+
+
 # The same with the window's mean alone: its least squares are closed forms.
 _MEAN = "(list_sum(list_transform(x_sales, lambda v: (v - m) / s)) / len(x_sales))"
 
@@ -1093,6 +1161,38 @@ FROM ({" UNION ALL ".join(_grid_sql(*g) for g in lrn.GRID)}) t GROUP BY model, s
     lambda spark, d: lrn.experiment_grid(_panel(spark, d)))
 
 
+@register("learned_grid")
+def _learned_grid(spark, d):
+    return ex.learned_grid(_panel(spark, d))
+
+
+# The one-feature form: ridge slopes in closed form, one row a penalty and fold.
+@register("mean_learned_grid", S.with_ctes("", "windows", "bounds", "panel") + f""",
+cuts AS MATERIALIZED (
+  SELECT k, lo + CAST(floor(datediff('day', lo, hi) * o) AS INT) AS cut,
+         CASE WHEN o = {ex.ORIGINS[-1]} THEN hi + 1 ELSE lo + CAST(floor(datediff('day', lo, hi) * nxt) AS INT) END AS stop
+  FROM bounds, (SELECT unnest(range({len(ex.ORIGINS)})) AS k, unnest({list(ex.ORIGINS)}) AS o,
+                       unnest({[*ex.ORIGINS[1:], 1.0]}) AS nxt)),
+early AS (SELECT w.* FROM windows w, cuts WHERE k = 0 AND y_date[len(y_date)] < cut),
+xp AS MATERIALIZED (SELECT avg(v) AS m, coalesce(nullif(stddev_pop(v), 0), 1.0) AS s FROM (SELECT unnest(x_sales) AS v FROM early)),
+yp AS MATERIALIZED (SELECT idx, avg(v) AS ym, coalesce(nullif(stddev_pop(v), 0), 1.0) AS ysd
+                    FROM (SELECT unnest(range({S.H})) AS idx, unnest(y) AS v FROM early) GROUP BY idx),
+cells AS MATERIALIZED (
+  SELECT start_date, y_date[len(y_date)] AS last, f, idx, v, (v - ym) / ysd AS z, ym, ysd
+  FROM (SELECT start_date, y_date, {_MEAN} AS f, unnest(range({S.H})) AS idx, unnest(y) AS v FROM windows, xp) JOIN yp USING (idx)),
+fit AS MATERIALIZED (
+  SELECT k, idx, count(*) AS n_train, avg(f) AS fm, avg(z) AS zm, covar_pop(f, z) AS cov, var_pop(f) AS var
+  FROM cells JOIN cuts ON last < cut GROUP BY k, idx)
+SELECT k::INT AS fold, cut AS origin, penalty, any_value(n_train) AS n_train, count(*) // {S.H} AS n_test,
+       {R6('avg(pow(z - (zm + b * (f - fm)), 2))')} AS loss,
+       {R6('avg(abs((v - ((zm + b * (f - fm)) * ysd + ym)) / (v + 1e-8))) * 100')} AS mape,
+       avg(abs((v - ((zm + b * (f - fm)) * ysd + ym)) / (v + 1e-8))) * 100 < 15.0 AS meets_target
+FROM (SELECT *, cov / (var + penalty) AS b FROM fit, (SELECT unnest({list(ex.PENALTIES)}::DOUBLE[]) AS penalty)) JOIN cuts USING (k)
+JOIN cells USING (idx) WHERE start_date >= cut AND last < stop GROUP BY k, cut, penalty""")
+def _mean_learned_grid(spark, d):
+    return ex.learned_grid(_panel(spark, d), features="mean")
+
+
 @register("csv_roundtrip", S.with_ctes(f"""
 SELECT store_id, product_id, date, horizon, model, actual_sales, {R6('forecast')} AS forecast,
        NULL::VARCHAR AS _corrupt_record
@@ -1109,6 +1209,17 @@ def _csv_roundtrip(spark, d):
     return back.select(*[c for c in back.columns if c != "forecast"], r6("forecast").alias("forecast"))
 
 
+# ---------------------------------------------------------------- bucketed storage
+
+@register("bucketed_series_metrics", _ORACLES["series_metrics"])
+def _bucketed_metrics(spark, d):
+    """Series metrics over a panel stored by series: no shuffle by series."""
+    from shelfcast.session import shared_path
+    path = shared_path(spark, "bucketed/panel")
+    panel = fl.write_bucketed(_panel(spark, d), "panel_" + path.rsplit("-", 1)[1], path)
+    return _metrics_out(ins.series_metrics(fc.daily_forecasts(panel), daily=True))
+
+
 # ---------------------------------------------------------------- SQL API
 from shelfcast.functions.sql_functions import register_sql_functions  # noqa: E402
 
