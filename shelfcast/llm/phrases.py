@@ -2,7 +2,9 @@
 
 Words that are frequent enough get ids by descending frequency in their
 language, so that the pairs of two ids form a square whose corner is dense.  The
-square is cut into tiles of `TILE` x `TILE` ids.  A chunk of text counts its pairs
+ids are cut into bands with about equally many places in the corpus, few ids in
+the first band and most in the last, and the square into tiles of two bands: as
+many as give a tile some `TILE_PLACES` places.  A chunk of text counts its pairs
 tile by tile, a dense tile in an array addressed by the cell (`np.bincount`), a
 sparse one as sorted cells with counts; tiles of the chunks are added up the same
 way.  Pairs that are frequent enough get ids by descending frequency in turn, and
@@ -39,8 +41,9 @@ LEAST = 10
 LONGEST = 3
 TOP = 2_000
 INSIDE = (50, 100)  # a phrase goes if a longer one holds this share of it
-TILE = 2_048
-DENSE = TILE * TILE // 16  # entries from which a tile is counted as an array
+TILE_PLACES = 2_000_000
+ARRAY = 4_000_000  # most cells of a tile that is counted as an array,
+FILLED = 16        # where it has one entry at least for so many cells
 CHUNK = 1_000_000
 FAN = 16
 SPLIT = b".,;:!?\n\x0b\x0c\r"
@@ -95,46 +98,67 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def ranked(rows: DataFrame, count: str, ties: list[str], name: str) -> DataFrame:
-    """`rows` with `id`: places from 0 by descending `count` in each language.
-    Rows are range-partitioned once; places within a partition add to the
-    language's rows in those before it."""
+    """`rows` with `id`, places from 0 by descending `count` in each language,
+    and `before`, the sum of the counts ahead.  Rows are range-partitioned once;
+    places and sums within a partition add to the language's in those before it."""
     n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(count).desc(), *(F.col(c) for c in ties)]
     placed = materialize(rows.repartitionByRange(n_parts, F.col(count).desc(), "lang", *ties)
                          .withColumn("_pid", F.spark_partition_id()), name)
-    sizes = placed.groupBy("lang", "_pid").agg(F.count("*").alias("_rows"))
+    sizes = placed.groupBy("lang", "_pid").agg(F.count("*").alias("_rows"), F.sum(count).alias("_sum"))
     # One row a language and partition.
-    before = sizes.select("lang", "_pid", F.coalesce(F.sum("_rows").over(
-        Window.partitionBy("lang").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    own = F.row_number().over(Window.partitionBy("lang", "_pid").orderBy(*order)) - 1
-    return (placed.withColumn("_own", own).join(before, ["lang", "_pid"])
-            .withColumn("id", F.col("_own") + F.col("_off")).drop("_pid", "_own", "_off"))
+    earlier = Window.partitionBy("lang").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sizes.select("lang", "_pid", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_rows", "_sum")))
+    own = Window.partitionBy("lang", "_pid").orderBy(*order)
+    return (placed.withColumns({"_own": F.row_number().over(own) - 1, "_upto": F.sum(count).over(
+        own.rowsBetween(Window.unboundedPreceding, -1))}).join(ahead, ["lang", "_pid"])
+        .withColumns({"id": F.col("_own") + F.col("_rows"), "before": F.coalesce("_upto", F.lit(0)) + F.col("_sum")})
+        .drop("_pid", "_own", "_upto", "_rows", "_sum"))
 
 
-def tiles(first: np.ndarray, second: np.ndarray, places: np.ndarray | None) -> pd.DataFrame:
+def bands(level: DataFrame) -> DataFrame:
+    """(lang, edges) of ranked rows (lang, id, a, before): the first id of each
+    band, and the number of ids at the end.  A few numbers a language."""
+    sizes = level.groupBy("lang").agg(F.sum("a").alias("_places"), F.count("*").alias("_ids"))
+    sizes = sizes.withColumn("_bands", F.ceil(F.sqrt(F.col("_places") / TILE_PLACES)))
+    band = F.least(F.floor(F.col("before") / F.col("_places") * F.col("_bands")), F.col("_bands") - 1)
+    return (level.join(sizes, "lang").groupBy("lang", "_ids", band.alias("_band")).agg(F.min("id").alias("_first"))
+            .groupBy("lang", "_ids").agg(F.sort_array(F.collect_list("_first")).alias("_firsts"))
+            .select("lang", F.concat("_firsts", F.array(F.col("_ids"))).alias("edges")))
+
+
+# A tile's place: its bands, the first ids of both, and its columns and cells.
+PLACE = ["lang", "row", "col", "left0", "right0", "width", "cells"]
+PLACE_TYPE = "lang string, row int, col int, left0 long, right0 long, width long, cells long"
+
+
+def tiles(first: np.ndarray, second: np.ndarray, places: np.ndarray | None, edges: np.ndarray) -> pd.DataFrame:
     """The pairs (first, second) of a chunk by tile: `steps` between its
     ascending cells, their counts, and their places one after another."""
-    row, column = first // TILE, second // TILE
-    tile = row << 31 | column
-    cell = first % TILE * TILE + second % TILE
-    order = np.argsort(tile, kind="stable")
-    cuts = np.flatnonzero(np.diff(tile[order])) + 1
+    row, column = (np.searchsorted(edges, x, side="right") - 1 for x in (first, second))
+    width = np.diff(edges)
+    cell = (first - edges[row]) * width[column] + second - edges[column]
+    order = np.argsort(row * len(edges) + column, kind="stable")
+    cuts = np.flatnonzero((np.diff(row[order]) != 0) | (np.diff(column[order]) != 0)) + 1
     out = []
     for at in np.split(order, cuts) if len(order) else []:
-        cells = cell[at]
-        by = np.argsort(cells, kind="stable") if places is not None or len(at) < DENSE else None
-        if len(at) >= DENSE:
-            found, n = dense(cells)
-        else:
-            found, n = sparse(cells[by], np.ones(len(at), dtype=np.int64))
-        out.append((int(row[at[0]]), int(column[at[0]]), *packed(found, n),
+        r, c, cells = int(row[at[0]]), int(column[at[0]]), cell[at]
+        size = int(width[r] * width[c])
+        filled = is_dense(len(at), size)
+        by = np.argsort(cells, kind="stable") if places is not None or not filled else None
+        found, n = dense(cells, size) if filled else sparse(cells[by], np.ones(len(at), dtype=np.int64))
+        out.append((r, c, int(edges[r]), int(edges[c]), int(width[c]), size, *packed(found, n),
                     None if places is None else places[at[by]].astype(np.int32).tobytes()))
-    return pd.DataFrame(out, columns=["row", "col", "steps", "counts", "places"])
+    return pd.DataFrame(out, columns=[*PLACE[1:], "steps", "counts", "places"])
+
+
+def is_dense(entries: int, cells: int) -> bool:
+    return cells <= ARRAY and entries * FILLED >= cells
 
 
-def dense(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def dense(cells: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Cells and counts, by direct address."""
-    n = np.bincount(cells, minlength=TILE * TILE)
+    n = np.bincount(cells, minlength=size)
     found = np.flatnonzero(n)
     return found, n[found]
 
@@ -146,20 +170,20 @@ def sparse(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def packed(cells: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    return np.diff(cells, prepend=0).astype(np.int32).tobytes(), counts.astype(np.int64).tobytes()
+    return np.diff(cells, prepend=0).astype(np.int64).tobytes(), counts.astype(np.int64).tobytes()
 
 
 def unpacked(steps: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(steps, dtype=np.int32).cumsum(dtype=np.int64), np.frombuffer(counts, dtype=np.int64)
+    return np.frombuffer(steps, dtype=np.int64).cumsum(), np.frombuffer(counts, dtype=np.int64)
 
 
 class Tile:
-    """Adds up the counts of one tile: sorted cells while they are few, an
-    array of all cells from then on."""
+    """Adds up the counts of one tile of so many cells: sorted cells while they
+    are few, an array of all cells from then on."""
 
-    def __init__(self) -> None:
+    def __init__(self, cells: int) -> None:
+        self.cells, self.size = cells, 0
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
         self.array: np.ndarray | None = None
 
     def add(self, cells: np.ndarray, counts: np.ndarray) -> None:
@@ -168,8 +192,8 @@ class Tile:
             return
         self.parts.append((cells, counts))
         self.size += len(cells)
-        if self.size >= DENSE:
-            self.array = np.zeros(TILE * TILE, dtype=np.int64)
+        if is_dense(self.size, self.cells):
+            self.array = np.zeros(self.cells, dtype=np.int64)
             for part in self.parts:
                 self.array[part[0]] += part[1]
             self.parts = []
@@ -186,14 +210,16 @@ class Tile:
 def _added(names: list[str], result):
     """A function over rows (names, steps, counts) in the order of names: adds
     up each run of equal names, and yields what `result` makes of it."""
+    size = names.index("cells")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, tile = None, Tile()
+        now, tile = None, None
         for b in batches:
             for key, steps, counts in zip(zip(*(b[c] for c in names)), b["steps"], b["counts"]):
                 if key != now:
                     if now is not None:
                         yield result(now, *tile.counted())
-                    now, tile = key, Tile()
+                    now, tile = key, Tile(key[size])
                 tile.add(*unpacked(steps, counts))
         if now is not None:
             yield result(now, *tile.counted())
@@ -216,90 +242,88 @@ def _gathered(run, rows: int = 65_536):
 
 
 def frequent(counted: DataFrame, least: int, chunks: int) -> DataFrame:
-    """(lang, left, right, a) of the pairs with `least` places in all chunks."""
+    """(lang, row, col, cell, left, right, a) of the pairs with `least` places
+    in all chunks."""
     def part(key: tuple, cells: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *packed(cells, counts))], columns=["lang", "row", "col", "grp", "steps", "counts"])
+        return pd.DataFrame([(*key, *packed(cells, counts))], columns=[*PLACE, "grp", "steps", "counts"])
 
     def whole(key: tuple, cells: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
-        lang, row, col = key
+        lang, row, col, left0, right0, width, _ = key
         some = counts >= least
-        return pd.DataFrame({"lang": lang, "left": row * TILE + cells[some] // TILE,
-                             "right": col * TILE + cells[some] % TILE, "a": counts[some]})
+        cells = cells[some]
+        return pd.DataFrame({"lang": lang, "row": row, "col": col, "cell": cells, "left": left0 + cells // width,
+                             "right": right0 + cells % width, "a": counts[some]})
 
-    tile = ["lang", "row", "col"]
-    now = counted.select(*tile, F.col("chunk").alias("grp"), "steps", "counts")
+    now = counted.select(*PLACE, F.col("chunk").alias("grp"), "steps", "counts")
     groups = chunks
     while groups > FAN:
         groups = -(-groups // FAN)
         grouped = now.withColumn("grp", F.pmod(F.xxhash64("grp"), F.lit(groups)))
-        now = materialize(grouped.repartition(*tile, "grp").sortWithinPartitions(*tile, "grp").mapInPandas(
-            _added([*tile, "grp"], part), "lang string, row long, col long, grp long, steps binary, counts binary"),
-            "phrase-tiles")
-    return now.drop("grp").repartition(*tile).sortWithinPartitions(*tile).mapInPandas(
-        _added(tile, whole), "lang string, left long, right long, a long")
+        now = materialize(grouped.repartition("lang", "row", "col", "grp").sortWithinPartitions(*PLACE, "grp").mapInPandas(
+            _added([*PLACE, "grp"], part), f"{PLACE_TYPE}, grp long, steps binary, counts binary"), "phrase-tiles")
+    return now.drop("grp").repartition("lang", "row", "col").sortWithinPartitions(*PLACE).mapInPandas(
+        _added(PLACE, whole), "lang string, row int, col int, cell long, left long, right long, a long")
 
 
-def _sequence_tiles(sequence: pd.DataFrame, keep: bool) -> Iterator[pd.DataFrame]:
-    """Tiles of (chunk, lang, places, ids): pairs of ids at places side by side."""
-    for chunk, lang, places, ids in zip(*(sequence[c] for c in ("chunk", "lang", "places", "ids"))):
+def _sequence_tiles(sequence: dict[str, list], keep: bool) -> Iterator[pd.DataFrame]:
+    """Tiles of (chunk, lang, edges, places, ids): pairs of ids at places side by side."""
+    for chunk, lang, edges, places, ids in zip(*(sequence[c] for c in ("chunk", "lang", "edges", "places", "ids"))):
         by = np.argsort(places, kind="stable")
         places, ids = places[by], ids[by]
         at = np.flatnonzero(places[1:] == places[:-1] + 1)
-        yield tiles(ids[at], ids[at + 1], places[at] if keep else None).assign(chunk=chunk, lang=lang)
+        yield tiles(ids[at], ids[at + 1], places[at] if keep else None, np.asarray(edges)).assign(chunk=chunk, lang=lang)[TILE_COLUMNS]
 
 
-TILES = "chunk long, lang string, row long, col long, steps binary, counts binary, places binary"
-TILE_COLUMNS = ["chunk", "lang", "row", "col", "steps", "counts", "places"]
+TILES = f"chunk long, {PLACE_TYPE}, steps binary, counts binary, places binary"
+TILE_COLUMNS = ["chunk", *PLACE, "steps", "counts", "places"]
 
 
 def _word_tiles(keep: bool):
-    """Tiles of chunks (chunk, lang, ids, at, of), where `of` are the ids of the
-    words numbered `at`; other words are skipped."""
+    """Tiles of chunks (chunk, lang, edges, ids, at, of), where `of` are the ids
+    of the words numbered `at`; other words are skipped."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for chunk, lang, raw, at, of in zip(*(b[c] for c in ("chunk", "lang", "ids", "at", "of"))):
+            for chunk, lang, edges, raw, at, of in zip(*(b[c] for c in ("chunk", "lang", "edges", "ids", "at", "of"))):
                 numbers = np.frombuffer(raw, dtype=np.int32)
                 to = np.full(int(numbers.max(initial=0)) + 1, -1, dtype=np.int64)
                 to[at] = of
                 ids = to[numbers]
                 places = np.flatnonzero(ids >= 0)
-                one = pd.DataFrame({"chunk": [chunk], "lang": [lang], "places": [places], "ids": [ids[places]]})
-                for part in _sequence_tiles(one, keep):
-                    yield part[TILE_COLUMNS]
-    return _gathered(run)
+                yield from _sequence_tiles({"chunk": [chunk], "lang": [lang], "edges": [edges], "places": [places],
+                                            "ids": [ids[places]]}, keep)
+    return run
 
 
 def _phrase_tiles(keep: bool):
-    """Tiles of rows (chunk, lang, places, ids) in the order of chunks."""
+    """Tiles of rows (chunk, lang, edges, places, ids) in the order of chunks."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held = None, []
 
         def close() -> Iterator[pd.DataFrame]:
             if held:
-                one = pd.DataFrame({"chunk": [now[0]], "lang": [now[1]], "places": [np.concatenate([p for p, _ in held])],
-                                    "ids": [np.concatenate([i for _, i in held])]})
-                for part in _sequence_tiles(one, keep):
-                    yield part[TILE_COLUMNS]
+                chunk, lang, edges = now
+                yield from _sequence_tiles({"chunk": [chunk], "lang": [lang], "edges": [edges], "places": [np.concatenate(
+                    [p for p, _ in held])], "ids": [np.concatenate([i for _, i in held])]}, keep)
 
         for b in batches:
-            for chunk, lang, places, ids in zip(*(b[c] for c in ("chunk", "lang", "places", "ids"))):
-                if now != (chunk, lang):
+            for chunk, lang, edges, places, ids in zip(*(b[c] for c in ("chunk", "lang", "edges", "places", "ids"))):
+                if now is None or now[0] != chunk:
                     yield from close()
-                    now, held = (chunk, lang), []
+                    now, held = (chunk, lang, edges), []
                 held.append((np.frombuffer(places, dtype=np.int32), np.frombuffer(ids, dtype=np.int64)))
         yield from close()
-    return _gathered(run)
+    return run
 
 
 def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Places of the frequent cells (`cells`, ascending, with `ids`) in each tile."""
+    """Places of the frequent cells (`often`, ascending, with `ids`) in each tile."""
     for b in batches:
         out = []
-        for chunk, lang, steps, counts, places, cells, ids in zip(*(b[c] for c in (
-                "chunk", "lang", "steps", "counts", "places", "cells", "ids"))):
+        for chunk, lang, steps, counts, places, often, ids in zip(*(b[c] for c in (
+                "chunk", "lang", "steps", "counts", "places", "often", "ids"))):
             found, n = unpacked(steps, counts)
-            at = np.minimum(np.searchsorted(cells, found), len(cells) - 1)
-            hit = cells[at] == found
+            at = np.minimum(np.searchsorted(often, found), len(often) - 1)
+            hit = often[at] == found
             if hit.any():
                 each = np.repeat(np.where(hit, ids[at], -1), n)
                 out.append((chunk, lang, np.frombuffer(places, dtype=np.int32)[each >= 0].tobytes(),
@@ -327,14 +351,14 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     words = lists.groupBy("lang", "text").agg(F.sum("n").alias("a"))
     totals = lists.groupBy("lang").agg(F.sum("n").alias("n"))
     level = materialize(ranked(words.where(F.col("a") >= least), "a", ["text"], "phrase-words").select(
-        "lang", "id", "a", "text", F.col("text").alias("last"), F.array("a").alias("prefix"), F.array("a").alias("suffix")),
+        "lang", "id", "a", "before", "text", F.col("text").alias("last"), F.array("a").alias("prefix"), F.array("a").alias("suffix")),
         "phrase-level")
 
     # A chunk's list is no longer than the chunk.
     own = (lists.select("chunk", "lang", "at", "text").join(level.select("lang", "text", "id"), ["lang", "text"])
            .groupBy("chunk").agg(F.collect_list(F.struct("at", "id")).alias("_o"))
            .select("chunk", F.col("_o.at").alias("at"), F.col("_o.id").alias("of")))
-    counted = materialize(chunks.select("chunk", "lang", "ids").join(own, "chunk").mapInPandas(
+    counted = materialize(chunks.select("chunk", "lang", "ids").join(own, "chunk").join(bands(level), "lang").mapInPandas(
         _word_tiles(longest > 2), TILES), "phrase-pairs")
 
     found = None
@@ -344,7 +368,8 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
         part = lambda side: level.select(
             "lang", *(F.col(c).alias(f"{side}_{c}") for c in ("text", "last", "prefix", "suffix")), F.col("id").alias(side))
         longer = materialize(pairs.join(part("left"), ["lang", "left"]).join(part("right"), ["lang", "right"]).select(
-            "lang", "id", "a", "left", "right", F.concat_ws(" ", "left_text", "right_last").alias("text"),
+            "lang", "id", "a", "before", "row", "col", "cell", "left", "right",
+            F.concat_ws(" ", "left_text", "right_last").alias("text"),
             F.col("right_last").alias("last"), F.concat("left_prefix", F.array("a")).alias("prefix"),
             F.concat("right_suffix", F.array("a")).alias("suffix")), "phrase-level")
         if m > 2:
@@ -357,14 +382,12 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
         level = longer
         if m == longest:
             break
-        # Cells of a tile are at most TILE x TILE.
-        cells = (longer.select("lang", F.floor(F.col("left") / TILE).alias("row"), F.floor(F.col("right") / TILE).alias("col"),
-                               F.struct(((F.col("left") % TILE) * TILE + F.col("right") % TILE).alias("cell"), "id").alias("_c"))
-                 .groupBy(*tile).agg(F.sort_array(F.collect_list("_c")).alias("_c"))
-                 .select(*tile, F.col("_c.cell").alias("cells"), F.col("_c.id").alias("ids")))
-        places = counted.join(cells, tile).select("chunk", "lang", "steps", "counts", "places", "cells", "ids").mapInPandas(
+        # A tile has a bounded number of places, and fewer frequent cells.
+        cells = (longer.groupBy(*tile).agg(F.sort_array(F.collect_list(F.struct("cell", "id"))).alias("_c"))
+                 .select(*tile, F.col("_c.cell").alias("often"), F.col("_c.id").alias("ids")))
+        places = counted.join(cells, tile).select("chunk", "lang", "steps", "counts", "places", "often", "ids").mapInPandas(
             _kept, "chunk long, lang string, places binary, ids binary")
-        counted = materialize(places.repartition("chunk").sortWithinPartitions("chunk").mapInPandas(
+        counted = materialize(places.join(bands(longer), "lang").repartition("chunk").sortWithinPartitions("chunk").mapInPandas(
             _phrase_tiles(m + 1 < longest), TILES), "phrase-pairs")
     found = _scored(level, longest, found)
 
