@@ -70,20 +70,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, conf: dict[str, str] | None = None) -> DataFrame:
     """Write `df` once as a parquet table in the shared checkpoint folder and
     read it back.  Cuts lineage like `checkpoint()`, but computes the input a
     single time and stores it columnar and compressed; later jobs (and retries
     after a lost executor) start from the table.  The write's own shuffle files,
-    which nothing reads again, go when it ends."""
+    which nothing reads again, go when it ends.  `conf` holds for the write."""
     spark = df.sparkSession
     path = shared_path(spark, f"tables/{name}")
-    before = spark.conf.get(SHUFFLE_CLEANUP_CONF, "false")
-    spark.conf.set(SHUFFLE_CLEANUP_CONF, "true")
+    wanted = {SHUFFLE_CLEANUP_CONF: "true", **(conf or {})}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP_CONF, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
