@@ -46,6 +46,8 @@ ARRAY = 4_000_000  # most cells of a tile that is counted as an array,
 FILLED = 16        # where it has one entry at least for so many cells
 CHUNK = 1_000_000
 FAN = 16
+# Rows are arrays of up to a chunk: few of them in a batch between Spark and Python.
+BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "16"}
 SPLIT = b".,;:!?\n\x0b\x0c\r"
 UNKNOWN = "und"
 
@@ -104,7 +106,7 @@ def ranked(rows: DataFrame, count: str, ties: list[str], name: str) -> DataFrame
     n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(count).desc(), *(F.col(c) for c in ties)]
     placed = materialize(rows.repartitionByRange(n_parts, F.col(count).desc(), "lang", *ties)
-                         .withColumn("_pid", F.spark_partition_id()), name)
+                         .withColumn("_pid", F.spark_partition_id()), name, BATCH_CONF)
     sizes = placed.groupBy("lang", "_pid").agg(F.count("*").alias("_rows"), F.sum(count).alias("_sum"))
     # One row a language and partition.
     earlier = Window.partitionBy("lang").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -260,7 +262,7 @@ def frequent(counted: DataFrame, least: int, chunks: int) -> DataFrame:
         groups = -(-groups // FAN)
         grouped = now.withColumn("grp", F.pmod(F.xxhash64("grp"), F.lit(groups)))
         now = materialize(grouped.repartition("lang", "row", "col", "grp").sortWithinPartitions(*PLACE, "grp").mapInPandas(
-            _added([*PLACE, "grp"], part), f"{PLACE_TYPE}, grp long, steps binary, counts binary"), "phrase-tiles")
+            _added([*PLACE, "grp"], part), f"{PLACE_TYPE}, grp long, steps binary, counts binary"), "phrase-tiles", BATCH_CONF)
     return now.drop("grp").repartition("lang", "row", "col").sortWithinPartitions(*PLACE).mapInPandas(
         _added(PLACE, whole), "lang string, row int, col int, cell long, left long, right long, a long")
 
@@ -359,7 +361,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
            .groupBy("chunk").agg(F.collect_list(F.struct("at", "id")).alias("_o"))
            .select("chunk", F.col("_o.at").alias("at"), F.col("_o.id").alias("of")))
     counted = materialize(chunks.select("chunk", "lang", "ids").join(own, "chunk").join(bands(level), "lang").mapInPandas(
-        _word_tiles(longest > 2), TILES), "phrase-pairs")
+        _word_tiles(longest > 2), TILES), "phrase-pairs", BATCH_CONF)
 
     found = None
     tile = ["lang", "row", "col"]
@@ -388,7 +390,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
         places = counted.join(cells, tile).select("chunk", "lang", "steps", "counts", "places", "often", "ids").mapInPandas(
             _kept, "chunk long, lang string, places binary, ids binary")
         counted = materialize(places.join(bands(longer), "lang").repartition("chunk").sortWithinPartitions("chunk").mapInPandas(
-            _phrase_tiles(m + 1 < longest), TILES), "phrase-pairs")
+            _phrase_tiles(m + 1 < longest), TILES), "phrase-pairs", BATCH_CONF)
     found = _scored(level, longest, found)
 
     best = Window.partitionBy("lang").orderBy(F.col("_s.score").desc(), F.col("a").desc(), "phrase")
