@@ -9,9 +9,10 @@ rule's priority.  An interval within another of the same or a higher priority
 is suppressed: of "licensed under the gnu lesser general public license" the
 lesser license stays, and its "general public license" goes.
 
-The rules: the three base phrases, for each license of `LICENSES` the phrases
-of `TEMPLATES`, and the names of `FULL_NAMES` that hold the keyword themselves,
-some 400 in all, tried in that order.  The test for any sign (`hint`) is made
+The rules: the three base phrases, sentences of licenses' own texts, names that
+say enough alone, for each license of `LICENSES` the phrases of `TEMPLATES`, and
+the names of `FULL_NAMES` that hold the keyword themselves, some 480 in all, tried
+in that order.  The test for any sign (`hint`) is made
 from the rules: it admits every text that a rule can match.
 
 Only DataFrame functions run, and a row is scanned within itself: no shuffle.
@@ -140,6 +141,35 @@ TEMPLATES = (
     ("license", "(?:{})", "", 1, 0.8),
     ("licence", "(?:{})", "", 1, 0.8),
 )
+# Names that are words of the language, too: after "under", only with a license.
+COMMON_WORDS = {"artistic", "boost", "python"}
+# A second license of the same sentence.  Of a lower priority, so that the
+# interval does not suppress the first one's.
+SECOND = ("licensed", "", "under (?:the )?(?:[0-9a-z]+ ){1,6}?(?:and|or) (?:the )?(?:{})", 1, 0.85)
+
+# Sentences of the licenses' own texts, split at a rare word.
+BODY_RULES = (
+    ("mit", "permission is hereby granted free of", "charge", "to any person obtaining a copy of this software", 2, 0.95),
+    ("boost", "permission is hereby granted free of", "charge", "to any person or organization obtaining a copy", 2, 0.95),
+    ("isc", "permission to use copy modify and(?: or)?", "distribute", "this software for any purpose with or without fee", 2, 0.95),
+    ("bsd", "redistribution and use in source and", "binary", "forms with or without modification are permitted", 2, 0.9),
+    ("bsd-3-clause", "neither the name of(?: the)?(?: [0-9a-z]+){1,6} nor the names of its", "contributors", "may be used", 2, 0.9),
+    ("zlib", "this software is provided as is without any", "express", "or implied warranty", 2, 0.8),
+    ("as-is", "software is provided as is without", "warranty", "of any kind", 1, 0.6),
+    ("as-is", "software is provided by the (?:[0-9a-z]+ ){1,6}as is and any express or implied", "warranties", "", 1, 0.6),
+    ("unlicense", "this is free and", "unencumbered", "software released into the public domain", 2, 0.95),
+    ("apache-2", "you may not use this file except in", "compliance", "with the license", 1, 0.7),
+)
+# Names that say enough alone: ids with their version, and joined ones.
+BARE_RULES = (
+    *((f"{name}-{label}", "", name, f"v? ?{number}(?: only| or later)?", 1, 0.8) for name, label, number in (
+        ("gpl", "1", "1(?: 0)"), ("gpl", "2", "2(?: 0)?"), ("gpl", "3", "3(?: 0)?"), ("lgpl", "2.1", "2(?: [01])?"),
+        ("lgpl", "3", "3(?: 0)?"), ("agpl", "3", "3(?: 0)?"), ("mpl", "1.1", "1 1"), ("mpl", "2", "2(?: 0)?"))),
+    *((f"{name}-{label}", "", f"{name}v{label[0]}", "(?:[01])?(?: 0)?", 1, 0.8) for name, label in (
+        ("gpl", "2"), ("gpl", "3"), ("lgpl", "2.1"), ("lgpl", "3"), ("agpl", "3"))),
+    *((f"cc-by{kind.replace(' ', '-')}", "", "cc", f"by{kind} [1-4] [05]", 2, 0.9) for kind in ("", " nc", " nd", " sa", " nc sa", " nc nd")),
+    ("cc0", "", "cc0", "(?:1 0)?(?: universal)?", 1, 0.9),
+)
 # Rules for texts that reserve all rights or give them up.
 OTHER_RULES = (
     ("all-rights-reserved", "all", "rights", "reserved", 1, 0.7),
@@ -151,11 +181,14 @@ OTHER_RULES = (
 def _phrases() -> list[tuple[str, str, str, str, int, float, bool]]:
     """The ordered rules as written: label, keyword, before, after, priority, score, base."""
     made = [(label, word, before, after, 3, 1.0, True) for label, before, word, after in BASE_RULES]
-    made += [(label, word, before, after, p, sure, False) for label, before, word, after, p, sure in OTHER_RULES]
-    for word, before, after, priority, sure in TEMPLATES:
+    made += [(label, word, before, after, p, sure, False) for label, before, word, after, p, sure in (
+        *OTHER_RULES, *BODY_RULES, *BARE_RULES)]
+    for word, before, after, priority, sure in (*TEMPLATES, SECOND):
         for label, name in LICENSES:
             id_words = SPDX_IDS.get(label, label.replace("-", " ").replace(".", " "))
             fill = f"(?:(?:{id_words})(?: 0| only| or later| 0 only| 0 or later)?)" if word == "spdx" else name
+            if after.startswith("under") and COMMON_WORDS & set(name.split("|")):
+                fill = f"(?:{name})(?: software)? licen[cs]e"
             made.append((label, word, before.replace("{}", fill), after.replace("{}", fill), priority, sure, False))
     for word in ("license", "licence"):
         for label, name, major, minor in FULL_NAMES:
