@@ -16,8 +16,8 @@ permutation of the block numbers (swap-or-not, a bijection on any range), keyed
 by source and pass, and blocks join documents by (source, block).
 
 Only DataFrame functions run.  A hot source is split into buckets and blocks
-before every shuffle.  The table with one row per source is the only one sorted
-as a whole.
+before every shuffle, and sums over sources are made by ranges of them, so that no
+task reads all sources either.
 
 Defined results.  Null or blank text: size 0, takes part with 0 words taken.
 Null source: a source of its own, last in order.  Null doc_id: takes part.
@@ -65,16 +65,14 @@ def targets(rows: DataFrame) -> DataFrame:
     """
     n = len(WEIGHTS)
     own = rows.groupBy("_s").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
-    everyone = Window.orderBy("_s")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]),
-                          F.pmod(F.row_number().over(everyone) - 1, F.lit(n)) + 1)
-    ranked = own.withColumn("_w", weight).withColumn("_cap", LIMIT * F.col("source_size").cast("double"))
-    by_cap = Window.orderBy(F.col("_cap") / F.col("_w"), "_s")
-    before, whole = by_cap.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
-    levels = ranked.withColumn("_level", (
-        SHARE * F.sum("source_size").over(whole) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
-        / (F.sum("_w").over(whole) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))))
-    goals = levels.withColumn("target", F.least("_cap", F.max("_level").over(whole) * F.col("_w")))
+    own = running(own.withColumn("_one", F.lit(1).cast("long")), [F.col("_s")], {"_one": "_place"}, "mix-sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.pmod(F.col("_place"), F.lit(n)) + 1).cast("int"))
+    ranked = own.withColumns({"_w": weight, "_cap": LIMIT * F.col("source_size").cast("double")}).drop("_one", "_place")
+    levels = running(ranked, [F.col("_cap") / F.col("_w"), F.col("_s")], {"_cap": "_caps", "_w": "_ws"}, "mix-levels")
+    total = levels.agg(F.sum("source_size").alias("size"), F.sum("_w").alias("w")).first()
+    level = (F.lit(SHARE * (total["size"] or 0)) - F.col("_caps")) / (F.lit(float(total["w"] or 0)) - F.col("_ws"))
+    top = levels.agg(F.max(level)).first()[0]
+    goals = levels.drop("_caps", "_ws").withColumn("target", F.least("_cap", F.lit(float(top or 0.0)) * F.col("_w")))
     size, words = F.col("source_size"), F.round("target").cast("long")
     blocks = F.ceil(size / BLOCK)
     counted = goals.withColumns({
@@ -82,9 +80,23 @@ def targets(rows: DataFrame) -> DataFrame:
         "_passes": F.when(size > 0, F.floor(words / size)).otherwise(0),
         "_rest": F.when(size > 0, words % size).otherwise(0)})
     quota = F.col("_passes") * F.col("_blocks") + F.least(F.ceil(F.col("_rest") / BLOCK), F.col("_blocks"))
-    return materialize(counted.withColumn("_quota", quota).withColumns({
-        "_first": F.coalesce(F.sum("_quota").over(everyone.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "_slots": F.sum("_quota").over(whole)}).drop("_cap", "_level", "_w"), "mix-targets")
+    shared = running(counted.withColumn("_quota", quota), [F.col("_s")], {"_quota": "_first"}, "mix-quotas")
+    slots = shared.agg(F.sum("_quota")).first()[0]
+    return materialize(shared.withColumn("_slots", F.lit(slots or 0).cast("long")).drop("_cap", "_w"), "mix-targets")
+
+
+def running(rows: DataFrame, order: list[Column], sums: dict[str, str], name: str) -> DataFrame:
+    """`rows` with the sums of columns over all rows before in `order` (which is
+    unique): rows are range-partitioned once, into a table, and sums within a
+    partition add to the totals of those before it, which are one row each."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(rows.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()), name)
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("_pid").agg(*[F.sum(c).alias(f"_of_{c}") for c in sums]).select(
+        "_pid", *[F.coalesce(F.sum(f"_of_{c}").over(earlier), F.lit(0)).alias(f"_of_{c}") for c in sums])
+    within = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = dealt.withColumns({f"_in_{c}": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sums}).join(parts, "_pid")
+    return local.select(*rows.columns, *[(F.col(f"_in_{c}") + F.col(f"_of_{c}")).alias(to) for c, to in sums.items()])
 
 
 def place(rows: DataFrame, goals: DataFrame) -> DataFrame:
@@ -137,15 +149,12 @@ def draws(goals: DataFrame) -> DataFrame:
         "_shard", "_slot", "_s", (F.col("_base") + F.col("_rn")).alias("_i"))
     # Totals: what a source drew over its quota, and what others lack.
     got = counts.groupBy("_s").agg(F.sum("_c").alias("_got"))
-    ahead_of = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     count = F.coalesce("_got", F.lit(0))
     balance = goals.select("_s", "_quota").join(got, "_s", "left").select(
         "_s", "_quota", count.alias("_got"),
         F.greatest(count - F.col("_quota"), F.lit(0)).alias("_over"),
-        F.greatest(F.col("_quota") - count, F.lit(0)).alias("_lack")).withColumns({
-            "_over_from": F.coalesce(F.sum("_over").over(ahead_of), F.lit(0)),
-            "_lack_from": F.coalesce(F.sum("_lack").over(ahead_of), F.lit(0))})
-    balance = materialize(balance, "mix-balance")
+        F.greatest(F.col("_quota") - count, F.lit(0)).alias("_lack"))
+    balance = materialize(running(balance, [F.col("_s")], {"_over": "_over_from", "_lack": "_lack_from"}, "mix-owed"), "mix-balance")
     judged = numbered.join(balance.select("_s", "_quota", "_over_from"), "_s")
     stay = judged.where("_i < _quota").select("_shard", "_slot", "_s", "_i")
     moved = judged.where("_i >= _quota").select(
@@ -204,7 +213,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     pieces = parts.groupBy("_key").agg(
         F.max("size").alias("_size"),
         F.sort_array(F.collect_list(F.struct("_pass", "_start", "_at", "_len"))).alias("_pieces"))
-    keyed = docs.withColumn("_key", text_key("doc_id", "text"))
+    # The row is one column beside the key, so that no name of it meets others.
+    keyed = docs.select(F.struct("*").alias("doc"), "text", text_key("doc_id", "text").alias("_key"))
     joined = keyed.join(pieces, "_key").dropDuplicates(["_key"])
 
     def passes(found: Column) -> Column:
@@ -221,4 +231,4 @@ def mix_documents(docs: DataFrame) -> DataFrame:
         .otherwise(passes(own))))
     mixed = joined.withColumn("_text", F.array_join(texts, "\n"))
     out = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return mixed.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
+    return mixed.select(*[out.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
