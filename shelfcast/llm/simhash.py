@@ -122,11 +122,12 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int
     """The document of the smallest doc_id of each class, with all columns.
     Rows that share that id come down to one, of the smallest key."""
     from shelfcast.session import materialize
-    keyed = docs.withColumn("_key", text_key("doc_id", "text"))
-    rows = materialize(fingerprints(keyed, "doc_id", "_key", shingle=shingle), "simhash")
+    # The row is one column beside the key, so that no name of it meets others.
+    keyed = docs.select(F.struct("*").alias("doc"), "doc_id", "text", text_key("doc_id", "text").alias("_key"))
+    rows = materialize(fingerprints(keyed.select("doc_id", "text", "_key"), "doc_id", "_key", shingle=shingle), "simhash")
     first = (rows.join(_classes(rows, distance), "_fp")
              .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
              .groupBy(F.col("_root")).agg(F.min("_key").alias("_key")))
     # The join and the removal of repeated rows share one shuffle, by the key.
-    return (keyed.join(first.select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return (keyed.select("doc", "_key").join(first.select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
+            .select(*[F.col("doc")[c].alias(c) for c in docs.columns]))
