@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import text_bytes
+from shelfcast.llm.common import text_bytes, text_key
 
 # Fixed value: the characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -176,7 +176,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees |
     some = (labels.select("doc_id", F.col("quality").alias("_y"))
             .where("doc_id IS NOT NULL AND _y IS NOT NULL")
             .orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(max_rows))
-    rows = document_stats(docs.join(F.broadcast(some), "doc_id"), "_y").drop("doc_id").toPandas()
+    # Rows that repeat count once, and the bound holds for what was joined, too.
+    joined = (docs.select("doc_id", "text", text_key("doc_id", "text").alias("_key")).join(F.broadcast(some), "doc_id")
+              .groupBy("doc_id", "_key", "_y").agg(F.first("text").alias("text"))
+              .orderBy(F.xxhash64("doc_id"), "doc_id", "_key", "_y").limit(max_rows))
+    rows = document_stats(joined, "_y").drop("doc_id").toPandas()
     y = (rows["_y"].to_numpy() > 0).astype(float)
     if len(set(y)) < 2:
         return None
