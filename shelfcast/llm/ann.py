@@ -13,10 +13,12 @@ distance itself, not beyond it.  Nothing limits the number of candidates.
 Inner products become distances by one more coordinate, which gives all vectors
 of a block the same norm (that of the longest).
 
-Vectors are dealt into blocks of about `BLOCK` by hash, queries into blocks of
-about `QUERIES`; a task holds one block of either, builds the sorted arrays
-and searches.  The k best of each block are merged by query.  All rows are
-indexed.  Projections depend on the dimension and a seed only.
+Vectors are dealt into blocks by hash, each once; a task builds the sorted
+arrays of a block once and streams all queries past it.  The k best of each block
+are merged by query.  All rows are indexed.  Projections depend on the dimension
+and a seed only.  Vectors are scaled by powers of two before their norms are
+taken, so that no finite component overflows; a score that does is infinite, and
+null where infinities of both signs meet.
 
 Defined results.  A vector that is null or zero, or that holds a null, NaN or
 infinite component, takes no part; nor does a null vec_id.  Vectors of another
@@ -41,8 +43,8 @@ HALF_WINDOW = 0.96  # of a radius
 WIDEN = 1.3
 FIRST_RADIUS = 0.6  # of the typical distance
 MISS = 1.6  # standard deviations below the mean of a vector at the radius
-BLOCK = 65_536
-QUERIES = 512
+BLOCK = (8_192, 65_536)  # least and most vectors a block
+BLOCKS = 64  # blocks that a table is cut into while they are of neither size
 SEED = 77
 
 P1 = 0.6629  # probability that a standard normal variable is within HALF_WINDOW
@@ -55,8 +57,10 @@ def threshold(lines: int) -> int:
 class Index:
     """Sorted projections of one block of vectors."""
 
-    def __init__(self, vectors: np.ndarray, lines: int = PROJECTIONS) -> None:
-        self.vectors, (self.n, dim) = vectors, vectors.shape
+    def __init__(self, originals: np.ndarray, lines: int = PROJECTIONS) -> None:
+        self.originals, (self.n, dim) = originals, originals.shape
+        # Components near one, by a power of two, so that squares stay finite.
+        self.vectors = vectors = _scaled(originals)
         squares = (vectors ** 2).sum(axis=1)
         self.norm = float(np.sqrt(squares.max()))
         extra = np.sqrt(np.maximum(self.norm ** 2 - squares, 0))
@@ -69,9 +73,10 @@ class Index:
         self.typical = float(np.sqrt(2 * projected.var(axis=1).mean()))
         self.need = threshold(lines)
 
-    def search(self, query: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, original: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and inner products of the candidates that may be among
         the k best; the positions `own` are left out."""
+        query = _scaled(original)
         length = float(np.sqrt((query ** 2).sum()))
         at = self.directions[:, :-1] @ (query * (self.norm / length))
         low = np.array([s.searchsorted(x) for s, x in zip(self.sorted, at)])
@@ -108,7 +113,11 @@ class Index:
         if len(every) > k:
             keep = every >= np.partition(every, len(every) - k)[len(every) - k] - 1e-9 * self.norm * length
             ids = ids[keep]
-        return ids, inner(self.vectors[ids], query)
+        return ids, inner(self.originals[ids], original)
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
 
 
 def inner(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -125,37 +134,50 @@ def _valid(vector: str) -> Column:
     return F.coalesce(F.forall(vector, finite) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 20, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows `is_query` against all."""
     usable = materialize(
         rows.select("vec_id", F.col("embedding").cast("array<double>").alias("_v"), is_query.alias("_q"))
         .where(F.col("vec_id").isNotNull() & _valid("_v"))
         .withColumns({"_row": F.monotonically_increasing_id(), "_dim": F.size("_v")}), "ann")
-    sizes = usable.agg(F.count("*").alias("n"), F.count_if("_q").alias("q")).first()
-    blocks, parts = max(1, -(-sizes["n"] // block)), max(1, -(-sizes["q"] // queries))
-    part = lambda n: F.pmod(F.xxhash64("_row"), F.lit(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    grid = ["_dim", "_block", "_part"]
-    vectors = usable.select("_dim", part(blocks).cast("int").alias("_block"), each(parts).alias("_part"), "_row", "vec_id", "_v")
-    asked = usable.where("_q").select("_dim", each(blocks).alias("_block"), part(parts).cast("int").alias("_part"), "_row", "vec_id", "_v")
-
-    def run(data: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
-        names = ["_row", "query_id", "vec_id", "score"]
-        if data.empty or query.empty:
-            return pd.DataFrame({c: pd.Series(dtype="float64" if c == "score" else "int64") for c in names})
-        data = data.sort_values("_row")
-        index = Index(np.stack(data["_v"].to_numpy()))
-        ids, own_rows = data["vec_id"].to_numpy(), data["_row"].to_numpy()
-
-        def answers() -> Iterator[tuple]:
-            for row, query_id, v in zip(query["_row"], query["vec_id"], query["_v"]):
-                at, scores = index.search(np.asarray(v), np.flatnonzero(own_rows == row), k)
-                best = np.lexsort((ids[at], -scores))[:k]
-                yield from ((row, query_id, ids[at[i]], scores[i]) for i in best)
-        return pd.DataFrame(list(answers()), columns=names)
-
-    found = vectors.groupBy(*grid).cogroup(asked.groupBy(*grid)).applyInPandas(
-        run, "_row long, query_id long, vec_id long, score double")
+    total = usable.count()
+    blocks = max(1, -(-total // max(BLOCK[0], min(BLOCK[1], total // BLOCKS))))
+    columns = ["_dim", "_block", "_ask", "_row", "vec_id", "_v"]
+    data = usable.withColumns({"_block": F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int"), "_ask": F.lit(0)})
+    asked = usable.where("_q").withColumns({"_block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "_ask": F.lit(1)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks come one after another, each with its vectors first: a block
+        is indexed once, and all queries are streamed past it."""
+        now, held, index = None, [], None
+        for b in batches:
+            keys = b[["_dim", "_block", "_ask"]].to_numpy()
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for i, j in zip(np.append(0, cuts), np.append(cuts, len(b))):
+                if i == j:
+                    continue
+                block = tuple(keys[i][:2].tolist())
+                if now != block:
+                    now, held, index = block, [], None
+                if not keys[i][2]:
+                    held.append(b.iloc[i:j])
+                    continue
+                if index is None:
+                    if not held:
+                        continue
+                    own = pd.concat(held).sort_values("_row")
+                    ids, own_rows, held = own["vec_id"].to_numpy(), own["_row"].to_numpy(), [None]
+                    index = Index(np.stack(own["_v"].to_numpy()))
+                out = []
+                for row, query_id, v in zip(*(b[c].iloc[i:j] for c in ("_row", "vec_id", "_v"))):
+                    at, scores = index.search(np.asarray(v), np.flatnonzero(own_rows == row), k)
+                    best = np.lexsort((ids[at], -scores))[:k]
+                    out += [(row, query_id, ids[at[x]], scores[x]) for x in best]
+                yield pd.DataFrame(out, columns=["_row", "query_id", "vec_id", "score"])
+
+    found = (data.select(columns).unionByName(asked.select(columns)).repartition("_dim", "_block")
+             .sortWithinPartitions("_dim", "_block", "_ask")
+             .mapInPandas(run, "_row long, query_id long, vec_id long, score double"))
     best = Window.partitionBy("_row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
