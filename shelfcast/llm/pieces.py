@@ -345,7 +345,8 @@ def _note(lat: Lattice, searches: list[_Search], found: list[tuple], k: int) ->
             rest = mass + np.log1p(-share)
             u = _uniform(base[live, None], col)
             bounds = np.where(rest > -np.inf, rest - np.log(np.exp(rest - bound[live, None]) - np.log(u)), -np.inf)
-        top = np.argpartition(-bounds, k, axis=1)[:, :k + 1]
+        most = min(k, STEPS - 1)  # of one step, all that there are
+        top = np.argpartition(-bounds, most, axis=1)[:, :most + 1]
         best = (np.take_along_axis(x, top, 1).tolist() for x in (bounds, col, arcs, mass))
         more, left = [], sums[:, -1].tolist()
         for row, end, entries in zip(live.tolist(), left, zip(*best)):

@@ -88,8 +88,7 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfcast.llm import pieces
     return pieces.encode(read_table(spark, sf_dir, "documents")).select(
-        "doc_id", "rank", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
-        "log_prob", "perturbed", "inclusion", "exact")
+        "doc_id", "rank", F.size("ids").alias("n_pieces"), "ids", "log_prob", "perturbed", "inclusion", "exact")
 
 
 @register("op12_top_products", """
