@@ -10,9 +10,13 @@ cross-parsing estimate of the entropy; the language with the least one wins.
 Every character of the samples has a number of its own, whatever the scripts
 and however many there are.  The automata are one sparse table (state,
 character), so its size follows the samples' length and not their alphabet,
-and a batch of texts is parsed in step: texts are cut into segments of `SEGMENT` characters, which
-all advance by one character at a time, each in every language's automaton.
-A phrase ends with its segment; whole texts are parsed.
+and a batch of texts is parsed in step: texts are cut into segments of `segment`
+characters, which all advance by one character at a time, each in every
+language's automaton.  A phrase ends with its segment; whole texts are parsed.
+
+The sample of a language is its distinct texts, in the order of a hash, until
+they fill the language's share of characters: copies count once, and a language
+of short texts is learned from as many of them as it takes.
 
 Defined results.  Null text, or no letter in it: `und` with score 0.  Without
 learned languages every text is `und`.  Null doc_id: not learned from, not held
@@ -23,6 +27,8 @@ point.  Other columns of the input are ignored.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,15 +39,25 @@ from pyspark.sql import functions as F
 
 SAMPLE_CHARS = 40_000
 TOTAL_CHARS = 320_000
-SAMPLE_DOCS = 64
 SEGMENT = 512
 # Segments parsed together: bounds the memory of a step.
 TOGETHER = 8192
 
-LETTER = re.compile(r"[^\W\d_]")
+
+def _class(*categories: str) -> str:
+    """The code points of some general categories (their first letters), as
+    the ranges of a character class."""
+    points = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in categories]
+    cuts = [i for i in range(1, len(points)) if points[i] != points[i - 1] + 1]
+    return "".join(f"\\U{points[a]:08x}-\\U{points[z - 1]:08x}" for a, z in zip([0, *cuts], [*cuts, len(points)]))
+
+
+# A letter is of category L; numbers that look like one (superscripts, Roman or
+# circled ones) are not.
+LETTER = re.compile(f"[{_class('L')}]")
 # All but letters and marks is one space to the automata, so that digits and symbols
-# say nothing about the language.
-OTHER = re.compile(r"[\W\d_]+")
+# say nothing about the language, and vowel signs stay with their letters.
+OTHER = re.compile(f"[^{_class('L', 'M')}]+")
 
 
 def plain(text: str) -> str:
@@ -149,7 +165,8 @@ def automaton(text: np.ndarray, classes: int) -> Moves:
 class Parser:
     """The languages' automata in one table, and the parse of batches."""
 
-    def __init__(self, samples: tuple[tuple[str, str], ...]) -> None:
+    def __init__(self, samples: tuple[tuple[str, str], ...], segment: int = SEGMENT) -> None:
+        self.segment = segment
         self.langs = [k for k, _ in samples]
         texts = [plain(t) for _, t in samples]
         # All characters of the samples, which are bounded.
@@ -173,8 +190,8 @@ class Parser:
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each text in each language's automaton."""
         codes = [self._codes(plain(t)) for t in texts]
-        owner = np.repeat(np.arange(len(codes)), [-(-len(c) // SEGMENT) for c in codes])
-        segments = [c[k:k + SEGMENT] for c in codes for k in range(0, len(c), SEGMENT)]
+        owner = np.repeat(np.arange(len(codes)), [-(-len(c) // self.segment) for c in codes])
+        segments = [c[k:k + self.segment] for c in codes for k in range(0, len(c), self.segment)]
         found = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
         order = np.argsort([-len(s) for s in segments], kind="stable")
         for k in range(0, len(order), TOGETHER):
@@ -219,35 +236,38 @@ class Parser:
 
 
 @lru_cache(maxsize=2)
-def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
-    return Parser(samples)
+def _parser(samples: tuple[tuple[str, str], ...], segment: int) -> Parser:
+    return Parser(samples, segment)
 
 
 def samples(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS) -> tuple[tuple[str, str], ...]:
     """A bounded sample of labelled text per language, in the order of the
-    languages' code points: of documents that are not held out, those whose
-    hashed id comes first, up to the language's share of characters."""
+    languages' code points: of documents that are not held out, the distinct texts
+    whose hash comes first, up to the language's share of characters."""
     from shelfcast.session import materialize
     known = docs.select("doc_id", "text", "lang").where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
     langs = known.select("lang").distinct().count()
     size = min(sample_chars, total_chars // max(1, langs))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "_n", "_h")
-    # Ranked by id, length and hash: texts are not sorted, only fetched after.
-    ids = known.select("lang", "doc_id", F.length("text").alias("_n"), F.xxhash64("text").alias("_h"))
-    first = ids.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLE_DOCS)
+    hashes = known.select("lang", F.length("text").alias("_n"), F.xxhash64("text").alias("_h"), F.xxhash64("text", F.lit(1)).alias("_h2"))
+    distinct = hashes.groupBy("lang", "_h", "_h2").agg(F.min("_n").alias("_n"))
+    order = Window.partitionBy("lang").orderBy("_h", "_h2")
+    # A text has a character at least, so that as many texts as characters do;
+    # they are ranked by hash alone, and fetched after.
+    first = distinct.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= size)
     ahead = Window.partitionBy("lang").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     first = first.withColumn("_left", F.lit(size) - F.coalesce(F.sum("_n").over(ahead), F.lit(0))).where("_left > 0")
-    picked = materialize(known.withColumn("_h", F.xxhash64("text")).join(
-        F.broadcast(first.select("lang", "doc_id", "_h", "_r", "_left")), ["lang", "doc_id", "_h"])
-        .select("lang", "_r", F.substring("text", F.lit(1), F.col("_left").cast("int")).alias("text")), "langid")
+    picked = (known.withColumns({"_h": F.xxhash64("text"), "_h2": F.xxhash64("text", F.lit(1))})
+              .join(F.broadcast(first.select("lang", "_h", "_h2", "_r", "_left")), ["lang", "_h", "_h2"])
+              .groupBy("lang", "_r").agg(F.first(F.substring("text", F.lit(1), F.col("_left").cast("int"))).alias("text")))
     texts: dict[str, list[str]] = {}
-    for row in picked.dropDuplicates(["lang", "_r"]).orderBy("lang", "_r").collect():
+    for row in materialize(picked, "langid").orderBy("lang", "_r").collect():  # size characters a language
         texts.setdefault(row["lang"], []).append(row["text"])
     return tuple((k, "\n".join(texts[k])[:size]) for k in sorted(texts))
 
 
-def identify(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS) -> DataFrame:
+def identify(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS,
+             segment: int = SEGMENT) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row."""
     learned = samples(docs, sample_chars, total_chars)
     shared = docs.sparkSession.sparkContext.broadcast(learned)  # bounded by total_chars
@@ -256,7 +276,7 @@ def identify(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, total_chars: int
         for b in batches:
             texts = list(b["text"])
             if shared.value:
-                lang, score = _parser(shared.value).predict(texts)
+                lang, score = _parser(shared.value, segment).predict(texts)
             else:
                 lang, score = ["und"] * len(texts), np.zeros(len(texts))
             yield b[["doc_id", "held_out"]].assign(lang_pred=lang, score=score)
