@@ -2,8 +2,8 @@
 nearby words adjust their score.
 
 A kind has a pattern, a check (part range, digit count, Luhn, mod-97) and a
-first score.  A context word of the kind in the `CONTEXT` characters before a
-span adds `BOOST`; spans scoring `KEEP_FROM` or more are kept.  The base kinds
+first score.  A context word of the kind in the `CONTEXT` characters before or
+after a span adds `BOOST`; spans scoring `KEEP_FROM` or more are kept.  The base kinds
 (email, ip, card, phone) begin above that, so context never removes one; an
 ssn-like number needs its context.
 
@@ -59,6 +59,18 @@ def _always(value: Column) -> Column:
     return F.lit(True)
 
 
+# The countries of each IBAN length.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+# A country's own length, so that no following word is taken for a part.
+IBAN = (r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(
+    f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, countries in IBAN_LENGTHS.items())
+    + r")(?![A-Za-z0-9])")
+
 # Kind, cheap test that a text may hold one, pattern, check, first score,
 # words of its context.  The first four are the base kinds, in their order.
 KINDS: tuple[tuple[str, str, str, Callable[[Column], Column], float, str], ...] = (
@@ -74,8 +86,7 @@ KINDS: tuple[tuple[str, str, str, Callable[[Column], Column], float, str], ...]
      _luhn, 0.8, "card|visa|credit|debit|karte|carte|tarjeta"),
     ("phone", "+", r"\+[0-9][ ().0-9-]+[0-9]", _digits(8, 15), 0.7, "phone|call|tel|mobile|fax"),
     ("iban", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}",
-     r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-     _mod97, 0.9, "iban|account|bank|konto|compte|cuenta"),
+     IBAN, _mod97, 0.9, "iban|account|bank|konto|compte|cuenta"),
     ("ssn", "[0-9]-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
      lambda v: ~v.rlike("^(?:000|666|9[0-9]{2})|-00-|-0000$"), 0.3, "ssn|social|security"),
 )
@@ -100,8 +111,9 @@ def _places(text: Column, rx: str) -> Column:
 def _scored(text: Column, kind: tuple) -> Column:
     """array<struct<kind, start, end, score>> of one kind's kept spans."""
     name, hint, rx, check, first, words = kind
-    near = lambda p: F.substring(text, F.greatest(p["start"] - CONTEXT, F.lit(0)) + 1,
-                                 F.least(p["start"], F.lit(CONTEXT)))
+    near = lambda p: F.concat(F.substring(text, F.greatest(p["start"] - CONTEXT, F.lit(0)) + 1,
+                                          F.least(p["start"], F.lit(CONTEXT))), F.lit("\n"),
+                              F.substring(text, p["end"] + 1, F.lit(CONTEXT)))
     may = F.contains(text, F.lit(hint)) if len(hint) == 1 else text.rlike(hint)
     spans = F.transform(F.filter(_places(text, rx), lambda p: check(p["value"])), lambda p: F.struct(
         F.lit(name).alias("kind"), p["start"].alias("start"), p["end"].alias("end"),
@@ -137,6 +149,8 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with every span of a text replaced by its kind in brackets;
     overlapping spans become one.  `n_chars` follows the text where present."""
+    # The row is one column here, so that no name of it meets one of these.
+    found = with_spans(docs.select(F.struct("*").alias("doc"), "text"))
     every = F.array_sort(F.transform(F.concat(*[F.col(f"_pii_{k[0]}") for k in KINDS]), lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     def step(acc: Column, s: Column) -> Column:
@@ -148,8 +162,8 @@ def redact(docs: DataFrame) -> DataFrame:
     clean = F.aggregate(every, start, step, lambda acc: F.concat(
         F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     hit = F.size(F.concat(*[F.col(f"_pii_{k[0]}") for k in KINDS])) > 0
-    shown = with_spans(docs).withColumn("_clean", F.when(hit, clean).otherwise(F.col("text")))
-    out = {"text": F.col("_clean")}
+    shown = found.select("doc", hit.alias("hit"), F.when(hit, clean).otherwise(F.col("text")).alias("clean"))
+    out = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(hit, F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return shown.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
+        out["n_chars"] = F.when(F.col("hit"), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    return shown.select(*[out.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
