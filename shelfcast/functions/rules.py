@@ -215,7 +215,8 @@ def rule_insight_text(avg: Column, trend: Column, vol: Column) -> Column:
     return fill_template(RULE_INSIGHT_TEMPLATE, {
         "avg_2f": fixed(a, 2), "trend": t,
         "vol_level": F.when(hi, F.lit(INSIGHT_HIGH)).otherwise(F.lit(INSIGHT_MODERATE)),
-        "safety": safety_stock_simple(v), "reorder": reorder_point_simple(a, v),
+        # Clients send any number: texts, so that none is too large.
+        "safety": py_int_text(v * SAFETY_MULTIPLIER), "reorder": py_int_text(a * LEAD_TIME_DAYS + v * SAFETY_MULTIPLIER),
         "review": F.when(hi, F.lit(REVIEW_DAILY)).otherwise(F.lit(REVIEW_WEEKLY)),
     })
 

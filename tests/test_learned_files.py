@@ -63,10 +63,12 @@ def test_moments_add_up_and_give_the_loss(spark):
 
 def test_learned_grid_matches_a_fit_per_fold(spark, small_panel):
     """Folds by hand: pandas windows, one ridge fit each."""
-    got = {(r["fold"], r["penalty"]): r for r in ex.learned_grid(small_panel, features="window", penalties=(0.01, 1.0)).collect()}
+    origins = (0.15, 0.4, 0.7)
+    got = {(r["fold"], r["penalty"]): r for r in ex.learned_grid(
+        small_panel, features="window", penalties=(0.01, 1.0), origins=origins).collect()}
     rows = wn.sliding_windows(small_panel, with_dates=True).toPandas()
     days = small_panel.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
-    cuts = [days["lo"] + dt.timedelta(days=int((days["hi"] - days["lo"]).days * o)) for o in ex.ORIGINS] + [days["hi"] + dt.timedelta(days=1)]
+    cuts = [days["lo"] + dt.timedelta(days=int((days["hi"] - days["lo"]).days * o)) for o in origins] + [days["hi"] + dt.timedelta(days=1)]
     last = rows["y_date"].map(lambda d: d[-1])
     x = np.stack([np.concatenate([r[f"x_{f}"] for f in pn.FEATURES]) for _, r in rows.iterrows()]).astype(float)
     y = np.stack(rows["y"].to_numpy()).astype(float)
@@ -77,7 +79,7 @@ def test_learned_grid_matches_a_fit_per_fold(spark, small_panel):
     ym, ysd = y[first].mean(axis=0), y[first].std(axis=0)
     ys = (y - ym) / ysd
     seen = set()
-    for k in range(len(ex.ORIGINS)):
+    for k in range(len(origins)):
         train = (last < cuts[k]).to_numpy()
         test = (rows["start_date"] >= cuts[k]).to_numpy() & (last < cuts[k + 1]).to_numpy()
         if not (train.any() and test.any()):
