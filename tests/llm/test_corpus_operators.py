@@ -278,6 +278,7 @@ def test_components(spark):
 # --- Nearest neighbours ---------------------------------------------------
 
 def test_nearest(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", (700, 700))
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((30, 24))
     x = np.vstack([centres[rng.integers(30, size=1200)] + 0.3 * rng.standard_normal((1200, 24)), rng.standard_normal((600, 24))])
@@ -289,7 +290,7 @@ def test_nearest(spark, monkeypatch):
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, _block string")
     monkeypatch.setattr(ann, "BLOCK", 700)
     found = collections.defaultdict(list)
-    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, block=700, queries=32).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     assert set(found) == set(range(0, 1800, 20)) | {20100}
     assert found[20100] == [(1, 20101, 7.0)]
