@@ -44,8 +44,8 @@ INSIDE = (50, 100)  # a phrase goes if a longer one holds this share of it
 TILE_PLACES = 2_000_000
 ARRAY = 4_000_000  # most cells of a tile that is counted as an array,
 FILLED = 16        # where it has one entry at least for so many cells
-CHUNK = 1_000_000
-FAN = 16
+CHUNK = 400_000
+FAN = 32
 # Rows are arrays of up to a chunk: few of them in a batch between Spark and Python.
 BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "16"}
 SPLIT = b".,;:!?\n\x0b\x0c\r"
