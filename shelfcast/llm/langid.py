@@ -44,10 +44,10 @@ SEGMENT = 512
 TOGETHER = 8192
 
 
-def _class(*categories: str) -> str:
-    """The code points of some general categories (their first letters), as
-    the ranges of a character class."""
-    points = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in categories]
+def _class(*categories: str, top: int = sys.maxunicode) -> str:
+    """The code points up to `top` of some general categories (their first
+    letters), as the ranges of a character class."""
+    points = [c for c in range(top + 1) if unicodedata.category(chr(c))[0] in categories]
     cuts = [i for i in range(1, len(points)) if points[i] != points[i - 1] + 1]
     return "".join(f"\\U{points[a]:08x}-\\U{points[z - 1]:08x}" for a, z in zip([0, *cuts], [*cuts, len(points)]))
 
@@ -58,10 +58,14 @@ LETTER = re.compile(f"[{_class('L')}]")
 # All but letters and marks is one space to the automata, so that digits and symbols
 # say nothing about the language, and vowel signs stay with their letters.
 OTHER = re.compile(f"[^{_class('L', 'M')}]+")
+# The same for texts without code points beyond 16 bits, whose class is a table.
+FAR = re.compile("[\U00010000-\U0010ffff]")
+OTHER_NEAR = re.compile(f"[^{_class('L', 'M', top=0xFFFF)}]+")
 
 
 def plain(text: str) -> str:
-    return OTHER.sub(" ", text.lower())
+    low = text.lower()
+    return (OTHER if FAR.search(low) else OTHER_NEAR).sub(" ", low)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
