@@ -360,7 +360,9 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     own = (lists.select("chunk", "lang", "at", "text").join(level.select("lang", "text", "id"), ["lang", "text"])
            .groupBy("chunk").agg(F.collect_list(F.struct("at", "id")).alias("_o"))
            .select("chunk", F.col("_o.at").alias("at"), F.col("_o.id").alias("of")))
-    counted = materialize(chunks.select("chunk", "lang", "ids").join(own, "chunk").join(bands(level), "lang").mapInPandas(
+    # Chunks meet their language's bands by key: no chunk is dealt by language.
+    edges = lambda of: chunks.select("chunk", "lang").join(bands(of), "lang").select("chunk", "edges")
+    counted = materialize(chunks.select("chunk", "lang", "ids").join(own, "chunk").join(edges(level), "chunk").mapInPandas(
         _word_tiles(longest > 2), TILES), "phrase-pairs", BATCH_CONF)
 
     found = None
@@ -389,7 +391,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
                  .select(*tile, F.col("_c.cell").alias("often"), F.col("_c.id").alias("ids")))
         places = counted.join(cells, tile).select("chunk", "lang", "steps", "counts", "places", "often", "ids").mapInPandas(
             _kept, "chunk long, lang string, places binary, ids binary")
-        counted = materialize(places.join(bands(longer), "lang").repartition("chunk").sortWithinPartitions("chunk").mapInPandas(
+        counted = materialize(places.repartition("chunk").join(edges(longer), "chunk").sortWithinPartitions("chunk").mapInPandas(
             _phrase_tiles(m + 1 < longest), TILES), "phrase-pairs", BATCH_CONF)
     found = _scored(level, longest, found)
 
