@@ -101,8 +101,9 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def ranked(rows: DataFrame, count: str, ties: list[str], name: str) -> DataFrame:
     """`rows` with `id`, places from 0 by descending `count` in each language,
-    and `before`, the sum of the counts ahead.  Rows are range-partitioned once;
-    places and sums within a partition add to the language's in those before it."""
+    `before`, the sum of the counts ahead, and the language's `places` (the sum of
+    all counts) and `ids`.  Rows are range-partitioned once; places and sums within
+    a partition add to the language's in those before it."""
     n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(count).desc(), *(F.col(c) for c in ties)]
     placed = materialize(rows.repartitionByRange(n_parts, F.col(count).desc(), "lang", *ties)
@@ -110,7 +111,9 @@ def ranked(rows: DataFrame, count: str, ties: list[str], name: str) -> DataFrame
     sizes = placed.groupBy("lang", "_pid").agg(F.count("*").alias("_rows"), F.sum(count).alias("_sum"))
     # One row a language and partition.
     earlier = Window.partitionBy("lang").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = sizes.select("lang", "_pid", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_rows", "_sum")))
+    every = Window.partitionBy("lang")
+    ahead = sizes.select("lang", "_pid", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_rows", "_sum")),
+                         F.sum("_sum").over(every).alias("places"), F.sum("_rows").over(every).alias("ids"))
     own = Window.partitionBy("lang", "_pid").orderBy(*order)
     return (placed.withColumns({"_own": F.row_number().over(own) - 1, "_upto": F.sum(count).over(
         own.rowsBetween(Window.unboundedPreceding, -1))}).join(ahead, ["lang", "_pid"])
@@ -119,14 +122,13 @@ def ranked(rows: DataFrame, count: str, ties: list[str], name: str) -> DataFrame
 
 
 def bands(level: DataFrame) -> DataFrame:
-    """(lang, edges) of ranked rows (lang, id, a, before): the first id of each
-    band, and the number of ids at the end.  A few numbers a language."""
-    sizes = level.groupBy("lang").agg(F.sum("a").alias("_places"), F.count("*").alias("_ids"))
-    sizes = sizes.withColumn("_bands", F.ceil(F.sqrt(F.col("_places") / TILE_PLACES)))
-    band = F.least(F.floor(F.col("before") / F.col("_places") * F.col("_bands")), F.col("_bands") - 1)
-    return (level.join(sizes, "lang").groupBy("lang", "_ids", band.alias("_band")).agg(F.min("id").alias("_first"))
-            .groupBy("lang", "_ids").agg(F.sort_array(F.collect_list("_first")).alias("_firsts"))
-            .select("lang", F.concat("_firsts", F.array(F.col("_ids"))).alias("edges")))
+    """(lang, edges) of ranked rows: the first id of each band, and the number
+    of ids at the end.  A few numbers a language."""
+    n = F.ceil(F.sqrt(F.col("places") / TILE_PLACES))
+    band = F.least(F.floor(F.col("before") / F.col("places") * n), n - 1)
+    return (level.groupBy("lang", "ids", band.alias("_band")).agg(F.min("id").alias("_first"))
+            .groupBy("lang", "ids").agg(F.sort_array(F.collect_list("_first")).alias("_firsts"))
+            .select("lang", F.concat("_firsts", F.array(F.col("ids"))).alias("edges")))
 
 
 # A tile's place: its bands, the first ids of both, and its columns and cells.
@@ -353,7 +355,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     words = lists.groupBy("lang", "text").agg(F.sum("n").alias("a"))
     totals = lists.groupBy("lang").agg(F.sum("n").alias("n"))
     level = materialize(ranked(words.where(F.col("a") >= least), "a", ["text"], "phrase-words").select(
-        "lang", "id", "a", "before", "text", F.col("text").alias("last"), F.array("a").alias("prefix"), F.array("a").alias("suffix")),
+        "lang", "id", "a", "before", "places", "ids", "text", F.col("text").alias("last"), F.array("a").alias("prefix"), F.array("a").alias("suffix")),
         "phrase-level")
 
     # A chunk's list is no longer than the chunk.
@@ -372,7 +374,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
         part = lambda side: level.select(
             "lang", *(F.col(c).alias(f"{side}_{c}") for c in ("text", "last", "prefix", "suffix")), F.col("id").alias(side))
         longer = materialize(pairs.join(part("left"), ["lang", "left"]).join(part("right"), ["lang", "right"]).select(
-            "lang", "id", "a", "before", "row", "col", "cell", "left", "right",
+            "lang", "id", "a", "before", "places", "ids", "row", "col", "cell", "left", "right",
             F.concat_ws(" ", "left_text", "right_last").alias("text"),
             F.col("right_last").alias("last"), F.concat("left_prefix", F.array("a")).alias("prefix"),
             F.concat("right_suffix", F.array("a")).alias("suffix")), "phrase-level")
