@@ -1,10 +1,13 @@
 """TF-IDF retrieval over an inverted index with max-score pruning.
 
 The index is a table: documents are dealt into shards of a bounded number of
-postings, and each shard holds, for each of its terms, the documents with that
-term, the impacts (the term's share of the document's unit vector) and the
-largest of these.  A search reads the postings of the queries' own terms, once,
-whatever the number of queries; queries are copied once a shard.
+postings, and each shard holds its documents' ids and the norms of their vectors
+and, for each of its terms, the documents with that term, by place, and its
+counts in them.  The impact of a term on a document is its count over the
+document's norm; its idf comes with the queries.  A search reads the postings of
+the queries' own terms, once, whatever the number of queries; queries are copied
+once a shard.  No posting is shuffled alone: texts are counted in their rows, and
+go to the shards as such rows.
 
 In a shard, a query takes its terms by the most that each can add to a score.
 Once the k-th best score passes what all further terms can add together, only
@@ -28,13 +31,15 @@ from shelfcast.session import materialize
 
 POSTINGS = 500_000  # postings a shard, about
 QUERIES = 500
+COMMON = 20_000  # terms whose idf goes to every task
 # Scores are compared after rounding to 6 dp: nothing this near is pruned.
 MARGIN = 2e-6
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """`postings` (shard, term, ids, impacts, largest), `idf` (term, idf)."""
+    """`postings` (shard, term, places, tfs), and of each shard a row (shard, ids,
+    norms) that the places refer to, its term null; `idf` (term, idf)."""
     postings: DataFrame
     idf: DataFrame
     n_docs: int
@@ -51,20 +56,33 @@ def _rows(terms: DataFrame, id_col: str) -> DataFrame:
     return terms.select(id_col, F.explode("terms").alias("t")).select(id_col, "t.term", "t.tf")
 
 
-def weighted(terms: DataFrame, idf: DataFrame, id_col: str, unknown: float | None) -> DataFrame:
-    """(id, terms, weights, norm): TF-IDF vectors, one row each, in one shuffle
-    by term and one by id; a row's terms are as many as its text is long.  A
-    term that `idf` lacks weighs `unknown`, or is left out where that is None."""
-    weight = F.col("tf") * (F.col("idf") if unknown is None else F.coalesce("idf", F.lit(unknown)))
-    rows = (_rows(terms, id_col).join(idf, "term", "inner" if unknown is None else "left")
-            .groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("w")))).alias("v")))
+def weighted(terms: DataFrame, idf: DataFrame, id_col: str, unknown: float) -> DataFrame:
+    """(id, terms, weights): the terms of a row's TF-IDF vector, joined by spaces,
+    and their shares of the unit vector times their idf.  A term that `idf` lacks
+    has the idf `unknown`."""
+    rows = (_rows(terms, id_col).join(idf, "term", "left").withColumn("idf", F.coalesce("idf", F.lit(unknown)))
+            .groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("w"), "idf"))).alias("v")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    return rows.select(id_col, F.transform("v", lambda x: x["term"]).alias("terms"),
-                       F.transform("v", lambda x: x["w"]).alias("weights"), norm.alias("norm"))
+    return rows.select(id_col, "v", norm.alias("norm")).select(
+        id_col, F.array_join(F.transform("v", lambda x: x["term"]), " ").alias("terms"),
+        F.transform("v", lambda x: x["w"] / F.col("norm") * x["idf"]).alias("weights"))
+
+
+def norms(terms: DataFrame, idf: DataFrame, id_col: str) -> DataFrame:
+    """(id, norm) of the TF-IDF vectors.  The `COMMON` most frequent terms, most
+    of all postings, are a broadcast of that many rows, and their squares are
+    summed where they are; only the other terms are joined by term."""
+    rows = _rows(terms, id_col)
+    head = F.broadcast(idf.orderBy("idf", "term").limit(COMMON))
+    squares = lambda df: df.groupBy(id_col).agg(F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).alias("s"))
+    both = squares(rows.join(head, "term")).unionByName(squares(rows.join(head, "term", "left_anti").join(idf, "term")))
+    return both.groupBy(id_col).agg(F.sqrt(F.sum("s")).alias("norm"))
 
 
 def build(corpus: DataFrame, id_col: str, text_col: str = "text", postings: int = POSTINGS) -> TextIndex:
-    """Smooth idf = ln((1 + N) / (1 + df)) + 1 over the N ids of the corpus."""
+    """Smooth idf = ln((1 + N) / (1 + df)) + 1 over the N ids of the corpus.
+    Counted texts are dealt to the shards once, a row a text.  A null id is
+    counted, but never found."""
     terms = staged_terms(corpus, id_col, text_col)
     size = terms.agg(F.sum(F.size("terms")).alias("n")).first()["n"] or 0
     n_docs = terms.select(id_col).distinct().count()
@@ -74,21 +92,27 @@ def build(corpus: DataFrame, id_col: str, text_col: str = "text", postings: int
     kind = corpus.schema[id_col].dataType.simpleString()
 
     def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for shard, docs in _runs(batches, "shard"):
-            lengths = docs["terms"].map(len).to_numpy()
-            code, terms = pd.factorize(np.concatenate(docs["terms"].to_numpy()))
-            doc = np.repeat(np.arange(len(docs)), lengths)
-            impact = np.concatenate(docs["weights"].to_numpy()) / np.repeat(docs["norm"].to_numpy(), lengths)
-            order = np.argsort(code, kind="stable")
-            cuts = np.flatnonzero(np.diff(code[order])) + 1
+        for shard, rows in _runs(batches, "shard"):
+            docs, texts = rows[rows["terms"].isna()], rows[rows["terms"].notna()]
             ids = docs[id_col].to_numpy()
-            of_term, of_impact = np.split(ids[doc[order]], cuts), np.split(impact[order], cuts)
-            yield pd.DataFrame({"shard": shard, "term": terms, "ids": of_term, "impacts": of_impact,
-                                "largest": [x.max() for x in of_impact]})
-
-    vectors = weighted(terms, idf, id_col, None).withColumn("shard", F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int"))
-    made = (vectors.repartition("shard").sortWithinPartitions("shard", id_col)
-            .mapInPandas(invert, f"shard int, term string, ids array<{kind}>, impacts array<double>, largest double"))
+            yield pd.DataFrame({"shard": shard, "term": None, "ids": [ids], "norms": [docs["norm"].to_numpy()], "places": None, "tfs": None})
+            code, terms = pd.factorize(np.array(" ".join(texts["terms"]).split(" "), dtype=object))
+            place = np.repeat(pd.Index(ids).get_indexer(texts[id_col]).astype(np.int32), texts["tfs"].map(len))
+            tf = np.concatenate(texts["tfs"].to_numpy())
+            order = np.lexsort((tf, place, code))
+            cuts = np.flatnonzero(np.diff(code[order])) + 1
+            yield pd.DataFrame({"shard": shard, "term": terms, "ids": None, "norms": None,
+                                "places": np.split(place[order], cuts), "tfs": np.split(tf[order], cuts)})
+
+    shard = F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int").alias("shard")
+    none = F.lit(None)
+    texts = terms.where(F.col(id_col).isNotNull() & (F.size("terms") > 0)).select(
+        shard, id_col, none.cast("double").alias("norm"), F.array_join(F.transform("terms", lambda t: t["term"]), " ").alias("terms"),
+        F.transform("terms", lambda t: t["tf"].cast("int")).alias("tfs"))
+    docs = norms(terms, idf, id_col).where(F.col(id_col).isNotNull()).select(
+        shard, id_col, "norm", none.cast("string").alias("terms"), none.cast("array<int>").alias("tfs"))
+    made = (docs.unionByName(texts).repartition("shard").sortWithinPartitions("shard", id_col)
+            .mapInPandas(invert, f"shard int, term string, ids array<{kind}>, norms array<double>, places array<int>, tfs array<int>"))
     return TextIndex(materialize(made, "postings"), idf, n_docs, shards, id_col)
 
 
@@ -158,18 +182,19 @@ def search(index: TextIndex, queries: DataFrame, query_id: str, k: int, text_col
                                  float(np.log(1.0 + index.n_docs) + 1.0)), "asked")
     kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, query_id),)}
     id_kind = index.postings.schema["ids"].dataType.elementType.simpleString()
-    wanted = asked.select(F.explode("terms").alias("term")).distinct()
+    wanted = asked.select(F.explode(F.split("terms", " ")).alias("term")).distinct()
     of = lambda name, kind, df: F.col(name) if name in df.columns else F.lit(None).cast(kind).alias(name)
-    columns = {"shard": "int", "ask": "int", "term": "string", "ids": f"array<{id_kind}>", "impacts": "array<double>",
-               "largest": "double", "_query": kinds[query_id], "terms": "array<string>", "weights": "array<double>"}
-    lists = index.postings.join(wanted, "term", "left_semi").withColumn("ask", F.lit(0))
+    columns = {"shard": "int", "ask": "int", "term": "string", "ids": f"array<{id_kind}>", "norms": "array<double>",
+               "places": "array<int>", "tfs": "array<int>", "_query": kinds[query_id], "terms": "string", "weights": "array<double>"}
+    lists = index.postings.where("term IS NOT NULL").join(wanted, "term", "left_semi").unionByName(
+        index.postings.where("term IS NULL")).withColumn("ask", F.lit(0))
     every = asked.select(F.explode(F.sequence(F.lit(0), F.lit(index.shards - 1))).alias("shard"), F.lit(1).alias("ask"),
-                         F.col(query_id).alias("_query"), "terms", F.transform("weights", lambda w: w / F.col("norm")).alias("weights"))
+                         F.col(query_id).alias("_query"), "terms", "weights")
     both = lists.select(*(of(c, t, lists) for c, t in columns.items())).unionByName(
         every.select(*(of(c, t, every) for c, t in columns.items())))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held, shard = None, [], None
+        now, held, shard, ids = None, [], None, None
         for b in batches:
             keys = b[["shard", "ask"]].to_numpy()
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
@@ -184,13 +209,17 @@ def search(index: TextIndex, queries: DataFrame, query_id: str, k: int, text_col
                     continue
                 if shard is None:
                     own = pd.concat(held) if held else b.iloc[:0]
-                    shard, held = Shard(own["term"], own["ids"], own["impacts"], own["largest"]), []
+                    docs, own, held = own[own["term"].isna()], own[own["term"].notna()], []
+                    # Places follow the ids' order.
+                    ids, sizes = (np.concatenate([np.asarray(x) for x in docs[c]] or [np.zeros(0)]) for c in ("ids", "norms"))
+                    impacts = [np.asarray(tf) / sizes[at] for at, tf in zip(own["places"], own["tfs"])]
+                    shard = Shard(own["term"], own["places"], impacts, [x.max() for x in impacts])
                 out = []
                 for q, terms, weights in zip(*(b[c].iloc[i:j] for c in ("_query", "terms", "weights"))):
-                    at, scores, _ = shard.search(terms, weights, k)
+                    at, scores, _ = shard.search(terms.split(" "), weights, k)
                     scores = np.floor(scores * 1e6 + 0.5) / 1e6
-                    best = np.lexsort((at, -scores))[:k]  # places follow the ids' order
-                    out += [(q, shard.ids[at[x]], scores[x]) for x in best]
+                    best = np.lexsort((at, -scores))[:k]
+                    out += [(q, ids[shard.ids[at[x]]], scores[x]) for x in best]
                 yield pd.DataFrame(out, columns=[query_id, id_col, "score"])
 
     found = (both.repartition("shard").sortWithinPartitions("shard", "ask")

@@ -56,6 +56,30 @@ def test_index_matches_plain_tfidf(spark, monkeypatch):
     assert ti.search(index, b.limit(0), "item_id", 5).count() == 0
 
 
+def test_index_holds_an_id_once_a_document(spark, monkeypatch):
+    """Norms from common and rare terms; postings hold places and counts only."""
+    monkeypatch.setattr(ti, "COMMON", 3)
+    corpus = [*enumerate(texts(60, 8)), (900, "alone"), (901, ""), (None, "w1 alone")]
+    docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(3)
+    index = ti.build(docs, "doc_id", postings=200)
+    idf = {r["term"]: r["idf"] for r in index.idf.collect()}
+    counts = {i: collections.Counter(WORD.findall(t)) for i, t in corpus if t and i is not None}
+    want = {i: math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items())) for i, c in counts.items()}
+    got, found = {}, {}
+    rows = index.postings.collect()
+    for r in rows:
+        if r["term"] is None:
+            got.update(zip(r["ids"], r["norms"]))
+    names = {r["shard"]: r["ids"] for r in rows if r["term"] is None}
+    for r in rows:
+        if r["term"] is not None:
+            assert r["ids"] is None and r["norms"] is None
+            found.update({(names[r["shard"]][p], r["term"]): n for p, n in zip(r["places"], r["tfs"])})
+    assert index.shards > 1 and sum(map(len, names.values())) == len(want)
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    assert found == {(i, t): n for i, c in counts.items() for t, n in c.items()}
+
+
 def test_max_score_reads_fewer_postings():
     """Equal hits, and most postings of common terms unread."""
     rng = np.random.default_rng(2)
