@@ -9,6 +9,9 @@ probability P1 at least, whatever R, so vectors with `threshold` collisions or
 more are verified by their true inner product.  The search ends at the first
 radius that reaches the k-th best distance found; the last radius is that
 distance itself, not beyond it.  Nothing limits the number of candidates.
+Narrow windows are counted by the vectors that they take in; wide ones, as those
+of vectors without clusters are, by comparing all places on a line with the
+window's ends, which costs less a vector.  The counts are the same.
 
 Inner products become distances by one more coordinate, which gives all vectors
 of a block the same norm (that of the longest).
@@ -46,6 +49,9 @@ MISS = 1.6  # standard deviations below the mean of a vector at the radius
 BLOCK = (8_192, 65_536)  # least and most vectors a block
 BLOCKS = 64  # blocks that a table is cut into while they are of neither size
 SEED = 77
+TOGETHER = 64  # queries that are searched together in a block
+DENSE = 64  # windows that take in less than this part of a block are counted by their members
+COLUMNS = 8_192  # vectors whose places are compared together
 
 P1 = 0.6629  # probability that a standard normal variable is within HALF_WINDOW
 
@@ -69,6 +75,9 @@ class Index:
         projected = self.directions[:, :dim] @ vectors.T + self.directions[:, dim:] * extra
         self.order = np.argsort(projected, axis=1).astype(np.int32)
         self.sorted = np.take_along_axis(projected, self.order, axis=1)
+        # A vector's place on each line.
+        self.place = np.empty(projected.shape, dtype=np.uint16 if self.n < 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, self.order, np.arange(self.n, dtype=self.place.dtype)[None, :], axis=1)
         # The projections' spread is that of half the typical squared distance.
         self.typical = float(np.sqrt(2 * projected.var(axis=1).mean()))
         self.need = threshold(lines)
@@ -76,44 +85,83 @@ class Index:
     def search(self, original: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and inner products of the candidates that may be among
         the k best; the positions `own` are left out."""
-        query = _scaled(original)
-        length = float(np.sqrt((query ** 2).sum()))
-        at = self.directions[:, :-1] @ (query * (self.norm / length))
-        low = np.array([s.searchsorted(x) for s, x in zip(self.sorted, at)])
-        high = low.copy()
-        count = np.zeros(self.n, dtype=np.int64)
-        seen = np.zeros(self.n, dtype=bool)
-        seen[own] = True
-        found, scores = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
-        # Never zero, as in a block of one vector: it is widened by a factor.
-        radius = max(FIRST_RADIUS * self.typical, 1e-6 * self.norm)
-        k = min(k, self.n - len(own))
-        worst = np.inf
-        while k:
-            half = HALF_WINDOW * radius
-            new_low = [s.searchsorted(x - half) for s, x in zip(self.sorted, at)]
-            new_high = [s.searchsorted(x + half, side="right") for s, x in zip(self.sorted, at)]
-            hit = np.concatenate([o[slice(*w)] for o, a, b, c, d in zip(self.order, new_low, low, high, new_high)
-                                  for w in ((a, b), (c, d))])
-            count += np.bincount(hit, minlength=self.n)
+        return self.search_all([original], [own], k)[0]
+
+    def search_all(self, originals: list[np.ndarray], owns: list[np.ndarray], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """`search` of several queries, whose windows are widened round by round."""
+        live = [_Query(self, x, own, k) for x, own in zip(originals, owns)]
+        every = live
+        low = high = self._places(np.array([q.at for q in live]), "left")
+        while keep := [i for i, q in enumerate(live) if not q.done]:
+            live, low, high = [live[i] for i in keep], low[keep], high[keep]
+            at, half = np.array([q.at for q in live]), np.array([[HALF_WINDOW * q.radius] for q in live])
+            new_low, new_high = self._places(at - half, "left"), self._places(at + half, "right")
+            added = ((low - new_low) + (new_high - high)).sum(axis=1)
+            for q, n, *windows in zip(live, added.tolist(), new_low, low, high, new_high):
+                if n * DENSE < self.place.size:
+                    hit = np.concatenate([o[slice(*w)] for o, a, b, c, d in zip(self.order, *(x.tolist() for x in windows))
+                                          for w in ((a, b), (c, d))])
+                    q.count += np.bincount(hit, minlength=self.n).astype(q.count.dtype)
+                else:
+                    self._collisions(windows[0], windows[-1], q.count)
+                q.verify(bool((windows[-1] - windows[0] == self.n).all()))
             low, high = new_low, new_high
-            some = np.flatnonzero((count >= self.need) & ~seen)
-            seen[some] = True
-            if len(some):
-                found.append(some)
-                scores.append(np.einsum("ij,j->i", self.vectors[some], query))
-            every = np.concatenate(scores)
-            if len(every) >= k:
-                best = np.partition(every, len(every) - k)[len(every) - k]
-                worst = float(np.sqrt(max(0.0, 2 * self.norm ** 2 - 2 * best * self.norm / length)))
-            if worst <= radius or all(h - lo == self.n for lo, h in zip(low, high)):
-                break
-            radius = min(radius * WIDEN, worst) if worst > radius else radius
-        ids, every = np.concatenate(found), np.concatenate(scores)
+        return [q.best() for q in every]
+
+    def _places(self, values: np.ndarray, side: str) -> np.ndarray:
+        """Where the queries' values on each line fall among the sorted ones."""
+        return np.stack([s.searchsorted(x, side) for s, x in zip(self.sorted, values.T)], axis=1)
+
+    def _collisions(self, low: np.ndarray, high: np.ndarray, count: np.ndarray) -> None:
+        """Count anew on how many lines each vector's place is in [low, high):
+        places below `low` wrap around to beyond the width."""
+        first, width = (x.astype(self.place.dtype)[:, None] for x in (low, high - low))
+        for i in range(0, self.n, COLUMNS):
+            near = self.place[:, i:i + COLUMNS] - first < width
+            np.add.reduce(near.view(np.uint8), axis=0, dtype=count.dtype, out=count[i:i + COLUMNS])
+
+
+class _Query:
+    """One query's collisions and candidates in a block."""
+
+    def __init__(self, index: Index, original: np.ndarray, own: np.ndarray, k: int) -> None:
+        self.index, self.original, self.query = index, original, _scaled(original)
+        self.length = float(np.sqrt((self.query ** 2).sum()))
+        self.at = index.directions[:, :-1] @ (self.query * (index.norm / self.length))
+        self.count = np.zeros(index.n, dtype=np.uint8 if len(index.sorted) < 256 else np.int64)
+        self.seen = np.zeros(index.n, dtype=bool)
+        self.seen[own] = True
+        self.found, self.scores = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+        # Never zero, as in a block of one vector: it is widened by a factor.
+        self.radius = max(FIRST_RADIUS * index.typical, 1e-6 * index.norm)
+        self.k = min(k, index.n - len(own))
+        self.worst = np.inf
+        self.done = not self.k
+
+    def verify(self, whole: bool) -> None:
+        """Take the vectors of enough collisions as candidates, and end or widen
+        the search; `whole`: the windows hold all vectors."""
+        index, k = self.index, self.k
+        some = np.flatnonzero((self.count >= index.need) & ~self.seen)
+        self.seen[some] = True
+        if len(some):
+            self.found.append(some)
+            self.scores.append(np.einsum("ij,j->i", index.vectors.take(some, axis=0), self.query))
+        every = np.concatenate(self.scores)
+        if len(every) >= k:
+            best = np.partition(every, len(every) - k)[len(every) - k]
+            self.worst = float(np.sqrt(max(0.0, 2 * index.norm ** 2 - 2 * best * index.norm / self.length)))
+        if self.worst <= self.radius or whole:
+            self.done = True
+        elif self.worst > self.radius:
+            self.radius = min(self.radius * WIDEN, self.worst)
+
+    def best(self) -> tuple[np.ndarray, np.ndarray]:
+        ids, every, k = np.concatenate(self.found), np.concatenate(self.scores), self.k
         if len(every) > k:
-            keep = every >= np.partition(every, len(every) - k)[len(every) - k] - 1e-9 * self.norm * length
+            keep = every >= np.partition(every, len(every) - k)[len(every) - k] - 1e-9 * self.index.norm * self.length
             ids = ids[keep]
-        return ids, inner(self.originals[ids], original)
+        return ids, inner(self.index.originals[ids], self.original)
 
 
 def _scaled(x: np.ndarray) -> np.ndarray:
@@ -169,10 +217,13 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
                     ids, own_rows, held = own["vec_id"].to_numpy(), own["_row"].to_numpy(), [None]
                     index = Index(np.stack(own["_v"].to_numpy()))
                 out = []
-                for row, query_id, v in zip(*(b[c].iloc[i:j] for c in ("_row", "vec_id", "_v"))):
-                    at, scores = index.search(np.asarray(v), np.flatnonzero(own_rows == row), k)
-                    best = np.lexsort((ids[at], -scores))[:k]
-                    out += [(row, query_id, ids[at[x]], scores[x]) for x in best]
+                for part in range(i, j, TOGETHER):
+                    asks = b.iloc[part:min(j, part + TOGETHER)]
+                    owns = [np.flatnonzero(own_rows == row) for row in asks["_row"]]
+                    hits = index.search_all([np.asarray(v) for v in asks["_v"]], owns, k)
+                    for row, query_id, (at, scores) in zip(asks["_row"], asks["vec_id"], hits):
+                        best = np.lexsort((ids[at], -scores))[:k]
+                        out += [(row, query_id, ids[at[x]], scores[x]) for x in best]
                 yield pd.DataFrame(out, columns=["_row", "query_id", "vec_id", "score"])
 
     found = (data.select(columns).unionByName(asked.select(columns)).repartition("_dim", "_block")

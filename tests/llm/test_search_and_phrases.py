@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from shelfcast.llm import phrases, products, variants
+from shelfcast.llm import ann, phrases, products, variants
 from tests.llm.conftest import NASTY, SF_SMALL, documents
 
 FOLD = str.maketrans(variants.UPPER, variants.LOWER)
@@ -310,3 +310,21 @@ def _oracle(spark, name, table):
     got = queries.QUERIES[name](spark, SF_SMALL)
     assert sorted(columns) == sorted(got.columns)
     assert collections.Counter(tuple(r[c] for c in columns) for r in got.collect()) == want and want
+
+
+def test_queries_searched_together_find_the_same(monkeypatch):
+    """Counting by places or by members, together or alone: the same hits; and
+    windows of one round are looked up once a line, not once a query."""
+    rng = np.random.default_rng(11)
+    vectors = np.concatenate([rng.standard_normal((700, 24)), rng.standard_normal((1, 24)) + 0.01 * rng.standard_normal((50, 24))])
+    queries, owns = [*vectors[:40], vectors[720] * 3], [np.array([i]) for i in range(40)] + [np.zeros(0, dtype=np.int64)]
+    found = []
+    for dense in (0, 1, 10 ** 9):  # by members only, where the windows take in more than the block, by places only
+        monkeypatch.setattr(ann, "DENSE", dense)
+        index, lookups = ann.Index(vectors), []
+        places = index._places
+        index._places = lambda *x: lookups.append(1) or places(*x)
+        found.append([(a.tolist(), s.tolist()) for a, s in index.search_all(queries, owns, 7)])
+        assert len(lookups) < 2 * 25
+        found.append([(a.tolist(), s.tolist()) for a, s in (index.search(q, o, 7) for q, o in zip(queries, owns))])
+    assert all(f == found[0] for f in found) and all(len(a) >= 7 for a, _ in found[0])
