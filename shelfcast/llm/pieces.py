@@ -35,6 +35,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +101,11 @@ class Pieces:
             while self.keys[slot] >= 0:
                 slot += 1
             self.keys[slot], self.child[slot] = key, c
+        # The states after a first character, by its number.
+        self.root = np.full(len(points) + 1, -1, dtype=np.int32)
+        for (state, c), child in edges.items():
+            if not state:
+                self.root[self.number[c]] = child
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint32) * np.uint32(2654435769)) >> np.uint32(32 - self.bits)).astype(np.int32)
@@ -126,10 +132,11 @@ class Pieces:
     def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of piece ids, one after another, and the end of each."""
         size = self.size[ids]
-        ends = size.cumsum()
+        total = int(size.sum(dtype=np.int64))
+        ends = size.cumsum(dtype=np.int32 if total < 1 << 31 else np.int64)
         at = np.repeat(self.start[ids] - (ends - size), size)
-        at += np.arange(len(at), dtype=at.dtype)
-        return self.flat[at], ends
+        at += np.arange(total, dtype=at.dtype)
+        return self.flat.take(at), ends
 
 
 @lru_cache(maxsize=2)
@@ -183,9 +190,9 @@ class Lattice:
         n_nodes = int(off[longest + 1])
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # heads, tails, piece ids
         single = np.zeros(len(codes), dtype=bool)
-        w, at, state, depth = word, place, np.zeros(len(codes), dtype=np.int32), 0
+        w, at, state, depth = word, place, None, 0
         while len(w):
-            state = p.step(state, numbers[char[at + depth] + w])
+            state = p.step(state, numbers[char[at + depth] + w]) if depth else p.root[numbers[char[at] + w]]
             ok = state >= 0
             w, at, state, depth = w[ok], at[ok], state[ok], depth + 1
             piece = p.terminal[state]
@@ -201,6 +208,9 @@ class Lattice:
         spelling, number = np.unique(codes[some], return_inverse=True)
         self.spelled = [p.bytes_[list(chr(ord(MARK) if c == REAL_MARK else c).encode("utf-8", "surrogatepass"))]
                         for c in spelling.tolist()]
+        self.spelled_size = np.array([len(x) for x in self.spelled], dtype=np.int64)
+        self.spelled_start = self.spelled_size.cumsum() - self.spelled_size
+        self.spelled_ids = np.concatenate([*self.spelled, np.zeros(0, dtype=np.int32)])
         found.insert(0, (off[place[some] + 1] + word[some], off[place[some]] + word[some], (-1 - number).astype(np.int32)))
         into = np.zeros(n_nodes, dtype=np.int32)
         for head, _, _ in found:
@@ -270,53 +280,64 @@ class Lattice:
         spelled = np.flatnonzero(found < 0)
         if not len(spelled):
             return found, np.arange(len(arcs) + 1)
+        kind = -1 - found[spelled]
         width = np.ones(len(arcs), dtype=np.int64)
-        width[spelled] = [len(self.spelled[-1 - c]) for c in found[spelled].tolist()]
+        width[spelled] = self.spelled_size[kind]
         before = np.append(0, width.cumsum())
         out = np.repeat(found, width)
-        for k, c in zip(spelled.tolist(), found[spelled].tolist()):
-            out[before[k]:before[k + 1]] = self.spelled[-1 - c]
+        size = width[spelled]
+        step = np.arange(int(size.sum())) - np.repeat(size.cumsum() - size, size)
+        out[np.repeat(before[spelled], size) + step] = self.spelled_ids[np.repeat(self.spelled_start[kind], size) + step]
         return out, before
 
 
 class _Search:
     """The search in one text: its paths so far and the agenda."""
 
-    def __init__(self, lat: Lattice, types: np.ndarray, key: int) -> None:
-        self.lat, self.types, self.key = lat, types, key
+    def __init__(self, lat: Lattice, types: np.ndarray, key: int, logs: float) -> None:
+        self.lat, self.types, self.key, self.logs = lat, types, key, logs
         self.paths: list[tuple[np.ndarray, np.ndarray, float]] = []  # counts, arcs, bound
         self.agenda: list[tuple[float, int, int, frozenset, float]] = []  # bound, path, step, arcs out, log mass before
-        self.logs = float(lat.alpha[lat.end[types]].sum())
 
-    def branch(self) -> tuple[int, int, int, float, float] | None:
-        """The agenda's best entry as (path, step, new arc, bound, log mass
-        after that arc), and the entry of what it leaves; None if empty."""
-        if not self.agenda:
-            return None
+    def take(self) -> tuple[float, int, int, frozenset, float]:
+        """The agenda's best entry, taken off."""
         entry = max(self.agenda)
         self.agenda.remove(entry)
+        return entry
+
+    def branch(self, entry: tuple[float, int, int, frozenset, float], first: int, end: int, u: float,
+               v: float) -> tuple[int, int, int, float, float]:
+        """An entry, whose node has the arcs from `first` to `end`, as (path,
+        step, new arc, bound, log mass after that arc); what it leaves goes back."""
         bound, which, step, out, mass = entry
-        lat = self.lat
-        node = int(np.searchsorted(lat.first, self.paths[which][1][step], side="right")) - 1
-        arcs = np.array([a for a in range(lat.first[node], lat.first[node + 1]) if a not in out])
-        share = lat.share[arcs]
+        arcs = [a for a in range(first, end) if a not in out]
+        share = self.lat.share[arcs]
         # The best child of those left, then what remains beside it.
-        base = _hash(self.key, -1000 - len(self.paths), step)
-        u = float(_uniform(base, 1))
-        k = int(min(np.searchsorted(share.cumsum(), u * share.sum()), len(arcs) - 1))
-        arc = int(arcs[k])
-        rest = share.sum() - share[k]
+        total = share.sum()
+        k = int(min(share.cumsum().searchsorted(u * total), len(arcs) - 1))
+        arc = arcs[k]
+        rest = total - share[k]
         if len(arcs) > 1 and rest > 0:
             left = mass + float(np.log(rest))
-            v = float(_uniform(base, 2))
             g = left - float(np.log(np.exp(left - bound) - np.log(v)))
             self.agenda.append((g, which, step, out | {arc}, mass))
-        return which, step, arc, bound, mass + float(np.log(lat.share[arc]))
+        return which, step, arc, bound, mass + float(np.log(share[k]))
 
     def kappa(self) -> float:
         return max(self.agenda)[0] if self.agenda else -np.inf
 
 
+def _branches(lat: Lattice, searches: list[_Search], which: int) -> list[tuple[int, tuple]]:
+    """(text, branch) of the best agenda entries of all texts with `which` paths."""
+    some = [d for d, s in enumerate(searches) if len(s.paths) == which and s.agenda]
+    entries = [searches[d].take() for d in some]
+    steps = np.array([e[2] for e in entries], dtype=np.int64)
+    nodes = lat.first.searchsorted([int(searches[d].paths[e[1]][1][e[2]]) for d, e in zip(some, entries)], side="right") - 1
+    base = _hash(np.array([searches[d].key for d in some], dtype=np.int64), -1000 - which, steps)
+    given = zip(some, entries, lat.first[nodes].tolist(), lat.first[nodes + 1].tolist(), _uniform(base, 1).tolist(), _uniform(base, 2).tolist())
+    return [(d, searches[d].branch(*x)) for d, *x in given]
+
+
 def _note(lat: Lattice, searches: list[_Search], found: list[tuple], k: int) -> None:
     """Note new paths (text, counts, arcs, bound, first step, log mass of the
     node there), and put the children that they pass onto the agendas: of each
@@ -393,7 +414,9 @@ def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
             h *= np.uint64(0xBF58476D1CE4E5B9)
             h ^= h >> np.uint64(32)
             h = np.add.reduceat(h, start) + length.astype(np.uint64)
-        _, one, flat = np.unique(h, return_index=True, return_inverse=True)
+        flat, distinct = pd.factorize(h)
+        one = np.empty(len(distinct), dtype=np.int64)
+        one[flat[::-1]] = np.arange(len(flat) - 1, -1, -1)
         same = codes[np.repeat(start[one][flat].astype(np.int32), length) + place] == codes
         if same.all() and (length[one][flat] == length).all():
             break
@@ -416,7 +439,8 @@ def sample(texts: list[str | None], keys: np.ndarray, k: int, p: Pieces) -> list
     keys = keys.astype(np.int64)
     word_at = np.append(0, sizes.cumsum())
     types = [flat[a:z] for a, z in zip(word_at[:-1], word_at[1:])]
-    searches = [_Search(lat, t, int(x)) for t, x in zip(types, keys)]
+    masses = lat.alpha[lat.end[flat]]
+    searches = [_Search(lat, t, x, float(masses[a:z].sum())) for t, x, a, z in zip(types, keys.tolist(), word_at[:-1], word_at[1:])]
     # The first path of every text at once.
     owner = np.repeat(np.arange(len(types)), sizes)
     number = np.arange(len(flat)) - word_at[owner]
@@ -426,8 +450,7 @@ def sample(texts: list[str | None], keys: np.ndarray, k: int, p: Pieces) -> list
     _note(lat, searches, [(d, counts[word_at[d]:word_at[d + 1]], arcs[arc_at[d]:arc_at[d + 1]], float(roots[d]), 0, 0.0)
                           for d in range(len(texts))], k)
     for which in range(1, k):
-        jobs = [(d, x) for d, s in enumerate(searches) if len(s.paths) == which and (x := s.branch()) is not None]
-        _extend(lat, searches, jobs, keys, which, k)
+        _extend(lat, searches, _branches(lat, searches, which), keys, which, k)
     out: list[list[tuple]] = [[] for _ in texts]
     for which in range(k):
         rows = [d for d, s in enumerate(searches) if len(s.paths) > which]
@@ -475,19 +498,23 @@ def encode(docs: DataFrame, k: int = 2, alpha: float = 1.0, model: str = MODEL,
     """(doc_id, rank, ids, log_prob, perturbed, inclusion, exact) of every row:
     `exact` tells that the ids were decoded to the row's text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model, alpha)
         for b in batches:
-            for part in _parts(b, together):
-                texts = part["text"].tolist()
-                found = sample(texts, part["_key"].to_numpy(), k, p)
-                same = iter(_exact(texts, found, p))
-                rows = [(doc_id, rank, ids, logp, g, score, next(same))
-                        for doc_id, paths in zip(part["doc_id"], found)
-                        for rank, (ids, logp, g, score) in enumerate(paths, 1)]
-                yield pd.DataFrame(rows, columns=["doc_id", "rank", "ids", "log_prob", "perturbed", "inclusion", "exact"])
+            every = b.column("text").to_pylist()
+            for i, j in _parts(every, together):
+                texts = every[i:j]
+                found = sample(texts, b.column("_key")[i:j].to_numpy(), k, p)
+                paths = [x for f in found for x in f]
+                count = [len(f) for f in found]
+                ends = np.cumsum([0, *(len(x[0]) for x in paths)])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x[0] for x in paths]), pa.int32()))
+                columns = [b.column("doc_id").take(pa.array(np.repeat(np.arange(i, j), count))),
+                           pa.array([rank for n in count for rank in range(1, n + 1)], pa.int32()), ids,
+                           *(pa.array([x[c] for x in paths], pa.float64()) for c in (1, 2, 3)), pa.array(_exact(texts, found, p), pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rank", "ids", "log_prob", "perturbed", "inclusion", "exact"])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_key")).mapInPandas(
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_key")).mapInArrow(
         run, f"doc_id {kind}, rank int, ids array<int>, log_prob double, perturbed double, inclusion double, exact boolean")
 
 
@@ -500,12 +527,12 @@ def _exact(texts: list[str | None], found: list[list[tuple]], p: Pieces) -> list
     return [raw[a:z].tobytes() == w for a, z, w in zip(cut[:-1], cut[1:], (w for w, paths in zip(want, found) for _ in paths))]
 
 
-def _parts(b: pd.DataFrame, together: int) -> Iterator[pd.DataFrame]:
-    """Rows of about `together` characters; a longer text is a part of its own."""
-    size = b["text"].map(lambda t: len(t) if t else 0).cumsum().to_numpy()
-    group = size // together
-    for g in np.unique(group):
-        yield b[group == g]
+def _parts(texts: list[str | None], together: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `together` characters; a longer text is a part of
+    its own."""
+    group = np.cumsum([len(t) if t else 0 for t in texts], dtype=np.int64) // together
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    return ((i, j) for i, j in zip(cuts[:-1], cuts[1:]) if i < j)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

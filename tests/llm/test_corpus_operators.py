@@ -367,6 +367,24 @@ def test_pieces_inclusion_is_unbiased():
     assert total / n == pytest.approx(1.0, abs=0.02)
 
 
+def test_pieces_branch_together(monkeypatch):
+    """The second paths of all texts are drawn together, not text by text."""
+    p, calls, plain = pieces.pieces(pieces.MODEL, 1.0), [], pieces._hash
+    monkeypatch.setattr(pieces, "_hash", lambda *parts: calls.append(1) or plain(*parts))
+    texts = [f"a cat number {i} \u4e2d\U0001f600 sat" for i in range(200)]
+    found = pieces.sample(texts, np.arange(200), 2, p)
+    assert len(calls) < 20 and all(len(f) == 2 for f in found)
+    for i in (0, 7, 199):  # a text alone
+        alone = pieces.sample([texts[i]], np.array([i]), 2, p)[0]
+        assert [(a.tolist(), *x) for a, *x in alone] == [(a.tolist(), *x) for a, *x in found[i]]
+        assert all(p.decode(np.asarray(ids)) == texts[i] for ids, *_ in alone)
+
+
+def test_pieces_keep_large_ids_beside_null(spark):
+    docs = spark.createDataFrame([(2 ** 53 + 1, "a cat"), (None, "a dog"), (5, None)], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in pieces.encode(docs, together=3).collect()} == {2 ** 53 + 1, None, 5}
+
+
 # --- Language -------------------------------------------------------------
 
 def test_language(spark, nasty, empty):
