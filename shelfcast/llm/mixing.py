@@ -17,7 +17,11 @@ by source and pass, and blocks join documents by (source, block).
 
 Only DataFrame functions run.  A hot source is split into buckets and blocks
 before every shuffle, and sums over sources are made by ranges of them, so that no
-task reads all sources either.
+task reads all sources either.  The planner takes a staged table's size from its
+compressed files, and does not see how far a row unrolls: numbers of slots that
+take a byte each there would be broadcast by the million.  So tables that grow
+with the words or the sources are merged, and only heavy sources, of more than
+`BUCKET_ROWS` rows, are broadcast.
 
 Defined results.  Null or blank text: size 0, takes part with 0 words taken.
 Null source: a source of its own, last in order.  Null doc_id: takes part.
@@ -46,6 +50,8 @@ SEED = 20
 ROUNDS = 12
 # Rows that one row may make when a range of numbers is unrolled.
 UNROLL = 1 << 16
+# What a slot needs to know of its source.
+OF_SOURCE = ("_blocks", "_full", "_short", "_quota", "_rest")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -101,8 +107,12 @@ def running(rows: DataFrame, order: list[Column], sums: dict[str, str], name: st
 
 def place(rows: DataFrame, goals: DataFrame) -> DataFrame:
     """Rows with `_start`, their first word's number in the source's stream."""
-    bucket = F.pmod(F.xxhash64("_key"), F.ceil(F.col("_rows") / BUCKET_ROWS))
-    dealt = rows.join(goals.select("_s", "_rows", "source_size", "target"), "_s").withColumn("_bucket", bucket).drop("_rows")
+    buckets = F.ceil(F.col("_rows") / BUCKET_ROWS)
+    heavy = goals.where(F.col("_rows") > BUCKET_ROWS).select("_s", buckets.alias("_buckets"))
+    bucket = F.coalesce(F.pmod(F.xxhash64("_key"), F.col("_buckets")), F.lit(0).cast("long"))
+    own = goals.select("_s", F.explode(F.sequence(F.lit(0).cast("long"), buckets - 1)).alias("_bucket"), "source_size", "target")
+    dealt = (rows.join(F.broadcast(heavy), "_s", "left").withColumn("_bucket", bucket).drop("_buckets")
+             .join(own.hint("merge"), ["_s", "_bucket"]))
     heads = dealt.groupBy("_s", "_bucket").agg(F.sum("size").alias("_sum"))
     ahead = Window.partitionBy("_s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.select("_s", "_bucket", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_head"))
@@ -139,30 +149,31 @@ def draws(goals: DataFrame) -> DataFrame:
                       .select("_s", (F.col("_first") + F.col("_n")).alias("_x"), "_slots"), "mix-urn")
     slots = urn.select(F.col("_x").alias("_slot"),
                        F.pmod(F.xxhash64(F.lit(SEED), F.col("_x")), F.col("_slots")).alias("_x"))
-    drawn = slots.join(urn.select("_x", "_s"), "_x").select(
+    drawn = slots.join(urn.select("_x", "_s").hint("merge"), "_x").select(
         "_slot", F.floor(F.col("_slot") / SHARD).alias("_shard"), "_s")
     counts = drawn.groupBy("_shard", "_s").agg(F.count("*").alias("_c"))
-    ahead = Window.partitionBy("_s").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.withColumn("_base", F.coalesce(F.sum("_c").over(ahead), F.lit(0))).drop("_c")
-    in_shard = Window.partitionBy("_shard", "_s").orderBy("_slot")
-    numbered = drawn.withColumn("_rn", F.row_number().over(in_shard) - 1).join(bases, ["_shard", "_s"]).select(
-        "_shard", "_slot", "_s", (F.col("_base") + F.col("_rn")).alias("_i"))
     # Totals: what a source drew over its quota, and what others lack.
     got = counts.groupBy("_s").agg(F.sum("_c").alias("_got"))
     count = F.coalesce("_got", F.lit(0))
-    balance = goals.select("_s", "_quota").join(got, "_s", "left").select(
-        "_s", "_quota", count.alias("_got"),
+    balance = goals.select("_s", *OF_SOURCE).join(got, "_s", "left").select(
+        "_s", *OF_SOURCE, count.alias("_got"),
         F.greatest(count - F.col("_quota"), F.lit(0)).alias("_over"),
         F.greatest(F.col("_quota") - count, F.lit(0)).alias("_lack"))
     balance = materialize(running(balance, [F.col("_s")], {"_over": "_over_from", "_lack": "_lack_from"}, "mix-owed"), "mix-balance")
-    judged = numbered.join(balance.select("_s", "_quota", "_over_from"), "_s")
-    stay = judged.where("_i < _quota").select("_shard", "_slot", "_s", "_i")
+    # What a source's slots need goes by the rows of its shards: a slot meets only its own shard's.
+    ahead = Window.partitionBy("_s").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    bases = (counts.withColumn("_base", F.coalesce(F.sum("_c").over(ahead), F.lit(0))).drop("_c")
+             .join(balance.select("_s", *OF_SOURCE, "_over_from").hint("merge"), "_s"))
+    in_shard = Window.partitionBy("_shard", "_s").orderBy("_slot")
+    judged = drawn.withColumn("_rn", F.row_number().over(in_shard) - 1).join(bases, ["_shard", "_s"]).withColumn(
+        "_i", F.col("_base") + F.col("_rn"))
+    stay = judged.where("_i < _quota").select("_shard", "_slot", "_s", "_i", *OF_SOURCE)
     moved = judged.where("_i >= _quota").select(
         "_shard", "_slot", (F.col("_over_from") + F.col("_i") - F.col("_quota")).alias("_t"))
-    open_ = _unroll(balance.select("_s", "_got", "_lack", "_lack_from"), "_lack", "_n").select(
-        "_s", (F.col("_got") + F.col("_n")).alias("_i"), (F.col("_lack_from") + F.col("_n")).alias("_t"))
-    slots = stay.unionByName(moved.join(open_, "_t").select("_shard", "_slot", "_s", "_i"))
-    known = slots.join(goals.select("_s", "_blocks", "_full", "_short", "_quota", "_rest"), "_s").withColumns({
+    open_ = _unroll(balance.select("_s", *OF_SOURCE, "_got", "_lack", "_lack_from"), "_lack", "_n").select(
+        "_s", *OF_SOURCE, (F.col("_got") + F.col("_n")).alias("_i"), (F.col("_lack_from") + F.col("_n")).alias("_t"))
+    slots = stay.unionByName(moved.join(open_.hint("merge"), "_t").drop("_t"))
+    known = slots.withColumns({
         "_pass": F.floor(F.col("_i") / F.col("_blocks")), "_j": F.col("_i") % F.col("_blocks")})
     is_full = F.col("_j") < F.col("_full")
     last = (F.col("_i") == F.col("_quota") - 1) & (F.col("_rest") > 0)
@@ -183,7 +194,7 @@ def fragments(placed: DataFrame, drawn: DataFrame) -> DataFrame:
         "_from": F.greatest(start, F.col("_block") * BLOCK),
         "_to": F.least(start + size, (F.col("_block") + 1) * BLOCK)})
     taken = F.least(F.col("_to") - F.col("_block") * BLOCK, F.col("_words")) - (F.col("_from") - F.col("_block") * BLOCK)
-    return cut.join(drawn.select("_s", "_block", "_pass", "_words"), ["_s", "_block"], "left").withColumns({
+    return cut.join(drawn.select("_s", "_block", "_pass", "_words").hint("merge"), ["_s", "_block"], "left").withColumns({
         "_at": F.col("_from") - start,
         "_len": F.when(F.col("_words").isNull(), F.lit(0)).otherwise(F.greatest(taken, F.lit(0)))}).drop("_from", "_to", "_words", "_block")
 
@@ -215,7 +226,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("_pass", "_start", "_at", "_len"))).alias("_pieces"))
     # The row is one column beside the key, so that no name of it meets others.
     keyed = docs.select(F.struct("*").alias("doc"), "text", text_key("doc_id", "text").alias("_key"))
-    joined = keyed.join(pieces, "_key").dropDuplicates(["_key"])
+    joined = keyed.hint("merge").join(pieces, "_key").dropDuplicates(["_key"])
 
     def passes(found: Column) -> Column:
         def of_words(words: Column) -> Column:

@@ -169,6 +169,23 @@ def test_sources_are_never_one_task(spark):
         first += goals[s]["_quota"]
 
 
+def broadcast_by(df):
+    """The keys of the broadcast joins that the planner takes before anything has run."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan
+    return {tuple(re.findall(r"(\w+)#", keys)) for keys in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", plan)}
+
+
+def test_mix_documents_broadcasts_no_slots(spark):
+    # A slot takes a byte in the staged table and 70 in a broadcast, and a row
+    # unrolls to any number of them: the planner's sizes say nothing of either.
+    rng = random.Random(3)
+    docs = documents(spark, [], [(i, prose(rng, 600), "en", f"s{i % 4}", 0) for i in range(100)])
+    out = mixing.mix_documents(docs)
+    assert broadcast_by(out) <= {("_shard", "_s")}
+    assert sum(len(r["text"].split()) for r in out.collect()) == 90_000
+
+
 # --- personal data: added spans --------------------------------------------------------
 
 def mod97(value):
