@@ -186,6 +186,25 @@ def test_mix_documents_broadcasts_no_slots(spark):
     assert sum(len(r["text"].split()) for r in out.collect()) == 90_000
 
 
+def test_mix_broadcasts_neither_slots_nor_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    rng = random.Random(4)
+    docs = documents(spark, [], [(i, prose(rng, rng.randint(0, 90)), "en", f"http://s{i}/" if i % 2 else "hot", 0) for i in range(300)])
+    rows = mixing.sizes(docs)
+    goals = mixing.targets(rows)
+    assert broadcast_by(mixing.draws(goals)) <= {("_shard", "_s")}
+    ends = collections.Counter()
+    for r in sorted(mixing.place(rows, goals).collect(), key=lambda r: (r["_s"], r["_start"], r["size"])):
+        assert r["_start"] == ends[r["_s"]]
+        ends[r["_s"]] += r["size"]
+    want = {r["_s"]: r["target"] for r in goals.collect()}
+    assert ends == {r["_s"]: r["source_size"] for r in goals.collect()} and len(want) == 151
+    taken = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        taken[f"0http://s{r['doc_id']}/" if r["doc_id"] % 2 else "0hot"] += r["taken"]
+    assert all(abs(taken[s] - t) <= 0.5 for s, t in want.items())
+
+
 # --- personal data: added spans --------------------------------------------------------
 
 def mod97(value):
